@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .embeddings import near_duplicates
 from .packing import pack_documents
 from .quality import quality_rules
 
@@ -17,5 +18,9 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_quality_rules, op8_best_fit_packing)}
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op5_quality_rules, op8_best_fit_packing, op9_embedding_near_dedup)}
 ORACLES: dict[str, str] = {}
