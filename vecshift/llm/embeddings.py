@@ -11,8 +11,8 @@ bucket is capped. A pair counts in the first table in which it shares a bucket,
 Tasks return link counts and a spanning forest, never pairs.
 
 Edge cases: a null vector, one with null or non-finite parts, a zero or empty one, links with nothing. Vectors of
-different lengths never link. A null vec_id links with nothing, has component_id null and is kept. Rows that repeat an id are joined
-to one component by that id. An empty table gives an empty result; extra columns are ignored.
+different lengths never link. A null vec_id links with nothing, has component_id null and is kept. Rows are
+compared by their vectors alone, also where several share an id. An empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import HOT_SHARE, bounded_map, materialize, mix
-from .graph import components, forest
+from .graph import forest, smallest_ids
 
 THRESHOLD, WIDTH, RECALL, BLOCK, SEED = 0.95, 1.5, 0.97, 1024, 11
 
@@ -77,7 +77,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", column: str = "embe
     """vec_id, n_links, component_id, kept."""
     base = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(column).cast("array<double>").alias("v"))
     packed = materialize(base.mapInArrow(_packed, "vec_id long, v binary").withColumn("digest", F.expr("CASE WHEN vec_id IS NOT NULL THEN sha2(v, 256) END")), "vectors")
-    classes = materialize(packed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("m"), F.min("v").alias("v")), "classes")
+    classes = materialize(packed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("m"), F.min("v").alias("v")).withColumn("cid", F.xxhash64("digest")), "classes")
     n, total = classes.count(), packed.count()
     depth, tables = plan(n, threshold)
 
@@ -92,22 +92,22 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", column: str = "embe
                     keys = bucket_keys(_units([v[i] for i in own]), depth, tables).view(np.int64)
                     where = pa.array(np.repeat(own, tables))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.tile(np.arange(tables, dtype=np.int32), len(own))), pa.array(keys.ravel()), *(b.column(k).take(where) for k in range(3))], ["t", "key", "rep", "m", "v"]
+                        [pa.array(np.tile(np.arange(tables, dtype=np.int32), len(own))), pa.array(keys.ravel()), *(b.column(k).take(where) for k in range(3))], ["t", "key", "cid", "m", "v"]
                     )
 
-    rows = classes.select("rep", "m", "v").mapInArrow(deal, "t int, key long, rep long, m long, v binary")
-    keys = materialize(rows.select("t", "key", "rep"), "bucket_rows")
+    rows = classes.select("cid", "m", "v").mapInArrow(deal, "t int, key long, cid long, m long, v binary")
+    keys = materialize(rows.select("t", "key"), "bucket_rows")
     sizes = materialize(keys.groupBy("t", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
     hot = sizes.where(F.col("size") > max(BLOCK, n * tables // HOT_SHARE))  # fewer than HOT_SHARE buckets
     full = bounded_map(vectors.sparkSession, sizes, hot, rows, ["t", "key"], "inner")
     parts = F.ceil(F.col("size") / BLOCK).cast("int")
-    dealt = full.withColumn("s", parts).withColumn("a", F.pmod(F.xxhash64("rep"), F.col("s")).cast("int"))
+    dealt = full.withColumn("s", parts).withColumn("a", F.pmod(F.xxhash64("cid", F.lit(7)), F.col("s")).cast("int"))
     dealt = dealt.withColumn("b", F.explode(F.expr("sequence(0, s - 1)")))
-    dealt = dealt.select("t", "key", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "a", "rep", "m", "v")
+    dealt = dealt.select("t", "key", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "a", "cid", "m", "v")
 
     def compare(t: pa.Table) -> pa.Table:
         table, x, y = (t[c][0].as_py() for c in ("t", "x", "y"))
-        ids, m, side = t["rep"].to_numpy(), t["m"].to_numpy(), t["a"].to_numpy()
+        ids, m, side = t["cid"].to_numpy(), t["m"].to_numpy(), t["a"].to_numpy()
         u = _units(t["v"].to_pylist())
         left, right = (np.flatnonzero(side == x), np.flatnonzero(side == y)) if x != y else (np.arange(len(ids)),) * 2
         links, ea, eb = np.zeros(len(ids), np.int64), [], []
@@ -128,16 +128,13 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", column: str = "embe
             eb.append(j)
         c, p = forest(len(ids), np.concatenate(ea), np.concatenate(eb), ids) if ea else (ids[:0],) * 2
         hit = np.flatnonzero(links)
-        return pa.table({"rep": np.concatenate([ids[hit], c]), "n": np.concatenate([links[hit], np.zeros(len(c), np.int64)]), "parent": pa.array(np.concatenate([np.zeros(len(hit), np.int64), p]), mask=np.arange(len(hit) + len(c)) < len(hit))})
-
-    found = materialize(dealt.groupBy("t", "key", "x", "y").applyInArrow(compare, "rep long, n long, parent long"), "links")
-    roots = components(found.where("parent IS NOT NULL").select(F.col("rep").alias("child"), "parent"))
-    links = found.where("parent IS NULL").groupBy("rep").agg(F.sum("n").alias("n"))
-    per_class = materialize(
-        classes.select("digest", "rep", "m").join(links, "rep", "left").join(roots.withColumnRenamed("child", "rep"), "rep", "left")
-        .select("digest", "m", (F.col("m") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("component_id")),
-        "per_class",
-    )
+        return pa.table({"cid": np.concatenate([ids[hit], c]), "n": np.concatenate([links[hit], np.zeros(len(c), np.int64)]), "parent": pa.array(np.concatenate([np.zeros(len(hit), np.int64), p]), mask=np.arange(len(hit) + len(c)) < len(hit))})
+
+    found = materialize(dealt.groupBy("t", "key", "x", "y").applyInArrow(compare, "cid long, n long, parent long"), "links")
+    label = smallest_ids(classes, found.where("parent IS NOT NULL").select(F.col("cid").alias("child"), "parent"))
+    links = found.where("parent IS NULL").groupBy("cid").agg(F.sum("n").alias("n"))
+    per_class = classes.select("digest", "cid", "m").join(links, "cid", "left").join(label, "cid")
+    per_class = materialize(per_class.select("digest", "m", (F.col("m") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "component_id"), "per_class")
     big = per_class.where(F.col("m") > total // HOT_SHARE)
     out = bounded_map(vectors.sparkSession, per_class, big, packed.where("digest IS NOT NULL").select("vec_id", "digest"), ["digest"], "inner")
     out = out.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))

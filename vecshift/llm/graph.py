@@ -36,6 +36,15 @@ def components(edges: DataFrame) -> DataFrame:
         up = up.drop("__moved")
 
 
+def smallest_ids(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """nodes (cid, rep) and links between cids -> (cid, component_id): the smallest rep of each component."""
+    roots = components(edges).withColumnRenamed("child", "cid")
+    inside = materialize(nodes.select("cid", "rep").join(roots, "cid", "left").select("cid", "rep", F.coalesce("root", "cid").alias("root")), "rooted")
+    linked = inside.where("root <> cid").select("root").distinct()
+    low = inside.join(linked, "root", "left_semi").groupBy("root").agg(F.min("rep").alias("low"))
+    return inside.join(materialize(low, "lowest"), "root", "left").select("cid", F.coalesce("low", "rep").alias("component_id"))
+
+
 def forest(n: int, a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Spanning forest of local links a[i]-b[i] between rows 0..n-1: (child, parent) ids, the parent being the smallest
     id of the local component. Vectorised min-label propagation with pointer jumping."""
