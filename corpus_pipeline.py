@@ -7,22 +7,52 @@ rows into the shared folder and rereads them as the next stage's docs.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from vecshift.llm.common import materialize, table
+from vecshift.llm.jaccard import similarity_classes
+from vecshift.llm.language import keep_identified
 from vecshift.llm.packing import pack_documents
 from vecshift.llm.quality import keep_quality
+from vecshift.llm.substrings import dedup_spans
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose posterior probability of being good reaches one half and that pass the base rules."""
     return keep_quality(docs)
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in an identified language, with score one half at least."""
+    return keep_identified(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each class of similar documents: five-word shingles, Jaccard 0.8 and more.
+    Documents with a null id link with nothing and stay."""
+    classes = similarity_classes(docs, n=5, percent=80)
+    extra = classes.where("doc_id <> component_id").select(F.col("doc_id").alias("__extra")).distinct()
+    return docs.join(extra.hint("shuffle_hash"), F.col("doc_id") == F.col("__extra"), "left_anti")
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with repeated passages taken out of all but their first occurrence."""
+    return dedup_spans(docs)
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of at most 4096 tokens."""
     return pack_documents(docs)
 
 
-STAGES = [("quality rules", quality), ("best-fit packing", packing)]
-#: EM, learned language models and packing are beyond SQL; the stages are tested against brute force instead.
+STAGES = [
+    ("quality rules", quality),
+    ("language ID", language),
+    ("n-gram Jaccard join", near_duplicates),
+    ("substring dedup", substrings),
+    ("best-fit packing", packing),
+]
+#: Expectation-maximisation, learned language models, components and packing are beyond SQL; tested by brute force.
 ORACLE_SQL = None
 
 

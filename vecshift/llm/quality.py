@@ -7,7 +7,7 @@ being good reaches a threshold. No rule alone has to pass.
 
 Edge cases: a null text counts as a text without words; it has all-zero counts and base_failed = true. Repeated rows
 and ids are judged row by row. An empty table gives an empty result. Extra columns are ignored by `quality_rules`
-and kept by `keep_quality`, whatever they are called (all helper columns carry the prefix __q_).
+and kept by `keep_quality`, whatever they are called.
 """
 
 from __future__ import annotations
@@ -76,11 +76,11 @@ def text_stats(text: str = "text") -> dict[str, str]:
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_stop", "n_stops"]
 
 
-def measured(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    x = text_stats(text)
-    one = docs.select(F.col(key).alias("__q_key"), *[F.expr(v).alias(f"__q_{k}") for k, v in x.items()])
+def measured(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """The columns to keep, and the counts."""
+    one = docs.select(*keep, *[F.expr(v).alias(f"__q_{k}") for k, v in text_stats(text).items()])
     of = lambda c: f"__q_w.{c}" if c in ("n_words", "n_repeat_words", "n_stop", "n_stops") else f"__q_l.{c}" if c in ("n_lines", "n_dup_lines") else f"__q_{c}"
-    return one.select("__q_key", *[F.col(of(c)).cast("long").alias(c) for c in STATS])
+    return one.select(*keep, *[F.col(of(c)).cast("long").alias(c) for c in STATS])
 
 
 def with_votes(stats: DataFrame) -> DataFrame:
@@ -121,23 +121,26 @@ def posteriors(voted: DataFrame) -> DataFrame:
 BASE_FAILED = "n_words < 10 OR 100 * n_repeat_words > 20 * n_words"
 
 
-def judged(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """__q_key, the counts, base_failed, posterior, kept; one row per input row. Texts are read once: the counts are
-    written out, both the model and the verdicts come from them."""
-    voted = materialize(with_votes(measured(docs, key, text)), "quality")
+def _verdicts(voted: DataFrame) -> DataFrame:
+    """voted (a written table with the counts and votes) with base_failed, posterior, kept."""
     model = F.broadcast(materialize(posteriors(voted), "quality_model"))  # at most 3^rules rows
     same = F.expr("transform(votes, v -> coalesce(v, 2))")
-    out = voted.withColumn("__q_p", same).join(model.withColumn("__q_p", same).drop("votes"), "__q_p", "left").drop("__q_p")
+    out = voted.withColumn("__q_p", same).join(model.withColumn("__q_p", same).drop("votes"), "__q_p", "left").drop("__q_p", "votes")
     out = out.withColumn("base_failed", F.expr(BASE_FAILED))
     return out.withColumn("kept", F.expr(f"NOT base_failed AND coalesce(posterior, 0D) >= {THRESHOLD}"))
 
 
 def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    return judged(docs, key, text).select(F.col("__q_key").alias(key), *STATS, "base_failed", F.round("posterior", 6).alias("posterior"), "kept")
+    """doc_id, the counts, base_failed, posterior, kept; one row per input row. Texts are read once: the counts are
+    written out, and both the model and the verdicts come from them."""
+    one = docs.select(F.col(key).alias("__q_id"), F.col(text).alias("__q_text"))
+    out = _verdicts(materialize(with_votes(measured(one, "__q_text", ["__q_id"])), "quality"))
+    return out.select(F.col("__q_id").alias(key), *STATS, "base_failed", F.round("posterior", 6).alias("posterior"), "kept")
 
 
 def keep_quality(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that the rules keep, with all their columns. The verdict belongs to the text: rows that share
-    an id are kept or dropped by whether any of their texts is rejected (ids are unique in intended use)."""
-    bad = judged(docs, key, text).where("NOT kept").select(F.col("__q_key").alias("__q_bad")).distinct()
-    return docs.join(bad, F.col(key).eqNullSafe(F.col("__q_bad")), "left_anti")
+    """The rows of docs that the rules keep, with all their columns. The rows are written once with their votes, so
+    that texts are neither measured twice nor shuffled."""
+    safe = docs.toDF(*[f"__c{i}" for i in range(len(docs.columns))])
+    voted = materialize(with_votes(measured(safe, f"__c{docs.columns.index(text)}", safe.columns)), "quality")
+    return _verdicts(voted).where("kept").select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(docs.columns)])

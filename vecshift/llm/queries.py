@@ -3,11 +3,25 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .embeddings import near_duplicates
+from .jaccard import similarity_classes
+from .language import language_id
 from .packing import pack_documents
 from .quality import quality_rules
+from .substrings import dedup_spans
+
+
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity_classes(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its text after dedup, and what is left of it in characters."""
+    out = dedup_spans(table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"))
+    return out.select("doc_id", "text", F.length("text").cast("long").alias("n_kept"), (F.col("n_chars") - F.length("text")).cast("long").alias("n_removed"))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,5 +36,19 @@ def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op5_quality_rules, op8_best_fit_packing, op9_embedding_near_dedup)}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op3_ngram_jaccard_join,
+        op4_substring_dedup,
+        op5_quality_rules,
+        op8_best_fit_packing,
+        op9_embedding_near_dedup,
+        op10_language_id,
+    )
+}
 ORACLES: dict[str, str] = {}
