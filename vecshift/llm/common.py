@@ -58,8 +58,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def crc_mod(col, m: int):
-    """crc32 of the id's decimal text, modulo m; a null id counts as 0."""
-    return F.coalesce(F.crc32(col.cast("string").cast("binary")) % m, F.lit(0))
+    """crc32 of the id's decimal text, modulo m; -1 for a null id."""
+    return F.coalesce(F.crc32(col.cast("string").cast("binary")) % m, F.lit(-1))
 
 
 # ---------------------------------------------------------------- Arrow text kernels

@@ -9,6 +9,7 @@ from .common import table
 from .embeddings import near_duplicates
 from .jaccard import similarity_classes
 from .language import language_id
+from .lm import score_texts
 from .packing import pack_documents
 from .quality import quality_rules
 from .substrings import dedup_spans
@@ -28,6 +29,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
@@ -46,6 +51,7 @@ QUERIES = {
         op3_ngram_jaccard_join,
         op4_substring_dedup,
         op5_quality_rules,
+        op7_lm_scoring,
         op8_best_fit_packing,
         op9_embedding_near_dedup,
         op10_language_id,
