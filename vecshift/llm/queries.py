@@ -7,12 +7,18 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .embeddings import near_duplicates
+from .html import main_text
 from .jaccard import similarity_classes
 from .language import language_id
 from .lm import score_texts
 from .packing import pack_documents
 from .quality import quality_rules
 from .substrings import dedup_spans
+from .urls import RULES, bad_labels, url_filter
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(table(spark, sf_dir, "pages"), bad_labels(table(spark, sf_dir, "labels")), RULES)
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +35,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"))
 
@@ -48,9 +58,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_url_filters,
         op3_ngram_jaccard_join,
         op4_substring_dedup,
         op5_quality_rules,
+        op6_html_extraction,
         op7_lm_scoring,
         op8_best_fit_packing,
         op9_embedding_near_dedup,
