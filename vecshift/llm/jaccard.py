@@ -5,12 +5,14 @@
    frequent; any consistent order gives the same links, so collisions in it cost time only.
 3. Similar classes (one min-hash and nearly one size) form groups of about GROUP members. The matrix holds for each
    group the union of its members' rarest shingles (prefixes) with the best position and the sizes seen there.
-4. A query's own prefix meets the matrix; position and size bound the overlap the query can have with any member of
-   the group. Only groups whose bound reaches the threshold are opened, and their members are compared on whole sets.
+4. A query's own prefix meets the matrix; the number of hits, their positions and the sizes bound the overlap the
+   query can have with any member of the group. Only groups whose bound reaches the threshold are opened, and their members are compared on whole sets.
 5. Compared blocks return spanning forests, never pairs; components come from those.
 
-The search is exact: two sets that link share a shingle among the first |q| - ceil(t|q|) + 1 of the larger one and
-the first |s| - ceil(2t/(1+t)|s|) + 1 of the smaller one (prefix filtering), whose group is then opened.
+The search is exact. Let prefixes be the first n - ceil(t n) + 1 shingles, o the overlap that two sets of sizes n >= s
+need. Of the shared shingles in order, the r-th stands at most n - o places later in the larger set and s - o in the
+smaller one; so at least o - ceil(t n) + 1 shared shingles lie in both prefixes. A group is opened when at least so
+many of the query's prefix lie in its union, for the smallest o of its members, and the first of them leaves room for o.
 
 Edge cases: a text with fewer than `n` words is one shingle; null, empty and white-space texts have n_shingles 0 and
 link with nothing. A null id links with nothing and has component_id null. Rows are linked by
@@ -152,17 +154,18 @@ def similarity_classes(docs: DataFrame, n: int = 3, percent: int = 90, key: str
     salt = F.pmod(F.xxhash64("cid"), F.greatest(F.lit(1), F.ceil(F.coalesce("members", F.lit(1)) / GROUP)))
     grouped = materialize(grouped.select("cid", "rep", "n", "toks", F.xxhash64("gkey", salt).alias("gid")), "grouped")
 
-    tokens = grouped.select("cid", "n", "gid", F.posexplode("toks").alias("pos", "tok"))
-    short = F.col("n") - F.expr(f"(2 * {percent} * n + {99 + percent}) div {100 + percent}") + 1
-    index = tokens.where(F.col("pos") < short).repartition("tok")
-    matrix = index.groupBy("tok", "gid").agg(
+    # one exchange serves the matrix and the queries that meet it
+    tokens = grouped.select("cid", "n", "gid", F.posexplode("toks").alias("pos", "tok")).repartition("tok")
+    matrix = tokens.groupBy("tok", "gid").agg(
         F.max(F.col("n") - F.col("pos")).alias("rest"), F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.min("cid").alias("c_min"), F.max("cid").alias("c_max")
     )
     least = F.greatest("n_min", F.expr(f"({percent} * n + 99) div 100"))
-    need = F.expr(f"({percent} * (n + least) + {99 + percent}) div {100 + percent}")
     met = tokens.select("cid", "n", "pos", "tok").join(matrix, "tok").where("c_min <> c_max OR c_min <> cid").withColumn("least", least)
-    met = met.where(F.col("n_min") <= F.col("n")).where(F.col("n_max") >= F.col("least")).where(F.least(F.col("n") - F.col("pos"), F.col("rest")) >= need)
-    opened = materialize(met.select("cid", "gid").distinct(), "opened")
+    met = met.where(F.col("n_min") <= F.col("n")).where(F.col("n_max") >= F.col("least"))
+    bound = met.groupBy("cid", "n", "gid").agg(F.count(F.lit(1)).alias("same"), F.min("least").alias("least"), F.min("pos").alias("pos"), F.max("rest").alias("rest"))
+    bound = bound.withColumn("need", F.expr(f"({percent} * (n + least) + {99 + percent}) div {100 + percent}"))
+    bound = bound.where(F.col("same") >= F.col("need") - F.expr(f"({percent} * n + 99) div 100") + 1).where(F.least(F.col("n") - F.col("pos"), F.col("rest")) >= F.col("need"))
+    opened = materialize(bound.select("cid", "gid"), "opened")
 
     # whole sets of the classes concerned only: a fixed-size bit set of their ids keeps the others out of the scan's output
     asked = opened.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("chunks"))
