@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, bounded_map, buffers, hashes, materialize, mix, pieces, ready, spans
+from .common import HOT_SHARE, buffers, hashes, materialize, mix, pieces, ready, spans
 
 SPAN, LEAST, LONG, CUT = 2, 16, 12, 4
 _END = np.zeros(256, bool)
@@ -111,20 +111,39 @@ def dedup_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     total = repeated.agg(F.sum("k")).first()[0] or 0
     wanted = spark.sparkContext.broadcast(_bits(repeated.select("h")))
 
+    # spans of very frequent passages (fewer than HOT_SHARE of them) are settled in the scan itself, one row for each text
+    often = repeated.where(F.col("k") > max(1, total // HOT_SHARE)).select("h", "f_rid", "f_pos").orderBy("h").toArrow()
+    hot = spark.sparkContext.broadcast(tuple(often[c].to_numpy() for c in ("h", "f_rid", "f_pos")))
+
     def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(wanted.value, np.uint8)
+        hot_h, hot_rid, hot_pos = hot.value
         for b in span_rows(batches):
-            h = b.column(0).to_numpy()
+            h, rid, pos = (b.column(k).to_numpy() for k in (0, 2, 3))
             j = h & (8 * BITS - 1)
-            hit = (bits[j >> 3] >> (j & 7).astype(np.uint8)) & 1
-            if hit.any():
-                yield b.filter(pa.array(hit.astype(bool)))
-
-    again = base.mapInArrow(repeats, "h long, id long, rid long, pos int").select("h", "rid", "pos")
-    hot = repeated.where(F.col("k") > max(1, total // HOT_SHARE))
-    later = bounded_map(spark, repeated, hot, again, ["h"], "inner").where("rid <> f_rid OR pos <> f_pos")
-    # the spans to take out, gathered for each text: at most one for each of its own sentences
-    gone = materialize(later.groupBy("rid").agg(F.collect_set("pos").alias("__gone")), "gone")
+            at = np.flatnonzero((bits[j >> 3] >> (j & 7).astype(np.uint8)) & 1)
+            if not len(at):
+                continue
+            k = np.minimum(np.searchsorted(hot_h, h[at]), max(len(hot_h) - 1, 0))
+            known = hot_h[k] == h[at] if len(hot_h) else np.zeros(len(at), bool)
+            first = known & (hot_rid[k] == rid[at]) & (hot_pos[k] == pos[at]) if len(hot_h) else known
+            rest = at[~known]
+            if len(rest):
+                none = pa.nulls(len(rest), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(h[rest]), pa.array(rid[rest]), pa.array(pos[rest]), none], ["h", "rid", "pos", "gone"])
+            mine = at[known & ~first]
+            if len(mine):
+                own, edge = np.unique(rid[mine], return_index=True)
+                order = np.argsort(rid[mine], kind="stable")
+                edge = np.searchsorted(rid[mine][order], own)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(edge, len(mine)), pa.int32()), pa.array(pos[mine][order]))
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(own), pa.int64()), pa.array(own), pa.nulls(len(own), pa.int32()), lists], ["h", "rid", "pos", "gone"])
+
+    again = materialize(base.mapInArrow(repeats, "h long, rid long, pos int, gone array<int>"), "again")
+    later = again.where("h IS NOT NULL").join(repeated, "h").where("rid <> f_rid OR pos <> f_pos").select("rid", F.array("pos").alias("gone"))
+    # the spans to take out, gathered for each text: at most a few for each of its own sentences
+    gone = later.unionByName(again.where("h IS NULL").select("rid", "gone")).groupBy("rid").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("__gone"))
+    gone = materialize(gone, "gone")
     at = docs.columns.index(text)
     width = len(docs.columns)
 
