@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import sql
 from .common import table
 from .embeddings import near_duplicates
 from .html import main_text
@@ -78,4 +79,4 @@ QUERIES = {
         op10_language_id,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_ngram_jaccard_join": sql.OP3, "op5_quality_rules": sql.op5(), "op9_embedding_near_dedup": sql.OP9}
