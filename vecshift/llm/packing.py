@@ -24,7 +24,7 @@ from .common import buffers, materialize
 
 CAPACITY, END_ID, GROUP_PIECES = 4096, 1, 8192
 #: Entries of a worker's word cache, about 200 bytes each.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 1_200_000
 _TAIL = b".,;:!?#*$%&|<>()[]{}-_=+/\"@~^"
 _STATE: dict = {}
 
@@ -51,15 +51,16 @@ def _encoder(path: str):
             for w, e in zip(words, tok.encode_batch_fast([w.decode() for w in words], add_special_tokens=False), strict=True):
                 cache[w] = np.array(e.ids, "<u4").tobytes()
 
-    def fill(words: set[bytes]) -> None:
+    def fill(words: set[bytes], all_words: set[bytes]) -> None:
         if len(cache) + 2 * len(words) > CACHE_WORDS:
             cache.clear()
+            words = all_words
         split, new = [], set()
         for w in words:
             if w in cache:
                 continue
             core = w.rstrip(_TAIL)
-            if core and len(core) < len(w) and b"<|" not in w and core[-1:].isalpha():
+            if core and len(core) < len(w) and b"<|" not in w and core.decode()[-1].isalpha():
                 split.append((w, core, w[len(core) :]))
                 new.add(core)
                 new.add(w[len(core) :])
@@ -77,11 +78,9 @@ def encode_texts(texts: list[bytes], path: str) -> Iterator[bytes]:
     """Ids of each text, as little-endian uint32 bytes, without special ids of our own."""
     cache, fill = _encoder(path)
     words = [(t if b"<|" in t else t.lower()).split() for t in texts]
-    missing = set().union(*words) - cache.keys() if words else set()
-    if missing:
-        fill(missing)
-        if any(w not in cache for w in set().union(*words)):
-            fill(set().union(*words))
+    used = set().union(*words) if words else set()
+    if missing := used - cache.keys():
+        fill(missing, used)
     get = cache.__getitem__
     for w in words:
         yield b"".join(map(get, w))
