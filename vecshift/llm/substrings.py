@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import HOT_SHARE, buffers, hashes, materialize, mix, pieces, ready, spans
 
-SPAN, LEAST, LONG, CUT = 2, 16, 12, 4
+SPAN, LEAST, LONG, CUT = 2, 24, 12, 4
 _END = np.zeros(256, bool)
 _END[[ord(c) for c in ".!?"]] = True
 _SYMBOL = np.zeros(256, bool)
