@@ -40,7 +40,7 @@ def same_cell(distance: float, width: float = WIDTH) -> float:
 def plan(n: int, threshold: float = THRESHOLD) -> tuple[int, int]:
     """Depth and number of tables for n vectors."""
     near, far = same_cell(math.sqrt(2 - 2 * threshold)), same_cell(math.sqrt(2))
-    depth = max(6, math.ceil(math.log(max(n, 2)) / -math.log(far)))
+    depth = max(6, math.ceil(math.log(max(n, 2)) / -math.log(far)) + 2)  # so that few unrelated vectors meet in a bucket
     return depth, math.ceil(math.log(1 - RECALL) / math.log(1 - near**depth))
 
 
