@@ -130,3 +130,32 @@ def bootstrap_hashed(values: DataFrame, draws: int = 200, seed: int = 42) -> Dat
     means = slots.select("r", (h % F.col("n") + 1).cast("int").alias("p")).join(pos, "p").groupBy("r").agg(F.avg("x").alias("m"))
     both = means.agg(F.round(F.expr("percentile(m, 0.025)"), 9).alias("low"), F.round(F.expr("percentile(m, 0.975)"), 9).alias("high"), F.count(F.lit(1)).alias("draws"))
     return values.agg(F.round(F.avg("x"), 9).alias("mean")).join(both)
+
+
+def k_grid(grid, corpus_size: int, cap: int = 500) -> list[int]:
+    """Unique positive depths in ascending order, none beyond the cap or the corpus."""
+    if any(isinstance(k, bool) or not isinstance(k, int) or k < 1 for k in grid):
+        raise ValueError("depths must be positive integers")
+    return [k for k in sorted(set(grid)) if k <= min(cap, corpus_size)]
+
+
+def evaluate(source: DataFrame, native: DataFrame, qrels: DataFrame, scored: DataFrame | None, grid=GRID, quality_k: int = 10) -> tuple[DataFrame, DataFrame]:
+    """One row of source and native quality, and the gap curve. source and native are rankings (query_id, doc_id, rank);
+    scored holds target scores (query_id, doc_id, target_score) of the source candidates. The two quality means run over
+    the queries of source, native and qrels, whether or not they have target scores."""
+    qrels, kmax = checked_qrels(qrels), max(grid)
+    common = source.select("query_id").distinct().join(native.select("query_id").distinct(), "query_id").join(qrels.select("query_id").distinct(), "query_id")
+    keep = lambda df: df.join(common, "query_id", "left_semi")
+    s, n, q = keep(source), keep(native), keep(qrels)
+    x = ndcg(s, q, quality_k).withColumnRenamed("ndcg", "s").join(ndcg(n, q, quality_k).withColumnRenamed("ndcg", "n"), "query_id")
+    x = x.join(recall(s, q, kmax).withColumnRenamed("recall", "sr"), "query_id").join(recall(n, q, kmax).withColumnRenamed("recall", "nr"), "query_id")
+    one = x.agg(*[F.round(F.avg(a), 9).alias(b) for a, b in (("s", "source_quality"), ("n", "native_quality"), ("sr", "source_recall"), ("nr", "native_recall"))], F.count(F.lit(1)).alias("queries"))
+    candidates = source.where(F.col("rank") < kmax).withColumnRenamed("rank", "source_rank").join(scored, ["query_id", "doc_id"], "left")
+    return one, gap_curve(candidates, native, qrels, grid, quality_k)
+
+
+def report(curve: DataFrame, eps: float = 0.01) -> DataFrame:
+    """One row: the observed depth and what it recommends."""
+    x = observed_depth(curve, eps)
+    text = F.when(F.col("observed_depth").isNull(), "no tested depth closes the gap; encode the target index or test deeper lists").otherwise(F.format_string("rerank the first %d source candidates", F.col("observed_depth")))
+    return x.withColumn("recommendation", text)

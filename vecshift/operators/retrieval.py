@@ -176,3 +176,20 @@ def ivf_search(corpus: DataFrame, queries: DataFrame, k: int, cells: int, probes
     s = x.join(q, "cell").withColumn("score", F.round(cosine("__q", "__d"), DIGITS)).select("query_id", "doc_id", "score")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
+
+
+def ivf_cells(rows: int, wanted: int | None) -> int | None:
+    """The number of cells for a coarse index, or none where the corpus is too small for it and is searched exactly."""
+    return wanted if wanted and rows >= max(39, 4 * wanted) else None
+
+
+def search(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", cells: int | None = None, probes: int = 64) -> DataFrame:
+    """Exact search, or coarse-cell search where cells are asked for and the corpus is large enough."""
+    n = ivf_cells(corpus.count(), cells) if cells else None
+    return ivf_search(corpus, queries, k, n, min(probes, n)) if n else topk(corpus, queries, k, metric)
+
+
+def ordered_union(candidates: DataFrame) -> DataFrame:
+    """doc_id, position: the documents of all candidate lists, each at its first place in (query_id, source_rank) order."""
+    first = candidates.groupBy("doc_id").agg(F.min(F.struct("query_id", "source_rank")).alias("first"))
+    return first.select("doc_id", F.col("first.query_id").alias("query_id"), F.col("first.source_rank").alias("source_rank"))

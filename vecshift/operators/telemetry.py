@@ -157,3 +157,8 @@ def count_audit(cells: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("cells"), F.count_if(F.col("gap") <= 0.01).alias("small_gap"), F.count_if(F.col("ci_certified")).alias("certified"),
         F.count_if(F.col("decision") == "SAFE").alias("safe"), F.count_if((F.col("decision") == "SAFE") & (F.col("gap") > 0.01)).alias("false_safe"),
     )
+
+
+def retained(df: DataFrame, now: float, max_age: float, at: str = "at") -> DataFrame:
+    """Rows not older than max_age seconds."""
+    return df.where(F.col(at) >= now - max_age)
