@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import crc_mod, ready
 
 SAMPLE_ROWS, TOP_WORDS, TOP_GRAMS, ORDER = 10_000, 40_000, 20_000, 4
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 #: Words that count in full; in longer texts every word counts for less, so that the score stays a graded one.
 FULL_WORDS = 12
 _WORD = re.compile(r"[^\W\d_]+")
@@ -77,71 +77,94 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
 
 
 class Scorer:
-    """Scores texts with a model; keeps the rows of words it has met, at most CACHE_WORDS of them."""
+    """Scores batches of texts with a model; keeps the rows of words it has met, at most about CACHE_WORDS of them."""
 
     def __init__(self, model: dict):
-        self.m, self.n = model, len(model["langs"])
-        self.floor = np.log10(0.5 / (model["total"] + 0.5 * 1e5))
+        self.langs, self.n, self.common = model["langs"], len(model["langs"]), model["common"]
+        floor = np.log10(0.5 / (model["total"] + 0.5 * 1e5))
+        self.at: list[dict[str, int]] = []  # by n-gram length (0: words) the row of each known gram in self.logs
+        logs = []
+        for n, table in enumerate(model["table"]):
+            self.at.append({g: len(logs) + k for k, g in enumerate(table)})
+            for found in table.values():
+                x = floor[n].copy()
+                for i, c in found:
+                    x[i] = math.log10((c + 0.5) / (model["total"][n, i] + 0.5 * 1e5))
+                logs.append(x)
+        self.logs = np.array(logs).reshape(len(logs), self.n)
         self._reset()
 
     def _reset(self) -> None:
         self.row: dict[str, int] = {}
-        self.rows = np.zeros((1024, self.n + 1))  # the last column: 1 if the word has a letter
-
-    def _logs(self, n: int, gram: str) -> np.ndarray:
-        x = self.floor[n].copy()
-        for i, c in self.m["table"][n].get(gram, ()):
-            x[i] = math.log10((c + 0.5) / (self.m["total"][n, i] + 0.5 * 1e5))
-        return x
-
-    def _learn(self, word: str) -> int:
-        k = len(self.row)
-        if k == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        out = np.zeros(self.n + 1)
-        if any(map(str.isalpha, word)):
-            out[-1] = 1
-            if word in self.m["table"][0]:
-                out[:-1] = self._logs(0, word)
-            else:
-                for n in range(ORDER, 0, -1):
-                    known = [g for g in _parts(word, n) if g in self.m["table"][n]]
-                    if known:
-                        out[:-1] = sum(self._logs(n, g) for g in known) / len(known)
-                        break
-        self.rows[k] = out
-        self.row[word] = k
-        return k
-
-    def __call__(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.n:
-            return "und", 0.0
-        if len(self.row) > CACHE_WORDS:
+        self.rows = np.zeros((1 << 16, self.n + 1))  # the last column: 1 if the word has a letter
+
+    def _grams(self, word: str) -> list[int]:
+        """Rows of the word itself, or of its known n-grams of the longest length of which it has any."""
+        k = self.at[0].get(word)
+        if k is not None:
+            return [k]
+        for n in range(ORDER, 0, -1):
+            get = self.at[n].get
+            if known := [k for g in _parts(word, n) if (k := get(g)) is not None]:
+                return known
+        return []
+
+    def _learn(self, words: list[str]) -> None:
+        lo, hi = len(self.row), len(self.row) + len(words)
+        if hi > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros((max(hi, len(self.rows)), self.n + 1))])
+        grams = [self._grams(w) for w in words]
+        size = np.fromiter(map(len, grams), np.int64, len(grams))
+        some = np.flatnonzero(size)
+        if len(some):
+            flat = np.fromiter((k for g in grams for k in g), np.int64, int(size.sum()))
+            start = (np.cumsum(size) - size)[some]
+            self.rows[lo + some, :-1] = np.add.reduceat(self.logs[flat], start, axis=0) / size[some, None]
+        self.rows[lo:hi, -1] = [w.isalpha() or any(map(str.isalpha, w)) for w in words]
+        self.row.update(zip(words, range(lo, hi), strict=True))
+
+    def __call__(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        if not self.n:
+            return [("und", 0.0)] * len(texts)
+        counts = [Counter(_WORD.findall(t.lower())) if t else {} for t in texts]
+        used = set().union(*counts) if counts else set()
+        new = used - self.row.keys()
+        if len(self.row) + len(new) > CACHE_WORDS:
             self._reset()
-        c = Counter(_WORD.findall(text.lower()))
-        get = self.row.get
-        at = [k if (k := get(w)) is not None else self._learn(w) for w in c]
-        rows, n = self.rows[at], np.fromiter(c.values(), float, len(c))
-        words = float(n @ rows[:, -1]) if at else 0.0
-        if not words:
-            return "und", 0.0
-        s = (n @ rows[:, :-1]) * min(1.0, FULL_WORDS / words)
-        p = np.exp((s - s.max()) * math.log(10))
-        p /= p.sum()
-        best = int(p.argmax()) if s.any() else self.m["common"]
-        return self.m["langs"][best], float(p[best])
+            new = used
+        if new:
+            self._learn(list(new))
+        size = np.fromiter(map(len, counts), np.int64, len(counts))
+        total = int(size.sum())
+        at = np.fromiter((self.row[w] for c in counts for w in c), np.int64, total)
+        n = np.fromiter((k for c in counts for k in c.values()), float, total)
+        out, some = [("und", 0.0)] * len(texts), np.flatnonzero(size)
+        if not len(some):
+            return out
+        sums = np.add.reduceat(self.rows[at] * n[:, None], (np.cumsum(size) - size)[some], axis=0)
+        words = sums[:, -1]
+        s = sums[:, :-1] * np.minimum(1.0, FULL_WORDS / np.maximum(words, 1))[:, None]
+        p = np.exp((s - s.max(1, keepdims=True)) * math.log(10))
+        p /= p.sum(1, keepdims=True)
+        best = np.where(s.any(1), p.argmax(1), self.common)
+        for k, i in enumerate(some.tolist()):
+            if words[k]:
+                out[i] = (self.langs[best[k]], float(p[k, best[k]]))
+        return out
 
 
 def _predict(model, keep_from: float | None, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = Scorer(model.value)
-        for b in batches:
-            found = [score(t.as_py()) for t in b.column(at)]
-            if keep_from is not None:
-                yield b.filter(pa.array([x != "und" and s >= keep_from for x, s in found], pa.bool_()))
-            else:
-                lang, s = zip(*found, strict=True) if found else ((), ())
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lang, pa.string()), pa.array(s, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1000):
+                b = whole.slice(lo, 1000)
+                found = score(b.column(at).to_pylist())
+                if keep_from is not None:
+                    yield b.filter(pa.array([x != "und" and s >= keep_from for x, s in found], pa.bool_()))
+                else:
+                    lang, s = zip(*found, strict=True) if found else ((), ())
+                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lang, pa.string()), pa.array(s, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     return run
 
