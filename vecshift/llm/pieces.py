@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 from .common import ready
 
 SPACE = "▁"
-CACHE_WORDS = 500_000
+CACHE_WORDS = 700_000
 #: Characters of distinct words that one suffix array indexes at most (one word at least).
-INDEX_CHARS = 1_500_000
+INDEX_CHARS = 500_000
 _PARTS = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 _HELD: dict = {}
 
@@ -92,7 +92,7 @@ class Pieces:
             ok = pairs.get(k)
             if ok is None:
                 a, b = self.text[k // self.n], self.text[k % self.n]
-                if len(pairs) > 2_000_000:
+                if len(pairs) > 1_000_000:
                     pairs.clear()
                 ok = pairs[k] = self.merged(a + b) == [a, b]
             out[i] = ok
@@ -155,7 +155,8 @@ class Pieces:
         lone = np.flatnonzero(~single[:-1] & (codes >= 0))
         start, end, piece = np.concatenate([start, lone]), np.concatenate([end, lone + 1]), np.concatenate([piece, np.full(len(lone), -2)])
         word = np.searchsorted(begin, start, "right") - 1
-        place = np.argsort(end - begin[word], kind="stable")
+        place = end - begin[word]
+        place = np.argsort(place.astype(np.uint16) if size.max() < 65_000 else place, kind="stable")  # a radix sort where it fits
         start, end, piece, word = start[place], end[place], piece[place], word[place]
         step = (end - begin[word]).astype(np.int64)
         cut = np.flatnonzero(np.diff(step)) + 1
@@ -242,8 +243,8 @@ def encode(docs: DataFrame, model: str | None = None, key: str = "doc_id", text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _pieces(path)
         for b in batches:
-            for lo in range(0, b.num_rows, 1500):
-                part = b.slice(lo, 1500)
+            for lo in range(0, b.num_rows, 800):
+                part = b.slice(lo, 800)
                 texts = part.column(1).to_pylist()
                 ids = [None if t is None else x for t, x in zip(texts, m.encode(texts), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.binary())], ["doc_id", "text", "ids"])
@@ -260,8 +261,8 @@ def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _pieces(path)
         for b in batches:
-            for lo in range(0, b.num_rows, 1500):
-                part = b.slice(lo, 1500)
+            for lo in range(0, b.num_rows, 800):
+                part = b.slice(lo, 800)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([m.decode(x) for x in part.column(at).to_pylist()], pa.string())], names)
 
     return encoded.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema) + ", decoded string")
