@@ -34,7 +34,7 @@ from .common import HOT_SHARE, bounded_map, buffers, grams, hashes, materialize,
 from .graph import forest, smallest_ids
 
 CELLS, PARTS, FAN = 1 << 22, 64, 64
-GROUP, QUERIES = 64, 512
+GROUP, QUERIES = 256, 1024
 
 
 def shingle_sets(texts: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
