@@ -93,3 +93,33 @@ def test_filter_bound_and_empty(spark, monkeypatch):
     assert lm.score_texts(df.limit(0)).count() == 0
     r = lm.score_texts(df.limit(3), train_on=F.lit(False)).first()
     assert r.train_tokens == 0 and r.base_score == 0 and r.score == 0
+
+
+def test_score_equals_brute_force(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r.doc_id, r.n_tokens, round(r.score, 5)) for r in lm.score_texts(df).collect())
+    learn = [toks(t) for i, t in rows if not held(i)]
+    begin = ("begin",)
+    c = Counter(w for t in learn for w in t)
+    both = Counter(p for t in learn for p in zip([begin, *t], t))
+    ctx = lambda u: len(learn) if u == begin else c[u]
+    norm = sum(c.values()) + 0.1 * (len(c) + 1)
+    down = lambda n: float(lm.low(lm.level(n))) if n else 0.0
+    q = lambda n: int(lm.level(n)) if n else 0
+    win, all_ = Counter(), Counter()
+    for t in learn:
+        for u, w in zip([begin, *t], t):
+            up = ctx(u) - 1
+            a, b = max(min(down(both[u, w]), up + 1) - 1, 0) / max(up, 1), (c[w] - 0.9) / norm
+            win[q(up)] += a / (a + b)
+            all_[q(up)] += 1
+    weight = {k: min(win[k] / all_[k], 0.99) if k else 0.0 for k in all_}
+
+    def score(t):
+        total = 0.0
+        for u, w in zip([begin, *t], t):
+            m = weight.get(q(ctx(u)), 0.0)
+            total += math.log10((1 - m) * (c[w] + 0.1) / norm + m * down(both[u, w]) / max(ctx(u), 1))
+        return total
+
+    assert got == Counter((i, len(toks(t)), round(score(toks(t)), 5)) for i, t in rows)

@@ -1,20 +1,19 @@
-"""Language-model scoring with a log-frequency Bloom filter of quantised n-gram counts.
+"""Language-model scoring with log-quantised counts of word pairs, looked up bucket by bucket.
 
-Counting: tasks sort and sum the hashes of their words and word pairs and hand on one compressed block for each
-hash bucket; buckets follow the number of input partitions, so each is merged in bounded memory. All counts cover the
-whole training part.
+Counting: documents are dealt into chunks of CHUNK bytes of text and written once. Each chunk hands on, for each hash
+bucket, its distinct words and pairs with their counts in the training part, as one compressed block; buckets follow the
+number of input partitions, so each is merged in bounded memory. The merged bucket answers each chunk with the counts of
+that chunk's own keys, in the order of the keys: exact counts of words, quantised levels of pairs (two levels for each
+doubling). All words and pairs count, however rare and at any size of the input; nothing that grows is broadcast.
 
-Filter: a pair seen at least MIN_COUNT times, and a word, with quantised count level q is held as q members (key, 1) ..
-(key, q). A count is read back by probing the levels until one is missing. The filter's size is computed from exact
-histograms before it is built; where it would exceed FILTER_BYTES, the smallest pair counts are left out (a count
-cut-off, the same for all pairs), so that the broadcast is bounded by that number at any size of the input.
+Probability of word w after u: (1 - l) * base(w) + l * count(u, w) / count(u), with the pair's count rounded down, so
+probabilities never sum to more than one. l depends on the level of count(u); it comes from one expectation step over all
+training tokens with their own occurrence taken out, of the pair, the word and the context.
 
-Probability of word w after u: (1 - l) * base(w) + l * count(u, w) / count(u), with the pair's count rounded down and the
-context's rounded up, so probabilities never sum to more than one (false positives aside). l depends on the level of
-count(u); it comes from one expectation step over all training tokens with their own occurrence taken out.
+Base: exact unigram probabilities.
 
-Base: exact unigram probabilities. The HEAD_WORDS most frequent words at most are broadcast; the rare rest is joined
-by shuffle. No key of that join is frequent, by construction.
+`train` and `Model` are the same model as a log-frequency Bloom filter of a bounded size, for use without a join; only
+there the smallest pair counts are left out where the filter would exceed FILTER_BYTES. `score_texts` does not use them.
 
 Edge cases: a null text is empty and has one token, the end. With no training rows every count is 0 (N = 0, V = 0) and
 both scores are n_tokens * log10(0.1 / 0.1) = 0. A null id falls in the training part. Repeated rows are scored one
@@ -36,6 +35,9 @@ from .common import buffers, crc_mod, hashes, materialize, mix, pieces, ready, s
 HEAD_WORDS, FILTER_BYTES, MIN_COUNT = 1 << 20, 128 << 20, 2
 BITS_PER_MEMBER, PROBES, LEVELS = 10, 7, 96
 FLUSH_TOKENS = 3_000_000
+#: Bytes of text that are looked up at a time (one document at least).
+CHUNK = 2 << 20
+TRAIN, SCORE, HELD = 1, 2, 4
 END, BEGIN = np.uint64(0x0E4D0E4D0E4D0E4D), np.uint64(0xBE61BE61BE61BE61)
 
 
@@ -51,7 +53,10 @@ def low(q):
 
 def token_stream(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For some rows at a time: tokens, the token before each, and the rows' token offsets. Each row ends with END."""
-    data, off = buffers(texts)
+    yield from tokens(*buffers(texts))
+
+
+def tokens(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     for _, _, d, o in pieces(data, off):
         s, e, first = spans(d, o)
         h = hashes(d, s, e)
@@ -326,47 +331,136 @@ def train(texts: DataFrame) -> tuple[dict, DataFrame]:
     return parts | {"weight": np.minimum(weight, 0.99).tobytes()}, rare
 
 
+def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of (doc_id, role, text) as chunks: number, ids, roles, bytes and offsets of the texts."""
+    from pyspark import TaskContext
+
+    number = TaskContext.get().partitionId() << 32
+    for b in batches:
+        data, off = buffers(b.column(2))
+        role = b.column(1).to_numpy(zero_copy_only=False).astype(np.uint8)
+        for lo, hi, d, o in pieces(data, off, CHUNK):
+            ids = pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), b.column(0).slice(lo, hi - lo))
+            blobs = [pa.array([x.tobytes()], pa.binary()) for x in (role[lo:hi], d, o)]
+            yield pa.RecordBatch.from_arrays([pa.array([number]), ids, *blobs], ["chunk", "ids", "role", "data", "off"])
+            number += 1
+
+
+def _chunk_tokens(data: bytes, off: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A chunk's tokens, pairs, and the rows' token offsets."""
+    tok, both, edge = [], [], [np.zeros(1, np.int64)]
+    for t, prev, e in tokens(np.frombuffer(data, np.uint8), np.frombuffer(off, np.int64)):
+        tok.append(t)
+        both.append(pair(prev, t))
+        edge.append(e[1:] + edge[-1][-1])
+    return np.concatenate(tok), np.concatenate(both), np.concatenate(edge)
+
+
+def chunk_blocks(buckets: int):
+    """The distinct words (kind 0) and pairs (kind 1) of each chunk by bucket, with their counts in its training rows."""
+    shift = np.uint64(64 - int(math.log2(buckets)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):  # one chunk at a time in memory
+                number, role, data, off = (b.column(i)[k].as_py() for i in range(4))
+                tok, both, edge = _chunk_tokens(data, off)
+                learn = np.repeat(np.frombuffer(role, np.uint8) & TRAIN > 0, np.diff(edge))
+                for kind, x in ((0, tok), (1, both)):
+                    h, at = np.unique(x, return_inverse=True)
+                    c = np.bincount(at[learn], minlength=len(h))
+                    cut = np.searchsorted(h >> shift, np.arange(buckets + 1))
+                    own = [(n, _code(np.diff(h[i:j], prepend=np.uint64(0))), _code(c[i:j])) for n, (i, j) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if i < j]
+                    n, hs, cs = zip(*own, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([kind] * len(n), pa.int32()), pa.array(n, pa.int32()), pa.array([number] * len(n)), pa.array(hs, pa.binary()), pa.array(cs, pa.binary())], ["kind", "bucket", "chunk", "h", "c"])
+
+    return run
+
+
+def _answer(t: pa.Table) -> pa.Table:
+    """One bucket's counts of all training rows, as an answer to each chunk; the first row carries the bucket's sums."""
+    kind = t["kind"][0].as_py()
+    keys = [np.cumsum(_read(v.as_py()), dtype=np.uint64) for v in t["h"]]
+    h, at = np.unique(np.concatenate(keys), return_inverse=True)
+    c = np.bincount(at, np.concatenate([_read(v.as_py()) for v in t["c"]]), len(h)).astype(np.int64)
+    value = np.where(c > 0, np.minimum(level(c), LEVELS - 1), 0) if kind else c
+    cut = np.cumsum([0, *map(len, keys)])
+    told = [_code(value[at[i:j]]) for i, j in zip(cut[:-1], cut[1:], strict=True)]
+    rest = [0] * (len(told) - 1)
+    sums = [int(c.sum()), int((c > 0).sum()), 0 if kind else int(c[h == END].sum())]
+    return pa.table({"kind": t["kind"], "bucket": t["bucket"], "chunk": t["chunk"], "told": pa.array(told, pa.binary()), **{n: pa.array([x, *rest], pa.int64()) for n, x in zip(("total", "size", "ends"), sums, strict=True)}})
+
+
+_LOW = low(np.arange(LEVELS))
+
+
+def _terms(c: np.ndarray, q: np.ndarray, edge: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs' counts rounded down and the contexts' counts, from the tokens' counts and the pairs' levels."""
+    up = np.empty(len(c), np.int64)
+    up[1:] = c[:-1]
+    up[edge[:-1]] = rows
+    return np.where(q > 0, np.minimum(_LOW[q], up), 0), up
+
+
+def _levels(up: np.ndarray) -> np.ndarray:
+    return np.where(up > 0, np.minimum(level(up), LEVELS - 1), 0)
+
+
 def score_texts(docs: DataFrame, train_on=None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = ready(docs.sparkSession)
     held_out = crc_mod(F.col(key), 10) == 0
-    parts, rare = train(docs.where(~held_out if train_on is None else train_on).select(text))
-    shared = _Shared(spark.sparkContext.broadcast(parts), id(parts))
     kind = docs.select(F.col(key).alias("doc_id")).schema["doc_id"].dataType.simpleString()
-    norm = parts["N"] + 0.1 * (parts["V"] + 1)
+    role = F.when(held_out, HELD + SCORE).otherwise(SCORE)
+    learn = ~held_out if train_on is None else train_on if not isinstance(train_on, DataFrame) else F.lit(False)
+    role = role + F.when(learn, TRAIN).otherwise(0)
+    rows_in = docs.select(F.col(key).alias("doc_id"), role.alias("role"), F.col(text).alias("text"))
+    if isinstance(train_on, DataFrame):
+        rows_in = rows_in.unionByName(train_on.select(F.lit(None).cast(kind).alias("doc_id"), F.lit(TRAIN).alias("role"), F.col(text).alias("text")))
+    buckets = 2 << math.ceil(math.log2(max(1, rows_in.rdd.getNumPartitions())))  # an input partition's n-grams each, at any size
+    parts = materialize(rows_in.mapInArrow(chunks, f"chunk long, ids array<{kind}>, role binary, data binary, off binary"), "lm_chunks")
+    blocks = parts.select("chunk", "role", "data", "off").mapInArrow(chunk_blocks(buckets), "kind int, bucket int, chunk long, h binary, c binary")
+    answers = materialize(blocks.groupBy("kind", "bucket").applyInArrow(_answer, "kind int, bucket int, chunk long, told binary, total long, size long, ends long"), "lm_answers")
+    s = answers.where("kind = 0").agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("total", "size", "ends")]).first()
+    total, ends, norm = s.total, s.ends, s.total + 0.1 * (s["size"] + 1)
+    base = lambda c: (c + 0.1) / norm
+
+    def look_up(mine: pa.Table, told: pa.Table) -> pa.Table:
+        """A chunk's counts by token, and what its training rows tell about the weights."""
+        ids, role, data, off = (mine[c][0] for c in ("ids", "role", "data", "off"))
+        tok, both, edge = _chunk_tokens(data.as_py(), off.as_py())
+        got = [[], []]
+        told = told.sort_by("bucket")
+        for k, v in zip(told["kind"].to_pylist(), told["told"], strict=True):
+            got[k].append(_read(v.as_py()))
+        c, q = (np.concatenate(v)[np.unique(x, return_inverse=True)[1]].astype(np.int64) for v, x in zip(got, (tok, both), strict=True))
+        n, up = _terms(c, q, edge, ends)
+        learn = np.repeat(np.frombuffer(role.as_py(), np.uint8) & TRAIN > 0, np.diff(edge))
+        n, up, w = n[learn], up[learn] - 1, base(c[learn] - 1)
+        a, at = np.maximum(n - 1, 0) / np.maximum(up, 1), _levels(up)
+        sums = [np.bincount(at, x, LEVELS).astype(float) for x in (a / (a + w), np.ones(len(a)))]
+        cols = [pa.array([x], pa.binary()) for x in (role.as_py(), edge.tobytes(), _code(c), q.astype(np.uint8).tobytes())]
+        return pa.table([mine["ids"].combine_chunks(), *cols, *[pa.array([x.tolist()]) for x in sums]], ["ids", "role", "edge", "c", "q", "win", "n"])
+
+    both = parts.groupBy("chunk").cogroup(answers.select("kind", "bucket", "chunk", "told").groupBy("chunk"))
+    found = materialize(both.applyInArrow(look_up, f"ids array<{kind}>, role binary, edge binary, c binary, q binary, win array<double>, n array<double>"), "lm_counts")
+    weight = np.zeros(LEVELS)
+    sums = found.select(F.posexplode(F.arrays_zip("win", "n")).alias("k", "z")).groupBy("k").agg(F.sum("z.win").alias("w"), F.sum("z.n").alias("n"))
+    for r in sums.collect():  # LEVELS rows
+        weight[r.k] = min(r.w / r.n, 0.99) if r.k and r.n else 0.0
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = held(shared)
         for b in batches:
-            at = 0
-            for tok, prev, edge in token_stream(b.column(2)):
-                c, both, up = m.terms(tok, prev)
-                w = m.weight[np.where(up > 0, np.minimum(level(up), LEVELS - 1), 0)]
-                x = w * both / np.maximum(up, 1) / (1 - w)
-                known = c > 0
-                b0 = np.where(known, np.log10(m.base(c)), 0.0)
-                s0 = np.log10(1 - w) + np.where(known, np.log10(m.base(c) + x), 0.0)
-                rows = len(edge) - 1
-                total = lambda y: np.add.reduceat(y, edge[:-1])  # noqa: E731, B023
-                tail = np.flatnonzero(~known)
-                bounds = np.searchsorted(tail, edge)
-                lists = lambda y: pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(y))  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays(
-                    [*(b.column(k).slice(at, rows) for k in range(2)), pa.array(np.diff(edge)), pa.array(total(known.astype(np.int64))), pa.array(total(b0)), pa.array(total(s0)), lists(tok[tail].view(np.int64)), lists(x[tail])],
-                    ["doc_id", "held_out", "n_tokens", "n_known", "b0", "s0", "h", "x"],
-                )
-                at += rows
-
-    scored = docs.select(F.col(key).alias("doc_id"), held_out.alias("held_out"), F.col(text)).mapInArrow(score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, b0 double, s0 double, h array<long>, x array<double>")
-    scored = materialize(scored.withColumn("rid", F.monotonically_increasing_id()), "lm_scored")
-    tail = scored.select("rid", F.explode(F.arrays_zip("h", "x")).alias("z")).select("rid", F.col("z.h").alias("h"), F.col("z.x").alias("x"))
-    c = F.coalesce("c", F.lit(0))
-    uni = (c + 0.1) / norm
-    rest = tail.join(rare, "h", "left").groupBy("rid")
-    rest = rest.agg(F.sum(F.log10(uni)).alias("b1"), F.sum(F.log10(uni + F.col("x"))).alias("s1"), F.count_if(c > 0).alias("k1"))
-    out = scored.drop("h", "x").join(rest, "rid", "left")
-    zero = F.lit(0.0)
-    return out.select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("k1", F.lit(0))).alias("n_known"), F.lit(int(parts["N"])).cast("long").alias("train_tokens"),
-        (F.col("b0") + F.coalesce("b1", zero)).alias("base_score"), (F.col("s0") + F.coalesce("s1", zero)).alias("score"),
-    )
+            for k in range(b.num_rows):
+                role, edge, c, q = (b.column(i)[k].as_py() for i in range(1, 5))
+                role, edge = np.frombuffer(role, np.uint8), np.frombuffer(edge, np.int64)
+                c, q = _read(c).astype(np.int64), np.frombuffer(q, np.uint8)
+                n, up = _terms(c, q, edge, ends)
+                w, p = weight[_levels(up)], base(c)
+                total_of = lambda y: np.add.reduceat(y, edge[:-1])  # noqa: E731, B023
+                own = pa.array(role & SCORE > 0)
+                cols = [b.column(0)[k].values, pa.array(role & HELD > 0), pa.array(np.diff(edge)), pa.array(total_of((c > 0).astype(np.int64))), pa.array(total_of(np.log10(p))), pa.array(total_of(np.log10((1 - w) * p + w * n / np.maximum(up, 1))))]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]).filter(own)
+
+    out = found.select("ids", "role", "edge", "c", "q").mapInArrow(score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")
