@@ -123,3 +123,25 @@ def test_score_equals_brute_force(spark, rows):
         return total
 
     assert got == Counter((i, len(toks(t)), round(score(toks(t)), 5)) for i, t in rows)
+
+
+def test_every_pair_counts_at_any_filter_size(spark, monkeypatch):
+    """A held-out copy of one training text has its pairs known, though each was seen once and no filter could hold them."""
+    rng = random.Random(11)
+    held_id = next(i for i in range(100) if held(i))
+    words = [f"w{k}" for k in range(300)]
+    texts = [" ".join(rng.choice(words) for _ in range(150)) for _ in range(40)]
+    mixed = " ".join(rng.sample(texts[7].split(), 150))
+    ids = [i for i in range(200) if not held(i)][:40]
+    rows = [*zip(ids, texts, strict=True), (held_id, texts[7]), (next(i for i in range(held_id + 1, 300) if held(i)), mixed)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+
+    def scores():
+        return {r.doc_id: (round(r.base_score, 6), round(r.score, 6)) for r in lm.score_texts(df).collect()}
+
+    want = scores()
+    copy, shuffled = want[held_id], want[rows[-1][0]]
+    assert copy[1] > shuffled[1] + 10 and copy[1] > copy[0] + 10
+    monkeypatch.setattr(lm, "FILTER_BYTES", 500)
+    monkeypatch.setattr(lm, "CHUNK", 2000)
+    assert scores() == want

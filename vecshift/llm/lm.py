@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import buffers, crc_mod, hashes, materialize, mix, pieces, ready, spans
 
-HEAD_WORDS, FILTER_BYTES, MIN_COUNT = 1 << 20, 128 << 20, 2
+HEAD_WORDS, FILTER_BYTES, MIN_COUNT = 1 << 20, 128 << 20, 1
 BITS_PER_MEMBER, PROBES, LEVELS = 10, 7, 96
 FLUSH_TOKENS = 3_000_000
 #: Bytes of text that are looked up at a time (one document at least).
