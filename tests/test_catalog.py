@@ -42,3 +42,9 @@ def test_queries_without_sql(spark):
     assert len(recall) == 25 and sum(recall) / len(recall) > 0.5
     ci = catalog.QUERIES["bootstrap_ci"](spark, DIR).first()
     assert ci.low <= ci.mean <= ci.high and ci.draws == 10_000
+
+
+@pytest.mark.parametrize("d", [DIR, "/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+def test_coarse_index_recall(spark, d):
+    recall = [r.overlap for r in catalog.QUERIES["ivf_probe_recall"](spark, d).collect()]
+    assert recall and sum(recall) / len(recall) >= 0.9

@@ -166,11 +166,26 @@ def ivf_train(corpus: DataFrame, cells: int, sample: int = 20_000, rounds: int =
     return c
 
 
-def ivf_search(corpus: DataFrame, queries: DataFrame, k: int, cells: int, probes: int) -> DataFrame:
+def ivf_probes(corpus: DataFrame, queries: DataFrame, k: int, centroids: np.ndarray, least: float = 0.92, sample: int = 2000) -> int:
+    """The fewest probes whose mean recall at k against exact search reaches `least`, measured on a bounded sample of the
+    queries by hash of the id (all of them where there are no more); the slack to 0.9 is several of its standard errors."""
+    some = queries.orderBy(F.xxhash64(F.lit(1), "query_id")).limit(sample)
+    cells = ivf_assign(corpus, centroids).select("doc_id", "cell")
+    found = topk(corpus, some, k).select("query_id", "doc_id").join(cells, "doc_id").groupBy("query_id", "cell").count().collect()  # sample * k rows at most
+    if not found:
+        return len(centroids)
+    rows = some.select("query_id", "v").collect()
+    near = np.argsort(-scores(np.array([r.v for r in rows], np.float64), centroids, "cosine"), axis=1, kind="stable")
+    place = {r.query_id: 1 + np.argsort(x) for r, x in zip(rows, near, strict=True)}  # by cell: its turn
+    hits = np.bincount([place[r.query_id][r.cell] for r in found], [r["count"] for r in found], len(centroids) + 1)
+    return int(np.searchsorted(np.cumsum(hits) / hits.sum(), least - 1e-12))
+
+
+def ivf_search(corpus: DataFrame, queries: DataFrame, k: int, cells: int, probes: int, centroids: np.ndarray | None = None) -> DataFrame:
     """Approximate top-k: candidates by an equi-join on the coarse cell, exact scores, then ranking."""
     from vecshift.functions.scalar import cosine
 
-    c = ivf_train(corpus, cells)
+    c = ivf_train(corpus, cells) if centroids is None else centroids
     x = ivf_assign(corpus, c).select("doc_id", F.col("v").alias("__d"), "cell")
     q = ivf_assign(queries, c, probes).select("query_id", F.col("v").alias("__q"), "cell")
     s = x.join(q, "cell").withColumn("score", F.round(cosine("__q", "__d"), DIGITS)).select("query_id", "doc_id", "score")
