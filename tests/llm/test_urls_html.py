@@ -102,3 +102,23 @@ def test_real_pages_are_whole(spark):
         lines = [" ".join(x.split()) for x in docs[r.url.split("://")[1].split("/")[2].split(".")[0].split("?")[0].split("#")[0]].split("\n")]
         assert r.text.split("\n")[1:] == [x for x in lines if x] and r.n_chars == len(r.text)
     assert main_text(pages.limit(0)).count() == 0
+
+
+NAMED = [
+    ("<div class='content has-sidebar'><h1>T</h1><p>The text, all of it.</p></div>", "T\nThe text, all of it."),
+    ("<article class='post comments-open'><p>The text.</p></article>", "The text."),
+    ("<div class='content-sidebar-wrap'><p>The text is here, and it is long.</p></div><div class='sidebar'><p>aside</p></div>", "The text is here, and it is long."),
+    ("<article><h2 id='search'>Search</h2><p>x</p><table><tr class='header'><td>1</td></tr></table></article>", "Search\nx\n1"),
+    ("<div class='menu'><p>Nothing but this.</p></div>", "Nothing but this."),
+    ("<form id=aspnet><p>A page in a form.</p></form>", "A page in a form."),
+    ("<div id='page' class='widget'><h1>T</h1><p>One, two, three.</p></div><div class=ad>buy</div>", "T\nOne, two, three."),
+    # these go
+    ("<article><p>x</p></article><div id='comments' class='comments-area'><p>" + "much said, " * 50 + "</p></div>", "x"),
+    ("<article><p>The text is long enough.</p><div class='share-buttons'>tweet</div><ul><li class=ad>buy<li>y</ul></article>", "The text is long enough.\ny"),
+    ("<p hidden>no</p>", ""),
+]
+
+
+@pytest.mark.parametrize("page,want", NAMED)
+def test_names_drop_no_article(page, want):
+    assert extract(page) == want

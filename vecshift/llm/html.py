@@ -5,7 +5,11 @@ comma, one for each hundred characters up to three - to their parent in full, to
 ancestors by a third over the distance; containers have a starting score by tag, and the sum is discounted by link
 density. The best container, widened to the article or main element around it, and those of its siblings that score
 well or are plain text blocks are kept. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles
-and reader comments are left out by element, role, or a word of their class or id; headings in an article's header stay.
+and reader comments are left out by element, role, or a name of their class or id; headings in an article's header stay.
+A name whose words all tell so (`comments`, `cookie-notice`) drops a block unless that holds more than half of the page's
+text and its h1 or main; one word of a longer name (`share-buttons`) drops it unless it is an article or holds more than half
+of the text; a name that tells a state (`has-sidebar`, `comments-open`) drops nothing. Headings and rows of tables are never
+dropped by name. If nothing is left, names are not looked at, and then elements and roles neither.
 
 Edge cases: a null, empty or text-free page gives "". Plain text without tags is one block. Broken markup, unclosed
 comments, scripts and quotes end at the end of the page. Rows are independent; an empty table gives an empty result.
@@ -45,29 +49,43 @@ _BASE = {"article": 25.0, "main": 20.0, "section": 5.0, "div": 5.0, "pre": 3.0,
 _NOT = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup sidebar widget menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar comment comments disqus reply replies respond share sharing social related recommended recommendations pagination pager toolbar login search skip".split()
 )
+_STATE = frozenset("has with without no not is open opened closed enabled disabled".split())
+#: Elements that no name drops.
+_NAMELESS = _HEADS | frozenset("html body main tr th td thead tbody tfoot caption".split())
+_HARD = frozenset("button input select textarea head".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _WALL = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
 
 
-def _marked(tag: str, attrs: str) -> bool:
-    """Whether the element's attributes say that it is not part of the article."""
+def _marked(tag: str, attrs: str) -> int:
+    """What the attributes say of an element: 0 nothing, 1 not of the article by a word of a name, 2 by a whole name, 3 by its role, 4 hidden."""
     low = attrs.lower()
     if "class" not in low and "id" not in low and "role" not in low and "hidden" not in low and "style" not in low:
-        return False
+        return 0
     if re.search(r"\bhidden\b(?!\s*=\s*[\"']?(?:false|until))|display\s*:\s*none", re.sub(r"\"[^\"]*\"|'[^']*'", lambda m: m[0] if "display" in m[0] else "", low)):
-        return True
+        return 4
+    mark = 0
     for m in _ATTR.finditer(low):
         v = m[2] or m[3] or m[4] or ""
-        if m[1] in ("class", "id") and not _NOT.isdisjoint(_SPLIT.split(v)) or m[1] == "role" and v.strip() in _ROLES:
-            return True
-    return False
+        if m[1] == "role" and v.strip() in _ROLES:
+            return 3
+        if m[1] in ("class", "id") and tag not in _NAMELESS:
+            for name in v.split():
+                words = {w for w in _SPLIT.split(name) if w and not w.isdigit()}
+                if not _NOT.isdisjoint(words) and _STATE.isdisjoint(words):
+                    mark = max(mark, 2 if words <= _NOT else 1)
+    return mark
 
 
 def extract(page: str | None) -> str:
-    if not page:
-        return ""
-    tags, parent, out = ["#root"], [-1], [False]  # by node; out: not part of the article
+    """The main text; where the names, and then the elements and roles, leave nothing, without looking at them."""
+    return next((t for least in (1, 3, 4) if (t := _extract(page, least))), "") if page else ""
+
+
+def _extract(page: str, least: int) -> str:
+    """least: the lowest mark that drops an element."""
+    tags, parent, out, named = ["#root"], [-1], [False], [0]  # by node; out: not part of the article; named: perhaps so, by its name
     blocks: list[tuple[int, str, int]] = []  # node, text, characters in links
     stack = [0]
     parts: list[str] = []
@@ -129,21 +147,35 @@ def extract(page: str | None) -> str:
         if tag in _VOID or attrs.endswith("/") and tag not in _BLOCK:
             continue
         up = stack[-1]
-        bad = out[up] or tag in _DROP or (tag not in ("html", "body", "main") and _marked(tag, attrs))
-        if tag == "header":
+        mark = _marked(tag, attrs) if tag not in ("html", "body", "main") else 0
+        by_name = mark if least <= mark < 3 and tag in _BLOCK and tag != "header" and not out[up] else 0
+        bad = out[up] or tag in _HARD or least < 4 and tag in _DROP or mark >= least and not by_name
+        if tag == "header" and least < 4:
             bad = out[up] or not any(tags[n] in ("article", "main") for n in stack)
-        elif tags[up] == "header" and not bad:
+        elif tags[up] == "header" and not bad and least < 4:
             bad = tag not in _HEADS and tag not in ("div", "hgroup", "span")
         tags.append(tag)
         parent.append(up)
         out.append(bad)
+        named.append(0 if bad else by_name)
         stack.append(len(tags) - 1)
         links += tag == "a"
     if at < len(page) and not out[stack[-1]]:
         parts.append(_html.unescape(page[at:]))
     flush()
+    if any(named):
+        held, top = [0] * len(tags), [t in ("h1", "main") for t in tags]
+        for n, text, _ in blocks:
+            held[n] += len(text)
+        for n in range(len(tags) - 1, 0, -1):
+            held[parent[n]] += held[n]
+            top[parent[n]] |= top[n]
+        for n in range(1, len(tags)):
+            most = 2 * held[n] > held[0]
+            out[n] |= out[parent[n]] or named[n] == 1 and not most and tags[n] != "article" or named[n] == 2 and not (most and top[n])
+        blocks = [b for b in blocks if not out[b[0]]]
     in_header = lambda n: any(tags[k] == "header" for k in _up(n, parent)) and not any(tags[k] in _HEADS for k in _up(n, parent))
-    if "header" in tags:
+    if "header" in tags and least < 4:
         blocks = [b for b in blocks if not in_header(b[0])]
     if not blocks:
         return ""
