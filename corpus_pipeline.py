@@ -29,10 +29,22 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each class of similar documents: five-word shingles, Jaccard 0.8 and more.
-    Documents with a null id link with nothing and stay."""
-    classes = similarity_classes(docs, n=5, percent=80)
+    Documents with a null id link with nothing and stay. Where an id is repeated, rows are removed one by one: of rows with
+    equal id and text one stays, and different texts under one id are documents of their own, of which the first by hash
+    has the id's place in the order and the others come after all ids."""
+    key, digest = F.col("doc_id").cast("long"), F.xxhash64("text")
+    ids = docs.where(key.isNotNull()).groupBy(key.alias("__id")).agg(F.count(F.lit(1)).alias("n"), F.min(digest).alias("__first")).where("n > 1").drop("n")
+    if ids.isEmpty():
+        rows = docs.withColumn("__key", key)
+    else:
+        both = docs.join(ids, key == F.col("__id"), "left")
+        late = F.xxhash64("__id", "text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+        both = both.withColumn("__key", F.when(F.col("__first").isNull() | (digest == F.col("__first")), key).otherwise(late))
+        once = both.where("__first IS NOT NULL").dropDuplicates(["__key"])
+        rows = materialize(both.where("__first IS NULL").unionByName(once).select(*docs.columns, "__key"), "rows")
+    classes = similarity_classes(rows, n=5, percent=80, key="__key")
     extra = classes.where("doc_id <> component_id").select(F.col("doc_id").alias("__extra")).distinct()
-    return docs.join(extra.hint("shuffle_hash"), F.col("doc_id") == F.col("__extra"), "left_anti")
+    return rows.join(extra.hint("shuffle_hash"), F.col("__key") == F.col("__extra"), "left_anti").drop("__key")
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,3 +38,11 @@ def test_stages(spark):
 def test_run_equals_stages(spark):
     out = P.run(spark, "/root/testdata/sf0.001")
     assert out.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.max("n")).first()[0] <= 4096
+
+
+def test_repeated_ids_are_removed_by_row(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    rows = [(0, a), (1, a), (1, b), (2, c), (2, c), (3, c), (4, "x y z"), (None, a), (None, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sorted(((r.doc_id, r.text) for r in P.near_duplicates(spark, df, "").collect()), key=str)
+    assert out == sorted([(0, a), (1, b), (2, c), (4, "x y z"), (None, a), (None, a)], key=str)
