@@ -1,8 +1,8 @@
 """Best-fit packing of token sequences by the sum-of-squares rule.
 
 Each document becomes token ids plus one end id; only longer ones are cut, into full-capacity pieces. Pieces are dealt
-at random into groups of about GROUP_PIECES (the count of groups follows the input, so a group always fits in one
-task), and within a group every piece, longest first, goes where the sum over residual gaps of the squared number of
+by the hash of a row number into groups of about GROUP_PIECES (the count of groups follows the input, so a group always
+fits in one task, however many rows are equal), and within a group every piece, longest first, goes where the sum over residual gaps of the squared number of
 open bins with that gap becomes smallest. A group leaves at most a bin or two badly filled.
 
 Edge cases: a null or empty text is the end id alone; repeated rows and ids are separate pieces; an empty table gives
@@ -14,17 +14,19 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, materialize
+from .common import buffers, hashes, materialize, spans
+from .common import pieces as split
 
 CAPACITY, END_ID, GROUP_PIECES = 4096, 1, 8192
-#: Entries of a worker's word cache, about 200 bytes each.
-CACHE_WORDS = 1_200_000
+#: Words that a worker keeps the ids of, about 50 bytes each.
+CACHE_WORDS = 1_500_000
 _TAIL = b".,;:!?#*$%&|<>()[]{}-_=+/\"@~^"
 _STATE: dict = {}
 
@@ -35,55 +37,80 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _encoder(path: str):
-    """bytes of a text -> little-endian uint32 ids. The tokenizer drops white space and never joins across it, and it
-    lower-cases; so words are encoded one by one, each distinct word once, and trailing punctuation apart."""
-    if path in _STATE:
-        return _STATE[path]
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_file(path)
-    cache: dict[bytes, bytes] = {}
-
-    def learn(words: list[bytes]) -> None:
-        if words:
-            for w, e in zip(words, tok.encode_batch_fast([w.decode() for w in words], add_special_tokens=False), strict=True):
-                cache[w] = np.array(e.ids, "<u4").tobytes()
-
-    def fill(words: set[bytes], all_words: set[bytes]) -> None:
-        if len(cache) + 2 * len(words) > CACHE_WORDS:
-            cache.clear()
-            words = all_words
-        split, new = [], set()
-        for w in words:
-            if w in cache:
-                continue
-            core = w.rstrip(_TAIL)
-            if core and len(core) < len(w) and b"<|" not in w and core.decode()[-1].isalpha():
-                split.append((w, core, w[len(core) :]))
-                new.add(core)
-                new.add(w[len(core) :])
-            else:
-                new.add(w)
-        learn([w for w in new if w not in cache])
-        for w, core, tail in split:
-            cache[w] = cache[core] + cache[tail]
-
-    _STATE[path] = (cache, fill)
-    return _STATE[path]
-
-
-def encode_texts(texts: list[bytes], path: str) -> Iterator[bytes]:
-    """Ids of each text, as little-endian uint32 bytes, without special ids of our own."""
-    cache, fill = _encoder(path)
-    words = [(t if b"<|" in t else t.lower()).split() for t in texts]
-    used = set().union(*words) if words else set()
-    if missing := used - cache.keys():
-        fill(missing, used)
-    get = cache.__getitem__
-    for w in words:
-        yield b"".join(map(get, w))
+class Words:
+    """Ids of the words met so far, by a 64-bit hash of the word: sorted hashes, and each word's place in one array of ids.
+
+    The tokenizer drops white space and never joins across it, and it lower-cases; so each distinct word is encoded once, and
+    trailing punctuation apart from it."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_file(path)
+        self.reset()
+
+    def reset(self) -> None:
+        self.key, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in a row, and how many each has. What several words have in common is encoded once."""
+        known: dict[bytes, int] = {b"": 0}
+        number, last = known.setdefault, frozenset(_TAIL)
+        core, tail = [0] * len(words), [0] * len(words)
+        for i, w in enumerate(words):
+            if w[-1] in last and (c := w.rstrip(_TAIL)) and b"<|" not in w and (64 < c[-1] < 128 or c.decode()[-1].isalpha()):
+                tail[i] = number(w[len(c) :], len(known))
+                w = c
+            core[i] = number(w, len(known))
+        found = [e.ids for e in self.tok.encode_batch_fast(list(map(bytes.decode, known)), add_special_tokens=False)]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))
+        part = np.stack([core, tail], 1).ravel()
+        n = size[part]
+        ids = flat[np.arange(n.sum()) + np.repeat((np.cumsum(size) - size)[part] - np.cumsum(n) + n, n)]
+        return ids, n.reshape(-1, 2).sum(1)
+
+    def learn(self, key: np.ndarray, words: list[bytes]) -> None:
+        """New distinct words with their hashes, in ascending order of the hashes."""
+        flat, size = self._encode(words)
+        if self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.zeros(max(len(flat), self.used), np.uint32)])
+        self.ids[self.used : self.used + len(flat)] = flat
+        where = np.searchsorted(self.key, key)
+        self.at = np.insert(self.at, where, self.used + np.cumsum(size) - size)
+        self.size = np.insert(self.size, where, size)
+        self.key = np.insert(self.key, where, key)
+        self.used += len(flat)
+
+    def __call__(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all rows of some UTF-8 texts, and where each row's begin (one entry more)."""
+        raw = data.tobytes()
+        starts, ends, first = spans(data, off)
+        own, where, inverse = np.unique(hashes(data, starts, ends, lower=b"<|" not in raw), return_index=True, return_inverse=True)
+        place = np.searchsorted(self.key, own)
+        new = np.flatnonzero(self.key[np.minimum(place, len(self.key) - 1)] != own) if len(self.key) else np.arange(len(own))
+        if len(self.key) + len(new) > CACHE_WORDS and len(self.key):
+            self.reset()
+            new = np.arange(len(own))
+        if len(new):
+            s, e = starts[where[new]].tolist(), ends[where[new]].tolist()
+            self.learn(own[new], [raw[a:b] for a, b in zip(s, e, strict=True)])
+            place = np.searchsorted(self.key, own)
+        at, size = self.at[place][inverse], self.size[place][inverse]
+        end = np.cumsum(size)
+        total = int(end[-1]) if len(end) else 0
+        ids = self.ids[np.arange(total) + np.repeat(at - end + size, size)]
+        return ids, np.concatenate([[0], end])[first]
+
+
+def encode_texts(data: np.ndarray, off: np.ndarray, path: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Some rows at a time: number of the first, their ids, and where each row's begin (one entry more)."""
+    if path not in _STATE:
+        _STATE[path] = Words(path)
+    for lo, _, d, o in split(data, off):
+        yield lo, *_STATE[path](d, o)
 
 
 def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int | None = END_ID, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -93,19 +120,20 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
     schema = docs.select(F.col(key).alias("doc_id")).schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = np.array([] if end_id is None else [end_id], np.uint32)
         for b in batches:
-            data, off = buffers(b.column(1))
-            for lo in range(0, b.num_rows, 500):
-                hi = min(b.num_rows, lo + 500)
-                raw = data[off[lo] : off[hi]].tobytes()
-                texts = [raw[off[i] - off[lo] : off[i + 1] - off[lo]] for i in range(lo, hi)]
+            for lo, ids, edge in encode_texts(*buffers(b.column(1)), path):
                 rows: list[tuple] = []
-                for i, ids in zip(range(lo, hi), encode_texts(texts, path), strict=True):
-                    ids += end
-                    n = len(ids) // 4
-                    for k in range(max(1, -(-n // capacity)) if n else 0):
-                        part = ids[4 * k * capacity : 4 * (k + 1) * capacity]
-                        rows.append((i, k, k * capacity, len(part) // 4, zlib.crc32(part)))
+                for i, (x, y) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True), lo):
+                    n = y - x + len(last)
+                    if n <= capacity:
+                        if n:
+                            rows.append((i, 0, 0, n, zlib.crc32(end, zlib.crc32(ids[x:y]))))
+                        continue
+                    own = np.concatenate([ids[x:y], last])
+                    for k, s in enumerate(range(0, n, capacity)):
+                        part = own[s : s + capacity]
+                        rows.append((i, k, s, len(part), zlib.crc32(part)))
                 if rows:
                     at, k, s, n, c = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays(
@@ -141,17 +169,18 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
 
 def best_fit(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """pieces (doc_id, piece, ..., length in 1..capacity) with sequence_id and offset."""
-    pieces = materialize(pieces, "pieces")
+    names = pieces.columns
+    pieces = materialize(pieces.withColumn("__n", F.monotonically_increasing_id()), "pieces")  # equal rows go to different groups
     groups = max(1, -(-pieces.count() // group_pieces))
 
     def pack(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
+        t = t.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("__n", "ascending")])
         b, o = sum_of_squares(t["length"].to_numpy(), capacity)
         g = t["__g"].to_numpy()
-        return t.drop_columns(["__g"]).append_column("sequence_id", pa.array(g.astype(np.int64) * (1 << 32) + b)).append_column("offset", pa.array(o))
+        return t.select(names).append_column("sequence_id", pa.array(g.astype(np.int64) * (1 << 32) + b)).append_column("offset", pa.array(o))
 
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-    dealt = pieces.withColumn("__g", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema if f.name != "__n") + ", sequence_id long, offset long"
+    dealt = pieces.withColumn("__g", F.pmod(F.xxhash64("__n"), F.lit(groups)))
     return dealt.groupBy("__g").applyInArrow(pack, out)
 
 
