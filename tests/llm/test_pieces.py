@@ -25,7 +25,7 @@ def texts():
 @pytest.mark.parametrize("chars,cache", [(1_500_000, 500_000), (50, 40)])
 def test_ids_equal_the_library(library, texts, monkeypatch, chars, cache):
     monkeypatch.setattr(P, "INDEX_CHARS", chars)
-    monkeypatch.setattr(P, "CACHE_WORDS", cache)
+    monkeypatch.setattr(P, "CACHE_BYTES", cache)
     m = P.Pieces(P.default_model())
     some = texts if chars > 50 else texts[:40]
     for t, ids in zip(some, [x for i in range(0, len(some), 30) for x in m.encode(some[i : i + 30])], strict=True):

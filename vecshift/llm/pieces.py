@@ -28,9 +28,10 @@ from pyspark.sql import functions as F
 from .common import ready
 
 SPACE = "▁"
-CACHE_WORDS = 700_000
-#: Characters of distinct words that one suffix array indexes at most (one word at least).
-INDEX_CHARS = 500_000
+#: Bytes of words and ids that a worker keeps, with what Python adds to each; and pairs of pieces.
+CACHE_BYTES, CACHE_PAIRS, ENTRY = 160 << 20, 500_000, 200
+#: Characters of distinct words that one suffix array indexes at most (one word at least), and rows taken at a time.
+INDEX_CHARS, ROWS = 150_000, 400
 _PARTS = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 _HELD: dict = {}
 
@@ -67,8 +68,15 @@ class Pieces:
         self.text = [""] * self.n
         for p in self.live:
             self.text[self.id[p]] = p
-        self.pairs: dict[int, bool] = {}
+        self.length = np.array([len(t) for t in self.text], np.int32)
+        lens = np.array([len(p) for p in self.live], np.int64)
+        chars = np.zeros((len(self.live), self.longest), np.int32)
+        flat = np.frombuffer("".join(self.live).encode("utf-32-le"), np.uint32)
+        chars[np.repeat(np.arange(len(lens)), lens), np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens)] = flat
+        self.table = lens, chars, np.array([self.id[p] for p in self.live], np.int64)
+        self.pairs = np.full(1, -1, np.int64), np.zeros(1, bool)
         self.cache: dict[str, bytes] = {}
+        self.cached = 0
 
     def merged(self, text: str) -> list[str]:
         """The model's merges on a short text: always the best-scored adjacent pair, the leftmost of equals."""
@@ -86,25 +94,24 @@ class Pieces:
 
     def neighbours(self, key: np.ndarray) -> np.ndarray:
         """Whether a * n + b is a pair of pieces that stand side by side in the encoding of their text."""
-        own, inverse = np.unique(key, return_inverse=True)
-        out, pairs = np.zeros(len(own), bool), self.pairs
-        for i, k in enumerate(own.tolist()):
-            ok = pairs.get(k)
-            if ok is None:
-                a, b = self.text[k // self.n], self.text[k % self.n]
-                if len(pairs) > 1_000_000:
-                    pairs.clear()
-                ok = pairs[k] = self.merged(a + b) == [a, b]
-            out[i] = ok
-        return out[inverse]
+        known, value = self.pairs
+        at = np.searchsorted(known, key)
+        at[at == len(known)] = 0
+        new = np.unique(key[known[at] != key])
+        if len(new):
+            if len(known) + len(new) > CACHE_PAIRS:
+                known, value = known[:1], value[:1]
+                new = np.unique(key[key != known[0]])
+            text = self.text
+            ok = [self.merged(text[a] + text[b]) == [text[a], text[b]] for a, b in zip(*(x.tolist() for x in np.divmod(new, self.n)), strict=True)]
+            where = np.searchsorted(known, new)
+            self.pairs = known, value = np.insert(known, where, new), np.insert(value, where, ok)
+            at = np.searchsorted(known, key)
+        return value[at]
 
     def ranges(self, codes: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Piece ids with their ranges of the suffix array, by binary search one character at a time."""
-        lens = np.array([len(p) for p in self.live])
-        chars = np.zeros((len(self.live), self.longest), np.int64)
-        flat = np.frombuffer("".join(self.live).encode("utf-32-le"), np.uint32)
-        chars[np.repeat(np.arange(len(lens)), lens), np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens)] = flat
-        ids = np.array([self.id[p] for p in self.live])
+        lens, chars, ids = self.table
         lo, hi = np.zeros(len(ids), np.int64), np.full(len(ids), len(order))
         some = np.arange(len(ids))
         for d in range(self.longest):
@@ -129,10 +136,9 @@ class Pieces:
     def learn(self, words: list[str]) -> None:
         """Encodings of distinct non-empty words into the cache."""
         text = "\0".join(words) + "\0"
-        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int32)
         size = np.array([len(w) for w in words])
         begin = np.cumsum(size + 1) - size - 1
-        codes = codes.copy()
         codes[begin + size] = -1
         # suffix array over the first characters: ranks of doubled prefixes
         rank = np.unique(codes, return_inverse=True)[1].astype(np.int64)
@@ -142,18 +148,18 @@ class Pieces:
             nxt[:-k] = rank[k:] + 1
             rank = np.unique(rank * (len(rank) + 2) + nxt, return_inverse=True)[1].astype(np.int64)
             k *= 2
-        order = np.argsort(rank, kind="stable")
+        order = np.argsort(rank, kind="stable").astype(np.int32)
+        del rank
         ids, lo, hi = self.ranges(codes, order)
         n = hi - lo
-        start = order[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-        piece = np.repeat(ids, n)
-        length = np.array([len(t) for t in self.text])
-        end = start + length[piece]
+        start = order[np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)]
+        piece = np.repeat(ids.astype(np.int32), n)
+        end = start + self.length[piece]
         # characters that no piece matches stand alone
         single = np.zeros(len(codes) + 1, bool)
         single[start[end - start == 1]] = True
         lone = np.flatnonzero(~single[:-1] & (codes >= 0))
-        start, end, piece = np.concatenate([start, lone]), np.concatenate([end, lone + 1]), np.concatenate([piece, np.full(len(lone), -2)])
+        start, end, piece = np.concatenate([start, lone.astype(np.int32)]), np.concatenate([end, lone.astype(np.int32) + 1]), np.concatenate([piece, np.full(len(lone), -2, np.int32)])
         word = np.searchsorted(begin, start, "right") - 1
         place = end - begin[word]
         place = np.argsort(place.astype(np.uint16) if size.max() < 65_000 else place, kind="stable")  # a radix sort where it fits
@@ -172,7 +178,7 @@ class Pieces:
             ok = np.ones(len(own), bool)
             test = np.flatnonzero((left >= 0) & (piece[own] >= 0))
             if len(test):
-                ok[test] = self.neighbours(left[test] * self.n + piece[own[test]])
+                ok[test] = self.neighbours(left[test].astype(np.int64) * self.n + piece[own[test]])
             own = own[ok]
             last[end[own]] = piece[own]
             back[end[own]] = start[own]
@@ -205,9 +211,11 @@ class Pieces:
         parts = [_PARTS.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         used = set().union(*parts) if parts else set()
         missing = used - self.cache.keys()
-        if len(self.cache) + len(missing) > CACHE_WORDS:
+        if self.cached + sum(5 * len(w) + ENTRY for w in missing) > CACHE_BYTES:
             self.cache.clear()
+            self.cached = 0
             missing = used
+        self.cached += sum(5 * len(w) + ENTRY for w in missing)
         group, n = [], 0
         for w in sorted(missing):
             if n + len(w) > INDEX_CHARS and group:
@@ -234,22 +242,35 @@ def _pieces(path: str) -> Pieces:
     return _HELD[path]
 
 
+def _encoded(path: str, batches: Iterator[pa.RecordBatch], at: int, also_decode: bool, names: list[str]) -> Iterator[pa.RecordBatch]:
+    m = _pieces(path)
+    for b in batches:
+        for lo in range(0, b.num_rows, ROWS):
+            part = b.slice(lo, ROWS)
+            texts = part.column(at).to_pylist()
+            ids = [None if t is None else x for t, x in zip(texts, m.encode(texts), strict=True)]
+            more = [pa.array(map(m.decode, ids), pa.string())] if also_decode else []
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.binary()), *more], names)
+
+
+def _two(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, str]:
+    ready(docs.sparkSession)
+    one = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return one, f"doc_id {one.schema['doc_id'].dataType.simpleString()}, text string, ids binary"
+
+
 def encode(docs: DataFrame, model: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, text, ids: the ids as little-endian uint32 bytes (null for a null text)."""
     path = model or default_model()
-    ready(docs.sparkSession)
-    one = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    one, schema = _two(docs, key, text)
+    return one.mapInArrow(lambda batches: _encoded(path, batches, 1, False, ["doc_id", "text", "ids"]), schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = _pieces(path)
-        for b in batches:
-            for lo in range(0, b.num_rows, 800):
-                part = b.slice(lo, 800)
-                texts = part.column(1).to_pylist()
-                ids = [None if t is None else x for t, x in zip(texts, m.encode(texts), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.binary())], ["doc_id", "text", "ids"])
 
-    return one.mapInArrow(run, f"doc_id {one.schema['doc_id'].dataType.simpleString()}, text string, ids binary")
+def round_trip(docs: DataFrame, model: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, text, ids, decoded: both ways in one worker, which holds the model once."""
+    path = model or default_model()
+    one, schema = _two(docs, key, text)
+    return one.mapInArrow(lambda batches: _encoded(path, batches, 1, True, ["doc_id", "text", "ids", "decoded"]), schema + ", decoded string")
 
 
 def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
@@ -261,8 +282,8 @@ def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _pieces(path)
         for b in batches:
-            for lo in range(0, b.num_rows, 800):
-                part = b.slice(lo, 800)
+            for lo in range(0, b.num_rows, ROWS):
+                part = b.slice(lo, ROWS)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([m.decode(x) for x in part.column(at).to_pylist()], pa.string())], names)
 
     return encoded.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema) + ", decoded string")

@@ -13,7 +13,7 @@ from .jaccard import similarity_classes
 from .language import language_id
 from .lm import score_texts
 from .packing import pack_documents
-from .pieces import decode, encode
+from .pieces import round_trip
 from .quality import quality_rules
 from .substrings import dedup_spans
 from .urls import RULES, bad_labels, url_filter
@@ -25,7 +25,7 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every document its number of ids, their checksum (little-endian uint32), and whether they decode to the text."""
-    out = decode(encode(table(spark, sf_dir, "documents")))
+    out = round_trip(table(spark, sf_dir, "documents"))
     same = F.col("decoded").eqNullSafe(F.translate("text", "\u2581", " "))
     return out.select("doc_id", F.coalesce(F.floor(F.length("ids") / 4), F.lit(0)).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"), same.alias("decodes"))
 
