@@ -63,6 +63,22 @@ def test_recall_at_production_parameters(spark):
     assert all(got[k] <= want[k] for k in want) and sum(got.values()) >= 0.9 * sum(want.values())
 
 
+def test_any_magnitude(spark):
+    big = [[1e200, 1e200, 0.0], [1.0, 1.0, 1e-3], [1e-300, 1.01e-300, 0.0], [-1e300, -1e300, 0.0], [1e308, 0.0, 1e-308], [5e-324, 0.0, 0.0], [0.0, 5e-324, 5e-324]]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in E.near_duplicates(spark.createDataFrame(list(enumerate(big)), "vec_id long, embedding array<double>")).collect()}
+    assert got == {0: (2, 0), 1: (2, 0), 2: (2, 0), 3: (0, 3), 4: (1, 4), 5: (1, 4), 6: (0, 6)}
+
+
+def test_hot_bucket_in_blocks(spark, monkeypatch):
+    """A thousand near copies of one vector: counts stay exact where all tables hold them in one bucket of several blocks."""
+    monkeypatch.setattr(E, "BLOCK", 200)
+    rng = np.random.default_rng(2)
+    x = np.float32(rng.standard_normal(24) + 0.02 * rng.standard_normal((1000, 24)))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = E.near_duplicates(df).collect()
+    assert {(r.n_links, r.component_id) for r in got} == {(999, 0)}
+
+
 def test_empty_null_and_repeated_ids(spark):
     s = "vec_id long, embedding array<double>"
     assert E.near_duplicates(spark.createDataFrame([], s)).count() == 0
