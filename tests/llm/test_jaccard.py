@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,8 +66,9 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, text string").withColumn("cid", F.lit("clash")).withColumn("n", F.lit(1)).repartition(5)
 
 
-@pytest.mark.parametrize("group,queries", [(64, 512), (4, 8)])
-def test_equals_brute_force(spark, rows, monkeypatch, group, queries):
+@pytest.mark.parametrize("group,queries,big", [(256, 1024, 64), (64, 512, 10**9), (4, 8, 2), (16, 8, 6)])
+def test_equals_brute_force(spark, rows, monkeypatch, group, queries, big):
+    monkeypatch.setattr(J, "BIG", big)
     monkeypatch.setattr(J, "GROUP", group)
     monkeypatch.setattr(J, "QUERIES", queries)
     monkeypatch.setattr(J, "FAN", 2)
@@ -76,3 +78,34 @@ def test_equals_brute_force(spark, rows, monkeypatch, group, queries):
 
 def test_empty(spark, rows):
     assert J.similarity_classes(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_overlaps_in_slices():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 200, n).astype(np.uint64)) for n in (0, 1, 30, 90, 150)]
+    want = [[len(np.intersect1d(a, b)) for b in sets[1:]] for a in sets]
+    for cells in (1, 50, 1 << 20):
+        assert J.overlaps(sets, sets[1:], cells).tolist() == want
+
+
+def test_two_thousand_near_copies(spark):
+    """One cluster: its members meet as a unit, so the opening join stays far below members times groups."""
+    rng = random.Random(8)
+    words = [f"v{k}" for k in range(3000)]
+    texts = family(rng, words, 2000, 4)
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r.component_id for r in J.similarity_classes(frame(spark, rows)).collect()}
+    sets = [{tuple(w[k : k + 3]) for k in range(len(w) - 2)} for w in (t.split() for t in texts)]
+    comp = list(range(len(rows)))
+
+    def find(x):
+        while comp[x] != x:
+            comp[x] = comp[comp[x]]
+            x = comp[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            if find(a) != find(b) and 100 * (n := len(sets[a] & sets[b])) >= 90 * (len(sets[a]) + len(sets[b]) - n):
+                comp[max(find(a), find(b))] = min(find(a), find(b))
+    assert got == {i: find(i) for i in range(len(sets))}

@@ -8,6 +8,7 @@ the UTF-8 buffers of whole Arrow batches and never touch single Python strings.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -36,9 +37,12 @@ def ready(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from the session; one of our own only where it is unset."""
+    """The folder all executors share, from the session; a folder of our own only where it is unset and the master is one
+    machine. On a cluster without the setting this is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not re.fullmatch(r"local(\[[^,\]]+(,[^\]]+)?\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is not set; on a cluster it must name a folder that all executors share")
         where = getattr(spark.sparkContext, "_vecshift_dir", None)
         if where is None:
             where = spark.sparkContext._vecshift_dir = tempfile.mkdtemp(prefix="vecshift-")
@@ -50,7 +54,44 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._vecshift_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table of `materialize` that no later job reads."""
+    path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._vecshift_path)
+    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Ids that one task turns into bits.
+BIT_ROWS = 20_000_000
+
+
+def merge_bits(ids: DataFrame, size: int, place) -> bytes:
+    """A set of size bytes with a bit at place(ids) for each row of a one-column written table. Every task hands on one bit set;
+    their number follows the rows, and they are merged part by part."""
+
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(8 * size, bool)
+        for b in batches:
+            bits[place(b.column(0))] = True
+        full = np.packbits(bits, bitorder="little").reshape(256, -1)
+        for k in np.flatnonzero(full.any(1)):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([full[k].tobytes()], pa.binary())], ["k", "v"])
+
+    def join(t: pa.Table) -> pa.Table:
+        v = np.zeros(size // 256, np.uint8)
+        for x in t["v"]:
+            v |= np.frombuffer(x.as_buffer(), np.uint8)
+        return pa.table({"k": pa.array([t["k"][0].as_py()], pa.int32()), "v": pa.array([v.tobytes()], pa.binary())})
+
+    out = np.zeros((256, size // 256), np.uint8)
+    parts = ids.coalesce(16 + ids.count() // BIT_ROWS).mapInArrow(collect, "k int, v binary")
+    for r in parts.groupBy("k").applyInArrow(join, "k int, v binary").collect():  # at most 256 rows, size bytes
+        out[r.k] = np.frombuffer(bytes(r.v), np.uint8)
+    return out.tobytes()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

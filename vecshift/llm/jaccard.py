@@ -3,16 +3,21 @@
 1. Equal shingle sets are one class, whatever the number of copies.
 2. A fixed-size table of quantised shingle counts over the whole corpus (CELLS bytes) orders shingles from rare to
    frequent; any consistent order gives the same links, so collisions in it cost time only.
-3. Similar classes (one min-hash and nearly one size) form groups of about GROUP members. The matrix holds for each
-   group the union of its members' rarest shingles (prefixes) with the best position and the sizes seen there.
-4. A query's own prefix meets the matrix; the number of hits, their positions and the sizes bound the overlap the
-   query can have with any member of the group. Only groups whose bound reaches the threshold are opened, and their members are compared on whole sets.
+3. Similar classes (one min-hash and nearly one size) form groups. Where a group has more than BIG members, its members are
+   first compared on whole sets in blocks of GROUP, once for each of HASHES min-hashes with blocks dealt anew; what
+   that links is one unit from then on. So a cluster of near copies costs work in proportion to its size. All other groups are
+   cut into units of about GROUP members.
+4. The matrix holds for each unit the union of its members' rarest shingles (prefixes) with the best position and the sizes
+   seen there. Linked units query the matrix as a whole, all other classes one by one; the number of hits, their positions
+   and the sizes bound the overlap that the query can have with any member. Only units whose bound reaches the threshold are
+   opened, in blocks of GROUP members and QUERIES queries that are compared on whole sets. Nothing is opened inside a linked unit.
 5. Compared blocks return spanning forests, never pairs; components come from those.
 
-The search is exact. Let prefixes be the first n - ceil(t n) + 1 shingles, o the overlap that two sets of sizes n >= s
-need. Of the shared shingles in order, the r-th stands at most n - o places later in the larger set and s - o in the
-smaller one; so at least o - ceil(t n) + 1 shared shingles lie in both prefixes. A group is opened when at least so
-many of the query's prefix lie in its union, for the smallest o of its members, and the first of them leaves room for o.
+The search is exact: only links inside one component are left out. Let prefixes be the first n - ceil(t n) + 1 shingles, o
+the overlap that two sets of sizes n >= s need. Of the shared shingles in order, the r-th stands at most n - o places
+later in the larger set and s - o in the smaller one; so at least o - ceil(t n) + 1 shared shingles lie in both prefixes.
+A unit is opened when at least so many of the query's prefix lie in its union, for the smallest o of its members, and the
+first of them leaves room for o. Where the query is a unit of several sizes, the bound is that of its largest size, less one for rounding.
 
 Edge cases: a text with fewer than `n` words is one shingle; null, empty and white-space texts have n_shingles 0 and
 link with nothing. A null id links with nothing and has component_id null. Rows are linked by
@@ -30,11 +35,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, bounded_map, buffers, grams, hashes, materialize, mix, pieces, ready, spans
-from .graph import forest, smallest_ids
+from .common import HOT_SHARE, bounded_map, buffers, discard, grams, hashes, materialize, merge_bits, mix, pieces, ready, spans
+from .graph import components, forest, smallest_ids
 
 CELLS, PARTS, FAN = 1 << 22, 64, 64
-GROUP, QUERIES = 256, 1024
+GROUP, QUERIES, BIG, HASHES = 256, 1024, 64, 3
+_ODD = mix(np.arange(1, 17, dtype=np.uint64)) | np.uint64(1)
 
 
 def shingle_sets(texts: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -137,71 +143,100 @@ def similarity_classes(docs: DataFrame, n: int = 3, percent: int = 90, key: str
                 at.append(i)
                 size.append(m)
                 cid.append(_digest(s))
-                near.append(int(mix(s ^ np.uint64(0x5BD1E995)).min() >> np.uint64(1)))
+                near.append([int((s * x).min() >> np.uint64(1)) for x in _ODD[:HASHES]])
                 toks.append(first.view(np.int64))
             if at:
                 lens = np.cumsum([0, *map(len, toks)])
                 lists = pa.ListArray.from_arrays(pa.array(lens, pa.int32()), pa.array(np.concatenate(toks)))
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(size, pa.int64()), pa.array(cid, pa.int64()), pa.array(near, pa.int64()), lists], ["rep", "n", "cid", "near", "toks"])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(size, pa.int64()), pa.array(cid, pa.int64()), pa.array(near, pa.list_(pa.int64())), lists], ["rep", "n", "cid", "near", "toks"])
 
-    made = base.mapInArrow(prefixes, "rep long, n long, cid long, near long, toks array<long>")
+    made = base.mapInArrow(prefixes, "rep long, n long, cid long, near array<long>, toks array<long>")
     reps = materialize(made.join(classes.select("cid", "rep"), ["cid", "rep"], "left_semi"), "prefixes")
-    # groups: one min-hash, sizes within about a tenth, about GROUP members
-    reps = reps.withColumn("gkey", F.xxhash64("near", F.floor(F.log("n") / F.lit(0.1))))
-    sizes = materialize(reps.groupBy("gkey").agg(F.count(F.lit(1)).alias("members")).where(f"members > {GROUP}"), "group_sizes")
-    hot = sizes.where(F.col("members") > max(GROUP, classes.count() // HOT_SHARE))
-    grouped = bounded_map(spark, sizes, hot, reps, ["gkey"])
-    salt = F.pmod(F.xxhash64("cid"), F.greatest(F.lit(1), F.ceil(F.coalesce("members", F.lit(1)) / GROUP)))
-    grouped = materialize(grouped.select("cid", "rep", "n", "toks", F.xxhash64("gkey", salt).alias("gid")), "grouped")
-
-    # one exchange serves the matrix and the queries that meet it
-    tokens = grouped.select("cid", "n", "gid", F.posexplode("toks").alias("pos", "tok")).repartition("tok")
-    matrix = tokens.groupBy("tok", "gid").agg(
-        F.max(F.col("n") - F.col("pos")).alias("rest"), F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.min("cid").alias("c_min"), F.max("cid").alias("c_max")
-    )
-    least = F.greatest("n_min", F.expr(f"({percent} * n + 99) div 100"))
-    met = tokens.select("cid", "n", "pos", "tok").join(matrix, "tok").where("c_min <> c_max OR c_min <> cid").withColumn("least", least)
-    met = met.where(F.col("n_min") <= F.col("n")).where(F.col("n_max") >= F.col("least"))
-    bound = met.groupBy("cid", "n", "gid").agg(F.count(F.lit(1)).alias("same"), F.min("least").alias("least"), F.min("pos").alias("pos"), F.max("rest").alias("rest"))
-    bound = bound.withColumn("need", F.expr(f"({percent} * (n + least) + {99 + percent}) div {100 + percent}"))
-    bound = bound.where(F.col("same") >= F.col("need") - F.expr(f"({percent} * n + 99) div 100") + 1).where(F.least(F.col("n") - F.col("pos"), F.col("rest")) >= F.col("need"))
-    opened = materialize(bound.select("cid", "gid"), "opened")
-
-    # whole sets of the classes concerned only: a fixed-size bit set of their ids keeps the others out of the scan's output
-    asked = opened.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("chunks"))
-    asked = materialize(asked, "asked")
-    members = grouped.select("cid", "gid").distinct().join(asked, "gid").withColumn("chunk", F.explode(F.expr("sequence(0, chunks - 1)"))).select("cid", "gid", "chunk", F.lit(1).alias("role"))
-    queries = opened.join(asked, "gid").select("cid", "gid", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int").alias("chunk"), F.lit(0).alias("role"))
-    work = materialize(members.unionByName(queries), "work")
-    wanted = spark.sparkContext.broadcast(bit_set(work.select("cid")))
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(wanted.value, np.uint8)
-        for b in batches:
-            at, cid, sets = [], [], []
-            ids = b.column(0)
-            for i, s in shingle_sets(b.column(1), n):
-                if len(s) and ids[i].is_valid:
-                    c = _digest(s)
-                    j = c & (8 * BITS - 1)
-                    if bits[j >> 3] >> (j & 7) & 1:
+    band = F.floor(F.log("n") / F.lit(0.1))
+
+    def sets_of(work: DataFrame) -> DataFrame:
+        """Whole sets of the classes of a written work table: a fixed-size bit set of their ids keeps the others out of the scan."""
+        wanted = spark.sparkContext.broadcast(bit_set(work.select("rep")))
+
+        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = np.frombuffer(wanted.value, np.uint8)
+            for b in batches:
+                j = _place(b.column(0))
+                at = np.flatnonzero((bits[j >> 3] >> (j & 7).astype(np.uint8)) & 1)
+                own = b.take(pa.array(at))
+                at, cid, sets = [], [], []
+                for i, s in shingle_sets(own.column(1), n):
+                    if len(s):
                         at.append(i)
-                        cid.append(c)
+                        cid.append(_digest(s))
                         sets.append(s.tobytes())
-            if at:
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(cid, pa.int64()), pa.array(sets, pa.binary())], ["rep", "cid", "s"])
-
-    sets = base.mapInArrow(whole, "rep long, cid long, s binary").join(classes.select("cid", "rep"), ["cid", "rep"], "left_semi")
-    blocks = work.join(sets, "cid").select("gid", "chunk", "role", "cid", "s")
-    blocks = blocks.repartition("gid", "chunk").sortWithinPartitions("gid", "chunk")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in by_group(batches, ["gid", "chunk"]):
-            c, p = linked(t, percent)
-            if len(c):
-                yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(p)], ["child", "parent"])
+                if at:
+                    yield pa.RecordBatch.from_arrays([own.column(0).take(pa.array(at)), pa.array(cid, pa.int64()), pa.array(sets, pa.binary())], ["rep", "cid", "s"])
+
+        found = base.where("doc_id IS NOT NULL").mapInArrow(whole, "rep long, cid long, s binary")
+        return found.join(work.select("cid", "rep").distinct(), ["cid", "rep"], "left_semi").dropDuplicates(["cid"])
+
+    def compared(work: DataFrame, name: str) -> DataFrame:
+        """Spanning forests of the blocks of a written work table (cid, rep, gid, block, chunk, role)."""
+        blocks = work.drop("rep").join(sets_of(work), "cid").select("gid", "block", "chunk", "role", "cid", "s")
+        blocks = blocks.repartition("gid", "block", "chunk").sortWithinPartitions("gid", "block", "chunk")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for t in by_group(batches, ["gid", "block", "chunk"]):
+                c, p = linked(t, percent)
+                if len(c):
+                    yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(p)], ["child", "parent"])
+
+        return materialize(blocks.mapInArrow(run, "child long, parent long"), name)
+
+    # large groups: what they link inside becomes one unit
+    total = classes.count()
+    often = lambda x: F.col(x) > max(BIG, HASHES * total // HOT_SHARE)
+    keyed = reps.select("cid", "rep", band.alias("band"), F.posexplode("near").alias("k", "x")).select("cid", "rep", "k", F.xxhash64("k", "x", "band").alias("gid"))
+    large = materialize(keyed.groupBy("gid").agg(F.count(F.lit(1)).alias("members")).where(f"members > {BIG}"), "large_groups")
+    inside = bounded_map(spark, large, large.where(often("members")), keyed, ["gid"], "inner")
+    inside = inside.withColumn("block", F.pmod(F.xxhash64("cid", "k"), F.ceil(F.col("members") / GROUP)).cast("int"))
+    inside = materialize(inside.select("cid", "rep", "gid", "block", F.lit(0).alias("chunk"), F.lit(2).alias("role")), "inside")
+    known = compared(inside, "inside_links")
+    units = components(known).select(F.col("child").alias("cid"), "root")
+    units = materialize(units.unionByName(units.select(F.col("root").alias("cid"), "root").distinct()), "units")
+
+    gkey = F.xxhash64(F.lit(0), F.get("near", F.lit(0)), band)
+    grouped = bounded_map(spark, large, large.where(often("members")), reps.withColumn("gid", gkey), ["gid"])
+    salt = F.pmod(F.xxhash64("cid"), F.greatest(F.lit(1), F.ceil(F.coalesce("members", F.lit(1)) / GROUP)))
+    grouped = grouped.select("cid", "rep", "n", "toks", F.xxhash64("gid", salt).alias("gid")).join(units, "cid", "left")
+    grouped = materialize(grouped.select("cid", "rep", "n", "toks", F.coalesce("root", "gid").alias("gid"), F.coalesce("root", "cid").alias("qid")), "grouped")
+    discard(reps)
 
-    label = classes.select("cid", "n", "copies").join(smallest_ids(classes, blocks.mapInArrow(compare, "child long, parent long")), "cid")
+    # one exchange serves the matrix and the queries that meet it
+    tokens = grouped.select("cid", "n", "gid", "qid", F.posexplode("toks").alias("pos", "tok")).repartition("tok")
+    rest = F.max(F.col("n") - F.col("pos"))
+    matrix = tokens.groupBy("tok", "gid").agg(rest.alias("rest"), F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.min("cid").alias("c_min"), F.max("cid").alias("c_max"))
+    asking = tokens.groupBy("tok", "qid").agg(rest.alias("q_rest"), F.min("n").alias("q_min"), F.max("n").alias("q_max"))
+    least = lambda q: F.greatest("n_min", F.expr(f"({percent} * {q} + 99) div 100"))
+    met = asking.join(matrix, "tok").where("qid <> gid AND (c_min <> c_max OR c_min <> qid) AND n_min <= q_max").where(F.col("n_max") >= least("q_min"))
+    bound = met.groupBy("qid", "gid").agg(F.count(F.lit(1)).alias("same"), *[F.min(c).alias(c) for c in ("q_min", "n_min")], *[F.max(c).alias(c) for c in ("q_max", "q_rest", "rest")])
+    bound = bound.withColumn("low", least("q_min")).withColumn("high", least("q_max")).withColumn("need", F.expr(f"({percent} * (q_min + low) + {99 + percent}) div {100 + percent}"))
+    one_size = F.col("same") >= F.col("need") - F.expr(f"({percent} * q_min + 99) div 100") + 1
+    sizes = F.col("same") * (100 * (100 + percent)) > F.expr(f"{percent} * (100 * high - {percent} * q_max)")
+    bound = bound.where(F.when(F.col("q_min") == F.col("q_max"), one_size).otherwise(sizes)).where(F.least("q_rest", "rest") >= F.col("need"))
+    opened = materialize(bound.select("qid", "gid"), "opened")
+
+    # blocks of the members of opened units, and of the queries that opened them
+    ids = grouped.select("cid", "rep", "gid", "qid").distinct()
+    queries = materialize(ids.drop("gid").join(opened, "qid").select("cid", "rep", "gid"), "queries")
+    members = materialize(ids.drop("qid").join(opened.select("gid").distinct(), "gid", "left_semi"), "members")
+    asked = queries.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("chunks"))
+    asked = materialize(asked.join(members.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("blocks")), "gid"), "asked")
+    hot = asked.where(F.greatest(F.col("chunks") * QUERIES, F.col("blocks") * GROUP) > max(QUERIES, total // HOT_SHARE))
+    each = lambda n: F.explode(F.expr(f"sequence(0, {n} - 1)"))
+    own = lambda n: F.pmod(F.xxhash64("cid"), F.col(n)).cast("int")
+    members = bounded_map(spark, asked, hot, members, ["gid"], "inner").select("cid", "rep", "gid", own("blocks").alias("block"), each("chunks").alias("chunk"), F.lit(1).alias("role"))
+    queries = bounded_map(spark, asked, hot, queries, ["gid"], "inner").select("cid", "rep", "gid", each("blocks").alias("block"), own("chunks").alias("chunk"), F.lit(0).alias("role"))
+    links = known.unionByName(compared(materialize(members.unionByName(queries), "work"), "links"))
+    discard(grouped)
+
+    label = classes.select("cid", "n", "copies").join(smallest_ids(classes, links), "cid")
     label = materialize(label, "labels")
     hot = label.where(F.col("copies") > max(1, docs_signed.count() // HOT_SHARE))
     out = bounded_map(spark, label, hot, live, ["cid", "n"], "inner").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
@@ -211,26 +246,13 @@ def similarity_classes(docs: DataFrame, n: int = 3, percent: int = 90, key: str
 BITS = 1 << 21
 
 
-def bit_set(cids: DataFrame) -> bytes:
-    """BITS bytes with a bit for each id's low bits; a fixed size, false hits only let more rows through."""
+def _place(ids: pa.Array) -> np.ndarray:
+    return (mix(ids.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) & np.uint64(8 * BITS - 1)).view(np.int64)
 
-    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(8 * BITS, bool)
-        for b in batches:
-            bits[b.column(0).to_numpy(zero_copy_only=False) & (8 * BITS - 1)] = True
-        full = np.packbits(bits, bitorder="little").reshape(256, -1)
-        for k in np.flatnonzero(full.any(1)):
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([full[k].tobytes()], pa.binary())], ["k", "v"])
 
-    def join(t: pa.Table) -> pa.Table:
-        v = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in t["v"].to_pylist()])
-        return pa.table({"k": pa.array([t["k"][0].as_py()], pa.int32()), "v": pa.array([v.tobytes()], pa.binary())})
-
-    out = np.zeros((256, BITS // 256), np.uint8)
-    parts = cids.coalesce(64).mapInArrow(collect, "k int, v binary")
-    for r in parts.groupBy("k").applyInArrow(join, "k int, v binary").collect():  # at most 256 rows, BITS bytes
-        out[r.k] = np.frombuffer(bytes(r.v), np.uint8)
-    return out.tobytes()
+def bit_set(ids: DataFrame) -> bytes:
+    """BITS bytes with a bit for each id; a fixed size, false hits only let more rows through."""
+    return merge_bits(ids, BITS, _place)
 
 
 def by_group(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -253,47 +275,50 @@ def by_group(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.
 
 
 def linked(t: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest of the links between the queries and the members of one block."""
-    cid, role = t["cid"].to_numpy(), t["role"].to_numpy()
-    ids = cid
-    sets = [np.frombuffer(x, np.uint64) for x in t["s"].to_pylist()]
-    only = lambda k: np.flatnonzero(role == k)[np.unique(cid[role == k], return_index=True)[1]] if (role == k).any() else np.zeros(0, np.int64)
-    mem, qry = only(1), only(0)
+    """Spanning forest of the links between the queries (role 0) and the members (role 1) of one block; role 2 is both."""
+    ids, first = np.unique(t["cid"].to_numpy(), return_index=True)
+    row = np.searchsorted(ids, t["cid"].to_numpy())
+    sets = [np.frombuffer(t["s"][int(i)].as_buffer(), np.uint64) for i in first]
+    role = t["role"].to_numpy()
+    mem, qry = np.unique(row[role > 0]), np.unique(row[role != 1])
     size = np.array([len(s) for s in sets], np.int64)
     if not len(mem) or not len(qry):
         return ids[:0], ids[:0]
     if len(mem) * len(qry) <= 4:
         a, b = np.repeat(qry, len(mem)), np.tile(mem, len(qry))
-        same = np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) if cid[i] != cid[j] else 0 for i, j in zip(a, b, strict=True)])
-        hit = (cid[a] != cid[b]) & ((100 + percent) * same >= percent * (size[a] + size[b]))
+        same = np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) if i != j else 0 for i, j in zip(a, b, strict=True)])
+        hit = (a != b) & ((100 + percent) * same >= percent * (size[a] + size[b]))
         a, b = a[hit], b[hit]
     else:
-        vocab, inv = np.unique(np.concatenate([sets[i] for i in mem]), return_inverse=True)
-        row = np.repeat(np.arange(len(mem)), size[mem])
-        a, b = [], []
-        step = max(1, (8 << 20) // (4 * len(vocab) + 1))
-        dense = [np.zeros((len(mem[k : k + step]), len(vocab)), np.float32) for k in range(0, len(mem), step)]
-        for r, v in zip(row.tolist(), inv.tolist(), strict=True) if len(inv) < 64 else ():
-            dense[r // step][r % step, v] = 1
-        if len(inv) >= 64:
-            for k, d in enumerate(dense):
-                own = (row >= k * step) & (row < (k + 1) * step)
-                d[row[own] - k * step, inv[own]] = 1
-        for lo in range(0, len(qry), step):
-            own = qry[lo : lo + step]
-            q = np.zeros((len(own), len(vocab)), np.float32)
-            for r, i in enumerate(own):
-                at = np.searchsorted(vocab, sets[i])
-                at[at == len(vocab)] = 0
-                q[r, at[vocab[at] == sets[i]]] = 1
-            for k, d in enumerate(dense):
-                m = mem[k * step : (k + 1) * step]
-                same = np.rint(q @ d.T).astype(np.int64)
-                i, j = np.nonzero(((100 + percent) * same >= percent * (size[own][:, None] + size[m][None, :])) & (cid[own][:, None] != cid[m][None, :]))
-                a.append(own[i])
-                b.append(m[j])
-        a, b = np.concatenate(a), np.concatenate(b)
+        same = overlaps([sets[i] for i in qry], [sets[i] for i in mem])
+        i, j = np.nonzero(((100 + percent) * same >= percent * (size[qry][:, None] + size[mem][None, :])) & (qry[:, None] != mem[None, :]))
+        a, b = qry[i], mem[j]
     if not len(a):
         return ids[:0], ids[:0]
     used, inv = np.unique(np.concatenate([a, b]), return_inverse=True)
     return forest(len(used), inv[: len(a)], inv[len(a) :], ids[used])
+
+
+def overlaps(x: list[np.ndarray], y: list[np.ndarray], cells: int = 1 << 20) -> np.ndarray:
+    """Sizes of the intersections of all x with all y, by products over slices of the shared tokens: `cells` numbers at a time."""
+    tok = [np.concatenate(s) for s in (x, y)]
+    row = [np.repeat(np.arange(len(s)), [len(v) for v in s]) for s in (x, y)]
+    vocab = np.intersect1d(*tok)
+    at = []
+    for k in (0, 1):
+        p = np.minimum(np.searchsorted(vocab, tok[k]), max(len(vocab) - 1, 0))
+        hit = vocab[p] == tok[k] if len(vocab) else np.zeros(len(p), bool)
+        p, r = p[hit], row[k][hit]
+        order = np.argsort(p, kind="stable")
+        at.append((p[order], r[order]))
+    same = np.zeros((len(x), len(y)))
+    step = max(1, cells // (len(x) + len(y)))
+    for lo in range(0, len(vocab), step):
+        part = []
+        for (p, r), s in zip(at, (x, y), strict=True):
+            i, j = np.searchsorted(p, [lo, lo + step])
+            m = np.zeros((len(s), min(step, len(vocab) - lo)), np.float32)
+            m[r[i:j], p[i:j] - lo] = 1
+            part.append(m)
+        same += part[0] @ part[1].T
+    return same
