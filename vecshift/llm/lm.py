@@ -1,19 +1,21 @@
-"""Language-model scoring with log-quantised counts of word pairs, looked up bucket by bucket.
+"""Language-model scoring with a log-frequency Bloom filter that holds quantised counts of word pairs.
 
 Counting: documents are dealt into chunks of CHUNK bytes of text and written once. Each chunk hands on, for each hash
 bucket, its distinct words and pairs with their counts in the training part, as one compressed block; buckets follow the
-number of input partitions, so each is merged in bounded memory. The merged bucket answers each chunk with the counts of
-that chunk's own keys, in the order of the keys: exact counts of words, quantised levels of pairs (two levels for each
-doubling). All words and pairs count, however rare and at any size of the input; nothing that grows is broadcast.
+number of input partitions, so each is merged in bounded memory.
 
-Probability of word w after u: (1 - l) * base(w) + l * count(u, w) / count(u), with the pair's count rounded down, so
-probabilities never sum to more than one. l depends on the level of count(u); it comes from one expectation step over all
-training tokens with their own occurrence taken out, of the pair, the word and the context.
+Filter: a pair of count level q (two levels for each doubling) is held as q members (pair, 1) .. (pair, q); its level is read
+back by repeated membership probes, (pair, 1), (pair, 2), ... up to the first that is not held. The filter grows with the
+corpus, so it is not broadcast whole: it consists of one segment for each bucket, of BITS for each member, built where the
+bucket's counts are merged, and the distinct pairs of the chunks come to the segment. All pairs are held, however rare and
+at any size of the input; nothing that grows is broadcast. A probe is false with a probability of about a hundredth; so an unseen pair
+may count as seen once, and a level may come out one higher. Levels are never too low.
 
-Base: exact unigram probabilities.
+Probability of word w after u: (1 - l) * base(w) + l * count(u, w) / count(u), with the smallest count of the pair's level, so
+probabilities sum to no more than one but for false probes. l depends on the level of count(u); it comes from one
+expectation step over all training tokens with their own occurrence taken out, of the pair, the word and the context.
 
-`train` and `Model` are the same model as a log-frequency Bloom filter of a bounded size, for use without a join; only
-there the smallest pair counts are left out where the filter would exceed FILTER_BYTES. `score_texts` does not use them.
+Base: exact unigram probabilities; the words' counts are exact and come back by the same buckets.
 
 Edge cases: a null text is empty and has one token, the end. With no training rows every count is 0 (N = 0, V = 0) and
 both scores are n_tokens * log10(0.1 / 0.1) = 0. A null id falls in the training part. Repeated rows are scored one
@@ -30,13 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, crc_mod, hashes, materialize, mix, pieces, ready, spans
+from .common import buffers, crc_mod, discard, hashes, materialize, mix, pieces, ready, spans
 
-HEAD_WORDS, FILTER_BYTES, MIN_COUNT = 1 << 20, 128 << 20, 1
-BITS_PER_MEMBER, PROBES, LEVELS = 10, 7, 96
-FLUSH_TOKENS = 3_000_000
+#: Bits of the filter for each member, membership bits, and bits of the line that holds all of a member's bits.
+BITS, PROBES, LINE, LEVELS = 12, 7, 512, 96
 #: Bytes of text that are looked up at a time (one document at least).
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 TRAIN, SCORE, HELD = 1, 2, 4
 END, BEGIN = np.uint64(0x0E4D0E4D0E4D0E4D), np.uint64(0xBE61BE61BE61BE61)
 
@@ -51,11 +52,6 @@ def low(q):
     return np.ceil(2.0 ** ((np.asarray(q) - 1) / 2) - 1e-9)
 
 
-def token_stream(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For some rows at a time: tokens, the token before each, and the rows' token offsets. Each row ends with END."""
-    yield from tokens(*buffers(texts))
-
-
 def tokens(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     for _, _, d, o in pieces(data, off):
         s, e, first = spans(d, o)
@@ -94,242 +90,36 @@ def _read(v: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _counted(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    x = np.sort(np.concatenate(parts))
-    at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
-    return x[at], np.diff(np.append(at, len(x)))
-
-
-def count_blocks(buckets: int):
-    shift = np.uint64(64 - int(math.log2(buckets))) if buckets > 1 else None
-
-    def rows(kind: int, parts: list[np.ndarray]) -> pa.RecordBatch:
-        h, c = _counted(parts)
-        edge = np.searchsorted(h >> shift, np.arange(buckets + 1)) if shift is not None else [0, len(h)]
-        own = [(b, _code(np.diff(h[edge[b] : edge[b + 1]], prepend=np.uint64(0))), _code(c[edge[b] : edge[b + 1]])) for b in range(buckets) if edge[b] < edge[b + 1]]
-        b, x, y = zip(*own, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array([kind] * len(b), pa.int32()), pa.array(b, pa.int32()), pa.array(x, pa.binary()), pa.array(y, pa.binary())], ["kind", "bucket", "h", "c"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, pairs, n = [], [], 0
-        for b in batches:
-            for tok, prev, _ in token_stream(b.column(0)):
-                words.append(tok)
-                pairs.append(pair(prev, tok))
-                n += len(tok)
-                if n >= FLUSH_TOKENS:
-                    yield rows(0, words)
-                    yield rows(1, pairs)
-                    words, pairs, n = [], [], 0
-        if n:
-            yield rows(0, words)
-            yield rows(1, pairs)
-
-    return run
+class Segment:
+    """One bucket's part of the filter: level q of a key as members 1 .. q, each within one line of bits."""
 
+    def __init__(self, key: np.ndarray, q: np.ndarray, bits: int = BITS):
+        self.lines = np.uint64(-(-max(1, bits * int(q.sum())) // LINE))
+        self.bits = np.zeros(int(self.lines) * LINE, bool)
+        for j in range(1, int(q.max(initial=0)) + 1):
+            for at in self._places(key[q >= j], j):
+                self.bits[at] = True
 
-def _merge(t: pa.Table) -> pa.Table:
-    h = np.concatenate([np.cumsum(_read(v.as_py()), dtype=np.uint64) for v in t["h"]])
-    c = np.concatenate([_read(v.as_py()).astype(np.int64) for v in t["c"]])
-    order = np.argsort(h, kind="stable")
-    h, c = h[order], c[order]
-    at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    h, c = h[at], np.add.reduceat(c, at)
-    q = np.bincount(np.minimum(level(c), LEVELS - 1), minlength=LEVELS)
-    return pa.table(
-        {"kind": pa.array([t["kind"][0].as_py()], pa.int32()), "bucket": pa.array([t["bucket"][0].as_py()], pa.int32()), "h": pa.array([_code(np.diff(h, prepend=np.uint64(0)))], pa.binary()), "c": pa.array([_code(c)], pa.binary()), "total": pa.array([int(c.sum())]), "size": pa.array([len(h)]), "hist": pa.array([q.tolist()], pa.list_(pa.int64()))}
-    )
+    def _places(self, key: np.ndarray, j: int) -> Iterator[np.ndarray]:
+        with np.errstate(over="ignore"):
+            m = mix(key + np.uint64(0x9E3779B97F4A7C15) * np.uint64(j))
+            line = (((m >> np.uint64(32)) * self.lines) >> np.uint64(32)) * np.uint64(LINE)
+            r = mix(m)
+        for i in range(PROBES):
+            yield (line + ((r >> np.uint64(9 * i)) & np.uint64(LINE - 1))).view(np.int64)
 
-
-def _explode(least: int, most: int):
-    """(h, c) rows of words with least <= c < most."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(b.num_rows):  # one block at a time in memory
-                x, y = b.column(0)[k].as_py(), b.column(1)[k].as_py()
-                h, c = np.cumsum(_read(x), dtype=np.uint64), _read(y).astype(np.int64)
-                ok = (c >= least) & (c < most)
-                if ok.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(h[ok].view(np.int64)), pa.array(c[ok])], ["h", "c"])
-
-    return run
-
-
-def _places(key: np.ndarray, size: np.ndarray, i: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return (key + np.uint64(i) * (mix(key) | np.uint64(1))) % size
-
-
-def _members(key: np.ndarray, j) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return mix(key + np.uint64(0x9E3779B97F4A7C15) * np.asarray(j).astype(np.uint64))
-
-
-def segments(cuts: list[int]):
-    """One Bloom segment for each (kind, bucket)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in range(b.num_rows):
-                k, n, x, y = (b.column(i)[row].as_py() for i in range(4))
-                h, q = np.cumsum(_read(x), dtype=np.uint64), level(_read(y).astype(np.int64))
-                ok = q >= cuts[k]
-                h, q = h[ok], np.minimum(q[ok], LEVELS - 1)
-                bits = np.zeros(-(-max(64, BITS_PER_MEMBER * int(q.sum())) // 64) * 64, bool)
-                for j in range(1, int(q.max()) + 1 if len(q) else 0):
-                    m = _members(h[q >= j], j)
-                    for i in range(PROBES):
-                        bits[_places(m, np.uint64(len(bits)), i).view(np.int64)] = True
-                seg = np.packbits(bits, bitorder="little").tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([n], pa.int32()), pa.array([seg], pa.binary())], ["kind", "bucket", "seg"])
-
-    return run
-
-
-class Model:
-    """What a worker holds: the filter, the frequent words' exact counts, and the weights l by level of the context."""
-
-    def __init__(self, parts: dict):
-        self.n, self.v, self.rows, self.least = parts["N"], parts["V"], parts["rows"], parts["least"]
-        self.cuts = parts["cuts"]
-        self.log_shift = int(math.log2(parts["buckets"]))
-        self.bits = np.frombuffer(parts["bits"], np.uint8)
-        self.start = np.frombuffer(parts["start"], np.int64).reshape(2, -1)
-        self.size = np.frombuffer(parts["size"], np.uint64).reshape(2, -1)
-        self.weight = np.frombuffer(parts["weight"], np.float64)
-        h, c = np.frombuffer(parts["h"], np.uint64), np.frombuffer(parts["c"], np.int64)
-        self.mask = np.uint64((1 << max(10, int(2 * len(h)).bit_length())) - 1)
-        self.key, self.val = np.zeros(int(self.mask) + 1, np.uint64), np.zeros(int(self.mask) + 1, np.int64)
-        slot, left = h & self.mask, np.arange(len(h))
-        while len(left):
-            free = self.val[slot[left].view(np.int64)] == 0
-            at = slot[left[free]].view(np.int64)
-            self.key[at] = h[left[free]]
-            self.val[at] = c[left[free]]
-            left = left[(self.key[slot[left].view(np.int64)] != h[left])]
-            slot[left] = (slot[left] + np.uint64(1)) & self.mask
-
-    def exact(self, h: np.ndarray) -> np.ndarray:
-        """Counts of frequent words; 0 for the others."""
-        out = np.zeros(len(h), np.int64)
-        slot, left = h & self.mask, np.arange(len(h))
-        while len(left):
-            at = slot[left].view(np.int64)
-            hit = self.key[at] == h[left]
-            out[left[hit]] = self.val[at[hit]]
-            left = left[~hit & (self.val[at] > 0)]
-            slot[left] = (slot[left] + np.uint64(1)) & self.mask
-        return out
-
-    def probe(self, kind: int, key: np.ndarray, least: int) -> np.ndarray:
-        """Levels of the keys by repeated membership probes; 0 for keys that are not held. least: the lowest level held."""
+    def levels(self, key: np.ndarray) -> np.ndarray:
+        """Levels by repeated membership probes; 0 for keys that are not held."""
         out, left, j = np.zeros(len(key), np.int64), np.arange(len(key)), 1
-        b = (key >> np.uint64(64 - self.log_shift)).view(np.int64) if self.log_shift else np.zeros(len(key), np.int64)
-        start, size = self.start[kind][b], self.size[kind][b]
         while len(left) and j < LEVELS:
-            m = _members(key[left], j)
-            for i in range(PROBES):
-                at = _places(m, size[left], i).view(np.int64) + start[left]
-                ok = (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-                left, m = left[ok], m[ok]
-                if not len(left):
-                    break
+            held = np.ones(len(left), bool)
+            for at in self._places(key[left], j):
+                held &= self.bits[at]
+            left = left[held]
             out[left] = j
             j += 1
-        out[out < least] = 0
         return out
 
-    def base(self, c) -> np.ndarray:
-        return (np.asarray(c) + 0.1) / (self.n + 0.1 * (self.v + 1))
-
-    def terms(self, tok: np.ndarray, prev: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Exact counts (0 where rare), the pair's count rounded down, the context's rounded up (0 if unknown)."""
-        c = self.exact(tok)
-        begin = prev == BEGIN
-        up = np.empty(len(tok))
-        up[1:] = c[:-1]
-        up[begin] = self.rows
-        rare = np.flatnonzero((up == 0) & ~begin)
-        if len(rare):
-            q = self.probe(0, prev[rare], self.cuts[0])
-            up[rare] = np.where(q > 0, np.minimum(low(q + 1), max(self.least, 1)), 0)
-        both = np.zeros(len(tok))
-        can = np.flatnonzero(up > 0)
-        q = self.probe(1, pair(prev[can], tok[can]), self.cuts[1])
-        both[can] = np.where(q > 0, np.minimum(low(q), up[can]), 0)
-        return c, both, up
-
-
-_HELD: dict = {}
-
-
-def held(shared) -> Model:
-    """The worker's copy of a broadcast model, unpacked once."""
-    if _HELD.get("id") != shared.id:
-        _HELD.clear()
-        _HELD.update(id=shared.id, model=Model(shared.value))
-    return _HELD["model"]
-
-
-class _Shared:
-    def __init__(self, cast, number):
-        self.cast, self.id = cast, number
-
-    @property
-    def value(self):
-        return self.cast.value
-
-
-def train(texts: DataFrame) -> tuple[dict, DataFrame]:
-    """Model parts (bounded, for a broadcast) and the rare words' counts (h, c), from a one-column DataFrame of texts."""
-    spark = ready(texts.sparkSession)
-    buckets = 4 << max(1, math.ceil(math.log2(max(1, texts.rdd.getNumPartitions()))))  # a few input partitions' n-grams each, at any size
-    blocks = texts.mapInArrow(count_blocks(buckets), "kind int, bucket int, h binary, c binary")
-    counts = materialize(blocks.groupBy("kind", "bucket").applyInArrow(_merge, "kind int, bucket int, h binary, c binary, total long, size long, hist array<long>"), "ngram_counts")
-    stats = counts.groupBy("kind").agg(F.sum("total").alias("total"), F.sum("size").alias("size"), *[F.sum(F.get("hist", F.lit(k))).alias(f"q{k}") for k in range(LEVELS)])
-    stats = {r.kind: r for r in stats.collect()}  # two rows
-    hist = [np.array([stats[k][f"q{i}"] for i in range(LEVELS)]) if k in stats else np.zeros(LEVELS, np.int64) for k in (0, 1)]
-    n, v = (stats[0].total, stats[0].size) if 0 in stats else (0, 0)
-    above = lambda x: np.cumsum(x[::-1])[::-1]
-    fits = np.flatnonzero(above(hist[0]) <= HEAD_WORDS)
-    least = int(low(fits[0])) if fits[0] > 1 else 1
-    q = np.arange(LEVELS)
-    # words and pairs get half of the filter each at most; where that is too little, their lowest levels go
-    room = FILTER_BYTES * 4 / BITS_PER_MEMBER
-    cuts = [max(int(level(MIN_COUNT)), int(np.flatnonzero(np.append(above(x * q), 0) <= room)[0])) for x in hist]
-    word_rows = counts.where("kind = 0").select("h", "c")
-    head = word_rows.mapInArrow(_explode(least, 1 << 62), "h long, c long").toArrow()  # HEAD_WORDS rows at most
-    rare = materialize(word_rows.mapInArrow(_explode(1, least), "h long, c long"), "rare_words")
-    segs = materialize(counts.select("kind", "bucket", "h", "c").mapInArrow(segments(cuts), "kind int, bucket int, seg binary"), "bloom")
-    start, size, bits, at = np.zeros((2, buckets), np.int64), np.full((2, buckets), 64, np.uint64), [bytes(8)], 64
-    for r in segs.toLocalIterator():  # FILTER_BYTES at most, segment by segment
-        start[r.kind, r.bucket], size[r.kind, r.bucket] = at, 8 * len(r.seg)
-        bits.append(bytes(r.seg))
-        at += 8 * len(r.seg)
-    ends = head.filter(pa.compute.equal(head["h"], int(END.view(np.int64))))
-    rows = ends["c"][0].as_py() if ends.num_rows else 0
-    parts = {"N": n, "V": v, "rows": rows, "least": least, "cuts": cuts, "buckets": buckets, "bits": b"".join(bits), "start": start.tobytes(), "size": size.tobytes(), "h": head["h"].to_numpy().astype(np.int64).view(np.uint64).tobytes(), "c": head["c"].to_numpy().tobytes(), "weight": np.zeros(LEVELS).tobytes()}
-    first = _Shared(spark.sparkContext.broadcast(parts), id(parts))
-
-    def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = held(first)
-        win, all_ = np.zeros(LEVELS), np.zeros(LEVELS)
-        for b in batches:
-            for tok, prev, _ in token_stream(b.column(0)):
-                c, both, up = m.terms(tok, prev)
-                a = np.maximum(both - 1, 0) / np.maximum(up - 1, 1)
-                w = m.base(np.maximum(c - 1, 0))
-                q = np.where(up > 0, np.minimum(level(up), LEVELS - 1), 0)
-                win += np.bincount(q, a / (a + w), LEVELS)
-                all_ += np.bincount(q, minlength=LEVELS)
-        yield pa.RecordBatch.from_arrays([pa.array(range(LEVELS), pa.int32()), pa.array(win), pa.array(all_)], ["q", "w", "n"])
-
-    weight = np.zeros(LEVELS)
-    for r in texts.mapInArrow(evidence, "q int, w double, n double").groupBy("q").agg(F.sum("w").alias("w"), F.sum("n").alias("n")).collect():  # LEVELS rows
-        weight[r.q] = r.w / r.n if r.q and r.n else 0.0
-    return parts | {"weight": np.minimum(weight, 0.99).tobytes()}, rare
-
 
 def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of (doc_id, role, text) as chunks: number, ids, roles, bytes and offsets of the texts."""
@@ -377,13 +167,15 @@ def chunk_blocks(buckets: int):
     return run
 
 
-def _answer(t: pa.Table) -> pa.Table:
-    """One bucket's counts of all training rows, as an answer to each chunk; the first row carries the bucket's sums."""
+def _answer(t: pa.Table, bits: int) -> pa.Table:
+    """One bucket's answer to each chunk: exact counts of its words, levels of its pairs from the bucket's segment of the
+    filter. The first row carries the bucket's sums."""
     kind = t["kind"][0].as_py()
     keys = [np.cumsum(_read(v.as_py()), dtype=np.uint64) for v in t["h"]]
     h, at = np.unique(np.concatenate(keys), return_inverse=True)
     c = np.bincount(at, np.concatenate([_read(v.as_py()) for v in t["c"]]), len(h)).astype(np.int64)
-    value = np.where(c > 0, np.minimum(level(c), LEVELS - 1), 0) if kind else c
+    known = np.flatnonzero(c)
+    value = Segment(h[known], np.minimum(level(c[known]), LEVELS - 1), bits).levels(h) if kind else c
     cut = np.cumsum([0, *map(len, keys)])
     told = [_code(value[at[i:j]]) for i, j in zip(cut[:-1], cut[1:], strict=True)]
     rest = [0] * (len(told) - 1)
@@ -406,8 +198,9 @@ def _levels(up: np.ndarray) -> np.ndarray:
     return np.where(up > 0, np.minimum(level(up), LEVELS - 1), 0)
 
 
-def score_texts(docs: DataFrame, train_on=None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+def score_texts(docs: DataFrame, train_on=None, key: str = "doc_id", text: str = "text", bits: int = BITS) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. train_on: a condition on docs or a table of texts;
+    by default the rows that are not held out."""
     spark = ready(docs.sparkSession)
     held_out = crc_mod(F.col(key), 10) == 0
     kind = docs.select(F.col(key).alias("doc_id")).schema["doc_id"].dataType.simpleString()
@@ -420,7 +213,7 @@ def score_texts(docs: DataFrame, train_on=None, key: str = "doc_id", text: str =
     buckets = 2 << math.ceil(math.log2(max(1, rows_in.rdd.getNumPartitions())))  # an input partition's n-grams each, at any size
     parts = materialize(rows_in.mapInArrow(chunks, f"chunk long, ids array<{kind}>, role binary, data binary, off binary"), "lm_chunks")
     blocks = parts.select("chunk", "role", "data", "off").mapInArrow(chunk_blocks(buckets), "kind int, bucket int, chunk long, h binary, c binary")
-    answers = materialize(blocks.groupBy("kind", "bucket").applyInArrow(_answer, "kind int, bucket int, chunk long, told binary, total long, size long, ends long"), "lm_answers")
+    answers = materialize(blocks.groupBy("kind", "bucket").applyInArrow(lambda t: _answer(t, bits), "kind int, bucket int, chunk long, told binary, total long, size long, ends long"), "lm_answers")
     s = answers.where("kind = 0").agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("total", "size", "ends")]).first()
     total, ends, norm = s.total, s.ends, s.total + 0.1 * (s["size"] + 1)
     base = lambda c: (c + 0.1) / norm
@@ -444,6 +237,8 @@ def score_texts(docs: DataFrame, train_on=None, key: str = "doc_id", text: str =
 
     both = parts.groupBy("chunk").cogroup(answers.select("kind", "bucket", "chunk", "told").groupBy("chunk"))
     found = materialize(both.applyInArrow(look_up, f"ids array<{kind}>, role binary, edge binary, c binary, q binary, win array<double>, n array<double>"), "lm_counts")
+    discard(parts)
+    discard(answers)
     weight = np.zeros(LEVELS)
     sums = found.select(F.posexplode(F.arrays_zip("win", "n")).alias("k", "z")).groupBy("k").agg(F.sum("z.win").alias("w"), F.sum("z.n").alias("n"))
     for r in sums.collect():  # LEVELS rows
