@@ -3,7 +3,7 @@
 A known word adds its log frequency in each language. An unseen word adds the mean log frequency of its known
 character n-grams of the longest length of which it has any (ORDER down to 1, with word boundaries marked). The model
 is fitted on labelled rows: all of them, or a sample by hash of the id of about SAMPLE_ROWS rows (the documented
-bound); its tables hold at most TOP_WORDS words and TOP_GRAMS n-grams of each length for a language.
+bound), dealt evenly over the languages, so that all rows of a rare one are learned from. All words and n-grams of the sample are held.
 
 Edge cases: a null text, and one without any letter, is `und` with score 0; so is every text if there is nothing to
 learn from. A text all of whose words are unknown in every length gets the most frequent language, with score
@@ -20,13 +20,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_mod, ready
 
-SAMPLE_ROWS, TOP_WORDS, TOP_GRAMS, ORDER = 10_000, 40_000, 20_000, 4
-CACHE_WORDS = 1_000_000
+SAMPLE_ROWS, ORDER = 10_000, 4
+CACHE_WORDS = 600_000
 #: Words that count in full; in longer texts every word counts for less, so that the score stays a graded one.
 FULL_WORDS = 12
 _WORD = re.compile(r"[^\W\d_]+")
@@ -58,21 +58,21 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE_ROWS) -> dict:
     """A model of bounded size from labelled rows (rows with null text or language are left out)."""
     rows = ready(labelled.sparkSession) and labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(key).alias("k"), F.col(lang).cast("string").alias("l"), F.col(text).alias("t"))
-    share = min(1.0, sample / max(1, rows.count()))
-    rows = rows.where(F.pmod(F.xxhash64(F.coalesce(F.col("k").cast("string"), F.lit(""))), F.lit(1 << 30)) < int(share * (1 << 30)))
+    size = {r.l: r["count"] for r in rows.groupBy("l").count().collect()}  # a row for each language
+    quota, line = sample / max(1, len(size)), F.pmod(F.xxhash64(F.coalesce(F.col("k").cast("string"), F.lit(""))), F.lit(1 << 30))
+    if over := {x: int(quota / n * (1 << 30)) for x, n in size.items() if n > quota}:
+        most = F.create_map(*[F.lit(y) for x in over.items() for y in x])
+        rows = rows.where(line < F.coalesce(F.get(F.map_values(F.map_filter(most, lambda k, _: k == F.col("l"))), F.lit(0)), F.lit(1 << 30)))
     counts = rows.select("l", "t").mapInArrow(_counts, "lang string, n int, gram string, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
-    w = Window.partitionBy("lang", "n")
-    top = F.when(F.col("n") == 0, TOP_WORDS).otherwise(TOP_GRAMS)
-    counts = counts.withColumn("total", F.sum("c").over(w)).withColumn("r", F.row_number().over(w.orderBy(F.desc("c"), "gram"))).where(F.col("r") <= top)
-    found = counts.select("lang", "n", "gram", "c", "total").toArrow().to_pylist()  # bounded by the TOP_ parameters
-    langs = sorted({r["lang"] for r in found})
+    found = counts.toArrow()  # the sample's own words and n-grams: bounded by SAMPLE_ROWS
+    langs = sorted(found["lang"].unique().to_pylist())
     at = {x: i for i, x in enumerate(langs)}
-    total = np.ones((ORDER + 1, len(langs)))
+    total = np.zeros((ORDER + 1, len(langs)))
     table: list[dict[str, list[tuple[int, int]]]] = [{} for _ in range(ORDER + 1)]
-    for r in found:
-        total[r["n"], at[r["lang"]]] = r["total"]
-        table[r["n"]].setdefault(r["gram"], []).append((at[r["lang"]], r["c"]))
-    common = int(total[0].argmax()) if langs else 0
+    for x, n, gram, c in zip(*(found[k].to_pylist() for k in ("lang", "n", "gram", "c")), strict=True):
+        total[n, at[x]] += c
+        table[n].setdefault(gram, []).append((at[x], c))
+    common = max(range(len(langs)), key=lambda i: (size[langs[i]], -i), default=0)
     return {"langs": langs, "total": total, "table": table, "common": common}
 
 
