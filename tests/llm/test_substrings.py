@@ -32,9 +32,8 @@ def brute(rows):
                 starts.append(k)
             else:
                 x = t[w[k - 1][0] : w[k - 1][1]]
-                for _ in range(4):
-                    if len(x) > 1 and x[-1] in "\"')]}*#$%&|<>,;:":
-                        x = x[:-1]
+                while len(x) > 1 and x[-1] in "\"')]}*#$%&|<>,;:":
+                    x = x[:-1]
                 if x[-1] in ".!?":
                     starts.append(k)
         full = []
@@ -71,7 +70,7 @@ def brute(rows):
 def rows(spark):
     rng = random.Random(2)
     v = [f"word{k}" for k in range(300)]
-    free = lambda n: " ".join(rng.choice(v) + (rng.choice([".", "!!", ".***", "?"]) if rng.random() < 0.1 else "") for _ in range(n))
+    free = lambda n: " ".join(rng.choice(v) + (rng.choice([".", "!!", ".***", "?", ".)))\"\"***"]) if rng.random() < 0.1 else "") for _ in range(n))
     passage, plain = free(70), " ".join(rng.choice(v) for _ in range(70))
     texts = [free(rng.randint(5, 200)) for _ in range(40)]
     texts += [free(rng.randint(1, 80)) + rng.choice([" ", "\n", ".\n"]) + passage + rng.choice([" ", "\n"]) + free(rng.randint(1, 80)) for _ in range(12)]
@@ -117,3 +116,24 @@ def test_empty_null_and_repeated(spark):
     got = S.dedup_spans(spark.createDataFrame([(None, t, 1), (5, t, 2), (5, t, 3), (6, None, 4), (None, None, 5)], s)).collect()
     assert sorted((r.extra, r.text == t) for r in got if r.text) == [(1, True)]
     assert len(got) == 5
+
+
+def test_of_equal_rows_one_stays(spark):
+    s = "doc_id long, text string, extra int, __rid string"
+    t, u = (" ".join(f"{c}{k}." for k in range(40)) for c in "vw")
+    rows = [(5, t, 1, "a"), (5, t, 2, "b"), (5, t, 3, "c"), (6, u, 4, "d"), (None, None, 5, "e"), (None, None, 6, "f"), (7, "", 7, "g"), (7, "", 8, "h"), (8, "one two.", 9, "i"), (8, "one two.", 10, "j")]
+    got = S.dedup_spans(spark.createDataFrame(rows, s).repartition(3))
+    assert got.columns == ["doc_id", "text", "extra", "__rid"]
+    got = got.collect()
+    assert len(got) == 10 and sorted(r.text for r in got if r.doc_id == 5) == ["", "", t]
+    assert all(r.text == rows[r.extra - 1][1] for r in got if r.doc_id != 5) and all(r["__rid"] == rows[r.extra - 1][3] for r in got)
+
+
+def test_any_number_of_closing_symbols_and_short_runs(spark):
+    """A mark behind nine symbols ends a sentence, and a run of two sentences with sixteen words goes."""
+    rng = random.Random(4)
+    own = lambda k: " ".join(f"o{rng.randrange(10**6)}" for _ in range(k))
+    run = "a1 a2 a3 a4 a5 a6 a7 a8.)))))*** b1 b2 b3 b4 b5 b6 b7 b8.)))))***"
+    rows = [(i, f"{own(5)}. {run} {own(6)}.") for i in range(3)]
+    got = {r.doc_id: r.text for r in S.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == rows[0][1] and all("a1" not in got[i] and "b8" not in got[i] and len(got[i].split()) == 11 for i in (1, 2))

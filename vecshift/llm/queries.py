@@ -36,8 +36,8 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its text after dedup, and what is left of it in characters."""
-    out = dedup_spans(table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"))
-    return out.select("doc_id", "text", F.length("text").cast("long").alias("n_kept"), (F.col("n_chars") - F.length("text")).cast("long").alias("n_removed"))
+    out = dedup_spans(table(spark, sf_dir, "documents").select("doc_id", "text", F.length("text").alias("before")))
+    return out.select("doc_id", "text", F.length("text").cast("long").alias("n_kept"), (F.col("before") - F.length("text")).cast("long").alias("n_removed"))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

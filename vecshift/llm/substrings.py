@@ -3,14 +3,15 @@
 A text is cut into sentences: at line ends, after words that end in . ! or ? (with any symbols behind), and, so that
 text without such marks has sentences too, inside sentences of over LONG words before words whose hash is divisible
 by CUT (a cut that depends on the words alone, so that equal passages are cut alike wherever they stand). From every sentence
-starts one span: the fewest consecutive sentences, SPAN at least, that hold LEAST words or more. All spans are hashed
+starts one span: the fewest consecutive sentences, SPAN at least, that hold LEAST words or more (so that a short shared line, such
+as a licence line of one or two short sentences, is no passage). All spans are hashed
 (words lower-cased) and joined over the corpus; the occurrence with the smallest (id, position) of a repeated span is the
 first and stays, the sentences of every other occurrence go.
 
 Edge cases: null and empty texts stay as they are; a text whose sentences all go becomes empty and stays as a row in
 `dedup_spans` (its `text` is then ""); white space around removed sentences goes with them. Spans are compared within
-one text too. Rows that repeat an id (and null ids) are told apart by a row key of id and text; rows equal in both are
-told apart no further and so are kept or cut alike. An empty table gives an empty result; all other columns stay.
+one text too. Rows that repeat an id (and null ids) are told apart by a row key of id and text; of rows equal in both one is
+the first, and all spans of the others go. An empty table gives an empty result; all other columns stay.
 """
 
 from __future__ import annotations
@@ -22,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, buffers, hashes, materialize, mix, pieces, ready, spans
+from .common import HOT_SHARE, bounded_map, buffers, hashes, materialize, merge_bits, mix, pieces, ready, spans
 
-SPAN, LEAST, LONG, CUT = 2, 24, 12, 4
+SPAN, LEAST, LONG, CUT = 2, 16, 12, 4
 _END = np.zeros(256, bool)
 _END[[ord(c) for c in ".!?"]] = True
 _SYMBOL = np.zeros(256, bool)
@@ -38,8 +39,8 @@ def sentences(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndar
         return np.zeros(0, np.int64)
     last = ends - 1
     look = last.copy()
-    for _ in range(4):  # step over closing symbols
-        step = _SYMBOL[data[look]] & (look > starts)
+    step = np.arange(n)
+    while len(step := step[_SYMBOL[data[look[step]]] & (look[step] > starts[step])]):  # over closing symbols
         look[step] -= 1
     stop = _END[data[look]]
     gap = np.zeros(n, bool)
@@ -89,7 +90,62 @@ def _each(texts: pa.Array) -> Iterator[tuple]:
 
 def dedup_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with the repeated passages taken out of `text`; same columns, same rows."""
-    spark = ready(docs.sparkSession)
+    ready(docs.sparkSession)
+    rid = F.xxhash64(F.col(key).cast("string"), F.col(text))
+    twice = materialize(docs.where(F.length(text) > 0).groupBy(rid.alias("__rid")).count().where("count > 1"), "repeated_rows")
+    if twice.isEmpty():
+        return _dedup(docs, key, text)
+    # rows equal in id and text: written once with a number, the smallest of which is the first
+    safe = docs.toDF(*[f"__c{i}" for i in range(len(docs.columns))])
+    rid = F.xxhash64(F.col(f"__c{docs.columns.index(key)}").cast("string"), F.col(f"__c{docs.columns.index(text)}"))
+    rows = safe.withColumn("__rid", F.when(F.length(f"__c{docs.columns.index(text)}") > 0, rid)).withColumn("__m", F.monotonically_increasing_id())
+    hot = twice.where(F.col("count") > max(1, docs.count() // HOT_SHARE))
+    keyed = rows.where("__rid IS NOT NULL")
+    copies = materialize(bounded_map(docs.sparkSession, twice, hot, keyed, ["__rid"], "inner").drop("count"), "copies")
+    first = materialize(copies.groupBy("__rid").agg(F.min("__m").alias("__first")), "first_copies")
+    numbered = bounded_map(docs.sparkSession, first, first.join(hot, "__rid", "left_semi"), copies, ["__rid"], "inner")
+    plain = lambda df: df.select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    once = materialize(plain(rows.where("__rid IS NULL")).unionByName(plain(keyed.join(twice, "__rid", "left_anti"))).unionByName(plain(numbered.where("__m = __first"))), "rows")
+    others = plain(numbered.where("__m <> __first"))
+    at, names = docs.columns.index(text), docs.columns
+
+    def all_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            gone = {i: range(span.shape[1]) for i, *_, span, _ in _each(b.column(at))}
+            cols = list(b.columns)
+            cols[at] = _without(b.column(at), {i: span for i, span in gone.items() if len(span)})
+            yield pa.RecordBatch.from_arrays(cols, names)
+
+    return _dedup(once, key, text).unionByName(others.mapInArrow(all_spans, docs.schema))
+
+
+def _without(texts: pa.Array, gone: dict[int, list[int]]) -> pa.Array:
+    """texts without the sentences of the given spans, which are named by their number among the text's spans or, in a
+    list, by their first sentence."""
+    some = sorted(gone)
+    new: dict[int, str] = {}
+    for k, d, o, p, s, e, edge, span, _ in _each(texts.take(pa.array(some, pa.int64()))):
+        i = some[k]
+        out = np.zeros(len(edge) - 1, bool)
+        end = dict(zip(span[0].tolist(), span[1].tolist(), strict=True))
+        for x in end if isinstance(gone[i], range) else gone[i]:
+            out[x : end[x]] = True
+        # keep the bytes from each kept sentence's first word up to the next sentence, less white space at the seams
+        keep = np.flatnonzero(~out)
+        runs = np.split(keep, np.flatnonzero(np.diff(keep) > 1) + 1) if len(keep) else []
+        parts = []
+        for r in runs:
+            w0, w1 = edge[r[0]], edge[r[-1] + 1]
+            lo = o if r[0] == 0 else s[w0]
+            hi = p if r[-1] == len(edge) - 2 else e[w1 - 1]
+            sep = b"" if not parts else b"\n" if (d[e[w0 - 1] : s[w0]] == 10).any() else b" "
+            parts.append(sep + d[lo:hi].tobytes())
+        new[i] = b"".join(parts).decode("utf-8", "replace")
+    return pa.array([new.get(i, x) for i, x in enumerate(texts.to_pylist())], texts.type) if new else texts
+
+
+def _dedup(docs: DataFrame, key: str, text: str) -> DataFrame:
+    spark = docs.sparkSession
     rid = F.xxhash64(F.col(key).cast("string"), F.col(text))
     base = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("id"), rid.alias("rid"), F.col(text).alias("t"))
 
@@ -150,30 +206,8 @@ def dedup_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             drop = b.column(width).to_pylist()
-            new: dict[int, str] = {}
-            some = [i for i, x in enumerate(drop) if x]
-            if some:
-                for k, d, o, p, s, e, edge, span, _ in _each(b.column(at).take(pa.array(some))):
-                    i = some[k]
-                    out = np.zeros(len(edge) - 1, bool)
-                    end = dict(zip(span[0].tolist(), span[1].tolist(), strict=True))
-                    for x in drop[i]:
-                        out[x : end[x]] = True
-                    # keep the bytes from each kept sentence's first word up to the next sentence, less white space at the seams
-                    keep = np.flatnonzero(~out)
-                    runs = np.split(keep, np.flatnonzero(np.diff(keep) > 1) + 1) if len(keep) else []
-                    parts = []
-                    for r in runs:
-                        w0, w1 = edge[r[0]], edge[r[-1] + 1]
-                        lo = o if r[0] == 0 else s[w0]
-                        hi = p if r[-1] == len(edge) - 2 else e[w1 - 1]
-                        sep = b"" if not parts else b"\n" if (d[e[w0 - 1] : s[w0]] == 10).any() else b" "
-                        parts.append(sep + d[lo:hi].tobytes())
-                    new[i] = b"".join(parts).decode("utf-8", "replace")
             cols = list(b.columns[:width])
-            if new:
-                old = cols[at].to_pylist()
-                cols[at] = pa.array([new.get(i, x) for i, x in enumerate(old)], cols[at].type)
+            cols[at] = _without(cols[at], {i: x for i, x in enumerate(drop) if x})
             yield pa.RecordBatch.from_arrays(cols, names)
 
     names = docs.columns
@@ -187,20 +221,4 @@ BITS = 1 << 23
 
 def _bits(h: DataFrame) -> bytes:
     """BITS bytes with a bit for each hash's low bits; a fixed size, false hits only let more rows through."""
-
-    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(8 * BITS, bool)
-        for b in batches:
-            bits[b.column(0).to_numpy(zero_copy_only=False) & (8 * BITS - 1)] = True
-        full = np.packbits(bits, bitorder="little").reshape(256, -1)
-        for k in np.flatnonzero(full.any(1)):
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([full[k].tobytes()], pa.binary())], ["k", "v"])
-
-    def join(t: pa.Table) -> pa.Table:
-        v = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in t["v"].to_pylist()])
-        return pa.table({"k": pa.array([t["k"][0].as_py()], pa.int32()), "v": pa.array([v.tobytes()], pa.binary())})
-
-    out = np.zeros((256, BITS // 256), np.uint8)
-    for r in h.coalesce(16).mapInArrow(collect, "k int, v binary").groupBy("k").applyInArrow(join, "k int, v binary").collect():
-        out[r.k] = np.frombuffer(bytes(r.v), np.uint8)
-    return out.tobytes()
+    return merge_bits(h, BITS, lambda x: x.to_numpy(zero_copy_only=False) & (8 * BITS - 1))
