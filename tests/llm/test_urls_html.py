@@ -51,6 +51,103 @@ def test_host_path_and_rules(spark, pages):
     assert U.url_filter(pages.limit(0), labels, U.RULES).count() == 0
 
 
+def test_deep_paths_are_generalised_and_merged(spark, monkeypatch):
+    """Variable segments and branches behind the tenth segment; a lone path of a thousand segments beside them."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("ghijklm") for _ in range(8))
+    deep = "/".join("abcdefghijk")
+    rows = [f"http://d.com/{deep}/{word()}/end" for _ in range(60)] + [f"http://d.com/{deep}/{x}/y/{i}" for x in ("p", "q") for i in range(40)]
+    rows.append("http://d.com/" + "z/" * 1000)
+    out = U.url_filter(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string"), U.bad_labels(spark.createDataFrame([], "doc_id long, quality int, toxic int")), []).collect()
+    by = {r.page_id: r.template for r in out}
+    assert len(out) == len(rows) and {by[i] for i in range(60)} == {f"/{deep}/*/end"}
+    assert {by[i] for i in range(60, 140)} == {f"/{deep}/*/y/*"} and by[140] == "/" + "z/" * 1000
+
+
+def brute_verdicts(rows, labels):
+    """(page_id, url) and number -> bad: (template, badness, verdict) by the rules of the module docstring, path by path."""
+    import re
+    from collections import defaultdict
+
+    var = re.compile(r"^(?:[0-9]+(?:[-_.][0-9]+)*|[0-9a-fA-F]{8,}|[0-9a-fA-F]{8}-[0-9a-fA-F-]{27})(?=$|\.[A-Za-z]{1,5}$)")
+    shapes, n, lab, bad = {}, defaultdict(int), defaultdict(int), defaultdict(int)
+    for i, u in rows:
+        host, path = re.match(r"\w+://([^/?#]*)([^?#]*)", u).groups()
+        s = shapes[i] = (host.lower(), tuple(var.sub("*", x) for x in path.split("/")))
+        n[s] += 1
+        m = re.search(r"([0-9]+)[^0-9]*$", path)
+        if m and int(m[1]) in labels:
+            lab[s] += 1
+            bad[s] += labels[int(m[1])]
+    deepest = max(len(s) for _, s in n)
+    tpl = {s: s[1] for s in n}
+    for d in range(deepest):
+        places = defaultdict(lambda: defaultdict(int))
+        for s, t in tpl.items():
+            if len(t) > d:
+                places[s[0], t[:d]][t[d]] += n[s]
+        for s, t in tpl.items():
+            p = places.get((s[0], t[:d]), {})
+            if len(t) > d and len(p) >= U.MANY and sum(p.values()) < U.ROWS_EACH * len(p):
+                tpl[s] = (*t[:d], "*", *t[d + 1 :])
+    base = (sum(bad.values()) + U.STRENGTH * U.PRIOR) / (sum(lab.values()) + U.STRENGTH)
+    leaf = defaultdict(lambda: [0, 0])
+    for s, t in tpl.items():
+        leaf[s[0], t][0] += lab[s]
+        leaf[s[0], t][1] += bad[s]
+    final = {k: k[1] for k in leaf}
+    for d in range(deepest):
+        node = defaultdict(lambda: [0, 0])
+        for k, f in final.items():
+            node[k[0], f][0] += leaf[k][0]
+            node[k[0], f][1] += leaf[k][1]
+        star = lambda f: (*f[:d], "*", *f[d + 1 :]) if len(f) > d else f  # noqa: E731, B023
+        pool = defaultdict(lambda: [0, 0, 0])
+        for (h, f), (a, b) in node.items():
+            x = pool[h, star(f)]
+            x[0] += a
+            x[1] += b
+            x[2] += 1
+        to = {}
+        for (h, f), (a, b) in node.items():
+            pl, pb, k = pool[h, star(f)]
+            if k > 1:
+                q = U.STRENGTH
+                rate = (pb + q * base) / (pl + q)
+                gap = abs((b + q * base) / (a + q) - (pb - b + q * base) / (pl - a + q))
+                if gap <= U.Z * (rate * (1 - rate) * (1 / (a + q) + 1 / (pl - a + q))) ** 0.5:
+                    to[h, f] = star(f)
+        final = {k: to.get((k[0], f), f) for k, f in final.items()}
+    total = defaultdict(lambda: [0, 0])
+    for k, f in final.items():
+        total[k[0], f][0] += leaf[k][0]
+        total[k[0], f][1] += leaf[k][1]
+    out = {}
+    for i, s in shapes.items():
+        f = final[s[0], tpl[s]]
+        p = (total[s[0], f][1] + U.STRENGTH * base) / (total[s[0], f][0] + U.STRENGTH)
+        out[i] = ("/".join(f), p, "block" if p >= U.LIMIT else "allow")
+    return out
+
+
+def test_method_equals_brute_force(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("ghijk") for _ in range(rng.randint(1, 7)))
+    rows = []
+    for i in range(900):
+        host = rng.choice(["a.com", "b.org", "sub.a.com"])
+        x = [rng.choice(["en", "de", "spam", "news"]), *([word()] if rng.random() < 0.5 else ["top"]), *(rng.choice(["p", "q"]) for _ in range(rng.randint(0, 3))), f"{i}.html" if rng.random() < 0.5 else str(i)]
+        rows.append((i, f"http://{host}/" + "/".join(x)))
+    labels = {i: int(("spam" in u) ^ (rng.random() < 0.1)) for i, u in rows if rng.random() < 0.5}
+    real = [(10_000 + r.page_id, r.url) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect() if r.url and "://" in r.url]
+    table = spark.createDataFrame([(k, 1 - v, 0) for k, v in labels.items()], "doc_id long, quality int, toxic int")
+    out = U.url_filter(spark.createDataFrame(rows + real, "page_id long, url string").repartition(3), U.bad_labels(table), []).collect()
+    want = brute_verdicts(rows + real, labels)
+    assert {r.page_id: (r.template, r.verdict) for r in out} == {k: (t, v) for k, (t, _, v) in want.items()}
+    assert all(abs(r.badness - want[r.page_id][1]) < 1e-6 for r in out)
+    assert {v for *_, v in want.values()} == {"allow", "block"}
+
+
 def test_templates_and_purity(spark):
     rng = random.Random(6)
     rows = [(i, f"http://bad.com/spam/{i}") for i in range(200)] + [(i, f"http://bad.com/news/{i}") for i in range(200, 400)]
@@ -122,3 +219,37 @@ NAMED = [
 @pytest.mark.parametrize("page,want", NAMED)
 def test_names_drop_no_article(page, want):
     assert extract(page) == want
+
+
+LEAD = "Here the lead stands, in whole sentences, and it is long enough to be read."
+BODY = "".join(f"<p>Sentence {i} of the article, with a comma, and some more words to read.</p>" for i in range(6))
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<html><body><form id="f"><div>Top</div><article><h1>T</h1><p>{LEAD}</p>{BODY}</article></form><footer>x</footer></body></html>',
+        f'<html><body><div>Top</div><form><fieldset><article><h1>T</h1><p>{LEAD}</p>{BODY}</article></fieldset></form></body></html>',
+        f'<body><article><header><h1>T</h1><p>{LEAD}</p><span>By someone</span></header>{BODY}</article></body>',
+        f'<body><article class="post comments-open"><h1>T</h1><p>{LEAD}</p>{BODY}</article></body>',
+        f'<body class="x"><div class="with-sidebar"><h1>T</h1><p>{LEAD}</p>{BODY}</div><div class="sidebar"><p>Side</p></div></body>',
+        f'<body><div id="share-story"><h1>T</h1><p>{LEAD}</p>{BODY}</div></body>',
+        "<body>" + "<div>" * 30 + f"<article><h1>T</h1><p>{LEAD}</p>" + "<section><div>" * 12 + BODY + "</div></section>" * 12 + "</article></body>",
+    ],
+)
+def test_article_is_whole(page):
+    got = extract(page)
+    assert got.startswith(f"T\n{LEAD}\nSentence 0") and "Sentence 5" in got
+    assert not any(x in got for x in ("Side", "someone"))
+
+
+@pytest.mark.parametrize("piece", ["<a href='", "<a href=\"x' ", "<b ", "<div></p></i>", "<b><p>x", "<div class aaaa", "<!-", "</", "<td><b>x", "<li><b>x<hr>", "<script", "&amp;<", "<p title='\">x"])
+def test_two_megabytes_of_broken_markup_take_seconds(piece):
+    import time
+
+    def seconds(n):
+        t = time.process_time()
+        extract(piece * (n // len(piece)))
+        return time.process_time() - t
+
+    assert seconds(2_000_000) < 60

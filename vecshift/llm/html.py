@@ -1,18 +1,21 @@
 """Main-text extraction from HTML by tree scoring.
 
-A page is read into a tree (unclosed and stray tags as browsers take them). Text blocks give points - one, one for each
-comma, one for each hundred characters up to three - to their parent in full, to its parent by half, to further
-ancestors by a third over the distance; containers have a starting score by tag, and the sum is discounted by link
+A page is read into a tree (unclosed and stray tags as browsers take them), in time linear in its length whatever is broken. Text
+blocks give points - one, one for each comma, one for each hundred characters up to three - to their parent in full and to every
+further ancestor by half of what the one below gets; containers have a starting score by tag, and the sum is discounted by link
 density. The best container, widened to the article or main element around it, and those of its siblings that score
 well or are plain text blocks are kept. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles
-and reader comments are left out by element, role, or a name of their class or id; headings in an article's header stay.
+and reader comments are left out by element, role, or a name of their class or id. Of the header of an article, headings and
+paragraphs stay.
 A name whose words all tell so (`comments`, `cookie-notice`) drops a block unless that holds more than half of the page's
-text and its h1 or main; one word of a longer name (`share-buttons`) drops it unless it is an article or holds more than half
+text and its h1, article or main; one word of a longer name (`share-buttons`) drops it unless it is an article or holds more than half
 of the text; a name that tells a state (`has-sidebar`, `comments-open`) drops nothing. Headings and rows of tables are never
-dropped by name. If nothing is left, names are not looked at, and then elements and roles neither.
+dropped by name. A form or fieldset is dropped like a block of such a name, so that a page that is one form keeps its article. If
+nothing is left, names are not looked at, and then elements and roles neither.
 
 Edge cases: a null, empty or text-free page gives "". Plain text without tags is one block. Broken markup, unclosed
-comments, scripts and quotes end at the end of the page. Rows are independent; an empty table gives an empty result.
+comments, scripts and quotes end at the end of the page; a tag with an unclosed quote ends at its next >. Rows are independent; repeated rows
+are read one by one; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,24 +30,22 @@ from pyspark.sql import functions as F
 
 from .common import ready
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|svg|iframe|textarea|select|object|math|canvas|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>"
-    r"|<[!?/][^>]*>",
-    re.S | re.I,
-)
-_ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_STOP = re.compile(r"[>\"']")
+#: Elements whose content is no markup, with their ends.
+_RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in "script style noscript template svg iframe textarea select object math canvas title".split()}
+_ATTR = re.compile(r"(?<![a-zA-Z-])([a-zA-Z-]++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul caption".split()
 )
-_DROP = frozenset("nav aside footer form button input select textarea head menu dialog fieldset".split())
+_DROP = frozenset("nav aside footer button input select textarea head menu dialog".split())
+_WRAP = frozenset("form fieldset".split())
 _HEADS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _PLAIN = _HEADS | frozenset("p pre blockquote ul ol dl table figure #text".split())
 _BASE = {"article": 25.0, "main": 20.0, "section": 5.0, "div": 5.0, "pre": 3.0, "td": 3.0, "blockquote": 3.0}
+_LEAD = _HEADS | {"p"}
 #: Words of a class or id that mark what is not the article (fixed values).
 _NOT = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup sidebar widget menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar comment comments disqus reply replies respond share sharing social related recommended recommendations pagination pager toolbar login search skip".split()
@@ -78,6 +79,61 @@ def _marked(tag: str, attrs: str) -> int:
     return mark
 
 
+def tags_of(page: str) -> Iterator[tuple[int, int, str, str]]:
+    """Start, end, name and attributes of each tag; a name begins with / at an end tag and is empty where there is nothing to
+    look at (comments and the content of scripts). Each character is looked at a bounded number of times: where a tag's quotes
+    lead is kept for every opening quote, since a later tag that meets the same quote ends at the same place."""
+    ends: dict[int, int] = {}  # opening quote -> the > behind it, -1 if there is none
+    last = page.rfind(">")
+
+    def end_of(at: int) -> int:
+        seen = []
+        while True:
+            m = _STOP.search(page, at)
+            if m is None:
+                found = -1
+                break
+            at = m.start()
+            if m[0] == ">":
+                found = at
+                break
+            if at in ends:
+                found = ends[at]
+                break
+            seen.append(at)
+            at = page.find(m[0], at + 1) + 1
+            if not at:
+                found = -1
+                break
+        for k in seen:
+            ends[k] = found
+        return found
+
+    at = page.find("<")
+    while at >= 0:
+        end, name, attrs = -1, "", ""
+        c = page[at + 1 : at + 2]
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = end + 3 if end >= 0 else len(page)
+        elif at < last and (m := _NAME.match(page, at + 1 + (c == "/"))):
+            end = end_of(m.end())
+            end = end if end >= 0 else page.find(">", m.end())
+            name, attrs, end = m[0].lower(), page[m.end() : end], end + 1
+            if c == "/":
+                name = "/" + name
+            elif name in _RAW:
+                m = _RAW[name].search(page, end)
+                name, end = "", m.end() if m else len(page)
+        elif at < last and c in ("!", "?", "/"):
+            end = page.find(">", at) + 1
+        if end < 0:
+            at = page.find("<", at + 1)
+            continue
+        yield at, end, name, attrs
+        at = page.find("<", end)
+
+
 def extract(page: str | None) -> str:
     """The main text; where the names, and then the elements and roles, leave nothing, without looking at them."""
     return next((t for least in (1, 3, 4) if (t := _extract(page, least))), "") if page else ""
@@ -86,85 +142,92 @@ def extract(page: str | None) -> str:
 def _extract(page: str, least: int) -> str:
     """least: the lowest mark that drops an element."""
     tags, parent, out, named = ["#root"], [-1], [False], [0]  # by node; out: not part of the article; named: perhaps so, by its name
+    head = [0]  # by node: 1 in an article's header, 2 in a heading or paragraph of it
     blocks: list[tuple[int, str, int]] = []  # node, text, characters in links
-    stack = [0]
+    stack, outer = [0], [0]  # open nodes; places in the stack of the open blocks
+    opened: dict[str, int] = {}
     parts: list[str] = []
-    linked = links = 0
+    linked = 0
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                n = stack[-1]
-                while n and tags[n] not in _BLOCK:
-                    n = parent[n]
-                blocks.append((n, text, min(linked, len(text))))
+                blocks.append((stack[outer[-1]], text, min(linked, len(text))))
             parts.clear()
         linked = 0
 
     def close(k: int) -> None:
-        nonlocal links
         for n in stack[k:]:
-            links -= tags[n] == "a"
+            opened[tags[n]] -= 1
         del stack[k:]
+        while outer[-1] >= k:
+            outer.pop()
 
-    at = 0
-    for m in _TAG.finditer(page):
-        if m.start() > at and not out[stack[-1]]:
-            t = page[at : m.start()]
+    def words(t: str) -> None:
+        nonlocal linked
+        if not out[stack[-1]]:
             t = _html.unescape(t) if "&" in t else t
             parts.append(t)
-            if links:
+            if opened.get("a"):
                 linked += len(t.strip())
-        at = m.end()
-        tag = (m[3] or m[6] or "").lower()
+
+    at = 0
+    for start, end, tag, attrs in tags_of(page):
+        if start > at:
+            words(page[at:start])
+        at = end
         if not tag:
             continue
-        if m[2] or m[5]:  # an end tag
-            k = next((k for k in range(len(stack) - 1, 0, -1) if tags[stack[k]] == tag), 0)
+        if tag[0] == "/":
+            tag = tag[1:]
             if tag in _BLOCK:
                 flush()
-            if k:
+            if opened.get(tag):
+                k = len(stack) - 1
+                while tags[stack[k]] != tag:
+                    k -= 1
                 close(k)
             continue
-        attrs = m[4] or m[7] or ""
         if tag == "br":
             parts.append(" ")
         if tag in _BLOCK:
             flush()
-            if tag not in ("html", "body"):
-                k = next((k for k in range(len(stack) - 1, 0, -1) if tags[stack[k]] in ("p", *_HEADS) or tags[stack[k]] in _BLOCK), 0)
-                if k and tags[stack[k]] == "p":
-                    close(k)
-        if tag in _CLOSES:
-            for k in range(len(stack) - 1, 0, -1):
+            if tag not in ("html", "body") and tags[stack[outer[-1]]] == "p":
+                close(outer[-1])
+        if tag in _CLOSES and any(opened.get(t) for t in _CLOSES[tag]):
+            for k in reversed(outer):
                 if tags[stack[k]] in _CLOSES[tag]:
                     close(k)
                     break
-                if tags[stack[k]] in _WALL[tag]:
+                if tags[stack[k]] in _WALL[tag] or not k:
                     break
         if tag in _VOID or attrs.endswith("/") and tag not in _BLOCK:
             continue
         up = stack[-1]
         mark = _marked(tag, attrs) if tag not in ("html", "body", "main") else 0
-        by_name = mark if least <= mark < 3 and tag in _BLOCK and tag != "header" and not out[up] else 0
+        if tag in _WRAP and least < 4:
+            mark = max(mark, 2)
+        by_name = mark if (least <= mark or tag in _WRAP and least < 4) and mark < 3 and tag in _BLOCK and tag != "header" and not out[up] else 0
         bad = out[up] or tag in _HARD or least < 4 and tag in _DROP or mark >= least and not by_name
         if tag == "header" and least < 4:
-            bad = out[up] or not any(tags[n] in ("article", "main") for n in stack)
-        elif tags[up] == "header" and not bad and least < 4:
-            bad = tag not in _HEADS and tag not in ("div", "hgroup", "span")
+            bad = out[up] or not (opened.get("article") or opened.get("main"))
+        inside = head[up] or int(tag == "header" and least < 4)
         tags.append(tag)
         parent.append(up)
         out.append(bad)
         named.append(0 if bad else by_name)
+        head.append(2 if inside and tag in _LEAD else inside)
+        opened[tag] = opened.get(tag, 0) + 1
         stack.append(len(tags) - 1)
-        links += tag == "a"
-    if at < len(page) and not out[stack[-1]]:
-        parts.append(_html.unescape(page[at:]))
+        if tag in _BLOCK:
+            outer.append(len(stack) - 1)
+    if at < len(page):
+        words(page[at:])
     flush()
     if any(named):
-        held, top = [0] * len(tags), [t in ("h1", "main") for t in tags]
+        held, top = [0] * len(tags), [t in ("h1", "main", "article") for t in tags]
         for n, text, _ in blocks:
             held[n] += len(text)
         for n in range(len(tags) - 1, 0, -1):
@@ -173,35 +236,27 @@ def _extract(page: str, least: int) -> str:
         for n in range(1, len(tags)):
             most = 2 * held[n] > held[0]
             out[n] |= out[parent[n]] or named[n] == 1 and not most and tags[n] != "article" or named[n] == 2 and not (most and top[n])
-        blocks = [b for b in blocks if not out[b[0]]]
-    in_header = lambda n: any(tags[k] == "header" for k in _up(n, parent)) and not any(tags[k] in _HEADS for k in _up(n, parent))
-    if "header" in tags and least < 4:
-        blocks = [b for b in blocks if not in_header(b[0])]
+    blocks = [b for b in blocks if not out[b[0]] and head[b[0]] != 1]
     if not blocks:
         return ""
-    size = [0] * len(tags)
-    link = [0] * len(tags)
-    score = [_BASE.get(t, 0.0) for t in tags]
+    size, link, give = [0] * len(tags), [0] * len(tags), [0.0] * len(tags)
     for n, text, a in blocks:
         size[n] += len(text)
         link[n] += a
-        points = (1 + text.count(",") + min(len(text) // 100, 3)) * (1 - a / len(text))
         # a block written straight into a container counts for that container
-        k, d = (parent[n] if tags[n] in _PLAIN or tags[n] in ("li", "td", "dd", "dt") else n), 0
-        while k > 0 and d < 8:
-            score[k] += points / (1 if d == 0 else 2 if d == 1 else 3 * d)
-            k, d = parent[k], d + 1
-        if k == 0 and d < 8:
-            score[0] += points / (1 if d == 0 else 2 if d == 1 else 3 * d)
+        give[parent[n] if n and (tags[n] in _PLAIN or tags[n] in ("li", "td", "dd", "dt")) else n] += (1 + text.count(",") + min(len(text) // 100, 3)) * (1 - a / len(text))
     for n in range(len(tags) - 1, 0, -1):
         size[parent[n]] += size[n]
         link[parent[n]] += link[n]
+        give[parent[n]] += give[n] / 2
     density = lambda n: link[n] / size[n] if size[n] else 0.0
-    final = [s * (1 - density(n)) if size[n] else -1.0 for n, s in enumerate(score)]
+    final = [(_BASE.get(t, 0.0) + give[n]) * (1 - density(n)) if size[n] else -1.0 for n, t in enumerate(tags)]
     best = max((n for n in range(len(tags)) if tags[n] not in _PLAIN and tags[n] in _BLOCK and not out[n] or n == 0), key=lambda n: (final[n], -n))
-    for k in _up(best, parent):
+    k = best
+    while k > 0:
         if tags[k] in ("article", "main") and not out[k]:
             best = k
+        k = parent[k]
     keep = [False] * len(tags)
     keep[best] = True
     if best and tags[best] not in ("html", "body"):
@@ -215,12 +270,6 @@ def _extract(page: str, least: int) -> str:
     return "\n".join(own)
 
 
-def _up(n: int, parent: list[int]) -> Iterator[int]:
-    while n > 0:
-        yield n
-        n = parent[n]
-
-
 def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, url, text, n_chars."""
     ready(pages.sparkSession)
