@@ -7,7 +7,8 @@ labelled share of bad rows of a branch does not differ from that of its siblings
 template is rejected when its labelled badness, smoothed towards the overall share with STRENGTH pseudo-labels, reaches
 LIMIT. Explicit rules come before the method: the longest fitting one decides.
 
-All steps are DataFrame aggregations over distinct (host, shape) rows; a host or template with a large share of all
+The tree is worked on level by level, however deep it is; a path leaves when it is alone in its place, so that a few
+very long paths cost little. All steps are DataFrame aggregations over distinct (host, shape) rows; a host or template with a large share of all
 rows is aggregated before every shuffle and joined back by a broadcast of a bounded list of hot shapes.
 
 Edge cases: a null url, or one without ://, has empty host and path and is judged like any other row of that (host, path); without
@@ -17,12 +18,15 @@ An empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import HOT_SHARE, bounded_map, materialize
 
-MANY, ROWS_EACH, Z, STRENGTH, LIMIT, PRIOR, DEPTH = 16, 4.0, 1.96, 8.0, 0.5, 0.1, 8
+MANY, ROWS_EACH, Z, STRENGTH, LIMIT, PRIOR, STEP = 16, 4.0, 1.96, 8.0, 0.5, 0.1, 8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The rules of the query: (verdict, rule).
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
@@ -49,26 +53,42 @@ def by_rules(rules: list[tuple[str, str]]) -> tuple[Column, Column]:
 
 
 def shape(path: Column) -> Column:
-    """Segments with variable ones made *; the tail beyond DEPTH segments is one segment."""
-    segments = F.split(path, "/", DEPTH + 1)
+    """Segments with variable ones made *."""
     x = lambda s: F.regexp_replace(s, r"^(?:[0-9]+(?:[-_.][0-9]+)*|[0-9a-fA-F]{8,}|[0-9a-fA-F]{8}-[0-9a-fA-F-]{27})(?=$|\.[A-Za-z]{1,5}$)", "*")
-    return F.transform(segments, x)
+    return F.transform(F.split(path, "/"), x)
+
+
+def _by_level(rows: DataFrame, column: str, level: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+    """level(rows, d) for d = 1, 2, ... up to the longest path; after every STEP levels the rows leave whose first d segments no
+    other template of the host shares."""
+    deepest, done, d = rows.agg(F.max(F.size(column))).first()[0] or 0, [], 0
+    while d < deepest:
+        d += 1
+        rows = materialize(level(rows, d), "tree")
+        if d % STEP == 0 and d < deepest:
+            whole = F.concat_ws("/", column)
+            rows = rows.withColumn("place", F.xxhash64(F.slice(column, 1, d)))
+            shared = rows.groupBy("host", "place").agg(F.min(whole).alias("lo"), F.max(whole).alias("hi")).where("lo <> hi").select("host", "place", F.lit(True).alias("__on"))
+            rows = materialize(rows.join(shared, ["host", "place"], "left").drop("place"), "tree")
+            done.append(rows.where("__on IS NULL").drop("__on"))
+            rows = rows.where("__on").drop("__on")
+            deepest = rows.agg(F.max(F.size(column))).first()[0] or 0
+    return reduce(DataFrame.unionByName, [*done, rows])
 
 
 def generalised(shapes: DataFrame) -> DataFrame:
     """shapes (host, shape, n, labelled, bad) with template: segments of places with many different ones made *."""
-    tree = shapes.withColumn("template", F.col("shape"))
-    depth = tree.agg(F.max(F.size("shape"))).first()[0] or 0
-    for d in range(1, min(depth, DEPTH + 1) + 1):
+
+    def level(tree: DataFrame, d: int) -> DataFrame:
         at = F.get("template", F.lit(d - 1))
-        place = F.concat_ws("/", F.slice("template", 1, d - 1)) if d > 1 else F.lit("")
-        here = tree.where(at.isNotNull()).groupBy("host", place.alias("place"), at.alias("seg")).agg(F.sum("n").alias("n"))
+        tree = tree.withColumn("place", F.concat_ws("/", F.slice("template", 1, d - 1)) if d > 1 else F.lit(""))
+        here = tree.where(at.isNotNull()).groupBy("host", "place", at.alias("seg")).agg(F.sum("n").alias("n"))
         wide = here.groupBy("host", "place").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
         wide = wide.where((F.col("k") >= MANY) & (F.col("n") < ROWS_EACH * F.col("k"))).select("host", "place", F.lit(True).alias("wide"))
-        tree = tree.withColumn("place", place).join(wide, ["host", "place"], "left")
-        new = F.transform("template", lambda s, i: F.when(F.col("wide") & (i == d - 1), F.lit("*")).otherwise(s))  # noqa: B023
-        tree = materialize(tree.withColumn("template", F.when(F.col("wide"), new).otherwise(F.col("template"))).drop("place", "wide"), "tree")
-    return tree
+        new = F.transform("template", lambda s, i: F.when(F.col("wide") & (i == d - 1), F.lit("*")).otherwise(s))
+        return tree.join(wide, ["host", "place"], "left").withColumn("template", F.when(F.col("wide"), new).otherwise(F.col("template"))).drop("place", "wide")
+
+    return _by_level(shapes.withColumn("template", F.col("shape")), "template", level)
 
 
 def judged(tree: DataFrame) -> DataFrame:
@@ -76,11 +96,9 @@ def judged(tree: DataFrame) -> DataFrame:
     leaf = tree.groupBy("host", "template").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
     total = leaf.agg(F.coalesce((F.sum("bad") + F.lit(STRENGTH * PRIOR)) / (F.sum("labelled") + F.lit(STRENGTH)), F.lit(PRIOR)).alias("base")).first()[0]
     total = PRIOR if total is None else float(total)
-    leaf = leaf.withColumn("final", F.col("template"))
-    depth = tree.agg(F.max(F.size("template"))).first()[0] or 0
-    for d in range(1, min(depth, DEPTH + 1) + 1):  # siblings that differ in segment d only
-        group = F.transform("final", lambda s, i: F.when(i == d - 1, F.lit("*")).otherwise(s))  # noqa: B023
-        leaf = leaf.withColumn("group", group)
+
+    def level(leaf: DataFrame, d: int) -> DataFrame:  # siblings that differ in segment d only
+        leaf = leaf.withColumn("group", F.transform("final", lambda s, i: F.when(i == d - 1, F.lit("*")).otherwise(s)))
         node = leaf.groupBy("host", "group", "final").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
         pool = node.groupBy("host", "group").agg(F.sum("l").alias("pl"), F.sum("b").alias("pb"), F.count(F.lit(1)).alias("k"))
         node = node.join(pool.where("k > 1"), ["host", "group"])
@@ -90,8 +108,9 @@ def judged(tree: DataFrame) -> DataFrame:
         gap = F.abs((F.col("b") + STRENGTH * total) / (F.col("l") + STRENGTH) - (rest_bad + STRENGTH * total) / (rest + STRENGTH))
         alike = gap <= Z * F.sqrt(rate * (1 - rate) * (1 / (F.col("l") + STRENGTH) + 1 / (rest + STRENGTH)))
         node = node.where(alike).select("host", "final", F.col("group").alias("to"))
-        leaf = leaf.drop("group").join(node, ["host", "final"], "left").withColumn("final", F.coalesce("to", "final")).drop("to")
-        leaf = materialize(leaf, "leaf")
+        return leaf.drop("group").join(node, ["host", "final"], "left").withColumn("final", F.coalesce("to", "final")).drop("to")
+
+    leaf = _by_level(leaf.withColumn("final", F.col("template")), "final", level)
     final = leaf.groupBy("host", "final").agg(F.sum("labelled").alias("fl"), F.sum("bad").alias("fb"))
     purity = (F.col("fb") + STRENGTH * total) / (F.col("fl") + STRENGTH)
     final = final.select("host", "final", F.round(purity, 6).alias("badness"), F.when(purity >= LIMIT, "block").otherwise("allow").alias("method"))
