@@ -34,7 +34,17 @@ def test_session(spark, world):
     assert {r.state for r in s.search(queries, texts, 10).select("state").distinct().collect()} == {"WARM"}
     a, plan = api.migrate(s, queries, texts, docs_per_s=100.0)
     row = plan.first()
-    assert a.grid == [10, 20, 50, 100] and row.remaining == 0 and row.recommendation in ("PROCEED_WITH_CAUTION", "EXPAND_PROBE", "DEFER") and row.confidence == "INSUFFICIENT"
+    assert a.grid == [10, 20, 50, 100] and row.remaining == 0 and row.recommendation in ("PROCEED_WITH_CAUTION", "EXPAND_PROBE", "DEFER") and row.confidence == ("LIMITED" if row.probes else "INSUFFICIENT")
+
+
+def test_changed_documents_are_not_served_from_old_vectors(spark, world, tmp_path):
+    docs, texts, index, queries, _ = world
+    s = api.MigrationSession(docs, index, HashModel(16), str(tmp_path / "store"))
+    s.encode()
+    changed = api.MigrationSession(docs.withColumn("text", F.when(F.col("doc_id") < 10, F.concat("text", F.lit(" more"))).otherwise(F.col("text"))), index, HashModel(16), s.store)
+    hits = changed.search(queries, texts, 120)
+    assert {r.doc_id for r in hits.where("action = 'queued'").collect()} == set(range(10)) and hits.where("text IS NULL").count() == 0
+    assert changed.encode() == 10 and changed.search(queries, texts, 120).where("action = 'queued'").count() == 0
 
 
 def test_evaluate(spark, world):

@@ -40,6 +40,77 @@ def test_decisions(spark):
     assert all(r.decision == r.want for r in probe.guarded_decision(edge).collect())
 
 
+def test_leaking_names(spark):
+    df = spark.createDataFrame(GOLDEN, [*FEATURES, "want"])
+    for name in ("qrels_n", "native_x", "ndcg", "Candidate_Gap_50", "G(50)", "target_rank", "label", "observed_k"):
+        with pytest.raises(ValueError):
+            probe.guarded_decision(df.withColumn(name, F.lit(1.0)))
+    assert probe.ledger(df.withColumn("recall_id", F.lit(7)), ["recall_id"]).columns == ["recall_id", *probe.REQUIRED, "decision"]
+
+
+def test_short_pool_reads_the_whole_pool(spark):
+    """Twelve at the top of the grid, and the best ones only behind it."""
+    c = [("q", f"d{i}", i, float(100 - i)) for i in range(100)] + [("q", f"e{i}", 100 + i, 200.0 + i) for i in range(4)]
+    r = probe.short_pool_features(spark.createDataFrame(c, "query_id string, doc_id string, source_rank int, target_score double"), (10, 20, 50, 100)).first()
+    assert (r.probe_residual_tail_50, r.stability_50, r.deepest_source_rank, r.late_tail_area, r.last_shell_any, r.margin_nonpositive) == (0.0, 1.0, 103.0, 0.4, 1.0, 0.0)
+    few = probe.short_pool_features(spark.createDataFrame(c[:4], "query_id string, doc_id string, source_rank int, target_score double"), (10, 20)).first()
+    assert few.stability_50 == 1.0 and few.late_tail_area == 0.0
+
+
+def test_rerank_refuses_nan(spark):
+    c = spark.createDataFrame([("q", "a", 0, 0.1), ("q", "b", 1, None), ("q", "c", 2, 0.1)], "query_id string, doc_id string, source_rank int, target_score double")
+    assert [(r.doc_id, r.position) for r in retrieval.rerank(c).orderBy("position").collect()] == [("a", 1), ("c", 2)]
+    with pytest.raises(PySparkException):
+        retrieval.rerank(c.withColumn("target_score", F.lit(float("nan")))).collect()
+
+
+def test_advice(spark):
+    cols = "id int, preflight string, decision string, recommended_k int, probes int, verified boolean, ann_status string, exact_registry boolean"
+    cases = [
+        ("FAIL", "SAFE", 50, 200, True, "PASS", True, "BLOCKED", "STRONG"),
+        ("PASS", None, None, 0, True, "PASS", False, "EXPAND_PROBE", "INSUFFICIENT"),
+        ("PASS", "SAFE", 50, 0, True, "PASS", False, "EXPAND_PROBE", "INSUFFICIENT"),
+        ("PASS", "SAFE", None, 200, True, "PASS", False, "EXPAND_PROBE", "STRONG"),
+        ("PASS", "EXPAND", 50, 49, True, "PASS", True, "EXPAND_PROBE", "LIMITED"),
+        ("PASS", "UNSAFE_OR_UNCERTAIN", None, 50, True, "PASS", True, "DEFER", "MODERATE"),
+        ("PASS", "SAFE", 50, 100, True, "PASS", False, "PROCEED", "STRONG"),
+        ("PASS", "SAFE", 50, 100, True, "UNKNOWN", True, "PROCEED", "STRONG"),
+        ("WARN", "SAFE", 50, 100, True, "UNKNOWN", False, "PROCEED_WITH_CAUTION", "MODERATE"),
+        ("PASS", "SAFE", 50, 99, True, "PASS", True, "PROCEED_WITH_CAUTION", "MODERATE"),
+        ("PASS", "SAFE", 50, 49, True, "PASS", True, "PROCEED_WITH_CAUTION", "LIMITED"),
+        ("PASS", "SAFE", 50, 500, False, "PASS", True, "PROCEED_WITH_CAUTION", "MODERATE"),
+    ]
+    x = planning.advisory(spark.createDataFrame([(i, *c[:7]) for i, c in enumerate(cases)], cols))
+    assert {r.id: (r.recommendation, r.confidence) for r in x.collect()} == {i: c[7:] for i, c in enumerate(cases)}
+    names = {}
+    for r in planning.rollout(x, "id").orderBy("phase").collect():
+        names.setdefault(r.id, []).append((r["name"], r.traffic))
+    assert names[6] == [("Validate", 0.0), ("Shadow", 0.0), ("Small canary", 0.05), ("Expanded canary", 0.25), ("Target-primary path", 1.0)]
+    assert [n for n, _ in names[0]] == [n for n, _ in names[5]] == ["Validate", "Shadow", "Hold"]
+
+
+def test_serving_plan(spark):
+    cases = [("SAFE", "PASS", 5, 10, 20, "READY", "PROGRESSIVE", 20, 0.5, ""), ("SAFE", "UNKNOWN", 0, 0, None, "READY", "PROGRESSIVE", 50, 0.0, "ANN_NOT_CONFIRMED"), ("SAFE", "WARNING", 11, 10, 20, "REVIEW", "PROGRESSIVE", 20, 1.1, "ANN_NOT_CONFIRMED,CACHE_EXCEEDS_CORPUS"), (None, "PASS", 0, 10, None, "REVIEW", "PROGRESSIVE_WITH_REVIEW", 50, 0.0, "DECISION_NOT_SAFE")]
+    x = spark.createDataFrame([(i, *c[:5]) for i, c in enumerate(cases)], "id int, decision string, ann_status string, cached long, documents long, recommended_k int")
+    assert {r.id: (r.status, r.strategy, r.k, r.cache_fraction, r.warnings) for r in planning.serving_plan(x).collect()} == {i: c[5:] for i, c in enumerate(cases)}
+
+
+def test_registry_tiers(spark):
+    cols = "evidence_id int, source string, target string, source_fp string, target_fp string, corpus_fp string, corpus_name string, corpus_size long, canonical boolean"
+    reg = [
+        (1, "minilm_l6", "qwen3-8b", "a", "b", "c1", "nq", 10, True), (2, "MiniLM-L6-v2", "Qwen/Qwen3-Embedding-8B", "a", "b", None, "nq", 20, True), (3, "minilm-l6", "qwen3_8b", "a", "b", "c3", "nq", 30, False),
+        (4, "x", "y", "a", "b", "c1", "nq", 10, True), (5, "x", "y", "a2", "b", "c1", "nq", 10, True),
+    ]
+    m, q = "sentence-transformers/all-MiniLM-L6-v2", "Qwen/Qwen3-Embedding-8B"
+    want = [
+        (m, q, "a", "b", "c1", "zz", 0, "EXACT", 1, 1), (m, q, "a", "b", None, "nq", 20, "EXACT", 1, 2), (m, q, "a", "b", "c3", "nq", 10, "EXACT", 2, 1), (m, q, "a", "b", "no", "nq", 30, "PRIOR", 3, 1), (m, q, "a", None, "c1", "nq", 10, "RELATED", 3, 1),
+        ("x", "y", "a", "b", "c1", "nq", 10, "RELATED", 2, 4), ("all-MiniLM-L12", "qwen3-embedding-32b", "a", "b", "c1", "nq", 10, "RELATED", 3, 1), ("other", "y", "a", "b", "c1", "nq", 10, "NONE", 0, None),
+    ]
+    w = spark.createDataFrame([(i, *c[:7]) for i, c in enumerate(want)], cols.replace("evidence_id", "pair_id").replace(", canonical boolean", ""))
+    got = planning.registry_match(w, spark.createDataFrame(reg, cols)).collect()
+    assert {r.pair_id: (r.tier, r.records, r.first_evidence) for r in got} == {i: c[7:] for i, c in enumerate(want)}
+
+
 def test_gap_curve_keeps_its_sign(spark):
     cand = spark.createDataFrame([("q", "a", 0, 0.1), ("q", "b", 1, 0.9), ("q", "c", 2, 0.2)], "query_id string, doc_id string, source_rank int, target_score double")
     native = spark.createDataFrame([("q", "b", 0), ("q", "a", 1), ("q", "c", 2)], "query_id string, doc_id string, rank int")
@@ -89,8 +160,8 @@ def test_topk_ties_blocks_and_bad_vectors(spark, monkeypatch):
 
 
 def test_scalars(spark):
-    df = spark.createDataFrame([("90s",), ("1.5h",), ("2d",), ("1w",), ("5 m",), ("x",), (None,)], "s string")
-    assert [r[0] for r in df.select(S.seconds(F.col("s"))).collect()] == [90.0, 5400.0, 172800.0, 604800.0, None, None, None]
+    df = spark.createDataFrame([("90s",), ("1.5h",), ("2d",), ("1w",), ("5 m",), ("x",), (None,), ("90",), ("24H",), (" 2 ",)], "s string")
+    assert [r[0] for r in df.select(S.seconds(F.col("s"))).collect()] == [90.0, 5400.0, 172800.0, 604800.0, None, None, None, 90.0, 86400.0, 2.0]
     ns = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
     names = ["a", "doc-17", "é"]
     got = [r[0] for r in spark.createDataFrame([(n,) for n in names], "n string").select(S.uuid5(ns, F.col("n"))).collect()]
@@ -194,7 +265,7 @@ def python_queue(events, most=3):
         elif s and k == "restart" and s[0] == "processing":
             s[0] = "pending"
         elif s and k == "requeue" and s[0] in ("done", "error"):
-            st[d] = ["pending", 0, seq]
+            s[0], s[1] = "pending", 0
     return {d: tuple(s) for d, s in st.items()}
 
 

@@ -46,13 +46,13 @@ def evaluate(source_corpus, source_queries, target_corpus, target_queries, qrels
     return quality.evaluate(source, native, qrels, scored, ks, quality_k)
 
 
-def plan(analysis: Analysis, documents: DataFrame, cached: DataFrame, dim: int, dtype: str = "float32", ann: DataFrame | None = None, preflight: str = "PASS", verified: bool = False, docs_per_s: float | None = None, usd_per_hour: float | None = None) -> DataFrame:
+def plan(analysis: Analysis, documents: DataFrame, cached: DataFrame, dim: int, dtype: str = "float32", ann: DataFrame | None = None, preflight: str = "PASS", verified: bool = False, exact_registry: bool = False, docs_per_s: float | None = None, usd_per_hour: float | None = None) -> DataFrame:
     """One advisory row: recommendation, confidence, readiness, warnings, remaining work and its cost."""
     spark = documents.sparkSession
     ann = ann.select(F.col("status").alias("ann_status")) if ann is not None else spark.createDataFrame([("UNKNOWN",)], "ann_status string")
     left = planning.remaining(documents.select(F.col("doc_id").alias("document_id")), cached, dim, dtype, docs_per_s, usd_per_hour)
     x = analysis.summary.select("decision", "recommended_k", F.col("queries").alias("probes")).join(ann).join(left)
-    x = x.withColumn("preflight", F.lit(preflight)).withColumn("verified", F.lit(verified))
+    x = x.withColumn("preflight", F.lit(preflight)).withColumn("verified", F.lit(verified)).withColumn("exact_registry", F.lit(exact_registry))
     return planning.serving_plan(planning.advisory(x))
 
 
@@ -82,11 +82,17 @@ class MigrationSession:
         self.documents, self.index, self.model, self.store = documents, source_index, model, store
 
     def vectors(self) -> DataFrame:
-        """Target vectors encoded so far, the newest content of each document."""
+        """Target vectors encoded so far, of every content and model."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.store)
         there = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
         return self.spark.read.schema(SCHEMA).parquet(self.store) if there else self.spark.createDataFrame([], SCHEMA)
 
+    def current(self) -> DataFrame:
+        """doc_id, v: the vectors of this model for what the documents hold now; a changed document has none until encoded."""
+        now = self.documents.select("doc_id", F.sha2("text", 256).alias("content_fingerprint")).distinct()
+        held = self.vectors().where(F.col("model_fingerprint") == self.model.fingerprint()).join(now, ["doc_id", "content_fingerprint"], "left_semi")
+        return held.dropDuplicates(["doc_id", "content_fingerprint"]).select("doc_id", "v")
+
     def warm(self) -> DataFrame:
         """document_id of the documents whose current content is encoded by this model."""
         wanted = self.documents.select(F.col("doc_id").alias("document_id"), F.sha2("text", 256).alias("content_fingerprint"))
@@ -106,14 +112,14 @@ class MigrationSession:
         return self.vectors().join(self.documents.select("doc_id", F.sha2("text", 256).alias("content_fingerprint")), ["doc_id", "content_fingerprint"], "left_semi").select("doc_id", "v")
 
     def search(self, source_queries: DataFrame, texts: DataFrame, k: int = 50) -> DataFrame:
-        """Candidates from the old index, reranked by what the new space holds; source order where it holds nothing.
-        source_queries (query_id, v), texts (query_id, text)."""
+        """Candidates from the old index with their texts, reranked by what the new space holds for the present contents; source
+        order where it holds nothing. source_queries (query_id, v), texts (query_id, text)."""
         top = retrieval.topk(self.index, source_queries, k).select("query_id", "doc_id", F.col("rank").alias("source_rank"))
-        held = self.vectors().where(F.col("model_fingerprint") == self.model.fingerprint()).groupBy("doc_id").agg(F.max_by("v", "content_fingerprint").alias("v"))
+        held = self.current()
         q = encode(texts, self.model, "query_id")
         scored = retrieval.pair_scores(top, q, held).select("query_id", "doc_id", "target_score")
         x = top.join(scored, ["query_id", "doc_id"], "left").withColumn("hit", F.col("target_score").isNotNull())
-        return cache.progressive(x, 0)
+        return cache.with_text(cache.progressive(x, 0), self.documents)
 
     def status(self) -> DataFrame:
         return self.documents.select(F.col("doc_id").alias("document_id")).join(self.warm().withColumn("w", F.lit(1)), "document_id", "left").agg(F.count(F.lit(1)).alias("documents"), F.count("w").alias("warm"))

@@ -18,8 +18,24 @@ METRICS = {
     "euclidean": "l2",
     "squared_l2": "squared_l2",
 }
-#: Model names that stand for one canonical name (fixed values).
-FAMILIES = [(r"minilm", "minilm"), (r"qwen[-_]?3", "qwen3")]
+#: Model names in lower case that stand for one canonical name (fixed values).
+MODELS = {
+    "minilm_l6": "sentence-transformers/all-MiniLM-L6-v2",
+    "minilm-l6": "sentence-transformers/all-MiniLM-L6-v2",
+    "minilm-l6-v2": "sentence-transformers/all-MiniLM-L6-v2",
+    "sentence-transformers/all-minilm-l6-v2": "sentence-transformers/all-MiniLM-L6-v2",
+    "qwen3-0.6b": "Qwen/Qwen3-Embedding-0.6B",
+    "qwen3_0_6b": "Qwen/Qwen3-Embedding-0.6B",
+    "qwen/qwen3-embedding-0.6b": "Qwen/Qwen3-Embedding-0.6B",
+    "qwen3-4b": "Qwen/Qwen3-Embedding-4B",
+    "qwen3_4b": "Qwen/Qwen3-Embedding-4B",
+    "qwen/qwen3-embedding-4b": "Qwen/Qwen3-Embedding-4B",
+    "qwen3-8b": "Qwen/Qwen3-Embedding-8B",
+    "qwen3_8b": "Qwen/Qwen3-Embedding-8B",
+    "qwen/qwen3-embedding-8b": "Qwen/Qwen3-Embedding-8B",
+}
+#: Names of model families, which any model name that holds them belongs to (fixed values).
+FAMILIES = ["minilm", "qwen3"]
 #: Patterns of secrets in free text and what replaces them (fixed values).
 SECRETS = [
     (r"(?i)\b(bearer)\s+[A-Za-z0-9._~+/=-]+", "$1 [REDACTED]"),
@@ -73,10 +89,18 @@ def metric_name(c: Column) -> Column:
     return F.coalesce(*[F.when(x == k, F.lit(v)) for k, v in METRICS.items()], F.lit("unknown"))
 
 
+def canonical_model(c: Column) -> Column:
+    """The canonical name of a model; a name without one stands for itself."""
+    names = F.create_map(*[F.lit(x) for p in MODELS.items() for x in p])
+    return F.coalesce(names[F.lower(F.trim(c))], F.trim(c))
+
+
 def model_family(c: Column) -> Column:
-    out = F.lit("other")
-    for pattern, name in reversed(FAMILIES):
-        out = F.when(F.lower(c).rlike(pattern), name).otherwise(out)
+    """The family a model name holds; a name without a family is one of its own."""
+    name = F.replace(F.replace(F.lower(c), F.lit("embedding"), F.lit("")), F.lit("sentence-transformers/"), F.lit(""))
+    out = name
+    for family in reversed(FAMILIES):
+        out = F.when(name.contains(family), family).otherwise(out)
     return out
 
 
@@ -91,10 +115,10 @@ def sampled(seed: int, c: Column, rate: float) -> Column:
 
 
 def seconds(c: Column) -> Column:
-    """Durations such as 90s, 1.5h, 2d, 1w in seconds; null where malformed."""
-    x = F.trim(c)
-    n, u = F.regexp_extract(x, r"^(\d+(?:\.\d+)?)([smhdw])$", 1), F.regexp_extract(x, r"^(\d+(?:\.\d+)?)([smhdw])$", 2)
-    size = F.when(u == "s", 1).when(u == "m", 60).when(u == "h", 3600).when(u == "d", 86400).when(u == "w", 604800)
+    """Durations such as 90, 90s, 1.5h, 24H, 2d, 1w in seconds (a bare number is seconds); null where malformed."""
+    x, form = F.lower(F.trim(c)), r"^(\d+(?:\.\d+)?)([smhdw]?)$"
+    n, u = F.regexp_extract(x, form, 1), F.regexp_extract(x, form, 2)
+    size = F.when(u == "m", 60).when(u == "h", 3600).when(u == "d", 86400).when(u == "w", 604800).otherwise(1)
     return F.when(n != "", n.cast("double") * size)
 
 

@@ -73,6 +73,11 @@ def progressive(candidates: DataFrame, max_sync: int = 4) -> DataFrame:
     return x.withColumn("position", pos).drop("there", "n", "have")
 
 
+def with_text(hits: DataFrame, documents: DataFrame) -> DataFrame:
+    """hits with the text of their documents; null where there is none."""
+    return hits.join(documents.select("doc_id", "text"), "doc_id", "left")
+
+
 def shadow_observation(source: DataFrame, target: DataFrame, report_k: int = 10, least: float = 1.0) -> DataFrame:
     """query_id, coverage, top1_agreement, overlap, completed from a source list (query_id, doc_id, rank, hit) and the
     reranked target list (query_id, doc_id, rank); overlap over max(1, min(k, |source|, |target|))."""
@@ -89,7 +94,7 @@ def shadow_observation(source: DataFrame, target: DataFrame, report_k: int = 10,
 def queue_fold(events: DataFrame, max_attempts: int = 3) -> DataFrame:
     """Work-queue state of each document after its events (document_id, seq, kind): enqueue, claim, done, fail, restart,
     requeue. Enqueue is ignored where the id is known; fail goes back to pending while attempts are left, else to error; restart puts
-    processing back to pending; requeue acts on done and error only. A fold over each document's own events."""
+    processing back to pending; requeue acts on done and error only and keeps the place in the queue. A fold over each document's own events."""
     e = events.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("seq", "kind"))).alias("ev"))
     step = f"""aggregate(ev, named_struct('status', cast(null as string), 'attempts', 0, 'enqueued_at', cast(null as long)), (s, x) -> CASE
       WHEN x.kind = 'enqueue' AND s.status IS NULL THEN named_struct('status', 'pending', 'attempts', 0, 'enqueued_at', cast(x.seq as long))
@@ -97,7 +102,7 @@ def queue_fold(events: DataFrame, max_attempts: int = 3) -> DataFrame:
       WHEN x.kind = 'done' AND s.status = 'processing' THEN named_struct('status', 'done', 'attempts', s.attempts, 'enqueued_at', s.enqueued_at)
       WHEN x.kind = 'fail' AND s.status = 'processing' THEN named_struct('status', IF(s.attempts < {max_attempts}, 'pending', 'error'), 'attempts', s.attempts, 'enqueued_at', s.enqueued_at)
       WHEN x.kind = 'restart' AND s.status = 'processing' THEN named_struct('status', 'pending', 'attempts', s.attempts, 'enqueued_at', s.enqueued_at)
-      WHEN x.kind = 'requeue' AND s.status IN ('done', 'error') THEN named_struct('status', 'pending', 'attempts', 0, 'enqueued_at', cast(x.seq as long))
+      WHEN x.kind = 'requeue' AND s.status IN ('done', 'error') THEN named_struct('status', 'pending', 'attempts', 0, 'enqueued_at', s.enqueued_at)
       ELSE s END)"""
     return e.select("document_id", F.expr(step).alias("s")).where("s.status IS NOT NULL").select("document_id", "s.status", "s.attempts", "s.enqueued_at")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vecshift.functions.scalar import canonical_model, model_family
+
 FRACTIONS = (0.01, 0.05, 0.10, 0.25, 0.50, 1.0)
 #: Bytes of a vector component by type name (fixed values).
 WIDTHS = {"float16": 2, "bfloat16": 2, "bf16": 2, "float32": 4, "float64": 8, "int8": 1, "uint8": 1}
@@ -36,41 +38,64 @@ def remaining(corpus: DataFrame, cached: DataFrame, dim: int, dtype: str, docs_p
     return x.select("documents", "cached", left.alias("remaining"), F.round(left / F.greatest(F.lit(1), F.col("documents")), 9).alias("deferred_fraction"), *economics(left, dim, dtype, docs_per_s, usd_per_hour))
 
 
-def serving_plan(rows: DataFrame) -> DataFrame:
-    """rows (decision, ann_status, cached, documents) with ready, cache_fraction, warnings."""
+def serving_plan(rows: DataFrame, fallback_k: int = 50) -> DataFrame:
+    """rows (decision, ann_status, cached, documents, recommended_k where known) with status, strategy, k, cache_fraction, warnings.
+
+    READY: a SAFE decision, and ANN fidelity not known to be low. A missing decision counts as not SAFE."""
+    safe = F.coalesce(F.col("decision") == "SAFE", F.lit(False))
     warn = F.array_compact(
         F.array(
-            F.when(F.col("decision") != "SAFE", F.lit("T2_NOT_SAFE")), F.when(F.col("ann_status") == "WARNING", F.lit("ANN_BELOW_THRESHOLD")),
-            F.when(F.col("ann_status") == "UNKNOWN", F.lit("ANN_UNKNOWN")), F.when(F.col("cached") == 0, F.lit("CACHE_EMPTY")),
-        )
+            F.when(~safe, F.lit("DECISION_NOT_SAFE")),
+            F.when(F.col("ann_status").isin("WARNING", "UNKNOWN"), F.lit("ANN_NOT_CONFIRMED")),
+            F.when(F.col("cached") > F.col("documents"), F.lit("CACHE_EXCEEDS_CORPUS")),
+        )
+    )
+    ready = safe & F.col("ann_status").isin("PASS", "UNKNOWN")
+    known = F.col("recommended_k") if "recommended_k" in rows.columns else F.lit(None)
+    share = F.when(F.col("documents") > 0, F.col("cached") / F.col("documents")).otherwise(0.0)
+    return (
+        rows.withColumn("status", F.when(ready, "READY").otherwise("REVIEW"))
+        .withColumn("strategy", F.when(safe, "PROGRESSIVE").otherwise("PROGRESSIVE_WITH_REVIEW"))
+        .withColumn("k", F.coalesce(known.cast("long"), F.lit(fallback_k).cast("long")))
+        .withColumn("cache_fraction", F.round(share, 9))
+        .withColumn("warnings", F.concat_ws(",", warn))
     )
-    ready = (F.col("decision") == "SAFE") & F.col("ann_status").isin("PASS", "UNKNOWN")
-    return rows.withColumn("ready", ready).withColumn("cache_fraction", F.round(F.col("cached") / F.greatest(F.lit(1), F.col("documents")), 9)).withColumn("warnings", F.concat_ws(",", warn))
 
 
-def confidence(probes: Column, verified: Column) -> Column:
-    return F.when(probes < 20, "INSUFFICIENT").when(probes < 100, "LIMITED").when((probes < 500) | ~verified, "MODERATE").otherwise("STRONG")
+def confidence(decision: Column, probes: Column, verified: Column, ann: Column, exact_registry: Column) -> Column:
+    """INSUFFICIENT without a decision or a probe; a decision that is not SAFE is at most MODERATE, from 50 probes on; STRONG
+    takes a verified source contract, 100 probes, and confirmed ANN fidelity or an exact registry match."""
+    some = F.when(probes >= 50, "MODERATE").otherwise("LIMITED")
+    strong = (decision == "SAFE") & (probes >= 100) & verified & ((ann == "PASS") | exact_registry)
+    return F.when(decision.isNull() | (probes == 0), "INSUFFICIENT").when(strong, "STRONG").otherwise(some)
 
 
 def advisory(rows: DataFrame) -> DataFrame:
-    """rows (preflight, decision, probes, verified) with recommendation and confidence."""
-    strong = (F.col("probes") >= 100) & F.col("verified") & (F.col("preflight") == "PASS")
+    """rows (preflight, decision, recommended_k, probes, verified, ann_status, exact_registry) with recommendation and confidence."""
+    full = (F.col("probes") >= 100) & F.col("verified") & (F.col("preflight") == "PASS")
     rec = (
         F.when(F.col("preflight") == "FAIL", "BLOCKED")
-        .when(F.col("decision").isNull(), "DEFER")
-        .when(F.col("decision") == "EXPAND", "EXPAND_PROBE")
+        .when(F.col("decision").isNull() | (F.col("probes") == 0) | (F.col("decision") == "EXPAND"), "EXPAND_PROBE")
         .when(F.col("decision") == "UNSAFE_OR_UNCERTAIN", "DEFER")
-        .when(strong, "PROCEED")
+        .when(F.col("recommended_k").isNull(), "EXPAND_PROBE")
+        .when(full, "PROCEED")
         .otherwise("PROCEED_WITH_CAUTION")
     )
-    return rows.withColumn("recommendation", rec).withColumn("confidence", confidence(F.col("probes"), F.col("verified")))
+    sure = confidence(F.col("decision"), F.col("probes"), F.col("verified"), F.col("ann_status"), F.col("exact_registry"))
+    return rows.withColumn("recommendation", rec).withColumn("confidence", sure)
 
 
-ROLLOUT = [(1, "shadow", 0.0), (2, "canary", 0.01), (3, "partial", 0.10), (4, "majority", 0.50), (5, "full", 1.0)]
+#: Phases of a rollout with their share of traffic: for all plans, for those that go on, for the others (fixed values).
+PHASES = [(0, "Validate", 0.0), (1, "Shadow", 0.0)]
+GO_ON = [(2, "Small canary", 0.05), (3, "Expanded canary", 0.25), (4, "Target-primary path", 1.0)]
+HOLD = [(2, "Hold", 0.0)]
 
 
-def rollout(spark) -> DataFrame:
-    return spark.createDataFrame(ROLLOUT, "phase int, name string, traffic double")
+def rollout(rows: DataFrame, key: str = "plan_id") -> DataFrame:
+    """key, phase, name, traffic: the phases of each plan by its recommendation."""
+    phases = lambda x: F.array(*[F.struct(F.lit(n).alias("phase"), F.lit(name).alias("name"), F.lit(t).alias("traffic")) for n, name, t in x])
+    own = F.when(F.col("recommendation").isin("PROCEED", "PROCEED_WITH_CAUTION"), phases(PHASES + GO_ON)).otherwise(phases(PHASES + HOLD))
+    return rows.select(key, F.explode(own).alias("p")).select(key, "p.phase", "p.name", "p.traffic")
 
 
 CONTRACT = ("model_id", "revision", "pooling", "normalize", "dimension", "dtype", "query_instruction", "document_instruction", "max_length", "prefix", "trust")
@@ -83,21 +108,37 @@ def contract_fingerprint(cols: list[str]) -> Column:
 
 
 def registry_match(wanted: DataFrame, registry: DataFrame) -> DataFrame:
-    """wanted (pair_id, source, target, source_fp, target_fp, source_family, target_family) with the best tier of evidence
-    and how many records have it: EXACT (both contracts), PRIOR (both names), RELATED (both families), NONE.
-
-    Three equi-joins, one for each tier, so that no pair is compared with records it can't match."""
-    tiers = [("EXACT", ["source_fp", "target_fp"], 1), ("PRIOR", ["source", "target"], 2), ("RELATED", ["source_family", "target_family"], 3)]
-    found = None
-    for name, keys, rank in tiers:
-        r = registry.groupBy(*keys).agg(F.count(F.lit(1)).alias("records"), F.min("evidence_id").alias("first_evidence"))
-        if name == "RELATED":
-            r = r.where("source_family <> 'other' AND target_family <> 'other'")
-        x = wanted.join(r, keys).select("pair_id", F.lit(rank).alias("rank"), F.lit(name).alias("tier"), "records", "first_evidence")
-        found = x if found is None else found.unionByName(x)
-    best = found.groupBy("pair_id").agg(F.min_by(F.struct("tier", "records", "first_evidence"), "rank").alias("b"))
-    x = wanted.select("pair_id").join(best, "pair_id", "left")
-    return x.select("pair_id", F.coalesce("b.tier", F.lit("NONE")).alias("tier"), F.coalesce("b.records", F.lit(0)).alias("records"), F.col("b.first_evidence").alias("first_evidence"))
+    """Best tier of evidence for each wanted transition, how many records have it, and the smallest evidence_id of these.
+
+    wanted (pair_id, source, target, source_fp, target_fp, corpus_fp, corpus_name, corpus_size); registry the same without
+    pair_id, with evidence_id and canonical (whether its corpus was built the canonical way). Names are made canonical here.
+
+    EXACT: the names match, all records of the transition have both contract fingerprints, and a record has the corpus, by its
+    fingerprint or by name, size and canonical construction; the records with the corpus count. PRIOR: the same without
+    the corpus. RELATED: the names alone, or, where no record has the names, both families. NONE: else.
+
+    The registry is aggregated by each kind of key first, so that every join meets one row a key at most."""
+    names, fps = ["source", "target"], ["source_fp", "target_fp"]
+    clean = lambda df: df.withColumns({c: canonical_model(F.col(c)) for c in names})
+    w, r = clean(wanted), clean(registry)
+    kin = lambda df: df.withColumns({f"__{c}": model_family(F.col(c)) for c in names})
+    count = lambda x: [F.count(F.lit(1)).alias(f"{x}_n"), F.min("evidence_id").alias(f"{x}_id")]
+    same = [F.when((F.count(c) == F.count(F.lit(1))) & (F.min(c) == F.max(c)), F.min(c)).alias(f"all_{c}") for c in fps]
+    by_name = r.groupBy(*names).agg(*count("name"), *same)
+    by_family = kin(r).groupBy("__source", "__target").agg(*count("family"))
+    whole = r.where("canonical")
+    size = ["corpus_name", "corpus_size"]
+    x = w.join(by_name, names, "left").join(r.groupBy(*names, "corpus_fp").agg(*count("print")), [*names, "corpus_fp"], "left")
+    x = x.join(whole.groupBy(*names, *size).agg(*count("built")), [*names, *size], "left")
+    x = x.join(whole.groupBy(*names, *size, "corpus_fp").agg(*count("both")), [*names, *size, "corpus_fp"], "left")
+    x = kin(x).join(by_family, ["__source", "__target"], "left")
+    n = lambda c: F.coalesce(f"{c}_n", F.lit(0))
+    contracts = F.coalesce((F.col("source_fp") == F.col("all_source_fp")) & (F.col("target_fp") == F.col("all_target_fp")), F.lit(False))
+    corpus = n("print") + n("built") - n("both")
+    tier = F.when(contracts & (corpus > 0), "EXACT").when(contracts, "PRIOR").when(F.coalesce("name_n", "family_n").isNotNull(), "RELATED").otherwise("NONE")
+    records = F.when(F.col("tier") == "EXACT", corpus).otherwise(F.coalesce("name_n", "family_n", F.lit(0)))
+    first = F.when(F.col("tier") == "EXACT", F.least("print_id", "built_id")).otherwise(F.coalesce("name_id", "family_id"))
+    return x.withColumn("tier", tier).select("pair_id", "tier", records.cast("long").alias("records"), first.alias("first_evidence"))
 
 
 def priority_depths(evidence: DataFrame) -> DataFrame:
@@ -129,15 +170,18 @@ def semantic_provenance(claims: DataFrame, retained: DataFrame, rel: float = 1e-
     return x.withColumn("status", F.when(F.col("kept").isNull(), "missing").when(near, "match").otherwise("differs"))
 
 
-def registry_audit(evidence: DataFrame, expected: int) -> DataFrame:
+def registry_audit(evidence: DataFrame, expected: int | Column) -> DataFrame:
+    """Counts of the registry against the expected number of records, a number or an aggregate over it."""
     return evidence.agg(F.count(F.lit(1)).alias("records"), F.countDistinct("evidence_id").alias("distinct_ids"), (F.count(F.lit(1)) == expected).alias("count_ok"), (F.count(F.lit(1)) == F.countDistinct("evidence_id")).alias("unique_ok"))
 
 
 def dataset_digest(rows: DataFrame, key: str, *cols: str) -> DataFrame:
-    """Order-free digest of a dataset: SHA-256 over the sorted row hashes of each hash bucket, then over the buckets.
+    """Order-free digest of a dataset: SHA-256 over the sorted row hashes of each bucket of six hexadecimal digits, then over
+    the buckets of three digits, then over these; so no row holds more than 4096 digests but for equal leading digits.
     (An order-sensitive rolling digest has to see all rows in one place; see `rolling_digest`.)"""
     h = rows.select(F.sha2(F.concat_ws("\u001f", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in (key, *cols)]), 256).alias("h"))
-    part = h.groupBy(F.substring("h", 1, 3).alias("b")).agg(F.sha2(F.concat_ws("", F.array_sort(F.collect_list("h"))), 256).alias("d"), F.count(F.lit(1)).alias("n"))
+    leaf = h.groupBy(F.substring("h", 1, 6).alias("l")).agg(F.sha2(F.concat_ws("", F.array_sort(F.collect_list("h"))), 256).alias("d"), F.count(F.lit(1)).alias("n"))
+    part = leaf.groupBy(F.substring("l", 1, 3).alias("b")).agg(F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("l", "d"))), lambda r: r["d"])), 256).alias("d"), F.sum("n").alias("n"))
     return part.agg(F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda r: r["d"])), 256).alias("digest"), F.sum("n").alias("rows"))
 
 

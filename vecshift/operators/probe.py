@@ -12,7 +12,7 @@ from .quality import GRID, prefixes
 TOP = 10
 #: Features that a decision needs, and name parts that would leak labels into it (fixed values).
 REQUIRED = ["probe_residual_tail_50", "stability_50", "deepest_source_rank", "late_tail_area", "last_shell_any", "margin_nonpositive"]
-FORBIDDEN = ["ndcg", "qrel", "gap", "native", "recall", "label", "relevance"]
+FORBIDDEN = ["qrel", "native", "ndcg", "candidate_gap", "g(", "target_rank", "label", "observed_k"]
 
 
 def top_lists(candidates: DataFrame, grid=GRID) -> DataFrame:
@@ -62,14 +62,14 @@ def features(candidates: DataFrame) -> DataFrame:
 
 
 def short_pool_features(candidates: DataFrame, grid) -> DataFrame:
-    """Features where the grid does not reach 500: the final list is that of the deepest K of the grid, the late tail is
-    what it has beyond K = 50, and the margin is taken as 0 (so it counts as non-positive nowhere)."""
+    """Features where the grid does not reach 500: the final list is that of the deepest K of the grid; the late tail and the
+    deepest rank are those of the whole pool up to 500, against the first 50; the margin is taken as 0 (so it
+    counts as non-positive nowhere)."""
     last = max(grid)
-    k50 = 50 if 50 in grid else last
-    x = top_lists(candidates, sorted({*grid, k50}))
-    s50 = _same(k50, last) / TOP
-    new = F.size(F.array_except(_ids(last), _ids(k50)))
-    deep = F.aggregate(f"t{last}", F.lit(0), lambda z, r: F.greatest(z, r["source_rank"].cast("int"))).cast("double")
+    x = top_lists(candidates, sorted({*grid, 50, 500}))
+    s50 = _same(50, last) / F.greatest(F.lit(1), F.size(f"t{last}"))
+    new = _entrants(50, 500)
+    deep = F.aggregate("t500", F.lit(0), lambda z, r: F.greatest(z, r["source_rank"].cast("int"))).cast("double")
     return x.select(
         "query_id", (1 - s50).alias("probe_residual_tail_50"), s50.alias("stability_50"), deep.alias("deepest_source_rank"),
         (new / 10).alias("late_tail_area"), (new > 0).cast("double").alias("last_shell_any"), F.lit(0.0).alias("margin_nonpositive"),
@@ -105,6 +105,11 @@ def guarded_decision(rows: DataFrame) -> DataFrame:
     return rows.withColumn("decision", F.when(ok, decision()).otherwise(F.raise_error(F.lit("non-finite feature"))))
 
 
+def ledger(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The decisions of a batch: the key columns, the features a decision needs, and the decision; for `write_report(kind="csv")`."""
+    return guarded_decision(rows).select(*keys, *REQUIRED, "decision")
+
+
 def curve(per_k: DataFrame) -> DataFrame:
     """k, mean and min stability, and whether every deeper tested K is stable as well."""
     x = per_k.groupBy("k").agg(F.round(F.avg("stability"), 9).alias("mean_stability"), F.round(F.min("stability"), 9).alias("min_stability"))

@@ -13,6 +13,8 @@ from vecshift.functions.scalar import METRICS, vector_ok
 
 #: Bytes of query vectors that one pass over the corpus carries; more queries mean more passes.
 QUERY_BYTES = 32 << 20
+#: Scores that a task holds at a time.
+CELLS = 4 << 20
 DIGITS = 9
 
 
@@ -48,7 +50,8 @@ def topk(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine",
 
     corpus (doc_id, v) and queries (query_id, v) with double vectors of one dimension; zero vectors are dropped for
     cosine, null or non-finite ones always. The corpus is never shuffled: each partition multiplies its vectors with a
-    block of queries of bounded size, keeps its own top k, and only those rows meet in the final ranking.
+    block of queries (QUERY_BYTES and CELLS // k at most) in steps of CELLS scores, keeps its own top k, and only those rows
+    meet in the final ranking.
     """
     if isinstance(k, bool) or not isinstance(k, int) or k < 1:
         raise ValueError("k must be a positive integer")
@@ -60,17 +63,18 @@ def topk(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine",
     fine = lambda c: vector_ok("v", dim) & (F.expr("exists(v, x -> abs(x) > 1e-12)") if metric == "cosine" else F.lit(True))
     corpus = corpus.where(fine("v")).select(F.col("doc_id").cast("long").alias("doc_id"), "v")
     out = None
-    for ids, block in _query_blocks(queries.where(fine("v")), max(1, QUERY_BYTES // (8 * max(dim, 1)))):
+    for ids, block in _query_blocks(queries.where(fine("v")), max(1, min(QUERY_BYTES // (8 * max(dim, 1)), CELLS // k))):
         held = spark.sparkContext.broadcast((ids, block))
 
         def part(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             qid, q = held.value
+            step = max(1, CELLS // len(qid))
             best_s, best_d = np.zeros((0, len(qid))), np.zeros((0, len(qid)), np.int64)
             for b in batches:
                 doc, x = b.column(0).to_numpy(), _matrix(b.column(1))
-                for lo in range(0, len(doc), 4096):
-                    s = scores(x[lo : lo + 4096], q, metric)
-                    d = np.repeat(doc[lo : lo + 4096, None], len(qid), 1)
+                for lo in range(0, len(doc), step):
+                    s = scores(x[lo : lo + step], q, metric)
+                    d = np.repeat(doc[lo : lo + step, None], len(qid), 1)
                     if drop_self:
                         s = np.where(d == qid[None, :], -np.inf, s)
                     s, d = np.concatenate([best_s, s]), np.concatenate([best_d, d])
@@ -110,9 +114,10 @@ def pair_scores(pairs: DataFrame, queries: DataFrame, corpus: DataFrame, name: s
 
 
 def rerank(candidates: DataFrame) -> DataFrame:
-    """Position by target score; ties keep the source order; unscored candidates are dropped."""
+    """Position by target score; ties keep the source order; unscored candidates are dropped, a NaN score is an error."""
     w = Window.partitionBy("query_id").orderBy(F.desc("target_score"), "source_rank")
-    return candidates.where("target_score IS NOT NULL").withColumn("position", F.row_number().over(w))
+    score = F.when(F.isnan("target_score"), F.raise_error(F.lit("NaN target score"))).otherwise(F.col("target_score"))
+    return candidates.withColumn("target_score", score).where("target_score IS NOT NULL").withColumn("position", F.row_number().over(w))
 
 
 def overlap_at(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
@@ -182,15 +187,70 @@ def ivf_probes(corpus: DataFrame, queries: DataFrame, k: int, centroids: np.ndar
 
 
 def ivf_search(corpus: DataFrame, queries: DataFrame, k: int, cells: int, probes: int, centroids: np.ndarray | None = None) -> DataFrame:
-    """Approximate top-k: candidates by an equi-join on the coarse cell, exact scores, then ranking."""
-    from vecshift.functions.scalar import cosine
-
+    """Approximate top-k: each vector is scored by the queries that probe its cell only. The corpus stays where it is: a partition
+    multiplies the vectors of one cell with a block of that cell's queries and keeps its own top k, so that no cell, however
+    large, makes pairs or meets in one task. A corpus that has a column `cell` (see `sources.readers.write_index`) is not
+    assigned anew, and its cells that no query probes are not read."""
+    spark = corpus.sparkSession
     c = ivf_train(corpus, cells) if centroids is None else centroids
-    x = ivf_assign(corpus, c).select("doc_id", F.col("v").alias("__d"), "cell")
-    q = ivf_assign(queries, c, probes).select("query_id", F.col("v").alias("__q"), "cell")
-    s = x.join(q, "cell").withColumn("score", F.round(cosine("__q", "__d"), DIGITS)).select("query_id", "doc_id", "score")
+    q = ivf_assign(queries, c, probes)
+    dim, out, stored = c.shape[1], None, "cell" in corpus.columns
+    if stored:
+        wanted = [r.cell for r in q.select("cell").distinct().collect()]  # as many as there are cells
+        corpus = corpus.where(F.col("cell").isin(wanted))
+    rows = corpus.select(F.col("doc_id").cast("long").alias("doc_id"), "v", F.col("cell").cast("int").alias("cell") if stored else F.lit(None).cast("int").alias("cell"))
+    grouped = q.groupBy("query_id").agg(F.first("v").alias("v"), F.collect_list("cell").alias("near"))
+    for ids, block, near in _probing_blocks(grouped, max(1, min(QUERY_BYTES // (8 * dim), CELLS // k))):
+        held = spark.sparkContext.broadcast((ids, block, near, c))
+
+        def part(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            qid, q, near, c = held.value
+            best_s, best_d = np.full((k, len(qid)), -np.inf), np.full((k, len(qid)), np.iinfo(np.int64).max)
+            for b in batches:
+                x = _matrix(b.column(1))
+                own = b.column(2).to_numpy(zero_copy_only=False) if stored else scores(x, c, "cosine").argmax(1)
+                doc = b.column(0).to_numpy()
+                for cell in np.unique(own):
+                    asks = np.flatnonzero(near[:, int(cell)]) if cell < near.shape[1] else np.zeros(0, np.int64)
+                    mine = np.flatnonzero(own == cell)
+                    step = max(1, CELLS // max(1, len(asks)))
+                    for lo in range(0, len(mine) if len(asks) else 0, step):
+                        at = mine[lo : lo + step]
+                        s = np.concatenate([best_s[:, asks], scores(x[at], q[asks], "cosine")])
+                        d = np.concatenate([best_d[:, asks], np.repeat(doc[at, None], len(asks), 1)])
+                        order = np.lexsort((d, -s), axis=0)[:k]
+                        best_s[:, asks], best_d[:, asks] = np.take_along_axis(s, order, 0), np.take_along_axis(d, order, 0)
+            keep = np.isfinite(best_s.T.ravel())
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, k)[keep]), pa.array(best_d.T.ravel()[keep]), pa.array(best_s.T.ravel()[keep])], ["query_id", "doc_id", "score"])
+
+        found = rows.mapInArrow(part, "query_id long, doc_id long, score double")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return spark.createDataFrame([], "query_id long, doc_id long, score double, rank int")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
+
+
+def _probing_blocks(queries: DataFrame, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Queries with the cells they probe, in blocks of bounded size: ids, vectors, and whether each probes each cell."""
+    ids, rows, near = [], [], []
+
+    def block() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        probed = np.zeros((len(ids), 1 + max(map(max, near))), bool)
+        for i, x in enumerate(near):
+            probed[i, x] = True
+        return np.array(ids), np.array(rows, np.float64), probed
+
+    for r in queries.select(F.col("query_id").cast("long").alias("query_id"), "v", "near").toLocalIterator():
+        ids.append(r.query_id)
+        rows.append(r.v)
+        near.append(r.near)
+        if len(ids) == size:
+            yield block()
+            ids, rows, near = [], [], []
+    if ids:
+        yield block()
 
 
 def ivf_cells(rows: int, wanted: int | None) -> int | None:

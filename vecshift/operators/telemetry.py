@@ -7,18 +7,31 @@ from pyspark.sql import functions as F
 
 STAGES = ("source_encode_ms", "ann_ms", "target_encode_ms", "lookup_ms", "sync_encode_ms", "score_ms", "topk_ms", "total_ms")
 #: Statuses and failure categories that telemetry accepts (fixed values).
-STATUSES = ("completed", "partial", "failed", "timeout", "dropped")
-CATEGORIES = ("encode", "search", "cache", "timeout", "internal")
+STATUSES = ("completed", "partial", "failed", "timeout", "timed_out")
+CATEGORIES = (
+    "SOURCE_CANDIDATE_ERROR",
+    "TARGET_QUERY_ENCODING_ERROR",
+    "DOCUMENT_RESOLUTION_ERROR",
+    "TARGET_DOCUMENT_ENCODING_ERROR",
+    "RERANK_ERROR",
+    "CACHE_ERROR",
+    "MATERIALIZATION_ERROR",
+    "TIMEOUT",
+    "INTERNAL",
+)
+#: Latencies that the shadow report tells of (fixed values).
+SHADOW_STAGES = ("source", "shadow", "source_candidate", "target_query_encode", "target_rerank")
 
 
 def sanitised(df: DataFrame) -> DataFrame:
-    """status, failure_category, latency_ms and count columns in their allowed ranges: non-finite or negative latency is
-    null, counts are non-negative integers or 0, unknown words are "failed" and "internal"."""
+    """status, failure_category, latency_ms and count columns in their allowed ranges: non-finite latency is null (a negative
+    one is kept, and left out of reports), counts are non-negative integers or 0, an unknown status is "failed", an unknown
+    category INTERNAL, an empty one null. Case is no matter."""
     ms = F.col("latency_ms").cast("double")
     out = df.withColumn("latency_ms", F.when(ms.isNotNull() & ~F.isnan(ms) & (F.abs(ms) < float("inf")), ms))
-    out = out.withColumn("status", F.when(F.col("status").isin(*STATUSES), F.col("status")).otherwise("failed"))
-    known = F.col("failure_category").isin(*CATEGORIES)
-    out = out.withColumn("failure_category", F.when(F.col("failure_category").isNull() | known, F.col("failure_category")).otherwise("internal"))
+    status, category = F.lower("status"), F.upper("failure_category")
+    out = out.withColumn("status", F.when(status.isin(*STATUSES), status).otherwise("failed"))
+    out = out.withColumn("failure_category", F.when(F.length("failure_category") > 0, F.when(category.isin(*CATEGORIES), category).otherwise("INTERNAL")))
     for c in ("hits", "misses"):
         x = F.col(c).cast("double")
         out = out.withColumn(c, F.when(x.isNotNull() & ~F.isnan(x) & (x >= 0) & (x < 9e15), F.round(x)).otherwise(0).cast("long"))
@@ -109,6 +122,15 @@ def shadow_report(obs: DataFrame, least_coverage: float = 1.0) -> DataFrame:
     )
 
 
+def shadow_latency(obs: DataFrame, stages: tuple[str, ...] = SHADOW_STAGES) -> DataFrame:
+    """stage, count, p50_ms, p95_ms, mean_ms over the finite, non-negative values of the columns <stage>_latency_ms."""
+    ms = F.expr(f"stack({len(stages)}, {', '.join(f"'{s}', cast({s}_latency_ms as double)" for s in stages)}) as (stage, ms)")
+    fine = F.when((F.col("ms") >= 0) & ~F.isnan("ms") & (F.col("ms") < float("inf")), F.col("ms"))
+    q = F.expr("percentile(ms, array(0.5, 0.95))")
+    x = obs.select(ms).withColumn("ms", fine).groupBy("stage").agg(F.count("ms").alias("count"), q.alias("q"), F.avg("ms").alias("mean"))
+    return x.select("stage", "count", F.round(F.col("q")[0], 6).alias("p50_ms"), F.round(F.col("q")[1], 6).alias("p95_ms"), F.round("mean", 6).alias("mean_ms"))
+
+
 def recommendation(t2: Column, failures: Column, least_coverage: float = 1.0, enough: int = 20) -> Column:
     """The ordered rules over the columns of `shadow_report`; failures: materialisation failures."""
     error = (failures > 0) | ((F.col("failed") + F.col("timeouts")) > 0.05 * F.col("sampled"))

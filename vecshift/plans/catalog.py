@@ -231,9 +231,11 @@ def t2_decision(spark, d):
     return out
 
 
-@query(f"WITH {X.cand_sql(32)}, p AS (SELECT * FROM pre WHERE k <= 100 AND pos <= 10), l AS (SELECT query_id, list(doc_id) FILTER (k = 50) AS a, list(doc_id) FILTER (k = 100) AS b, max(source_rank) FILTER (k = 100) AS deep FROM p GROUP BY query_id) SELECT query_id, round(1 - len(list_intersect(a, b)) / 10, 9) AS probe_residual_tail_50, round(len(list_intersect(a, b)) / 10, 9) AS stability_50, deep::DOUBLE AS deepest_source_rank, round((10 - len(list_intersect(a, b))) / 10, 9) AS late_tail_area, (len(list_intersect(a, b)) < 10)::INT::DOUBLE AS last_shell_any, 0.0::DOUBLE AS margin_nonpositive FROM l")
+@query(f"""WITH {X.cand_sql(32, 300)}, l AS (SELECT query_id, list(doc_id) FILTER (k = 50) AS a, list(doc_id) FILTER (k = 100) AS b, list(doc_id) FILTER (k = 500) AS c, max(source_rank) FILTER (k = 500) AS deep FROM pre WHERE pos <= 10 GROUP BY query_id)
+SELECT query_id, round(1 - len(list_intersect(a, b)) / len(b), 9) AS probe_residual_tail_50, round(len(list_intersect(a, b)) / len(b), 9) AS stability_50, deep::DOUBLE AS deepest_source_rank, round((len(c) - len(list_intersect(a, c))) / 10, 9) AS late_tail_area, (len(c) > len(list_intersect(a, c)))::INT::DOUBLE AS last_shell_any, 0.0::DOUBLE AS margin_nonpositive FROM l""")
 def t2_short_pool(spark, d):
-    x = probe.short_pool_features(X.candidates(spark, d, 32, 100), (10, 20, 50, 100))
+    """A pool of 300, deeper than the grid."""
+    x = probe.short_pool_features(X.candidates(spark, d, 32, 300), (10, 20, 50, 100))
     return x.select("query_id", *[F.round(c, 9).alias(c) for c in x.columns[1:]])
 
 
@@ -355,13 +357,25 @@ def hash_sample(spark, d):
     return X.table(spark, d, "events").select("event_id", S.sampled(X.SEED, F.col("event_id"), 0.1).alias("sampled"))
 
 
-@query("SELECT event_id, CASE WHEN value < 1e15 AND value >= 0 THEN round(value, 6) END AS latency_ms, CASE event_type WHEN 'view' THEN 'completed' WHEN 'click' THEN 'partial' ELSE 'failed' END AS status, CASE event_type WHEN 'error' THEN 'search' WHEN 'view' THEN NULL ELSE 'internal' END AS failure_category, CASE WHEN value >= 50 THEN round(value - 50)::BIGINT ELSE 0 END AS hits, 0::BIGINT AS misses FROM events")
+_ODD = "SELECT event_id, CASE event_id % 5 WHEN 0 THEN -value WHEN 1 THEN 'inf'::DOUBLE WHEN 2 THEN 'nan'::DOUBLE ELSE value END AS ms, CASE event_type WHEN 'view' THEN 'Completed' WHEN 'click' THEN 'TIMED_OUT' WHEN 'error' THEN 'dropped' ELSE event_type END AS st, CASE event_id % 4 WHEN 0 THEN 'rerank_error' WHEN 1 THEN 'some text' WHEN 2 THEN '' END AS cat, value - 50 AS h FROM events"
+
+
+@query(f"SELECT event_id, CASE WHEN isfinite(ms) THEN round(ms, 6) END AS latency_ms, CASE WHEN lower(st) IN ('completed', 'partial', 'failed', 'timeout', 'timed_out') THEN lower(st) ELSE 'failed' END AS status, CASE WHEN cat = '' THEN NULL WHEN cat = 'rerank_error' THEN 'RERANK_ERROR' WHEN cat IS NOT NULL THEN 'INTERNAL' END AS failure_category, CASE WHEN h >= 0 THEN round(h)::BIGINT ELSE 0 END AS hits, 0::BIGINT AS misses FROM ({_ODD})")
 def sanitised_telemetry(spark, d):
-    e = X.table(spark, d, "events")
-    status = F.when(F.col("event_type") == "view", "completed").when(F.col("event_type") == "click", "partial").otherwise(F.col("event_type"))
-    cat = F.when(F.col("event_type") == "error", "search").when(F.col("event_type") != "view", F.concat(F.lit("odd "), "event_type"))
-    x = e.select("event_id", F.round("value", 6).alias("latency_ms"), status.alias("status"), cat.alias("failure_category"), (F.col("value") - 50).alias("hits"), F.lit(float("nan")).alias("misses"))
-    return telemetry.sanitised(x)
+    e, k = X.table(spark, d, "events"), F.col("event_id")
+    ms = F.when(k % 5 == 0, -F.col("value")).when(k % 5 == 1, float("inf")).when(k % 5 == 2, float("nan")).otherwise(F.col("value"))
+    status = F.when(F.col("event_type") == "view", "Completed").when(F.col("event_type") == "click", "TIMED_OUT").when(F.col("event_type") == "error", "dropped").otherwise(F.col("event_type"))
+    cat = F.when(k % 4 == 0, "rerank_error").when(k % 4 == 1, "some text").when(k % 4 == 2, "")
+    x = e.select("event_id", ms.alias("latency_ms"), status.alias("status"), cat.alias("failure_category"), (F.col("value") - 50).alias("hits"), F.lit(float("nan")).alias("misses"))
+    return telemetry.sanitised(x).withColumn("latency_ms", F.round("latency_ms", 6))
+
+
+@query("""WITH x AS (SELECT unnest(['source', 'shadow', 'source_candidate', 'target_query_encode', 'target_rerank']) AS stage, unnest([value, value * 2, value / 2, value - 50, NULL]) AS ms FROM events)
+SELECT stage, count(ms) FILTER (ms >= 0) AS count, round(quantile_cont(ms, 0.5) FILTER (ms >= 0), 6) AS p50_ms, round(quantile_cont(ms, 0.95) FILTER (ms >= 0), 6) AS p95_ms, round(avg(ms) FILTER (ms >= 0), 6) AS mean_ms FROM x GROUP BY stage""")
+def shadow_latency(spark, d):
+    v = F.col("value")
+    cols = {"source": v, "shadow": v * 2, "source_candidate": v / 2, "target_query_encode": v - 50, "target_rerank": F.lit(None).cast("double")}
+    return telemetry.shadow_latency(X.table(spark, d, "events").select(*[c.alias(f"{k}_latency_ms") for k, c in cols.items()]))
 
 
 # ------------------------------------------------------------------ prewarm
@@ -472,7 +486,13 @@ def shadow_observation(spark, d):
     return cache.shadow_observation(source, p.where("action <> 'queued'").select("query_id", "doc_id", (F.col("position") - 1).alias("rank")))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id AS document_id, event_id AS seq, event_type AS kind, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+s AS (SELECT document_id, 0::BIGINT AS n, NULL::VARCHAR AS status, 0::BIGINT AS attempts, NULL::BIGINT AS enqueued_at FROM (SELECT DISTINCT document_id FROM e)
+UNION ALL SELECT s.document_id, e.n,
+ CASE WHEN kind = 'view' AND status IS NULL THEN 'pending' WHEN kind = 'click' AND status = 'pending' AND attempts < 3 THEN 'processing' WHEN kind = 'purchase' AND status = 'processing' THEN 'done' WHEN kind = 'error' AND status = 'processing' THEN CASE WHEN attempts < 3 THEN 'pending' ELSE 'error' END WHEN kind = 'signup' AND status IN ('done', 'error') THEN 'pending' ELSE status END,
+ CASE WHEN kind = 'click' AND status = 'pending' AND attempts < 3 THEN attempts + 1 WHEN kind = 'signup' AND status IN ('done', 'error') THEN 0 ELSE attempts END,
+ CASE WHEN kind = 'view' AND status IS NULL THEN seq ELSE enqueued_at END FROM s JOIN e ON e.document_id = s.document_id AND e.n = s.n + 1)
+SELECT document_id, status, attempts, enqueued_at FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY n DESC) AS r FROM s) WHERE r = 1 AND status IS NOT NULL""")
 def work_queue_state(spark, d):
     """The queue's state after all events, folded for each document."""
     e = X.table(spark, d, "events")
@@ -486,6 +506,12 @@ def missing_text(spark, d):
     return cache.missing_text(X.corpus(spark, d), t.withColumn("text", F.when(F.col("doc_id") % 7 != 0, F.col("text"))))
 
 
+@query(f"WITH {X.cand_sql(16, 50)} SELECT query_id, doc_id, source_rank, CASE WHEN doc_id % 7 <> 0 THEN text END AS text FROM cand LEFT JOIN documents USING (doc_id)")
+def hits_with_text(spark, d):
+    docs = X.table(spark, d, "documents").where("doc_id % 7 <> 0")
+    return cache.with_text(X.candidates(spark, d, 16, 50), docs).select("query_id", "doc_id", "source_rank", "text")
+
+
 # ------------------------------------------------------------------ planning and registry
 
 _COST = "round({n} / 331.19::DOUBLE, 6) AS encode_seconds, round({n} / 331.19::DOUBLE / 3600 * 2.5::DOUBLE, 6) AS cost_usd, 'user_supplied' AS rate_provenance, 'modeled' AS cost_provenance"
@@ -502,41 +528,65 @@ def economics_remaining(spark, d):
     return planning.remaining(c, c.where(S.sampled(X.SEED, F.col("document_id"), 0.3)), 64, "float32", 331.19, 2.5)
 
 
-_KINDS = "(SELECT user_id AS plan_id, CASE user_id % 4 WHEN 0 THEN 'SAFE' WHEN 1 THEN 'EXPAND' WHEN 2 THEN 'UNSAFE_OR_UNCERTAIN' END AS decision, CASE user_id % 3 WHEN 0 THEN 'PASS' WHEN 1 THEN 'WARNING' ELSE 'UNKNOWN' END AS ann_status, CASE WHEN user_id % 9 = 8 THEN 'FAIL' WHEN user_id % 9 = 7 THEN 'WARN' ELSE 'PASS' END AS preflight, count(*) AS probes, user_id % 2 = 0 AS verified, (user_id % 13) * 10 AS cached, 1000::BIGINT AS documents FROM events GROUP BY user_id)"
+_KINDS = "(SELECT user_id AS plan_id, CASE user_id % 4 WHEN 0 THEN 'SAFE' WHEN 1 THEN 'EXPAND' WHEN 2 THEN 'UNSAFE_OR_UNCERTAIN' END AS decision, CASE user_id % 3 WHEN 0 THEN 'PASS' WHEN 1 THEN 'WARNING' ELSE 'UNKNOWN' END AS ann_status, CASE WHEN user_id % 9 = 8 THEN 'FAIL' WHEN user_id % 9 = 7 THEN 'WARN' ELSE 'PASS' END AS preflight, count(*) * (user_id % 7) // 2 AS probes, user_id % 8 < 6 AS verified, user_id % 5 = 0 AS exact_registry, CASE WHEN user_id % 13 <> 0 THEN 100::BIGINT END AS recommended_k, (user_id % 13) * 100 AS cached, (user_id % 11) * 100 AS documents FROM events GROUP BY user_id)"
 
 
 def _kinds(spark, d):
     u = F.col("user_id")
-    return X.table(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("probes")).select(
+    return X.table(spark, d, "events").groupBy("user_id").agg(F.expr("count(*) * (user_id % 7) div 2").alias("probes")).select(
         u.alias("plan_id"), F.when(u % 4 == 0, "SAFE").when(u % 4 == 1, "EXPAND").when(u % 4 == 2, "UNSAFE_OR_UNCERTAIN").alias("decision"), F.when(u % 3 == 0, "PASS").when(u % 3 == 1, "WARNING").otherwise("UNKNOWN").alias("ann_status"),
-        F.when(u % 9 == 8, "FAIL").when(u % 9 == 7, "WARN").otherwise("PASS").alias("preflight"), "probes", (u % 2 == 0).alias("verified"), ((u % 13) * 10).alias("cached"), F.lit(1000).cast("long").alias("documents"),
+        F.when(u % 9 == 8, "FAIL").when(u % 9 == 7, "WARN").otherwise("PASS").alias("preflight"), "probes", (u % 8 < 6).alias("verified"), (u % 5 == 0).alias("exact_registry"),
+        F.when(u % 13 != 0, F.lit(100).cast("long")).alias("recommended_k"), ((u % 13) * 100).alias("cached"), ((u % 11) * 100).alias("documents"),
     )
 
 
-@query(f"SELECT plan_id, coalesce(decision = 'SAFE' AND ann_status IN ('PASS', 'UNKNOWN'), false) AS ready, round(cached / documents, 9) AS cache_fraction, concat_ws(',', CASE WHEN decision <> 'SAFE' THEN 'T2_NOT_SAFE' END, CASE ann_status WHEN 'WARNING' THEN 'ANN_BELOW_THRESHOLD' WHEN 'UNKNOWN' THEN 'ANN_UNKNOWN' END, CASE WHEN cached = 0 THEN 'CACHE_EMPTY' END) AS warnings FROM {_KINDS}")
+@query(f"""SELECT plan_id, CASE WHEN decision = 'SAFE' AND ann_status <> 'WARNING' THEN 'READY' ELSE 'REVIEW' END AS status, CASE WHEN decision = 'SAFE' THEN 'PROGRESSIVE' ELSE 'PROGRESSIVE_WITH_REVIEW' END AS strategy, coalesce(recommended_k, 50) AS k,
+ CASE WHEN documents = 0 THEN 0 ELSE round(cached / documents, 9) END AS cache_fraction, concat_ws(',', CASE WHEN decision = 'SAFE' THEN NULL ELSE 'DECISION_NOT_SAFE' END, CASE WHEN ann_status <> 'PASS' THEN 'ANN_NOT_CONFIRMED' END, CASE WHEN cached > documents THEN 'CACHE_EXCEEDS_CORPUS' END) AS warnings FROM {_KINDS}""")
 def serving_plan(spark, d):
-    return planning.serving_plan(_kinds(spark, d)).select("plan_id", F.coalesce("ready", F.lit(False)).alias("ready"), "cache_fraction", "warnings")
+    return planning.serving_plan(_kinds(spark, d)).select("plan_id", "status", "strategy", "k", "cache_fraction", "warnings")
+
 
+_ADVICE = f"""SELECT *, CASE WHEN preflight = 'FAIL' THEN 'BLOCKED' WHEN probes = 0 THEN 'EXPAND_PROBE' WHEN decision = 'UNSAFE_OR_UNCERTAIN' THEN 'DEFER' WHEN decision = 'SAFE' AND recommended_k IS NOT NULL THEN CASE WHEN probes >= 100 AND verified AND preflight = 'PASS' THEN 'PROCEED' ELSE 'PROCEED_WITH_CAUTION' END ELSE 'EXPAND_PROBE' END AS recommendation,
+ CASE WHEN decision IS NULL OR probes = 0 THEN 'INSUFFICIENT' WHEN decision <> 'SAFE' THEN CASE WHEN probes < 50 THEN 'LIMITED' ELSE 'MODERATE' END WHEN probes >= 100 AND verified AND (ann_status = 'PASS' OR exact_registry) THEN 'STRONG' WHEN probes >= 50 THEN 'MODERATE' ELSE 'LIMITED' END AS confidence FROM {_KINDS}"""
 
-@query(f"SELECT plan_id, CASE WHEN preflight = 'FAIL' THEN 'BLOCKED' WHEN decision IS NULL THEN 'DEFER' WHEN decision = 'EXPAND' THEN 'EXPAND_PROBE' WHEN decision = 'UNSAFE_OR_UNCERTAIN' THEN 'DEFER' WHEN probes >= 100 AND verified AND preflight = 'PASS' THEN 'PROCEED' ELSE 'PROCEED_WITH_CAUTION' END AS recommendation, CASE WHEN probes < 20 THEN 'INSUFFICIENT' WHEN probes < 100 THEN 'LIMITED' WHEN probes < 500 OR NOT verified THEN 'MODERATE' ELSE 'STRONG' END AS confidence FROM {_KINDS}")
+
+@query(f"SELECT plan_id, recommendation, confidence FROM ({_ADVICE})")
 def advisory_plan(spark, d):
     return planning.advisory(_kinds(spark, d)).select("plan_id", "recommendation", "confidence")
 
 
-_NAMES = "'model-' || (p_size % 7)"
+@query(f"""SELECT plan_id, phase, name, traffic FROM ({_ADVICE}), (VALUES (0::BIGINT, 'Validate', 0.0::DOUBLE, 0), (1, 'Shadow', 0.0, 0), (2, 'Small canary', 0.05, 1), (3, 'Expanded canary', 0.25, 1), (4, 'Target-primary path', 1.0, 1), (2, 'Hold', 0.0, 2)) AS p(phase, name, traffic, w)
+WHERE w = 0 OR w = CASE WHEN recommendation LIKE 'PROCEED%' THEN 1 ELSE 2 END""")
+def rollout_phases(spark, d):
+    return planning.rollout(planning.advisory(_kinds(spark, d)))
+
 
+_REG = """r AS (SELECT p_partkey AS evidence_id, CASE p_size % 7 WHEN 0 THEN 'qwen3-4b' WHEN 1 THEN 'Qwen/Qwen3-Embedding-4B' WHEN 2 THEN 'MiniLM-L6' ELSE 'own-' || (p_size % 7) END AS source, CASE p_partkey % 5 WHEN 0 THEN 'QWEN3_8B' WHEN 1 THEN 'my-qwen3-tuned' ELSE 'model-' || (p_partkey % 5) END AS target,
+ CASE WHEN p_size % 7 = 4 THEN p_type ELSE 'fp' || (p_size % 7 // 2) END AS source_fp, 'fp' || (p_partkey % 5) AS target_fp, CASE WHEN p_partkey % 3 > 0 THEN p_brand END AS corpus_fp, 'set' || (p_partkey % 4) AS corpus_name, p_size::BIGINT AS corpus_size, p_partkey % 2 = 0 AS canonical FROM part),
+w AS (SELECT evidence_id AS pair_id, CASE WHEN evidence_id % 6 = 5 THEN 'all-minilm-x' WHEN evidence_id % 11 = 3 THEN 'unheard' ELSE source END AS source, target, CASE WHEN evidence_id % 4 = 1 THEN NULL ELSE source_fp END AS source_fp, target_fp, CASE WHEN evidence_id % 2 = 0 THEN corpus_fp ELSE 'new' END AS corpus_fp, corpus_name, corpus_size + evidence_id % 2 AS corpus_size FROM r)"""
+_CANON = "CASE lower({c}) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in S.MODELS.items()) + " ELSE {c} END"
+_KIN = "CASE WHEN lower({c}) LIKE '%minilm%' THEN 'minilm' WHEN lower({c}) LIKE '%qwen3%' THEN 'qwen3' ELSE replace(replace(lower({c}), 'embedding', ''), 'sentence-transformers/', '') END"
 
-@query(f"""WITH r AS (SELECT p_partkey AS evidence_id, {_NAMES} AS source, 'model-' || (p_partkey % 5) AS target, p_type AS source_fp, p_brand AS target_fp, CASE WHEN p_size % 7 < 3 THEN 'minilm' ELSE 'other' END AS source_family, CASE WHEN p_partkey % 5 < 3 THEN 'qwen3' ELSE 'other' END AS target_family FROM part),
-w AS (SELECT evidence_id AS pair_id, CASE WHEN evidence_id % 4 = 3 THEN 'model-x' ELSE source END AS source, target, CASE WHEN evidence_id % 2 = 0 THEN source_fp ELSE '?' END AS source_fp, target_fp, source_family, target_family FROM r)
-SELECT pair_id, CASE WHEN e.n IS NOT NULL THEN 'EXACT' WHEN p.n IS NOT NULL THEN 'PRIOR' WHEN f.n IS NOT NULL THEN 'RELATED' ELSE 'NONE' END AS tier, coalesce(e.n, p.n, f.n, 0) AS records, coalesce(e.m, p.m, f.m) AS first_evidence FROM w
-LEFT JOIN (SELECT source_fp, target_fp, count(*) AS n, min(evidence_id) AS m FROM r GROUP BY ALL) e USING (source_fp, target_fp)
-LEFT JOIN (SELECT source, target, count(*) AS n, min(evidence_id) AS m FROM r GROUP BY ALL) p USING (source, target)
-LEFT JOIN (SELECT source_family, target_family, count(*) AS n, min(evidence_id) AS m FROM r WHERE source_family <> 'other' AND target_family <> 'other' GROUP BY ALL) f USING (source_family, target_family)""")
+
+@query(f"""WITH {_REG}, a AS (SELECT * REPLACE ({_CANON.format(c='source')} AS source, {_CANON.format(c='target')} AS target) FROM r), b AS (SELECT * REPLACE ({_CANON.format(c='source')} AS source, {_CANON.format(c='target')} AS target) FROM w),
+t AS (SELECT pair_id, evidence_id, a.source_fp IS NOT DISTINCT FROM b.source_fp AND a.target_fp IS NOT DISTINCT FROM b.target_fp AND b.source_fp IS NOT NULL AS c, coalesce(a.corpus_fp = b.corpus_fp, false) OR (a.canonical AND a.corpus_name = b.corpus_name AND a.corpus_size = b.corpus_size) AS k FROM b JOIN a ON a.source = b.source AND a.target = b.target),
+n AS (SELECT pair_id, bool_and(c) AS c, count(*) AS n, min(evidence_id) AS m, count(*) FILTER (k) AS kn, min(evidence_id) FILTER (k) AS km FROM t GROUP BY pair_id),
+f AS (SELECT {_KIN.format(c='source')} AS fs, {_KIN.format(c='target')} AS ft, count(*) AS fn, min(evidence_id) AS fm FROM a GROUP BY ALL)
+SELECT b.pair_id, CASE WHEN c AND kn > 0 THEN 'EXACT' WHEN c THEN 'PRIOR' WHEN n IS NOT NULL OR fn IS NOT NULL THEN 'RELATED' ELSE 'NONE' END AS tier, CASE WHEN c AND kn > 0 THEN kn ELSE coalesce(n, fn, 0) END AS records, CASE WHEN c AND kn > 0 THEN km ELSE coalesce(m, fm) END AS first_evidence
+FROM b LEFT JOIN n USING (pair_id) LEFT JOIN f ON fs = {_KIN.format(c='b.source')} AND ft = {_KIN.format(c='b.target')}""")
 def registry_match(spark, d):
-    p, s, t = X.table(spark, d, "part"), F.col("p_size") % 7, F.col("p_partkey") % 5
-    r = p.select(F.col("p_partkey").alias("evidence_id"), F.concat(F.lit("model-"), s.cast("string")).alias("source"), F.concat(F.lit("model-"), t.cast("string")).alias("target"), F.col("p_type").alias("source_fp"), F.col("p_brand").alias("target_fp"), F.when(s < 3, "minilm").otherwise("other").alias("source_family"), F.when(t < 3, "qwen3").otherwise("other").alias("target_family"))
+    p, s, t, k = X.table(spark, d, "part"), F.col("p_size") % 7, F.col("p_partkey") % 5, F.col("p_partkey")
+    source = F.when(s == 0, "qwen3-4b").when(s == 1, "Qwen/Qwen3-Embedding-4B").when(s == 2, "MiniLM-L6").otherwise(F.concat(F.lit("own-"), s.cast("string")))
+    target = F.when(t == 0, "QWEN3_8B").when(t == 1, "my-qwen3-tuned").otherwise(F.concat(F.lit("model-"), t.cast("string")))
+    r = p.select(
+        k.alias("evidence_id"), source.alias("source"), target.alias("target"), F.when(s == 4, F.col("p_type")).otherwise(F.concat(F.lit("fp"), F.expr("p_size % 7 div 2").cast("string"))).alias("source_fp"), F.concat(F.lit("fp"), t.cast("string")).alias("target_fp"),
+        F.when(k % 3 > 0, F.col("p_brand")).alias("corpus_fp"), F.concat(F.lit("set"), (k % 4).cast("string")).alias("corpus_name"), F.col("p_size").cast("long").alias("corpus_size"), (k % 2 == 0).alias("canonical"),
+    )
     k = F.col("evidence_id")
-    w = r.select(k.alias("pair_id"), F.when(k % 4 == 3, "model-x").otherwise(F.col("source")).alias("source"), "target", F.when(k % 2 == 0, F.col("source_fp")).otherwise("?").alias("source_fp"), "target_fp", "source_family", "target_family")
+    w = r.select(
+        k.alias("pair_id"), F.when(k % 6 == 5, "all-minilm-x").when(k % 11 == 3, "unheard").otherwise(F.col("source")).alias("source"), "target", F.when(k % 4 != 1, F.col("source_fp")).alias("source_fp"), "target_fp",
+        F.when(k % 2 == 0, F.col("corpus_fp")).otherwise("new").alias("corpus_fp"), "corpus_name", (F.col("corpus_size") + k % 2).alias("corpus_size"),
+    )
     return planning.registry_match(w, r)
 
 
@@ -550,7 +600,10 @@ def _evidence(spark, d):
     )
 
 
-@query("SELECT p_partkey AS evidence_id, violation FROM part, (SELECT unnest(['fingerprint', 'observed_depth', 'depths', 'containment']) AS violation) WHERE CASE violation WHEN 'fingerprint' THEN p_partkey % 8 = 0 WHEN 'observed_depth' THEN p_partkey % 7 = 0 WHEN 'depths' THEN p_partkey % 5 = 0 ELSE p_partkey % 6 = 0 END")
+@query("""WITH e AS (SELECT p_partkey AS evidence_id, [10, 50, 200] AS gk, [0.05::DOUBLE, (p_partkey % 3) / 100.0::DOUBLE, 0.001] AS gv, [10, CASE WHEN p_partkey % 5 = 0 THEN 70 ELSE 50 END] AS ck, [(p_partkey % 4) / 4.0::DOUBLE, CASE WHEN p_partkey % 6 = 0 THEN 1.5 ELSE 0.5 END] AS cv,
+ CASE WHEN p_partkey % 7 = 0 THEN NULL WHEN p_partkey % 3 <= 1 THEN 50 ELSE 200 END AS od, sha256(p_name) AS again, CASE WHEN p_partkey % 8 = 0 THEN 'x' ELSE sha256(p_name) END AS fp FROM part)
+SELECT evidence_id, violation FROM e, (SELECT unnest(['fingerprint', 'observed_depth', 'depths', 'containment']) AS violation) WHERE CASE violation WHEN 'fingerprint' THEN fp <> again WHEN 'observed_depth' THEN list_min(list_transform(list_filter([1, 2, 3], lambda i: gv[i] <= 0.01), lambda i: gk[i])) IS DISTINCT FROM od
+ WHEN 'depths' THEN len(list_filter(ck, lambda k: NOT list_contains(gk, k))) > 0 ELSE len(list_filter(cv, lambda c: c < 0 OR c > 1)) > 0 END""")
 def evidence_violations(spark, d):
     return planning.evidence_violations(_evidence(spark, d))
 
@@ -560,7 +613,8 @@ def priority_depths(spark, d):
     return planning.priority_depths(_evidence(spark, d))
 
 
-@query("SELECT evidence_id, k, CASE WHEN m = 2 THEN 'missing' WHEN m = 3 THEN 'differs' ELSE 'match' END AS status FROM (SELECT p_partkey AS evidence_id, unnest([10::BIGINT, 50]) AS k, p_partkey % 5 AS m FROM part)")
+@query("""WITH x AS (SELECT p_partkey AS evidence_id, unnest([10::BIGINT, 50]) AS k, p_retailprice AS v FROM part), y AS (SELECT evidence_id, k, CASE evidence_id % 5 WHEN 3 THEN v * 1.001::DOUBLE WHEN 4 THEN v * (1 + 1e-12) ELSE v END AS r FROM x WHERE evidence_id % 5 <> 2)
+SELECT evidence_id, k, CASE WHEN r IS NULL THEN 'missing' WHEN abs(v - r) <= greatest(1e-12, 1e-10 * greatest(abs(v), abs(r))) THEN 'match' ELSE 'differs' END AS status FROM x LEFT JOIN y USING (evidence_id, k)""")
 def semantic_provenance(spark, d):
     p = X.table(spark, d, "part")
     x = p.select(F.col("p_partkey").alias("evidence_id"), F.explode(F.array(F.lit(10), F.lit(50))).alias("k"), F.col("p_retailprice").alias("value"))
@@ -569,9 +623,9 @@ def semantic_provenance(spark, d):
     return planning.semantic_provenance(x, kept).select("evidence_id", "k", "status")
 
 
-@query("SELECT count(*) AS records, count(DISTINCT p_partkey) AS distinct_ids, count(*) = 15 AS count_ok, count(*) = count(DISTINCT p_partkey) AS unique_ok FROM part")
+@query("SELECT count(*) AS records, count(DISTINCT p_partkey) AS distinct_ids, count(*) = max(p_partkey) AS count_ok, count(*) = count(DISTINCT p_partkey) AS unique_ok FROM part")
 def registry_audit(spark, d):
-    return planning.registry_audit(X.table(spark, d, "part").select(F.col("p_partkey").alias("evidence_id")), 15)
+    return planning.registry_audit(X.table(spark, d, "part").select(F.col("p_partkey").alias("evidence_id")), F.max("evidence_id"))
 
 
 @query("""SELECT p_partkey, sha256('{"dimension":' || p_size || ',"model_id":"' || p_name || '","revision":' || CASE WHEN p_partkey % 3 = 0 THEN 'null' ELSE '"' || p_brand || '"' END || '}') AS fingerprint FROM part""")
@@ -585,11 +639,11 @@ def content_fingerprint(spark, d):
     return X.table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("content"), S.fingerprint(F.col("lang"), F.col("source"), F.col("n_chars")).alias("config"))
 
 
-@query("SELECT event_id, CASE u WHEN 's' THEN n WHEN 'm' THEN n * 60 WHEN 'h' THEN n * 3600 WHEN 'd' THEN n * 86400 ELSE n * 604800 END::DOUBLE AS seconds, lower(event_type) LIKE 'p%' AS is_p FROM (SELECT event_id, event_type, (event_id % 50) AS n, ['s', 'm', 'h', 'd', 'w'][event_id % 5 + 1] AS u FROM events)")
+@query("SELECT event_id, n * CASE u WHEN 'm' THEN 60 WHEN 'H' THEN 3600 WHEN 'd' THEN 86400 WHEN 'W' THEN 604800 WHEN 'x' THEN NULL ELSE 1 END::DOUBLE AS seconds, lower(event_type) LIKE 'p%' AS is_p FROM (SELECT event_id, event_type, (event_id % 50) AS n, ['s', 'm', 'H', 'd', 'W', '', 'x'][event_id % 7 + 1] AS u FROM events)")
 def duration_parse(spark, d):
     e = X.table(spark, d, "events")
-    text = F.concat((F.col("event_id") % 50).cast("string"), F.element_at(F.array(*map(F.lit, "smhdw")), (F.col("event_id") % 5 + 1).cast("int")))
-    return e.select("event_id", S.seconds(text).alias("seconds"), F.lower("event_type").startswith("p").alias("is_p"))
+    unit = F.element_at(F.array(*map(F.lit, ["s", "m", "H", "d", "W", "", "x"])), (F.col("event_id") % 7 + 1).cast("int"))
+    return e.select("event_id", S.seconds(F.concat((F.col("event_id") % 50).cast("string"), unit)).alias("seconds"), F.lower("event_type").startswith("p").alias("is_p"))
 
 
 @query("SELECT doc_id, 'password=[REDACTED] x bearer [REDACTED] pg://u:[REDACTED]@h/' || lang AS clean FROM documents")
@@ -613,7 +667,7 @@ def hash_embedding_rows(spark, d):
     return encoders.encode(X.table(spark, d, "documents").select("doc_id", "text"), encoders.HashModel())
 
 
-@query("""WITH h AS (SELECT sha256(doc_id::VARCHAR || chr(31) || text) AS h FROM documents), p AS (SELECT substr(h, 1, 3) AS b, sha256(string_agg(h, '' ORDER BY h)) AS d, count(*) AS n FROM h GROUP BY 1) SELECT sha256(string_agg(d, '' ORDER BY b)) AS digest, sum(n)::BIGINT AS "rows" FROM p""")
+@query("""WITH h AS (SELECT sha256(doc_id::VARCHAR || chr(31) || text) AS h FROM documents), l AS (SELECT substr(h, 1, 6) AS l, sha256(string_agg(h, '' ORDER BY h)) AS d, count(*) AS n FROM h GROUP BY 1), p AS (SELECT substr(l, 1, 3) AS b, sha256(string_agg(d, '' ORDER BY l)) AS d, sum(n) AS n FROM l GROUP BY 1) SELECT sha256(string_agg(d, '' ORDER BY b)) AS digest, sum(n)::BIGINT AS "rows" FROM p""")
 def dataset_digest(spark, d):
     return planning.dataset_digest(X.table(spark, d, "documents"), "doc_id", "text")
 

@@ -124,8 +124,10 @@ def write_report(df: DataFrame, path: str, kind: str = "json") -> None:
         df.coalesce(1).write.mode("overwrite").json(path)
 
 
-def markdown(df: DataFrame, limit: int = 200) -> str:
-    """A small report table as Markdown (a report has a bounded number of rows)."""
-    rows = df.limit(limit).collect()
+def markdown(df: DataFrame, most: int = 10_000) -> str:
+    """A report table as Markdown; a report is small, and one of more than `most` rows is an error, not cut."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows; write the table with write_report instead")
     head = "| " + " | ".join(df.columns) + " |\n|" + "---|" * len(df.columns)
     return "\n".join([head, *("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows)])

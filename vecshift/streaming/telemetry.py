@@ -56,7 +56,7 @@ class WorkQueue(StatefulProcessor):
             elif kind == "restart" and status == "processing":
                 status = "pending"
             elif kind == "requeue" and status in ("done", "error"):
-                status, attempts, at = "pending", 0, seq
+                status, attempts = "pending", 0
         if status is not None:
             self.state.update((status, attempts, at))
             yield pd.DataFrame({"document_id": [key[0]], "status": [status], "attempts": [attempts], "enqueued_at": [at]})
