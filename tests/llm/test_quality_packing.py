@@ -70,6 +70,43 @@ def test_sum_of_squares_fills_bins():
     assert b.max() + 1 <= math.ceil(n.sum() / 4096) * 1.01 + 2
 
 
+def test_placement_equals_brute_force():
+    """Every item goes where the sum of squares of the open bins' counts by gap becomes smallest, a new bin counting one more, ties to the tightest gap."""
+    rng = np.random.default_rng(9)
+    for capacity in (10, 37):
+        sizes = np.sort(rng.integers(1, capacity + 1, 300))[::-1]
+        if capacity == 10:
+            rng.shuffle(sizes)
+        bins: list[int] = []  # what is left in each
+        want = []
+        for s in sizes.tolist():
+            def cost(gap, s=s):
+                n = Counter(g for g in bins if g)
+                if gap is not None:
+                    n[gap] -= 1
+                n[(capacity if gap is None else gap) - s] += 1
+                return sum(v * v for g, v in n.items() if g) + (gap is None)
+
+            choices = [*sorted({g for g in bins if g >= s}), None]
+            gap = min(choices, key=lambda g: (cost(g), capacity if g is None else g))
+            want.append(capacity if gap is None else gap)
+            if gap is None:
+                bins.append(capacity - s)
+            else:
+                bins[bins.index(gap)] -= s
+        b, o = sum_of_squares(sizes, capacity)
+        assert (capacity - o).tolist() == want and b.max() + 1 == len(bins)
+
+
+def test_equal_rows_are_dealt_apart(spark):
+    """Null ids and empty texts, all alike: no group gets them all, and every row comes out."""
+    df = spark.createDataFrame([(None, "")] * 3000, "doc_id long, text string")
+    out = best_fit(token_pieces(df), 4096, group_pieces=100)
+    assert out.count() == 3000
+    groups = [r.n for r in out.groupBy((F.col("sequence_id") / F.lit(1 << 32)).cast("long").alias("g")).agg(F.count("*").alias("n")).collect()]
+    assert len(groups) > 20 and max(groups) < 200
+
+
 def test_tokens_equal_the_tokenizer(spark, docs):
     import public_tokenizers
     from tokenizers import Tokenizer
