@@ -80,17 +80,16 @@ def coverage_curve(traffic: DataFrame, warm: DataFrame) -> DataFrame:
     t = x.agg(F.sum("occurrences").alias("all"), F.sum(F.when(F.col("warm"), F.col("occurrences")).otherwise(0)).alias("warm"), F.count_if(~F.col("warm")).alias("cold")).first()
     n, total, base = t["cold"] or 0, t["all"] or 0, t["warm"] or 0
     points = sorted({c for c in CHECKPOINTS if c <= n} | {n})
-    # rank by a distributed sort: ranks inside a range partition plus the sizes of the partitions before it
-    order = (F.desc("occurrences"), F.col("document_id").cast("string").asc())
-    cold = x.where("NOT warm").repartitionByRange(*order).sortWithinPartitions(*order).withColumn("p", F.spark_partition_id())
-    sizes = cold.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.sum("occurrences").alias("s"))
-    w = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
-    offsets = F.broadcast(sizes.select("p", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("n0"), F.coalesce(F.sum("s").over(w), F.lit(0)).alias("s0")))
-    own = Window.partitionBy("p").orderBy(*order)
-    ranked = cold.withColumn("r", F.row_number().over(own)).withColumn("c", F.sum("occurrences").over(own.rowsBetween(Window.unboundedPreceding, 0))).join(offsets, "p")
-    ranked = ranked.select((F.col("r") + F.col("n0")).alias("documents"), (F.col("c") + F.col("s0")).alias("covered"))
-    grid = x.sparkSession.createDataFrame([(int(p),) for p in points], "documents long")
-    return F.broadcast(grid).join(ranked.where(F.col("documents").isin(points)), "documents", "left").select("documents", F.round((F.lit(base) + F.coalesce("covered", F.lit(0))) / F.lit(max(1, total)), 9).alias("coverage"))
+    # documents of equal traffic cover alike, so the curve needs how many there are of each traffic only: at most
+    # sqrt(2 * total) rows, whatever the number of documents
+    steps = x.where("NOT warm").groupBy("occurrences").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy(F.desc("occurrences")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = [F.coalesce(F.sum(c).over(before), F.lit(0)).alias(a) for c, a in ((F.col("n"), "n0"), (F.col("n") * F.col("occurrences"), "s0"))]
+    steps = steps.select("occurrences", "n", *sums)
+    grid = F.broadcast(x.sparkSession.createDataFrame([(int(p),) for p in points], "documents long"))
+    held = steps.join(grid, (F.col("documents") > F.col("n0")) & (F.col("documents") <= F.col("n0") + F.col("n")))
+    held = held.select("documents", (F.col("s0") + (F.col("documents") - F.col("n0")) * F.col("occurrences")).alias("covered"))
+    return grid.join(held, "documents", "left").select("documents", F.round((F.lit(base) + F.coalesce("covered", F.lit(0))) / F.lit(max(1, total)), 9).alias("coverage"))
 
 
 def plan_fingerprint(chosen: DataFrame, fp: str, cap: int) -> DataFrame:
