@@ -7,6 +7,7 @@ the UTF-8 buffers of whole Arrow batches and never touch single Python strings.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import tempfile
@@ -36,6 +37,21 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_KEPT: dict[str, dict] = {}
+
+
+def kept(operator: str) -> dict:
+    """What this Python worker keeps between the tasks of an operator. Workers are reused, so one that goes on to another operator
+    lets go of what the last one kept, and gives the memory that its tasks have left back to the system."""
+    if operator not in _KEPT:
+        _KEPT.clear()
+        _KEPT[operator] = {}
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+    return _KEPT[operator]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from the session; a folder of our own only where it is unset and the master is one
     machine. On a cluster without the setting this is an error."""

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, bounded_map, buffers, discard, grams, hashes, materialize, merge_bits, mix, pieces, ready, spans
+from .common import HOT_SHARE, bounded_map, buffers, discard, grams, hashes, kept, materialize, merge_bits, mix, pieces, ready, spans
 from .graph import components, forest, smallest_ids
 
 CELLS, PARTS, FAN = 1 << 22, 64, 64
@@ -100,6 +100,7 @@ def similarity_classes(docs: DataFrame, n: int = 3, percent: int = 90, key: str
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        kept("jaccard")
         count, src = np.zeros(CELLS, np.int32), TaskContext.get().partitionId()
         none = None
         for b in batches:

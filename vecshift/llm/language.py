@@ -20,10 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, ready
+from .common import crc_mod, kept, ready
 
 SAMPLE_ROWS, ORDER = 10_000, 4
 CACHE_WORDS = 600_000
@@ -39,6 +40,7 @@ def _parts(word: str, n: int) -> list[str]:
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, n, gram, c); n = 0 for words."""
+    kept("language")
     for b in batches:
         words: dict[str, Counter] = {}
         for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -56,7 +58,8 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE_ROWS) -> dict:
-    """A model of bounded size from labelled rows (rows with null text or language are left out)."""
+    """A model of bounded size from labelled rows (rows with null text or language are left out): the languages, the words and
+    n-grams of each length as Arrow arrays, a row of log frequencies for each of them, and the most frequent language."""
     rows = ready(labelled.sparkSession) and labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(key).alias("k"), F.col(lang).cast("string").alias("l"), F.col(text).alias("t"))
     size = {r.l: r["count"] for r in rows.groupBy("l").count().collect()}  # a row for each language
     quota, line = sample / max(1, len(size)), F.pmod(F.xxhash64(F.coalesce(F.col("k").cast("string"), F.lit(""))), F.lit(1 << 30))
@@ -64,16 +67,19 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
         most = F.create_map(*[F.lit(y) for x in over.items() for y in x])
         rows = rows.where(line < F.coalesce(F.get(F.map_values(F.map_filter(most, lambda k, _: k == F.col("l"))), F.lit(0)), F.lit(1 << 30)))
     counts = rows.select("l", "t").mapInArrow(_counts, "lang string, n int, gram string, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
-    found = counts.toArrow()  # the sample's own words and n-grams: bounded by SAMPLE_ROWS
+    found = counts.toArrow().combine_chunks()  # the sample's own words and n-grams: bounded by SAMPLE_ROWS
     langs = sorted(found["lang"].unique().to_pylist())
-    at = {x: i for i, x in enumerate(langs)}
-    total = np.zeros((ORDER + 1, len(langs)))
-    table: list[dict[str, list[tuple[int, int]]]] = [{} for _ in range(ORDER + 1)]
-    for x, n, gram, c in zip(*(found[k].to_pylist() for k in ("lang", "n", "gram", "c")), strict=True):
-        total[n, at[x]] += c
-        table[n].setdefault(gram, []).append((at[x], c))
+    lang, n, c = pc.index_in(found["lang"], pa.array(langs, pa.string())).to_numpy(), found["n"].to_numpy(), found["c"].to_numpy()
+    grams, logs = [], []
+    for k in range(ORDER + 1):
+        mine = np.flatnonzero(n == k)
+        coded = found["gram"].take(pa.array(mine)).combine_chunks().dictionary_encode()
+        count = np.zeros((len(coded.dictionary), len(langs)))
+        count[coded.indices.to_numpy(), lang[mine]] = c[mine]
+        grams.append(coded.dictionary)
+        logs.append(np.log10((count + 0.5) / (count.sum(0) + 0.5 * 1e5)))
     common = max(range(len(langs)), key=lambda i: (size[langs[i]], -i), default=0)
-    return {"langs": langs, "total": total, "table": table, "common": common}
+    return {"langs": langs, "grams": grams, "logs": np.concatenate(logs), "common": common}
 
 
 class Scorer:
@@ -81,17 +87,10 @@ class Scorer:
 
     def __init__(self, model: dict):
         self.langs, self.n, self.common = model["langs"], len(model["langs"]), model["common"]
-        floor = np.log10(0.5 / (model["total"] + 0.5 * 1e5))
-        self.at: list[dict[str, int]] = []  # by n-gram length (0: words) the row of each known gram in self.logs
-        logs = []
-        for n, table in enumerate(model["table"]):
-            self.at.append({g: len(logs) + k for k, g in enumerate(table)})
-            for found in table.values():
-                x = floor[n].copy()
-                for i, c in found:
-                    x[i] = math.log10((c + 0.5) / (model["total"][n, i] + 0.5 * 1e5))
-                logs.append(x)
-        self.logs = np.array(logs).reshape(len(logs), self.n)
+        self.logs, self.at = model["logs"], []  # by n-gram length (0: words) the row of each known gram in self.logs
+        for grams in model["grams"]:
+            start = sum(map(len, self.at))
+            self.at.append(dict(zip(grams.to_pylist(), range(start, start + len(grams)), strict=True)))
         self._reset()
 
     def _reset(self) -> None:
@@ -155,6 +154,7 @@ class Scorer:
 
 def _predict(model, keep_from: float | None, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("language")
         score = Scorer(model.value)
         for whole in batches:
             for lo in range(0, whole.num_rows, 1000):

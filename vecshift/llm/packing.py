@@ -22,14 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, hashes, materialize, spans
+from .common import buffers, hashes, kept, materialize, spans
 from .common import pieces as split
 
 CAPACITY, END_ID, GROUP_PIECES = 4096, 1, 8192
 #: Words that a worker keeps the ids of, about 50 bytes each.
 CACHE_WORDS = 1_500_000
 _TAIL = b".,;:!?#*$%&|<>()[]{}-_=+/\"@~^"
-_STATE: dict = {}
 
 
 def default_tokenizer() -> str:
@@ -108,10 +107,11 @@ class Words:
 
 def encode_texts(data: np.ndarray, off: np.ndarray, path: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Some rows at a time: number of the first, their ids, and where each row's begin (one entry more)."""
-    if path not in _STATE:
-        _STATE[path] = Words(path)
+    words = kept("packing")
+    if path not in words:
+        words[path] = Words(path)
     for lo, _, d, o in split(data, off):
-        yield lo, *_STATE[path](d, o)
+        yield lo, *words[path](d, o)
 
 
 def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int | None = END_ID, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, bounded_map, buffers, hashes, materialize, merge_bits, mix, pieces, ready, spans
+from .common import HOT_SHARE, bounded_map, buffers, hashes, kept, materialize, merge_bits, mix, pieces, ready, spans
 
 SPAN, LEAST, LONG, CUT = 2, 16, 12, 4
 _END = np.zeros(256, bool)
@@ -150,6 +150,7 @@ def _dedup(docs: DataFrame, key: str, text: str) -> DataFrame:
     base = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("id"), rid.alias("rid"), F.col(text).alias("t"))
 
     def span_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("substrings")
         for b in batches:
             rows, keys, pos = [], [], []
             for i, *_, span, k in _each(b.column(2)):
