@@ -20,17 +20,17 @@ def components(edges: DataFrame) -> DataFrame:
     e = materialize(edges.where("child > parent").distinct(), "edges")
     left = e.count()
     while True:
-        low = materialize(e.groupBy("child").agg(F.min("parent").alias("low")), "low")
+        low = materialize(e.groupBy("child").agg(F.min("parent").alias("low")), "low", left)
         nodes = low.count()
         if nodes == left:
             break
         moved = e.join(low, "child").where("parent > low").select(F.col("parent").alias("child"), F.col("low").alias("parent"))
-        e = materialize(low.select("child", F.col("low").alias("parent")).unionByName(moved).distinct(), "edges")
+        e = materialize(low.select("child", F.col("low").alias("parent")).unionByName(moved).distinct(), "edges", left)
         left = e.count()
     up = low.withColumnRenamed("low", "root")
     while True:
         above = up.select(F.col("child").alias("root"), F.col("root").alias("__top"))
-        up = materialize(up.join(above, "root", "left").select("child", F.coalesce("__top", "root").alias("root"), F.col("__top").isNotNull().alias("__moved")), "up")
+        up = materialize(up.join(above, "root", "left").select("child", F.coalesce("__top", "root").alias("root"), F.col("__top").isNotNull().alias("__moved")), "up", nodes)
         if up.where("__moved").limit(1).count() == 0:
             return up.drop("__moved")
         up = up.drop("__moved")
@@ -42,7 +42,7 @@ def smallest_ids(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     inside = materialize(nodes.select("cid", "rep").join(roots, "cid", "left").select("cid", "rep", F.coalesce("root", "cid").alias("root")), "rooted")
     linked = inside.where("root <> cid").select("root").distinct()
     low = inside.join(linked, "root", "left_semi").groupBy("root").agg(F.min("rep").alias("low"))
-    return inside.join(materialize(low, "lowest"), "root", "left").select("cid", F.coalesce("low", "rep").alias("component_id"))
+    return inside.join(materialize(low, "lowest", roots.count()), "root", "left").select("cid", F.coalesce("low", "rep").alias("component_id"))
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -92,6 +92,10 @@ def _unpack(v: bytes) -> np.ndarray:
     return sum(planes[k].astype(np.int64) << (8 * k) for k in range(6))
 
 
+#: A row with its rarest shingles counts as this many narrow ones.
+WIDE = 8
+
+
 def similarity_classes(docs: DataFrame, n: int = 3, percent: int = 90, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id; documents link when 100 * intersection >= percent * union of their shingle sets."""
     spark = ready(docs.sparkSession)
@@ -125,7 +129,9 @@ def similarity_classes(docs: DataFrame, n: int = 3, percent: int = 90, key: str
     signed = materialize(base.mapInArrow(sign, "doc_id long, n long, cid long, block int, src int, v binary"), "signed")
     docs_signed = signed.where("block IS NULL").select("doc_id", "n", "cid")
     live = docs_signed.where("n > 0 AND doc_id IS NOT NULL")
-    classes = materialize(live.groupBy("cid", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
+    documents = docs_signed.count()
+    classes = materialize(live.groupBy("cid", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes", documents)
+    total = classes.count()
     rare = spark.sparkContext.broadcast(merge_counts(signed.where("block IS NOT NULL").select("block", "src", "v")).tobytes())
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,22 +197,21 @@ def similarity_classes(docs: DataFrame, n: int = 3, percent: int = 90, key: str
         return materialize(blocks.mapInArrow(run, "child long, parent long"), name)
 
     # large groups: what they link inside becomes one unit
-    total = classes.count()
     often = lambda x: F.col(x) > max(BIG, HASHES * total // HOT_SHARE)
     keyed = reps.select("cid", "rep", band.alias("band"), F.posexplode("near").alias("k", "x")).select("cid", "rep", "k", F.xxhash64("k", "x", "band").alias("gid"))
-    large = materialize(keyed.groupBy("gid").agg(F.count(F.lit(1)).alias("members")).where(f"members > {BIG}"), "large_groups")
+    large = materialize(keyed.groupBy("gid").agg(F.count(F.lit(1)).alias("members")).where(f"members > {BIG}"), "large_groups", total)
     inside = bounded_map(spark, large, large.where(often("members")), keyed, ["gid"], "inner")
     inside = inside.withColumn("block", F.pmod(F.xxhash64("cid", "k"), F.ceil(F.col("members") / GROUP)).cast("int"))
-    inside = materialize(inside.select("cid", "rep", "gid", "block", F.lit(0).alias("chunk"), F.lit(2).alias("role")), "inside")
+    inside = materialize(inside.select("cid", "rep", "gid", "block", F.lit(0).alias("chunk"), F.lit(2).alias("role")), "inside", HASHES * total)
     known = compared(inside, "inside_links")
     units = components(known).select(F.col("child").alias("cid"), "root")
-    units = materialize(units.unionByName(units.select(F.col("root").alias("cid"), "root").distinct()), "units")
+    units = materialize(units.unionByName(units.select(F.col("root").alias("cid"), "root").distinct()), "units", total)
 
     gkey = F.xxhash64(F.lit(0), F.get("near", F.lit(0)), band)
     grouped = bounded_map(spark, large, large.where(often("members")), reps.withColumn("gid", gkey), ["gid"])
     salt = F.pmod(F.xxhash64("cid"), F.greatest(F.lit(1), F.ceil(F.coalesce("members", F.lit(1)) / GROUP)))
     grouped = grouped.select("cid", "rep", "n", "toks", F.xxhash64("gid", salt).alias("gid")).join(units, "cid", "left")
-    grouped = materialize(grouped.select("cid", "rep", "n", "toks", F.coalesce("root", "gid").alias("gid"), F.coalesce("root", "cid").alias("qid")), "grouped")
+    grouped = materialize(grouped.select("cid", "rep", "n", "toks", F.coalesce("root", "gid").alias("gid"), F.coalesce("root", "cid").alias("qid")), "grouped", WIDE * total)
     discard(reps)
 
     # one exchange serves the matrix and the queries that meet it
@@ -226,9 +231,9 @@ def similarity_classes(docs: DataFrame, n: int = 3, percent: int = 90, key: str
     # blocks of the members of opened units, and of the queries that opened them
     ids = grouped.select("cid", "rep", "gid", "qid").distinct()
     queries = materialize(ids.drop("gid").join(opened, "qid").select("cid", "rep", "gid"), "queries")
-    members = materialize(ids.drop("qid").join(opened.select("gid").distinct(), "gid", "left_semi"), "members")
+    members = materialize(ids.drop("qid").join(opened.select("gid").distinct(), "gid", "left_semi"), "members", total)
     asked = queries.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("chunks"))
-    asked = materialize(asked.join(members.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("blocks")), "gid"), "asked")
+    asked = materialize(asked.join(members.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("blocks")), "gid"), "asked", total)
     hot = asked.where(F.greatest(F.col("chunks") * QUERIES, F.col("blocks") * GROUP) > max(QUERIES, total // HOT_SHARE))
     each = lambda n: F.explode(F.expr(f"sequence(0, {n} - 1)"))
     own = lambda n: F.pmod(F.xxhash64("cid"), F.col(n)).cast("int")
@@ -238,8 +243,8 @@ def similarity_classes(docs: DataFrame, n: int = 3, percent: int = 90, key: str
     discard(grouped)
 
     label = classes.select("cid", "n", "copies").join(smallest_ids(classes, links), "cid")
-    label = materialize(label, "labels")
-    hot = label.where(F.col("copies") > max(1, docs_signed.count() // HOT_SHARE))
+    label = materialize(label, "labels", total)
+    hot = label.where(F.col("copies") > max(1, documents // HOT_SHARE))
     out = bounded_map(spark, label, hot, live, ["cid", "n"], "inner").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return out.unionByName(docs_signed.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
