@@ -158,7 +158,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", column: str = "embe
     kind = "<f4" if single else "<f8"  # bytes as they came; cosines are taken in double precision
     base = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(column).cast(f"array<{'float' if single else 'double'}>").alias("v"))
     packed = materialize(base.mapInArrow(_packer(kind), "vec_id long, v binary").withColumn("digest", F.expr("CASE WHEN vec_id IS NOT NULL THEN sha2(v, 256) END")), "vectors")
-    classes = materialize(packed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("m"), F.min("v").alias("v")).withColumn("cid", F.xxhash64("digest")), "classes")
+    classes = materialize(packed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("m"), F.min("v").alias("v")).withColumn("cid", F.monotonically_increasing_id()), "classes")
     n, total = classes.count(), packed.count()
     depth, tables = plan(n, threshold)
 

@@ -54,11 +54,14 @@ def shingle_sets(texts: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
             yield lo + i, np.unique(grams(w, n)) if len(w) >= n else grams(w, len(w)) if len(w) else w
 
 
-def _digest(s: np.ndarray) -> int:
-    """64 bits of an order-free set hash; equal sets agree, and n_shingles is kept beside it."""
+def _digest(s: np.ndarray) -> tuple[int, int]:
+    """128 bits of an order-free set hash; equal sets agree, and n_shingles is kept beside it."""
     with np.errstate(over="ignore"):
         x = mix(s + np.uint64(0x1234567))
-        return int(mix(np.array([x.sum() ^ (mix(x).sum() * np.uint64(3)) + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
+        y = mix(x)
+        out = np.array([x.sum() ^ (y.sum() * np.uint64(3)) + np.uint64(len(s)), mix(y + np.uint64(0x7654321)).sum()], np.uint64)
+    a, b = mix(out).view(np.int64)
+    return int(a), int(b)
 
 
 def merge_counts(parts: DataFrame) -> np.ndarray:
@@ -108,36 +111,37 @@ def similarity_classes(docs: DataFrame, n: int = 3, percent: int = 90, key: str
         count, src = np.zeros(CELLS, np.int32), TaskContext.get().partitionId()
         none = None
         for b in batches:
-            size, cid = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
+            size, sig = np.zeros(b.num_rows, np.int64), np.zeros((b.num_rows, 2), np.int64)
             for i, s in shingle_sets(b.column(1), n):
                 size[i] = len(s)
                 if len(s):
-                    cid[i] = _digest(s)
+                    sig[i] = _digest(s)
                     count[(s >> np.uint64(42)).view(np.int64)] += 1
             k = b.num_rows
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(size), pa.array(cid), pa.array([none] * k, pa.int32()), pa.array([none] * k, pa.int32()), pa.array([none] * k, pa.binary())], ["doc_id", "n", "cid", "block", "src", "v"]
+                [b.column(0), pa.array(size), pa.array(sig[:, 0]), pa.array(sig[:, 1]), pa.array([none] * k, pa.int32()), pa.array([none] * k, pa.int32()), pa.array([none] * k, pa.binary())], ["doc_id", "n", "d", "e", "block", "src", "v"]
             )
         width = CELLS // PARTS
         for p in range(PARTS):
             own = count[p * width : (p + 1) * width]
             if own.any():
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([none], pa.int64()), pa.array([none], pa.int64()), pa.array([none], pa.int64()), pa.array([p], pa.int32()), pa.array([src], pa.int32()), pa.array([_pack(own)], pa.binary())], ["doc_id", "n", "cid", "block", "src", "v"]
+                    [*[pa.array([none], pa.int64())] * 4, pa.array([p], pa.int32()), pa.array([src], pa.int32()), pa.array([_pack(own)], pa.binary())], ["doc_id", "n", "d", "e", "block", "src", "v"]
                 )
 
-    signed = materialize(base.mapInArrow(sign, "doc_id long, n long, cid long, block int, src int, v binary"), "signed")
-    docs_signed = signed.where("block IS NULL").select("doc_id", "n", "cid")
+    signed = materialize(base.mapInArrow(sign, "doc_id long, n long, d long, e long, block int, src int, v binary"), "signed")
+    docs_signed = signed.where("block IS NULL").select("doc_id", "n", "d", "e")
     live = docs_signed.where("n > 0 AND doc_id IS NOT NULL")
     documents = docs_signed.count()
-    classes = materialize(live.groupBy("cid", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes", documents)
+    classes = live.groupBy("d", "e", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "classes", documents)  # written once: a number of its own for each
     total = classes.count()
     rare = spark.sparkContext.broadcast(merge_counts(signed.where("block IS NOT NULL").select("block", "src", "v")).tobytes())
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.frombuffer(rare.value, np.uint8)
         for b in batches:
-            at, size, cid, near, toks = [], [], [], [], []
+            at, size, sig, near, toks = [], [], [], [], []
             ids = b.column(0)
             for i, s in shingle_sets(b.column(1), n):
                 if not len(s) or not ids[i].is_valid:
@@ -149,16 +153,18 @@ def similarity_classes(docs: DataFrame, n: int = 3, percent: int = 90, key: str
                 first = first[np.argsort(rank[np.searchsorted(s, first)], kind="stable")]
                 at.append(i)
                 size.append(m)
-                cid.append(_digest(s))
+                sig.append(_digest(s))
                 near.append([int((s * x).min() >> np.uint64(1)) for x in _ODD[:HASHES]])
                 toks.append(first.view(np.int64))
             if at:
                 lens = np.cumsum([0, *map(len, toks)])
                 lists = pa.ListArray.from_arrays(pa.array(lens, pa.int32()), pa.array(np.concatenate(toks)))
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(size, pa.int64()), pa.array(cid, pa.int64()), pa.array(near, pa.list_(pa.int64())), lists], ["rep", "n", "cid", "near", "toks"])
+                d, e = (pa.array(x, pa.int64()) for x in zip(*sig, strict=True))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(size, pa.int64()), d, e, pa.array(near, pa.list_(pa.int64())), lists], ["rep", "n", "d", "e", "near", "toks"])
 
-    made = base.mapInArrow(prefixes, "rep long, n long, cid long, near array<long>, toks array<long>")
-    reps = materialize(made.join(classes.select("cid", "rep"), ["cid", "rep"], "left_semi"), "prefixes")
+    made = base.mapInArrow(prefixes, "rep long, n long, d long, e long, near array<long>, toks array<long>")
+    named = classes.select("cid", "d", "e", "n", "rep")
+    reps = materialize(made.join(named, ["d", "e", "n", "rep"]).select("cid", "rep", "n", "near", "toks"), "prefixes")
     band = F.floor(F.log("n") / F.lit(0.1))
 
     def sets_of(work: DataFrame) -> DataFrame:
@@ -171,17 +177,19 @@ def similarity_classes(docs: DataFrame, n: int = 3, percent: int = 90, key: str
                 j = _place(b.column(0))
                 at = np.flatnonzero((bits[j >> 3] >> (j & 7).astype(np.uint8)) & 1)
                 own = b.take(pa.array(at))
-                at, cid, sets = [], [], []
+                at, sig, sets = [], [], []
                 for i, s in shingle_sets(own.column(1), n):
                     if len(s):
                         at.append(i)
-                        cid.append(_digest(s))
+                        sig.append(_digest(s))
                         sets.append(s.tobytes())
                 if at:
-                    yield pa.RecordBatch.from_arrays([own.column(0).take(pa.array(at)), pa.array(cid, pa.int64()), pa.array(sets, pa.binary())], ["rep", "cid", "s"])
+                    d, e = (pa.array(x, pa.int64()) for x in zip(*sig, strict=True))
+                    yield pa.RecordBatch.from_arrays([own.column(0).take(pa.array(at)), d, e, pa.array(sets, pa.binary())], ["rep", "d", "e", "s"])
 
-        found = base.where("doc_id IS NOT NULL").mapInArrow(whole, "rep long, cid long, s binary")
-        return found.join(work.select("cid", "rep").distinct(), ["cid", "rep"], "left_semi").dropDuplicates(["cid"])
+        found = base.where("doc_id IS NOT NULL").mapInArrow(whole, "rep long, d long, e long, s binary")
+        asked = named.drop("n").join(work.select("cid").distinct(), "cid", "left_semi")
+        return found.join(asked, ["d", "e", "rep"]).select("cid", "s").dropDuplicates(["cid"])
 
     def compared(work: DataFrame, name: str) -> DataFrame:
         """Spanning forests of the blocks of a written work table (cid, rep, gid, block, chunk, role)."""
@@ -242,10 +250,10 @@ def similarity_classes(docs: DataFrame, n: int = 3, percent: int = 90, key: str
     links = known.unionByName(compared(materialize(members.unionByName(queries), "work"), "links"))
     discard(grouped)
 
-    label = classes.select("cid", "n", "copies").join(smallest_ids(classes, links), "cid")
+    label = classes.select("cid", "d", "e", "n", "copies").join(smallest_ids(classes, links), "cid")
     label = materialize(label, "labels", total)
     hot = label.where(F.col("copies") > max(1, documents // HOT_SHARE))
-    out = bounded_map(spark, label, hot, live, ["cid", "n"], "inner").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    out = bounded_map(spark, label, hot, live, ["d", "e", "n"], "inner").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return out.unionByName(docs_signed.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
