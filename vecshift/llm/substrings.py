@@ -10,7 +10,7 @@ first and stays, the sentences of every other occurrence go.
 
 Edge cases: null and empty texts stay as they are; a text whose sentences all go becomes empty and stays as a row in
 `dedup_spans` (its `text` is then ""); white space around removed sentences goes with them. Spans are compared within
-one text too. Rows that repeat an id (and null ids) are told apart by a row key of id and text; of rows equal in both one is
+one text too. Rows that repeat an id (and null ids) are told apart by the id and a hash of the text; of rows equal in both one is
 the first, and all spans of the others go. An empty table gives an empty result; all other columns stay.
 """
 
@@ -91,13 +91,14 @@ def _each(texts: pa.Array) -> Iterator[tuple]:
 def dedup_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with the repeated passages taken out of `text`; same columns, same rows."""
     ready(docs.sparkSession)
-    rid = F.xxhash64(F.col(key).cast("string"), F.col(text))
+    row = lambda k, t: F.md5(F.concat(F.coalesce(F.col(k).cast("string"), F.lit("\0")), F.lit("\x1f"), F.col(t)))
+    rid = row(key, text)
     twice = materialize(docs.where(F.length(text) > 0).groupBy(rid.alias("__rid")).count().where("count > 1"), "repeated_rows")
     if twice.isEmpty():
         return _dedup(docs, key, text)
     # rows equal in id and text: written once with a number, the smallest of which is the first
     safe = docs.toDF(*[f"__c{i}" for i in range(len(docs.columns))])
-    rid = F.xxhash64(F.col(f"__c{docs.columns.index(key)}").cast("string"), F.col(f"__c{docs.columns.index(text)}"))
+    rid = row(f"__c{docs.columns.index(key)}", f"__c{docs.columns.index(text)}")
     rows = safe.withColumn("__rid", F.when(F.length(f"__c{docs.columns.index(text)}") > 0, rid)).withColumn("__m", F.monotonically_increasing_id())
     hot = twice.where(F.col("count") > max(1, docs.count() // HOT_SHARE))
     keyed = rows.where("__rid IS NOT NULL")
@@ -147,7 +148,8 @@ def _without(texts: pa.Array, gone: dict[int, list[int]]) -> pa.Array:
 def _dedup(docs: DataFrame, key: str, text: str) -> DataFrame:
     spark = docs.sparkSession
     rid = F.xxhash64(F.col(key).cast("string"), F.col(text))
-    base = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("id"), rid.alias("rid"), F.col(text).alias("t"))
+    ident = lambda k: F.coalesce(F.col(k).cast("long"), F.lit(-(1 << 63)))
+    base = docs.select(ident(key).alias("id"), rid.alias("rid"), F.col(text).alias("t"))  # a row is known by both
 
     def span_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept("substrings")
@@ -164,42 +166,41 @@ def _dedup(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     found = base.mapInArrow(span_rows, "h long, id long, rid long, pos int")
     repeated = found.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("id", "rid", "pos")).alias("f")).where("k > 1")
-    repeated = materialize(repeated.select("h", "k", F.col("f.rid").alias("f_rid"), F.col("f.pos").alias("f_pos")), "repeated")
+    repeated = materialize(repeated.select("h", "k", *[F.col(f"f.{c}").alias(f"f_{c}") for c in ("id", "rid", "pos")]), "repeated")
     total = repeated.agg(F.sum("k")).first()[0] or 0
     wanted = spark.sparkContext.broadcast(_bits(repeated.select("h")))
 
     # spans of very frequent passages (fewer than HOT_SHARE of them) are settled in the scan itself, one row for each text
-    often = repeated.where(F.col("k") > max(1, total // HOT_SHARE)).select("h", "f_rid", "f_pos").orderBy("h").toArrow()
-    hot = spark.sparkContext.broadcast(tuple(often[c].to_numpy() for c in ("h", "f_rid", "f_pos")))
+    often = repeated.where(F.col("k") > max(1, total // HOT_SHARE)).select("h", "f_id", "f_rid", "f_pos").orderBy("h").toArrow()
+    hot = spark.sparkContext.broadcast(tuple(often[c].to_numpy() for c in ("h", "f_id", "f_rid", "f_pos")))
 
     def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(wanted.value, np.uint8)
-        hot_h, hot_rid, hot_pos = hot.value
+        hot_h, hot_id, hot_rid, hot_pos = hot.value
         for b in span_rows(batches):
-            h, rid, pos = (b.column(k).to_numpy() for k in (0, 2, 3))
+            h, own, rid, pos = (b.column(k).to_numpy() for k in range(4))
             j = h & (8 * BITS - 1)
             at = np.flatnonzero((bits[j >> 3] >> (j & 7).astype(np.uint8)) & 1)
             if not len(at):
                 continue
             k = np.minimum(np.searchsorted(hot_h, h[at]), max(len(hot_h) - 1, 0))
             known = hot_h[k] == h[at] if len(hot_h) else np.zeros(len(at), bool)
-            first = known & (hot_rid[k] == rid[at]) & (hot_pos[k] == pos[at]) if len(hot_h) else known
+            first = known & (hot_id[k] == own[at]) & (hot_rid[k] == rid[at]) & (hot_pos[k] == pos[at]) if len(hot_h) else known
             rest = at[~known]
             if len(rest):
                 none = pa.nulls(len(rest), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.array(h[rest]), pa.array(rid[rest]), pa.array(pos[rest]), none], ["h", "rid", "pos", "gone"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[rest]), pa.array(own[rest]), pa.array(rid[rest]), pa.array(pos[rest]), none], ["h", "id", "rid", "pos", "gone"])
             mine = at[known & ~first]
             if len(mine):
-                own, edge = np.unique(rid[mine], return_index=True)
-                order = np.argsort(rid[mine], kind="stable")
-                edge = np.searchsorted(rid[mine][order], own)
-                lists = pa.ListArray.from_arrays(pa.array(np.append(edge, len(mine)), pa.int32()), pa.array(pos[mine][order]))
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(own), pa.int64()), pa.array(own), pa.nulls(len(own), pa.int32()), lists], ["h", "rid", "pos", "gone"])
-
-    again = materialize(base.mapInArrow(repeats, "h long, rid long, pos int, gone array<int>"), "again")
-    later = again.where("h IS NOT NULL").join(repeated, "h").where("rid <> f_rid OR pos <> f_pos").select("rid", F.array("pos").alias("gone"))
+                edge = np.flatnonzero(np.append(True, (np.diff(own[mine]) != 0) | (np.diff(rid[mine]) != 0)))  # a text's spans follow one another
+                lists = pa.ListArray.from_arrays(pa.array(np.append(edge, len(mine)), pa.int32()), pa.array(pos[mine]))
+                text_of, n = mine[edge], len(edge)
+                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(own[text_of]), pa.array(rid[text_of]), pa.nulls(n, pa.int32()), lists], ["h", "id", "rid", "pos", "gone"])
+
+    again = materialize(base.mapInArrow(repeats, "h long, id long, rid long, pos int, gone array<int>"), "again")
+    later = again.where("h IS NOT NULL").join(repeated, "h").where("id <> f_id OR rid <> f_rid OR pos <> f_pos").select("id", "rid", F.array("pos").alias("gone"))
     # the spans to take out, gathered for each text: at most a few for each of its own sentences
-    gone = later.unionByName(again.where("h IS NULL").select("rid", "gone")).groupBy("rid").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("__gone"))
+    gone = later.unionByName(again.where("h IS NULL").select("id", "rid", "gone")).groupBy("id", "rid").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("__gone"))
     gone = materialize(gone, "gone")
     at = docs.columns.index(text)
     width = len(docs.columns)
@@ -213,7 +214,9 @@ def _dedup(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     names = docs.columns
     safe = docs.toDF(*[f"__c{i}" for i in range(width)])
-    joined = safe.withColumn("__rid", F.xxhash64(F.col(f"__c{docs.columns.index(key)}").cast("string"), F.col(f"__c{at}"))).join(gone.hint("shuffle_hash"), F.col("__rid") == F.col("rid"), "left").drop("__rid", "rid")
+    own = f"__c{docs.columns.index(key)}"
+    keyed = safe.withColumn("id", ident(own)).withColumn("rid", F.xxhash64(F.col(own).cast("string"), F.col(f"__c{at}")))
+    joined = keyed.join(gone.hint("shuffle_hash"), ["id", "rid"], "left").select(*safe.columns, "__gone")
     return joined.mapInArrow(cut, docs.schema)
 
 
