@@ -46,12 +46,29 @@ def kept(operator: str) -> dict:
     if operator not in _KEPT:
         _KEPT.clear()
         _KEPT[operator] = {}
-        pa.default_memory_pool().release_unused()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-            trim(0)
+        release()
     return _KEPT[operator]
 
 
+def release() -> None:
+    """Give memory that this worker no longer uses back to the system."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def tidy(run):
+    """run, an Arrow batch function, whose worker gives memory back when the task ends; idle workers then hold little."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return tidied
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from the session; a folder of our own only where it is unset and the master is one
     machine. On a cluster without the setting this is an error."""
@@ -111,7 +128,7 @@ def merge_bits(ids: DataFrame, size: int, place) -> bytes:
         return pa.table({"k": pa.array([t["k"][0].as_py()], pa.int32()), "v": pa.array([v.tobytes()], pa.binary())})
 
     out = np.zeros((256, size // 256), np.uint8)
-    parts = ids.coalesce(16 + ids.count() // BIT_ROWS).mapInArrow(collect, "k int, v binary")
+    parts = ids.coalesce(16 + ids.count() // BIT_ROWS).mapInArrow(tidy(collect), "k int, v binary")
     for r in parts.groupBy("k").applyInArrow(join, "k int, v binary").collect():  # at most 256 rows, size bytes
         out[r.k] = np.frombuffer(bytes(r.v), np.uint8)
     return out.tobytes()

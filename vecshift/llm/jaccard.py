@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, bounded_map, buffers, discard, grams, hashes, kept, materialize, merge_bits, mix, pieces, ready, spans
+from .common import HOT_SHARE, bounded_map, buffers, discard, grams, hashes, kept, materialize, merge_bits, mix, pieces, ready, spans, tidy
 from .graph import components, forest, smallest_ids
 
 CELLS, PARTS, FAN = 1 << 22, 64, 64
@@ -129,7 +129,7 @@ def similarity_classes(docs: DataFrame, n: int = 3, percent: int = 90, key: str
                     [*[pa.array([none], pa.int64())] * 4, pa.array([p], pa.int32()), pa.array([src], pa.int32()), pa.array([_pack(own)], pa.binary())], ["doc_id", "n", "d", "e", "block", "src", "v"]
                 )
 
-    signed = materialize(base.mapInArrow(sign, "doc_id long, n long, d long, e long, block int, src int, v binary"), "signed")
+    signed = materialize(base.mapInArrow(tidy(sign), "doc_id long, n long, d long, e long, block int, src int, v binary"), "signed")
     docs_signed = signed.where("block IS NULL").select("doc_id", "n", "d", "e")
     live = docs_signed.where("n > 0 AND doc_id IS NOT NULL")
     documents = docs_signed.count()
@@ -162,7 +162,7 @@ def similarity_classes(docs: DataFrame, n: int = 3, percent: int = 90, key: str
                 d, e = (pa.array(x, pa.int64()) for x in zip(*sig, strict=True))
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(size, pa.int64()), d, e, pa.array(near, pa.list_(pa.int64())), lists], ["rep", "n", "d", "e", "near", "toks"])
 
-    made = base.mapInArrow(prefixes, "rep long, n long, d long, e long, near array<long>, toks array<long>")
+    made = base.mapInArrow(tidy(prefixes), "rep long, n long, d long, e long, near array<long>, toks array<long>")
     named = classes.select("cid", "d", "e", "n", "rep")
     reps = materialize(made.join(named, ["d", "e", "n", "rep"]).select("cid", "rep", "n", "near", "toks"), "prefixes")
     band = F.floor(F.log("n") / F.lit(0.1))
@@ -187,7 +187,7 @@ def similarity_classes(docs: DataFrame, n: int = 3, percent: int = 90, key: str
                     d, e = (pa.array(x, pa.int64()) for x in zip(*sig, strict=True))
                     yield pa.RecordBatch.from_arrays([own.column(0).take(pa.array(at)), d, e, pa.array(sets, pa.binary())], ["rep", "d", "e", "s"])
 
-        found = base.where("doc_id IS NOT NULL").mapInArrow(whole, "rep long, d long, e long, s binary")
+        found = base.where("doc_id IS NOT NULL").mapInArrow(tidy(whole), "rep long, d long, e long, s binary")
         asked = named.drop("n").join(work.select("cid").distinct(), "cid", "left_semi")
         return found.join(asked, ["d", "e", "rep"]).select("cid", "s").dropDuplicates(["cid"])
 
@@ -202,7 +202,7 @@ def similarity_classes(docs: DataFrame, n: int = 3, percent: int = 90, key: str
                 if len(c):
                     yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(p)], ["child", "parent"])
 
-        return materialize(blocks.mapInArrow(run, "child long, parent long"), name)
+        return materialize(blocks.mapInArrow(tidy(run), "child long, parent long"), name)
 
     # large groups: what they link inside becomes one unit
     often = lambda x: F.col(x) > max(BIG, HASHES * total // HOT_SHARE)

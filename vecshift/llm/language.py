@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, kept, ready
+from .common import crc_mod, kept, ready, tidy
 
 SAMPLE_ROWS, ORDER = 10_000, 4
 CACHE_WORDS = 600_000
@@ -66,7 +66,7 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     if over := {x: int(quota / n * (1 << 30)) for x, n in size.items() if n > quota}:
         most = F.create_map(*[F.lit(y) for x in over.items() for y in x])
         rows = rows.where(line < F.coalesce(F.get(F.map_values(F.map_filter(most, lambda k, _: k == F.col("l"))), F.lit(0)), F.lit(1 << 30)))
-    counts = rows.select("l", "t").mapInArrow(_counts, "lang string, n int, gram string, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
+    counts = rows.select("l", "t").mapInArrow(tidy(_counts), "lang string, n int, gram string, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
     found = counts.toArrow().combine_chunks()  # the sample's own words and n-grams: bounded by SAMPLE_ROWS
     langs = sorted(found["lang"].unique().to_pylist())
     lang, n, c = pc.index_in(found["lang"], pa.array(langs, pa.string())).to_numpy(), found["n"].to_numpy(), found["c"].to_numpy()
@@ -176,11 +176,11 @@ def language_id(docs: DataFrame, train: Column | None = None, key: str = "doc_id
     spark = ready(docs.sparkSession)
     model = spark.sparkContext.broadcast(fit(docs.where(~held if train is None else train), key, text, lang))
     kind = docs.select(F.col(key).alias("doc_id")).schema["doc_id"].dataType.simpleString()
-    return docs.select(F.col(key).alias("doc_id"), held.alias("held_out"), F.col(text)).mapInArrow(_predict(model, None, 2), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return docs.select(F.col(key).alias("doc_id"), held.alias("held_out"), F.col(text)).mapInArrow(tidy(_predict(model, None, 2)), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows of docs whose language is identified with at least this score, with all their columns."""
     spark = ready(docs.sparkSession)
     model = spark.sparkContext.broadcast(fit(docs, key, text, lang))
-    return docs.mapInArrow(_predict(model, least, docs.columns.index(text)), docs.schema)
+    return docs.mapInArrow(tidy(_predict(model, least, docs.columns.index(text))), docs.schema)

@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, hashes, kept, materialize, spans
+from .common import buffers, hashes, kept, materialize, release, spans, tidy
 from .common import pieces as split
 
 CAPACITY, END_ID, GROUP_PIECES = 4096, 1, 8192
-#: Words that a worker keeps the ids of, about 50 bytes each.
-CACHE_WORDS = 1_500_000
+#: Words that a worker keeps the ids of, about 40 bytes each; new words that the tokenizer gets at a time; bytes of text looked up at a time.
+CACHE_WORDS, NEW_WORDS, LOOKUP_BYTES = 1_500_000, 1 << 15, 1 << 20
 _TAIL = b".,;:!?#*$%&|<>()[]{}-_=+/\"@~^"
 
 
@@ -51,7 +51,7 @@ class Words:
         self.reset()
 
     def reset(self) -> None:
-        self.key, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.key, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint32)
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
 
     def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -64,9 +64,12 @@ class Words:
                 tail[i] = number(w[len(c) :], len(known))
                 w = c
             core[i] = number(w, len(known))
-        found = [e.ids for e in self.tok.encode_batch_fast(list(map(bytes.decode, known)), add_special_tokens=False)]
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))
+        text, sizes, flats = list(map(bytes.decode, known)), [], []
+        for lo in range(0, len(text), NEW_WORDS):
+            found = [e.ids for e in self.tok.encode_batch_fast(text[lo : lo + NEW_WORDS], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+            flats.append(np.fromiter(chain.from_iterable(found), np.uint32, int(sizes[-1].sum())))
+        size, flat = np.concatenate(sizes), np.concatenate(flats)
         part = np.stack([core, tail], 1).ravel()
         n = size[part]
         ids = flat[np.arange(n.sum()) + np.repeat((np.cumsum(size) - size)[part] - np.cumsum(n) + n, n)]
@@ -76,13 +79,14 @@ class Words:
         """New distinct words with their hashes, in ascending order of the hashes."""
         flat, size = self._encode(words)
         if self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids[: self.used], np.zeros(max(len(flat), self.used), np.uint32)])
+            self.ids = np.concatenate([self.ids[: self.used], np.zeros(max(len(flat), self.used // 4), np.uint32)])
         self.ids[self.used : self.used + len(flat)] = flat
         where = np.searchsorted(self.key, key)
         self.at = np.insert(self.at, where, self.used + np.cumsum(size) - size)
         self.size = np.insert(self.size, where, size)
         self.key = np.insert(self.key, where, key)
         self.used += len(flat)
+        release()
 
     def __call__(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows of some UTF-8 texts, and where each row's begin (one entry more)."""
@@ -98,7 +102,7 @@ class Words:
             s, e = starts[where[new]].tolist(), ends[where[new]].tolist()
             self.learn(own[new], [raw[a:b] for a, b in zip(s, e, strict=True)])
             place = np.searchsorted(self.key, own)
-        at, size = self.at[place][inverse], self.size[place][inverse]
+        at, size = (x[place].astype(np.int64)[inverse] for x in (self.at, self.size))
         end = np.cumsum(size)
         total = int(end[-1]) if len(end) else 0
         ids = self.ids[np.arange(total) + np.repeat(at - end + size, size)]
@@ -110,7 +114,7 @@ def encode_texts(data: np.ndarray, off: np.ndarray, path: str) -> Iterator[tuple
     words = kept("packing")
     if path not in words:
         words[path] = Words(path)
-    for lo, _, d, o in split(data, off):
+    for lo, _, d, o in split(data, off, LOOKUP_BYTES):
         yield lo, *words[path](d, o)
 
 
@@ -141,7 +145,7 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
                         [b.column(0).take(pa.array(at, pa.int64())), pa.array(k, pa.int32()), pa.array(s, pa.int64()), pa.array(n, pa.int64()), pa.array(c, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"]
                     )
 
-    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {schema}, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(run), f"doc_id {schema}, piece int, start long, length long, ids_crc32 long")
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, bounded_map, buffers, hashes, kept, materialize, merge_bits, mix, pieces, ready, spans
+from .common import HOT_SHARE, bounded_map, buffers, hashes, kept, materialize, merge_bits, mix, pieces, ready, spans, tidy
 
 SPAN, LEAST, LONG, CUT = 2, 16, 12, 4
 _END = np.zeros(256, bool)
@@ -117,7 +117,7 @@ def dedup_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
             cols[at] = _without(b.column(at), {i: span for i, span in gone.items() if len(span)})
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return _dedup(once, key, text).unionByName(others.mapInArrow(all_spans, docs.schema))
+    return _dedup(once, key, text).unionByName(others.mapInArrow(tidy(all_spans), docs.schema))
 
 
 def _without(texts: pa.Array, gone: dict[int, list[int]]) -> pa.Array:
@@ -164,7 +164,7 @@ def _dedup(docs: DataFrame, key: str, text: str) -> DataFrame:
                 where = pa.array(np.concatenate(rows))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), b.column(0).take(where), b.column(1).take(where), pa.array(np.concatenate(pos))], ["h", "id", "rid", "pos"])
 
-    found = base.mapInArrow(span_rows, "h long, id long, rid long, pos int")
+    found = base.mapInArrow(tidy(span_rows), "h long, id long, rid long, pos int")
     repeated = found.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("id", "rid", "pos")).alias("f")).where("k > 1")
     repeated = materialize(repeated.select("h", "k", *[F.col(f"f.{c}").alias(f"f_{c}") for c in ("id", "rid", "pos")]), "repeated")
     total = repeated.agg(F.sum("k")).first()[0] or 0
@@ -197,7 +197,7 @@ def _dedup(docs: DataFrame, key: str, text: str) -> DataFrame:
                 text_of, n = mine[edge], len(edge)
                 yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(own[text_of]), pa.array(rid[text_of]), pa.nulls(n, pa.int32()), lists], ["h", "id", "rid", "pos", "gone"])
 
-    again = materialize(base.mapInArrow(repeats, "h long, id long, rid long, pos int, gone array<int>"), "again")
+    again = materialize(base.mapInArrow(tidy(repeats), "h long, id long, rid long, pos int, gone array<int>"), "again")
     later = again.where("h IS NOT NULL").join(repeated, "h").where("id <> f_id OR rid <> f_rid OR pos <> f_pos").select("id", "rid", F.array("pos").alias("gone"))
     # the spans to take out, gathered for each text: at most a few for each of its own sentences
     gone = later.unionByName(again.where("h IS NULL").select("id", "rid", "gone")).groupBy("id", "rid").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("__gone"))
@@ -217,7 +217,7 @@ def _dedup(docs: DataFrame, key: str, text: str) -> DataFrame:
     own = f"__c{docs.columns.index(key)}"
     keyed = safe.withColumn("id", ident(own)).withColumn("rid", F.xxhash64(F.col(own).cast("string"), F.col(f"__c{at}")))
     joined = keyed.join(gone.hint("shuffle_hash"), ["id", "rid"], "left").select(*safe.columns, "__gone")
-    return joined.mapInArrow(cut, docs.schema)
+    return joined.mapInArrow(tidy(cut), docs.schema)
 
 
 BITS = 1 << 23
