@@ -24,10 +24,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, kept, ready, tidy
+from .common import buffers, crc_mod, hashes, kept, ready, tidy
 
 SAMPLE_ROWS, ORDER = 10_000, 4
-CACHE_WORDS = 600_000
+CACHE_WORDS = 200_000
 #: Words that count in full; in longer texts every word counts for less, so that the score stays a graded one.
 FULL_WORDS = 12
 _WORD = re.compile(r"[^\W\d_]+")
@@ -38,6 +38,11 @@ def _parts(word: str, n: int) -> list[str]:
     return [w[i : i + n] for i in range(len(w) - n + 1)]
 
 
+def _hash(grams: pa.Array) -> np.ndarray:
+    data, off = buffers(grams)
+    return hashes(data, off[:-1], off[1:], lower=False)
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, n, gram, c); n = 0 for words."""
     kept("language")
@@ -59,7 +64,8 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE_ROWS) -> dict:
     """A model of bounded size from labelled rows (rows with null text or language are left out): the languages, the words and
-    n-grams of each length as Arrow arrays, a row of log frequencies for each of them, and the most frequent language."""
+    n-grams of each length as Arrow arrays in the order of their hashes, these hashes, a row of log frequencies for each of them, and
+    the most frequent language."""
     rows = ready(labelled.sparkSession) and labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(key).alias("k"), F.col(lang).cast("string").alias("l"), F.col(text).alias("t"))
     size = {r.l: r["count"] for r in rows.groupBy("l").count().collect()}  # a row for each language
     quota, line = sample / max(1, len(size)), F.pmod(F.xxhash64(F.coalesce(F.col("k").cast("string"), F.lit(""))), F.lit(1 << 30))
@@ -70,16 +76,19 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     found = counts.toArrow().combine_chunks()  # the sample's own words and n-grams: bounded by SAMPLE_ROWS
     langs = sorted(found["lang"].unique().to_pylist())
     lang, n, c = pc.index_in(found["lang"], pa.array(langs, pa.string())).to_numpy(), found["n"].to_numpy(), found["c"].to_numpy()
-    grams, logs = [], []
+    grams, keys, logs = [], [], []
     for k in range(ORDER + 1):
         mine = np.flatnonzero(n == k)
         coded = found["gram"].take(pa.array(mine)).combine_chunks().dictionary_encode()
         count = np.zeros((len(coded.dictionary), len(langs)))
         count[coded.indices.to_numpy(), lang[mine]] = c[mine]
-        grams.append(coded.dictionary)
-        logs.append(np.log10((count + 0.5) / (count.sum(0) + 0.5 * 1e5)))
+        h = _hash(coded.dictionary)
+        order = np.argsort(h, kind="stable")
+        grams.append(coded.dictionary.take(pa.array(order)))
+        keys.append(h[order])
+        logs.append(np.log10((count[order] + 0.5) / (count.sum(0) + 0.5 * 1e5)))
     common = max(range(len(langs)), key=lambda i: (size[langs[i]], -i), default=0)
-    return {"langs": langs, "grams": grams, "logs": np.concatenate(logs), "common": common}
+    return {"langs": langs, "grams": grams, "keys": keys, "logs": np.concatenate(logs), "common": common}
 
 
 class Scorer:
@@ -87,38 +96,39 @@ class Scorer:
 
     def __init__(self, model: dict):
         self.langs, self.n, self.common = model["langs"], len(model["langs"]), model["common"]
-        self.logs, self.at = model["logs"], []  # by n-gram length (0: words) the row of each known gram in self.logs
-        for grams in model["grams"]:
-            start = sum(map(len, self.at))
-            self.at.append(dict(zip(grams.to_pylist(), range(start, start + len(grams)), strict=True)))
+        self.grams, self.keys, self.logs = model["grams"], model["keys"], model["logs"]
+        self.start = np.cumsum([0, *map(len, self.keys)])  # by n-gram length (0: words) where its rows in self.logs begin
         self._reset()
 
     def _reset(self) -> None:
         self.row: dict[str, int] = {}
         self.rows = np.zeros((1 << 16, self.n + 1))  # the last column: 1 if the word has a letter
 
-    def _grams(self, word: str) -> list[int]:
-        """Rows of the word itself, or of its known n-grams of the longest length of which it has any."""
-        k = self.at[0].get(word)
-        if k is not None:
-            return [k]
-        for n in range(ORDER, 0, -1):
-            get = self.at[n].get
-            if known := [k for g in _parts(word, n) if (k := get(g)) is not None]:
-                return known
-        return []
+    def _find(self, grams: list[str], n: int) -> np.ndarray:
+        """The row in self.logs of each gram of this length, -1 where it is not known: by hash, then by the gram itself."""
+        if not grams or not len(self.keys[n]):
+            return np.full(len(grams), -1)
+        asked = pa.array(grams, self.grams[n].type)
+        h = _hash(asked)
+        p = np.minimum(np.searchsorted(self.keys[n], h), len(self.keys[n]) - 1)
+        same = pc.equal(self.grams[n].take(pa.array(p)), asked).to_numpy(zero_copy_only=False)
+        return np.where(same, self.start[n] + p, -1)
 
     def _learn(self, words: list[str]) -> None:
+        """A word's row is that of the word itself, or the mean over its known n-grams of the longest length of which it has any."""
         lo, hi = len(self.row), len(self.row) + len(words)
         if hi > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros((max(hi, len(self.rows)), self.n + 1))])
-        grams = [self._grams(w) for w in words]
-        size = np.fromiter(map(len, grams), np.int64, len(grams))
-        some = np.flatnonzero(size)
-        if len(some):
-            flat = np.fromiter((k for g in grams for k in g), np.int64, int(size.sum()))
-            start = (np.cumsum(size) - size)[some]
-            self.rows[lo + some, :-1] = np.add.reduceat(self.logs[flat], start, axis=0) / size[some, None]
+        left = np.arange(len(words))
+        for n in (0, *range(ORDER, 0, -1)):
+            parts = [[words[i]] if n == 0 else _parts(words[i], n) for i in left]
+            owner = np.repeat(left, np.fromiter(map(len, parts), np.int64, len(parts)))
+            found = self._find([g for x in parts for g in x], n)
+            owner, found = owner[found >= 0], found[found >= 0]
+            some, start, size = np.unique(owner, return_index=True, return_counts=True)
+            if len(some):
+                self.rows[lo + some, :-1] = np.add.reduceat(self.logs[found], start, axis=0) / size[:, None]
+            left = np.setdiff1d(left, some, assume_unique=True)
         self.rows[lo:hi, -1] = [w.isalpha() or any(map(str.isalpha, w)) for w in words]
         self.row.update(zip(words, range(lo, hi), strict=True))
 
