@@ -21,6 +21,21 @@ l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec
 r AS (SELECT vec_id AS d, vec_id AS c FROM v UNION SELECT l.y, r.c FROM r JOIN l ON l.x = r.d WHERE r.c < l.y)
 SELECT vec_id, (SELECT count(*) FROM l WHERE x = vec_id) AS n_links, c AS component_id, vec_id = c AS kept FROM v JOIN (SELECT d, min(c) AS c FROM r GROUP BY d) ON d = vec_id"""
 
+OP11 = r"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+ UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+e AS (SELECT *, length(text) + len(regexp_extract_all(text, '[<\[]\\*/?(s>|(INST|SYS|ROLE)\])')) AS n, length(role) + len(regexp_extract_all(role, '[<\[]\\*/?(s>|(INST|SYS|ROLE)\])')) AS r FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role)) AS turns_sha256,
+ coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role) FILTER (role = 'assistant'), '')) AS loss_sha256,
+ (3 + sum(n + CASE role WHEN 'user' THEN 15 WHEN 'system' THEN 13 WHEN 'assistant' THEN 6 ELSE 21 + r END))::BIGINT AS formatted_chars, 0::BIGINT AS n_rewrites FROM e GROUP BY conv_id"""
+
+OP12 = r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS w, sha256('1:' || doc_id) AS d FROM documents),
+h AS (SELECT *, len(w) AS n, ('0x' || substr(d, 1, 8))::BIGINT AS h1, ('0x' || substr(d, 9, 8))::BIGINT AS h2, ('0x' || substr(d, 17, 8))::BIGINT AS h3, ('0x' || substr(d, 25, 8))::BIGINT AS h4 FROM t),
+f AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS x, greatest(h1 % (n + 1), h2 % (n + 1)) AS y,
+ CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT doc_id, n, form, text, array_to_string(w[1:x], '') AS p, array_to_string(w[x + 1:y], '') AS m, array_to_string(w[y + 1:n], '') AS s FROM f)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256 FROM p"""
+
 
 def op5() -> str:
     """Counts, votes, and the rounds of expectation-maximisation written out."""
