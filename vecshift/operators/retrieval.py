@@ -186,18 +186,19 @@ def ivf_probes(corpus: DataFrame, queries: DataFrame, k: int, centroids: np.ndar
     return int(np.searchsorted(np.cumsum(hits) / hits.sum(), least - 1e-12))
 
 
-def ivf_search(corpus: DataFrame, queries: DataFrame, k: int, cells: int, probes: int, centroids: np.ndarray | None = None) -> DataFrame:
+def ivf_search(corpus: DataFrame, queries: DataFrame, k: int, cells: int, probes: int, centroids: np.ndarray | None = None, metric: str = "cosine") -> DataFrame:
     """Approximate top-k: each vector is scored by the queries that probe its cell only. The corpus stays where it is: a partition
     multiplies the vectors of one cell with a block of that cell's queries and keeps its own top k, so that no cell, however
-    large, makes pairs or meets in one task. A corpus that has a column `cell` (see `sources.readers.write_index`) is not
-    assigned anew, and its cells that no query probes are not read."""
-    spark = corpus.sparkSession
+    large, makes pairs or meets in one task. A corpus that has a column `cell` (see `sources.index`) is not assigned anew, and
+    where it is stored by cell, the cells that no query probes are pruned while the query runs. metric: of the scores; cells are
+    always those of the nearest directions."""
+    spark, metric = corpus.sparkSession, METRICS[metric.lower()]
     c = ivf_train(corpus, cells) if centroids is None else centroids
     q = ivf_assign(queries, c, probes)
     dim, out, stored = c.shape[1], None, "cell" in corpus.columns
     if stored:
-        wanted = [r.cell for r in q.select("cell").distinct().collect()]  # as many as there are cells
-        corpus = corpus.where(F.col("cell").isin(wanted))
+        wanted = q.select("cell").distinct().where("cell >= 0")  # as many rows as there are centroids; the filter lets Spark prune by it
+        corpus = corpus.join(F.broadcast(wanted), "cell", "left_semi")
     rows = corpus.select(F.col("doc_id").cast("long").alias("doc_id"), "v", F.col("cell").cast("int").alias("cell") if stored else F.lit(None).cast("int").alias("cell"))
     grouped = q.groupBy("query_id").agg(F.first("v").alias("v"), F.collect_list("cell").alias("near"))
     for ids, block, near in _probing_blocks(grouped, max(1, min(QUERY_BYTES // (8 * dim), CELLS // k))):
@@ -216,7 +217,7 @@ def ivf_search(corpus: DataFrame, queries: DataFrame, k: int, cells: int, probes
                     step = max(1, CELLS // max(1, len(asks)))
                     for lo in range(0, len(mine) if len(asks) else 0, step):
                         at = mine[lo : lo + step]
-                        s = np.concatenate([best_s[:, asks], scores(x[at], q[asks], "cosine")])
+                        s = np.concatenate([best_s[:, asks], scores(x[at], q[asks], metric)])
                         d = np.concatenate([best_d[:, asks], np.repeat(doc[at, None], len(asks), 1)])
                         order = np.lexsort((d, -s), axis=0)[:k]
                         best_s[:, asks], best_d[:, asks] = np.take_along_axis(s, order, 0), np.take_along_axis(d, order, 0)

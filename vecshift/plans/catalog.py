@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -667,6 +668,41 @@ def hash_embedding_rows(spark, d):
     return encoders.encode(X.table(spark, d, "documents").select("doc_id", "text"), encoders.HashModel())
 
 
+# ------------------------------------------------------------------ stored index
+
+_CELLS = f"""{X.EMB}, l AS (SELECT label, i, round(avg(v[i]), 9) AS x FROM e, (SELECT unnest(range(1, 65)) AS i) GROUP BY ALL),
+c AS (SELECT row_number() OVER (ORDER BY label) - 1 AS cell, list(x ORDER BY i) AS cv FROM l GROUP BY label),
+n AS (SELECT doc_id, v, cell FROM d, c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(list_cosine_similarity(v, cv), 9) DESC, cell) = 1)"""
+
+
+def _label_index(spark, d):
+    """An index whose cells are the labels' mean vectors, of all vectors, in two versions: built from most of them, the rest appended."""
+    from vecshift.sources.index import VectorIndex
+    from vecshift.sources.snapshots import fresh
+
+    e = X.table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
+    mean = e.groupBy("label", "i").agg(F.round(F.avg(F.col("x").cast("double")), 9).alias("x")).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("c"))
+    centroids = np.array([[p.x for p in r.c] for r in mean.orderBy("label").collect()])  # a row for each label
+    later = F.col("doc_id") % 5 == 3
+    ix = VectorIndex.build(X.corpus(spark, d).where(~later), fresh(spark, "index"), "cosine", probes=3, centroids=centroids)
+    return ix.append(X.corpus(spark, d).where(later))
+
+
+@query(f"WITH {_CELLS} SELECT cell, count(*) AS vectors, count(*) AS stated, min(doc_id) AS smallest, max(doc_id) AS largest, sum(doc_id)::BIGINT AS ids, 2 AS version FROM n GROUP BY cell")
+def index_cells(spark, d):
+    """What lies in each cell of a stored index after an append, and what its manifest says."""
+    ix = _label_index(spark, d)
+    stored = ix.rows().groupBy("cell").agg(F.count(F.lit(1)).alias("vectors"), F.min("doc_id").alias("smallest"), F.max("doc_id").alias("largest"), F.sum("doc_id").alias("ids"))
+    return stored.join(F.broadcast(ix.counts().withColumnRenamed("vectors", "stated")), "cell").withColumn("version", F.lit(ix.version))
+
+
+@query(f"""WITH {_CELLS}, w AS (SELECT query_id, cell FROM q, c QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(v, cv), 9) DESC, cell) <= 3)
+SELECT query_id, doc_id, round(list_cosine_similarity(q.v, n.v), 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS rank FROM q JOIN w USING (query_id) JOIN n USING (cell) QUALIFY rank < 10""")
+def index_search(spark, d):
+    """Ten nearest vectors out of the three cells nearest each query, from a stored index."""
+    return _label_index(spark, d).search(X.queries(spark, d), 10)
+
+
 @query("""WITH h AS (SELECT sha256(doc_id::VARCHAR || chr(31) || text) AS h FROM documents), l AS (SELECT substr(h, 1, 6) AS l, sha256(string_agg(h, '' ORDER BY h)) AS d, count(*) AS n FROM h GROUP BY 1), p AS (SELECT substr(l, 1, 3) AS b, sha256(string_agg(d, '' ORDER BY l)) AS d, sum(n) AS n FROM l GROUP BY 1) SELECT sha256(string_agg(d, '' ORDER BY b)) AS digest, sum(n)::BIGINT AS "rows" FROM p""")
 def dataset_digest(spark, d):
     return planning.dataset_digest(X.table(spark, d, "documents"), "doc_id", "text")
