@@ -21,17 +21,17 @@ def test_session(spark, world):
     docs, texts, index, queries, store = world
     s = api.MigrationSession(docs, index, HashModel(16), store)
     assert tuple(s.status().first()) == (120, 0)
-    cold = s.search(queries, texts, 10)
+    cold = s.search(queries, texts, 10, budget=0)
     assert {r.state for r in cold.select("state").distinct().collect()} == {"COLD"}
     assert [r.source_rank for r in cold.where("query_id = 0").orderBy("position").collect()] == list(range(10))
     traffic = docs.select(F.col("doc_id").alias("document_id"), (F.col("doc_id") + 1).alias("occurrences"))
     p, n = s.prewarm(traffic, max_docs=30)
     assert n == 30 and p.cap == 30 and s.prewarm(traffic, max_docs=0)[1] == 0
     assert {r.document_id for r in s.warm().collect()} == set(range(90, 120))
-    assert {r.state for r in s.search(queries, texts, 60).select("state").distinct().collect()} <= {"PARTIAL", "COLD"}
+    assert {r.state for r in s.search(queries, texts, 60, budget=0).select("state").distinct().collect()} <= {"PARTIAL", "COLD"}
     target = s.export_target()
     assert target.count() == 120 and s.encode() == 0 and tuple(s.status().first()) == (120, 120)
-    assert {r.state for r in s.search(queries, texts, 10).select("state").distinct().collect()} == {"WARM"}
+    assert {r.state for r in s.search(queries, texts, 10, budget=0).select("state").distinct().collect()} == {"WARM"}
     a, plan = api.migrate(s, queries, texts, docs_per_s=100.0)
     row = plan.first()
     assert a.grid == [10, 20, 50, 100] and row.remaining == 0 and row.recommendation in ("PROCEED_WITH_CAUTION", "EXPAND_PROBE", "DEFER") and row.confidence == ("LIMITED" if row.probes else "INSUFFICIENT")
@@ -41,10 +41,10 @@ def test_changed_documents_are_not_served_from_old_vectors(spark, world, tmp_pat
     docs, texts, index, queries, _ = world
     s = api.MigrationSession(docs, index, HashModel(16), str(tmp_path / "store"))
     s.encode()
-    changed = api.MigrationSession(docs.withColumn("text", F.when(F.col("doc_id") < 10, F.concat("text", F.lit(" more"))).otherwise(F.col("text"))), index, HashModel(16), s.store)
-    hits = changed.search(queries, texts, 120)
+    changed = api.MigrationSession(docs.withColumn("text", F.when(F.col("doc_id") < 10, F.concat("text", F.lit(" more"))).otherwise(F.col("text"))), index, HashModel(16), s.path)
+    hits = changed.search(queries, texts, 120, budget=0)
     assert {r.doc_id for r in hits.where("action = 'queued'").collect()} == set(range(10)) and hits.where("text IS NULL").count() == 0
-    assert changed.encode() == 10 and changed.search(queries, texts, 120).where("action = 'queued'").count() == 0
+    assert changed.encode() == 10 and changed.search(queries, texts, 120, budget=0).where("action = 'queued'").count() == 0
 
 
 def test_evaluate(spark, world):

@@ -10,8 +10,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecshift.functions.encoders import EmbeddingModel, encode, encode_missing
-from vecshift.operators import cache, planning, prewarm, probe, quality, retrieval
+from vecshift.functions.encoders import EmbeddingModel, encode
+from vecshift.operators import cache, planning, prewarm, probe, quality, retrieval, serving
+from vecshift.sources.index import VectorIndex
 
 
 @dataclass
@@ -71,55 +72,51 @@ def prewarm_plan(traffic: DataFrame, warm: DataFrame, config: str, max_docs: int
     return PrewarmPlan(chosen, prewarm.summary(traffic, warm, chosen, target, cap), prewarm.plan_fingerprint(chosen, config, cap), cap)
 
 
-SCHEMA = "doc_id long, v array<double>, content_fingerprint string, model_fingerprint string"
-
-
 class MigrationSession:
-    """A corpus, its old index, a target model, and the folder that holds the target vectors encoded so far."""
+    """A corpus, its old index, a target model, and the folder that holds the target vectors encoded so far and the work queue."""
 
     def __init__(self, documents: DataFrame, source_index: DataFrame, model: EmbeddingModel, store: str):
         self.spark: SparkSession = documents.sparkSession
-        self.documents, self.index, self.model, self.store = documents, source_index, model, store
+        self.documents, self.index, self.model, self.path = documents, source_index, model, store
+        self.store = serving.TargetStore(self.spark, store, model)
 
     def vectors(self) -> DataFrame:
         """Target vectors encoded so far, of every content and model."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.store)
-        there = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
-        return self.spark.read.schema(SCHEMA).parquet(self.store) if there else self.spark.createDataFrame([], SCHEMA)
+        return self.store.vectors.read()
 
     def current(self) -> DataFrame:
         """doc_id, v: the vectors of this model for what the documents hold now; a changed document has none until encoded."""
-        now = self.documents.select("doc_id", F.sha2("text", 256).alias("content_fingerprint")).distinct()
-        held = self.vectors().where(F.col("model_fingerprint") == self.model.fingerprint()).join(now, ["doc_id", "content_fingerprint"], "left_semi")
-        return held.dropDuplicates(["doc_id", "content_fingerprint"]).select("doc_id", "v")
+        return self.store.current(self.documents)
 
     def warm(self) -> DataFrame:
         """document_id of the documents whose current content is encoded by this model."""
-        wanted = self.documents.select(F.col("doc_id").alias("document_id"), F.sha2("text", 256).alias("content_fingerprint"))
-        held = self.vectors().withColumnRenamed("doc_id", "document_id").dropDuplicates(["document_id", "model_fingerprint", "content_fingerprint"])
-        return cache.lookup(wanted, held, self.model.fingerprint()).where("state = 'hit'").select("document_id").distinct()
+        return self.current().select(F.col("doc_id").alias("document_id"))
 
     def encode(self, ids: DataFrame | None = None) -> int:
-        """Encodes what is missing (of these document_ids), appends it, and returns how many; a repeat does nothing."""
+        """Encodes what is missing (of these document_ids), and returns how many; a repeat does nothing."""
         docs = self.documents if ids is None else self.documents.join(ids.select(F.col("document_id").alias("doc_id")), "doc_id", "left_semi")
-        before = self.vectors().count()
-        encode_missing(docs, self.vectors(), self.model).select(*[c.split()[0] for c in SCHEMA.split(", ")]).write.mode("append").parquet(self.store)
-        return self.vectors().count() - before
+        return self.store.encode(docs)[1]
 
     def export_target(self) -> DataFrame:
         """The whole target index."""
         self.encode()
-        return self.vectors().join(self.documents.select("doc_id", F.sha2("text", 256).alias("content_fingerprint")), ["doc_id", "content_fingerprint"], "left_semi").select("doc_id", "v")
-
-    def search(self, source_queries: DataFrame, texts: DataFrame, k: int = 50) -> DataFrame:
-        """Candidates from the old index with their texts, reranked by what the new space holds for the present contents; source
-        order where it holds nothing. source_queries (query_id, v), texts (query_id, text)."""
-        top = retrieval.topk(self.index, source_queries, k).select("query_id", "doc_id", F.col("rank").alias("source_rank"))
-        held = self.current()
-        q = encode(texts, self.model, "query_id")
-        scored = retrieval.pair_scores(top, q, held).select("query_id", "doc_id", "target_score")
-        x = top.join(scored, ["query_id", "doc_id"], "left").withColumn("hit", F.col("target_score").isNotNull())
-        return cache.with_text(cache.progressive(x, 0), self.documents)
+        return self.current()
+
+    def round(self, source_queries: DataFrame, texts: DataFrame, k: int = 50, budget: int = 4) -> serving.Round:
+        """Candidates from the old index, up to `budget` misses of each query encoded now, the rest queued; see `serving`. source_queries
+        (query_id, v), texts (query_id, text)."""
+        index = self.index
+        top = index.search(source_queries, k) if isinstance(index, VectorIndex) else retrieval.topk(index, source_queries, k)
+        return self.store.search(top.select("query_id", "doc_id", F.col("rank").alias("source_rank")), encode(texts, self.model, "query_id"), self.documents, budget)
+
+    def search(self, source_queries: DataFrame, texts: DataFrame, k: int = 50, budget: int = 4) -> DataFrame:
+        """The hits of a round with their texts: reranked by what the new space holds for the present contents, source order where it
+        holds nothing."""
+        return cache.with_text(self.round(source_queries, texts, k, budget).hits, self.documents)
+
+    def drain(self, limit: int = 1000) -> tuple[int, int]:
+        """Encodes the next documents of the queue: how many were encoded, how many failed."""
+        return self.store.drain(self.documents, limit)
 
     def status(self) -> DataFrame:
         return self.documents.select(F.col("doc_id").alias("document_id")).join(self.warm().withColumn("w", F.lit(1)), "document_id", "left").agg(F.count(F.lit(1)).alias("documents"), F.count("w").alias("warm"))

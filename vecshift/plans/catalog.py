@@ -703,6 +703,54 @@ def index_search(spark, d):
     return _label_index(spark, d).search(X.queries(spark, d), 10)
 
 
+# ------------------------------------------------------------------ serving
+
+
+def _round_sql(n: int, have: str, budget: int = 4) -> str:
+    """SQL of round n, before which the documents of `have` have vectors; e<n> are those encoded in it."""
+    return f"""m{n} AS (SELECT c.*, t.doc_id IS NOT NULL AS has, h.doc_id IS NOT NULL AS hit, sum(CASE WHEN h.doc_id IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY source_rank) AS turn FROM cand c LEFT JOIN txt t USING (doc_id) LEFT JOIN {have} h USING (doc_id)),
+e{n} AS (SELECT DISTINCT doc_id FROM m{n} WHERE has AND NOT hit AND turn <= {budget}),
+a{n} AS (SELECT {n} AS round, query_id, doc_id, source_rank, CASE WHEN hit THEN 'cached' WHEN e.doc_id IS NULL THEN 'queued' WHEN turn <= {budget} THEN 'encoded' ELSE 'shared' END AS action FROM m{n} LEFT JOIN e{n} e USING (doc_id))"""
+
+
+_ROUNDS = f"""WITH {X.EMB}, cand AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(q.v, d.v), 9) DESC, doc_id) - 1 AS source_rank FROM q CROSS JOIN d QUALIFY source_rank < 20),
+txt AS (SELECT doc_id, text FROM documents WHERE length(trim(text)) > 0),
+tok AS (SELECT doc_id, t, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM txt WHERE doc_id IN (SELECT doc_id FROM d)) GROUP BY ALL),
+w AS (SELECT doc_id, ('0x' || substr(sha256(t), 1, 8))::BIGINT % 16 AS slot, sum(CASE WHEN substr(sha256(t), 9, 1) IN ('0', '1', '2', '3', '4', '5', '6', '7') THEN n ELSE -n END)::DOUBLE AS w FROM tok GROUP BY ALL),
+u AS (SELECT doc_id, slot, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM w WHERE w <> 0),
+sc AS (SELECT query_id, c.doc_id, round(coalesce(sum(a.w * b.w), 0), 9) + 0.0::DOUBLE AS score FROM cand c LEFT JOIN u a ON a.doc_id = query_id LEFT JOIN u b ON b.doc_id = c.doc_id AND a.slot = b.slot GROUP BY ALL),
+none AS (SELECT doc_id FROM txt WHERE false),
+{_round_sql(1, "none")}, {_round_sql(2, "e1")},
+drained AS (SELECT doc_id FROM e1 UNION SELECT doc_id FROM e2 UNION SELECT doc_id FROM a1 JOIN txt USING (doc_id)),
+{_round_sql(3, "drained")},
+r AS (SELECT * FROM a1 UNION ALL SELECT * FROM a2 UNION ALL SELECT * FROM a3),
+s AS (SELECT r.*, count(*) FILTER (action <> 'queued') OVER b AS have, count(*) OVER b AS n, CASE WHEN action <> 'queued' AND has_query THEN score END AS score FROM r JOIN sc USING (query_id, doc_id) JOIN (SELECT query_id, true AS has_query FROM q) USING (query_id) WINDOW b AS (PARTITION BY round, query_id)),
+f AS (SELECT *, CASE WHEN have = n THEN 'WARM' WHEN have > 0 THEN 'PARTIAL' ELSE 'COLD' END AS state FROM s)
+SELECT round, query_id, doc_id, source_rank, action, state, score, CASE WHEN action <> 'queued' OR state = 'COLD' THEN row_number() OVER (PARTITION BY round, query_id ORDER BY score DESC NULLS LAST, source_rank) END AS position FROM f"""
+
+
+@query(_ROUNDS)
+def search_rounds(spark, d):
+    """Three search rounds of all queries with a budget of four documents each; before the third the queue is drained. The new space is
+    the feature hash of the documents' texts; vectors without a document can't be encoded."""
+    from vecshift.operators.serving import TargetStore
+    from vecshift.sources.snapshots import fresh, written
+
+    store = TargetStore(spark, fresh(spark, "store"), encoders.FeatureHashModel())
+    c, q = X.corpus(spark, d), X.queries(spark, d)
+    docs = written(X.table(spark, d, "documents").select("doc_id", "text").join(c.select("doc_id"), "doc_id", "left_semi"), "documents")
+    texts = q.select("query_id").join(docs.withColumnRenamed("doc_id", "query_id"), "query_id", "left")
+    target = encoders.encode(texts, store.model, "query_id")
+    top = written(retrieval.topk(c, q, 20).select("query_id", "doc_id", F.col("rank").alias("source_rank")), "candidates")
+    out = []
+    for i in (1, 2, 3):
+        if i == 3:
+            store.drain(docs, 1 << 30)
+        r = store.search(top, target, docs, 4).hits
+        out.append(r.select(F.lit(i).alias("round"), "query_id", "doc_id", "source_rank", "action", "state", (F.col("score") + 0.0).alias("score"), "position"))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 @query("""WITH h AS (SELECT sha256(doc_id::VARCHAR || chr(31) || text) AS h FROM documents), l AS (SELECT substr(h, 1, 6) AS l, sha256(string_agg(h, '' ORDER BY h)) AS d, count(*) AS n FROM h GROUP BY 1), p AS (SELECT substr(l, 1, 3) AS b, sha256(string_agg(d, '' ORDER BY l)) AS d, sum(n) AS n FROM l GROUP BY 1) SELECT sha256(string_agg(d, '' ORDER BY b)) AS digest, sum(n)::BIGINT AS "rows" FROM p""")
 def dataset_digest(spark, d):
     return planning.dataset_digest(X.table(spark, d, "documents"), "doc_id", "text")
