@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from vecshift.functions.encoders import EmbeddingModel, encode
 from vecshift.operators import cache, planning, prewarm, probe, quality, retrieval, serving
+from vecshift.operators.ledger import PrewarmRun
 from vecshift.sources.index import VectorIndex
+from vecshift.sources.snapshots import Snapshots, written
 
 
 @dataclass
@@ -59,17 +61,48 @@ def plan(analysis: Analysis, documents: DataFrame, cached: DataFrame, dim: int,
 
 @dataclass
 class PrewarmPlan:
+    """The chosen documents with their ranks, what the plan expects, and the identities it is bound to (see `prewarm.BINDINGS`)."""
+
     chosen: DataFrame
     summary: DataFrame
     fingerprint: DataFrame
     cap: int
-
-
-def prewarm_plan(traffic: DataFrame, warm: DataFrame, config: str, max_docs: int = prewarm.MAX_DOCS, target: float | None = None, **budget) -> PrewarmPlan:
+    config: str = ""
+    bindings: dict = field(default_factory=dict)
+
+    def save(self, path: str) -> str:
+        """Writes the plan, and gives its fingerprint."""
+        print_ = self.fingerprint.first().fingerprint
+        header = {"schema_version": prewarm.SCHEMA_VERSION, "strategy": prewarm.STRATEGY, "cap": self.cap, "config": self.config, "fingerprint": print_, "summary": self.summary.first().asDict(), **self.bindings}
+        Snapshots(self.chosen.sparkSession, path, prewarm.CHOSEN).append(self.chosen, header)
+        return print_
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> PrewarmPlan:
+        """A saved plan; one whose contents don't have its fingerprint any more is an error."""
+        stored = Snapshots(spark, path, prewarm.CHOSEN)
+        header, chosen = stored.manifest()["notes"], stored.read()
+        if not header:
+            raise FileNotFoundError(f"no plan in {path}")
+        print_ = prewarm.plan_fingerprint(chosen, header["config"], header["cap"])
+        if print_.first().fingerprint != header["fingerprint"]:
+            raise ValueError("the plan's fingerprint doesn't match its contents")
+        summary = spark.createDataFrame([header["summary"]])
+        return cls(chosen, summary, print_, header["cap"], header["config"], {k: header[k] for k in (*prewarm.BINDINGS, "candidate_k") if k in header})
+
+    def violations(self, current: dict) -> list[str]:
+        """What keeps the plan from being run where the identities are these."""
+        row = {"plan_id": 0, "schema_version": prewarm.SCHEMA_VERSION, "strategy": prewarm.STRATEGY, "max_docs": self.cap, "documents": None, "config": self.config, "candidate_k": None, **dict.fromkeys(prewarm.BINDINGS), **self.bindings, "fingerprint": self.fingerprint.first().fingerprint}
+        plans = self.chosen.sparkSession.createDataFrame([row], prewarm.PLANS)
+        found = prewarm.plan_violations(plans, self.chosen.select(F.lit(0).cast("long").alias("plan_id"), "rank", "document_id"), current)
+        return sorted(r.violation for r in found.collect())  # at most one of each kind
+
+
+def prewarm_plan(traffic: DataFrame, warm: DataFrame, config: str, max_docs: int = prewarm.MAX_DOCS, target: float | None = None, bindings: dict | None = None, **budget) -> PrewarmPlan:
     """The cold documents to encode first; budget: gb, dim, width, budget_s, docs_per_s."""
     cap, _ = prewarm.caps(max_docs, **budget)
-    chosen = prewarm.hot_set(traffic, warm, cap, target)
-    return PrewarmPlan(chosen, prewarm.summary(traffic, warm, chosen, target, cap), prewarm.plan_fingerprint(chosen, config, cap), cap)
+    chosen = written(prewarm.hot_set(traffic, warm, cap, target), "chosen")  # what is warm changes while the plan runs
+    return PrewarmPlan(chosen, prewarm.summary(traffic, warm, chosen, target, cap), prewarm.plan_fingerprint(chosen, config, cap), cap, config, dict(bindings or {}))
 
 
 class MigrationSession:
@@ -114,7 +147,7 @@ class MigrationSession:
         holds nothing."""
         return cache.with_text(self.round(source_queries, texts, k, budget).hits, self.documents)
 
-    def drain(self, limit: int = 1000) -> tuple[int, int]:
+    def drain(self, limit: int | None = None) -> tuple[int, int]:
         """Encodes the next documents of the queue: how many were encoded, how many failed."""
         return self.store.drain(self.documents, limit)
 
@@ -125,6 +158,14 @@ class MigrationSession:
         p = prewarm_plan(traffic, self.warm(), self.model.fingerprint(), **kwargs)
         return p, self.encode(p.chosen.select("document_id"))
 
+    def run_plan(self, plan: PrewarmPlan, ledger: str, current: dict, batch: int = 10_000, max_batches: int | None = None) -> DataFrame:
+        """Runs a plan that is valid here, batch by batch, and gives its status row; a run that was lost goes on where it stopped."""
+        if wrong := plan.violations({**current, "target_fingerprint": self.model.fingerprint()}):
+            raise ValueError(f"the plan can't be run here: {', '.join(wrong)}")
+        run = PrewarmRun(ledger, plan.chosen, self.store, self.documents, plan.fingerprint.first().fingerprint, batch)
+        run.run(max_batches)
+        return run.status()
+
 
 def migrate(session: MigrationSession, source_queries: DataFrame, texts: DataFrame, **plan_options) -> tuple[Analysis, DataFrame]:
     """Probe with the session's model over its whole corpus, then the plan."""

@@ -4,9 +4,16 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: What a plan file is, and the most ids one may hold (fixed values).
+SCHEMA_VERSION, STRATEGY, MAX_PLAN_IDS = 1, "traffic_hotset", 1_000_000
+#: Identities that a plan is made for, and that must be those of where it is run.
+BINDINGS = ("target_fingerprint", "source_fingerprint", "backend", "telemetry_fingerprint", "index_identity_fingerprint")
+CHOSEN = "document_id long, occurrences long, rank int, before long"
+PLANS = f"plan_id long, schema_version int, strategy string, max_docs long, documents long, config string, candidate_k long, {', '.join(f'{b} string' for b in BINDINGS)}, fingerprint string"
+
 CHECKPOINTS = (0, 1_000, 5_000, 10_000, 25_000, 50_000, 100_000)
 MAX_DOCS = 1000
 
@@ -92,10 +99,43 @@ def coverage_curve(traffic: DataFrame, warm: DataFrame) -> DataFrame:
     return grid.join(held, "documents", "left").select("documents", F.round((F.lit(base) + F.coalesce("covered", F.lit(0))) / F.lit(max(1, total)), 9).alias("coverage"))
 
 
+def ids_digest(config: Column, cap: Column) -> Column:
+    """An aggregate over a plan's (rank, document_id): its fingerprint."""
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col("document_id").cast("string").alias("d")))), lambda r: r["d"])
+    return F.sha2(F.concat_ws("|", config, cap.cast("string"), F.concat_ws(",", ids)), 256)
+
+
 def plan_fingerprint(chosen: DataFrame, fp: str, cap: int) -> DataFrame:
     """SHA-256 of the plan: configuration, cap, and the ids in rank order (bounded by the cap)."""
-    ids = chosen.agg(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col("document_id").cast("string").alias("d")))), lambda r: r["d"])).alias("ids"))
-    return ids.select(F.sha2(F.concat_ws("|", F.lit(fp), F.lit(str(cap)), "ids"), 256).alias("fingerprint"))
+    return chosen.agg(ids_digest(F.lit(fp), F.lit(cap)).alias("fingerprint"))
+
+
+def plan_violations(plans: DataFrame, selections: DataFrame, current: dict) -> DataFrame:
+    """plan_id, violation: what keeps each plan (PLANS) with its selected ids (plan_id, rank, document_id) from being run where the
+    identities are `current` (BINDINGS and candidate_k). A plan without selected ids is checked too. Ids of one plan are collected
+    for its fingerprint only if there are no more than MAX_PLAN_IDS."""
+    ids = selections.groupBy("plan_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("document_id").alias("distinct"), F.count_if(F.coalesce(F.trim(F.col("document_id").cast("string")), F.lit("")) == "").alias("blank"))
+    small = selections.join(ids.where(F.col("n") <= MAX_PLAN_IDS).select("plan_id"), "plan_id", "left_semi")
+    digest = small.join(plans.select("plan_id", "config", "max_docs"), "plan_id").groupBy("plan_id", "config", "max_docs").agg(ids_digest(F.col("config"), F.col("max_docs")).alias("recomputed"))
+    x = plans.join(ids, "plan_id", "left").join(digest.select("plan_id", "recomputed"), "plan_id", "left").fillna(0, ["n", "distinct", "blank"])
+    none = F.sha2(F.concat_ws("|", "config", F.col("max_docs").cast("string"), F.lit("")), 256)
+    given = lambda c: F.coalesce(F.trim(c), F.lit("")) != ""
+    checks = [
+        F.when(~F.col("schema_version").eqNullSafe(F.lit(SCHEMA_VERSION)), F.lit("schema_version")),
+        F.when(~F.col("strategy").eqNullSafe(F.lit(STRATEGY)), F.lit("strategy")),
+        F.when(F.col("blank") > 0, F.lit("blank_id")),
+        F.when(F.col("n") > MAX_PLAN_IDS, F.lit("too_many_ids")),
+        F.when(F.col("n") - F.col("blank") > F.col("distinct"), F.lit("repeated_ids")),
+        F.when(F.col("documents") != F.col("n"), F.lit("documents")),
+        F.when(F.col("max_docs").isNull() | (F.col("max_docs") < 0), F.lit("max_docs")),
+        F.when(F.col("n") > F.col("max_docs"), F.lit("over_budget")),
+        F.when(F.col("candidate_k") < 1, F.lit("candidate_k")).when(F.col("candidate_k") != F.lit(current.get("candidate_k")).cast("long"), F.lit("candidate_k differs")),
+        F.when((F.col("n") <= MAX_PLAN_IDS) & (F.col("fingerprint") != F.coalesce("recomputed", none)), F.lit("fingerprint")),
+    ]
+    for b in BINDINGS:
+        here = F.lit(current.get(b)).cast("string")
+        checks.append(F.when(~given(F.col(b)), F.lit(f"{b} missing")).when(~given(here), F.lit(f"{b} unknown here")).when(F.col(b) != here, F.lit(f"{b} differs")))
+    return x.select("plan_id", F.explode(F.array_compact(F.array(*checks))).alias("violation"))
 
 
 def by_strategy(corpus: DataFrame, strategy: str, n: int = 0, fraction: float = 0.0, seed: int = 42, ids: DataFrame | None = None, popular: DataFrame | None = None) -> DataFrame:

@@ -82,12 +82,13 @@ class TargetStore:
             self.events.append(new)
         return n
 
-    def drain(self, documents: DataFrame, limit: int) -> tuple[int, int]:
-        """Takes the next documents of the queue, encodes them, and says how many were encoded or found, and how many failed. A document
+    def drain(self, documents: DataFrame, limit: int | None = None) -> tuple[int, int]:
+        """Takes the next documents of the queue (all that wait, without a limit), encodes them, and says how many were encoded or found, and how many failed. A document
         without text, or one that the model fails on, waits again until its attempts are used up. Vectors are stored before
         the queue says so; so a drain that is lost in between repeats nothing but the entry."""
         seq = self._seq()
-        claimed = written(cache.claim(self.queue(), limit, self.most).select("document_id"), "claimed")  # limit rows
+        waiting = self.queue().where((F.col("status") == "pending") & (F.col("attempts") < self.most))
+        claimed = written((waiting if limit is None else cache.claim(waiting, limit, self.most)).select("document_id"), "claimed")
         docs = claimed.join(documents.select(F.col("doc_id").alias("document_id"), "text"), "document_id", "left")
         failed, _ = self.encode(docs.select(F.col("document_id").alias("doc_id"), "text"))
         ends = claimed.join(failed.groupBy("document_id").agg(F.first("error").alias("error")), "document_id", "left")

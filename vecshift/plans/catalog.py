@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vecshift.functions import encoders
@@ -427,6 +427,66 @@ def prewarm_random_ids(spark, d):
     return prewarm.by_strategy(X.corpus(spark, d).select(F.col("doc_id").alias("document_id")), "random", fraction=0.25)
 
 
+_PLANS = """p AS (SELECT user_id AS plan_id, CASE WHEN user_id % 17 = 3 THEN 2 ELSE 1 END AS schema_version, CASE WHEN user_id % 19 = 4 THEN 'random' ELSE 'traffic_hotset' END AS strategy,
+ CASE WHEN user_id % 23 = 5 THEN NULL WHEN user_id % 29 = 6 THEN 3 ELSE 1000000 END::BIGINT AS max_docs, CASE WHEN user_id % 13 = 7 THEN count(*) + 1 END AS documents, 'cfg' || (user_id % 2) AS config,
+ CASE user_id % 31 WHEN 8 THEN 0 WHEN 9 THEN 20 WHEN 10 THEN NULL ELSE 50 END::BIGINT AS candidate_k, 'target' AS target_fingerprint, CASE WHEN user_id % 7 = 1 THEN ' ' ELSE 'source' END AS source_fingerprint,
+ CASE WHEN user_id % 11 = 2 THEN 'other' ELSE 'parquet' END AS backend, 'telemetry' AS telemetry_fingerprint, 'index' AS index_identity_fingerprint, count(*) AS n FROM events GROUP BY user_id),
+s AS (SELECT user_id AS plan_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rank, CASE WHEN user_id % 37 = 11 AND event_type = 'error' THEN ' ' WHEN user_id % 41 = 12 AND event_type = 'view' THEN event_type ELSE event_id::VARCHAR END AS document_id FROM events),
+g AS (SELECT plan_id, string_agg(document_id, ',' ORDER BY rank) AS ids, count(DISTINCT document_id) AS d, count(*) FILTER (trim(document_id) = '') AS blank FROM s GROUP BY plan_id),
+x AS (SELECT *, sha256(concat_ws('|', config, max_docs::VARCHAR, ids)) AS recomputed FROM p JOIN g USING (plan_id))"""
+
+
+@query(f"""WITH {_PLANS} SELECT plan_id, unnest(list_filter([CASE WHEN schema_version <> 1 THEN 'schema_version' END, CASE WHEN strategy <> 'traffic_hotset' THEN 'strategy' END, CASE WHEN blank > 0 THEN 'blank_id' END,
+ CASE WHEN n - blank > d THEN 'repeated_ids' END, CASE WHEN documents <> n THEN 'documents' END, CASE WHEN max_docs IS NULL THEN 'max_docs' END, CASE WHEN n > max_docs THEN 'over_budget' END,
+ CASE WHEN candidate_k < 1 THEN 'candidate_k' WHEN candidate_k <> 50 THEN 'candidate_k differs' END, CASE WHEN plan_id % 5 = 0 THEN 'fingerprint' END,
+ CASE WHEN trim(source_fingerprint) = '' THEN 'source_fingerprint missing' END, CASE WHEN backend <> 'parquet' THEN 'backend differs' END, 'index_identity_fingerprint unknown here'], lambda v: v IS NOT NULL)) AS violation FROM x""")
+def prewarm_plan_violations(spark, d):
+    """Plans with the events of each user as their documents, some of them tampered with, checked against one place to run them."""
+    e, u = X.table(spark, d, "events"), F.col("user_id")
+    k = F.when(u % 31 == 8, 0).when(u % 31 == 9, 20).when(u % 31 != 10, 50)
+    ids = F.when((u % 37 == 11) & (F.col("event_type") == "error"), " ").when((u % 41 == 12) & (F.col("event_type") == "view"), F.col("event_type")).otherwise(F.col("event_id").cast("string"))
+    s = e.select(u.alias("plan_id"), F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).alias("rank"), ids.alias("document_id"))
+    plans = e.groupBy(u.alias("plan_id"), u).agg(F.count(F.lit(1)).alias("n")).select(
+        "plan_id", F.when(u % 17 == 3, 2).otherwise(1).alias("schema_version"), F.when(u % 19 == 4, "random").otherwise("traffic_hotset").alias("strategy"),
+        F.when(u % 23 == 5, None).when(u % 29 == 6, 3).otherwise(1_000_000).cast("long").alias("max_docs"), F.when(u % 13 == 7, F.col("n") + 1).alias("documents"), F.concat(F.lit("cfg"), (u % 2).cast("string")).alias("config"),
+        k.cast("long").alias("candidate_k"), F.lit("target").alias("target_fingerprint"), F.when(u % 7 == 1, " ").otherwise("source").alias("source_fingerprint"),
+        F.when(u % 11 == 2, "other").otherwise("parquet").alias("backend"), F.lit("telemetry").alias("telemetry_fingerprint"), F.lit("index").alias("index_identity_fingerprint"),
+    )
+    # the fingerprint that a plan's own writer gives, spoilt for every fifth
+    own = s.join(plans.select("plan_id", "config", "max_docs"), "plan_id").groupBy("plan_id", "config", "max_docs").agg(prewarm.ids_digest(F.col("config"), F.col("max_docs")).alias("fingerprint"))
+    plans = plans.join(own.select("plan_id", "fingerprint"), "plan_id").withColumn("fingerprint", F.when(F.col("plan_id") % 5 == 0, F.reverse("fingerprint")).otherwise(F.col("fingerprint")))
+    here = {"target_fingerprint": "target", "source_fingerprint": "source", "backend": "parquet", "telemetry_fingerprint": "telemetry", "candidate_k": 50}
+    return prewarm.plan_violations(plans, s, here)
+
+
+@query(f"""WITH {X.TRAFFIC}, h AS (SELECT *, row_number() OVER (ORDER BY occurrences DESC, document_id::VARCHAR) AS rank FROM occ QUALIFY rank <= 100),
+w AS (SELECT doc_id FROM documents WHERE {X.HASHED.format(c='doc_id', t=int(0.3 * (1 << 64)))} AND doc_id % 7 <> 3),
+t AS (SELECT doc_id FROM documents WHERE doc_id % 7 <> 3 AND length(trim(text)) > 0),
+x AS (SELECT document_id, rank, CASE WHEN w.doc_id IS NOT NULL THEN 'warm' ELSE 'cold' END AS status FROM h LEFT JOIN w ON w.doc_id = document_id)
+SELECT document_id, 0::BIGINT AS batch, status, NULL AS error FROM x UNION ALL
+SELECT document_id, ceil(rank / 30)::BIGINT, CASE WHEN t.doc_id IS NULL THEN 'failed' ELSE 'encoded' END, CASE WHEN t.doc_id IS NULL THEN 'document text is unavailable' END FROM x LEFT JOIN t ON t.doc_id = document_id WHERE status = 'cold' UNION ALL
+SELECT document_id, (SELECT ceil(max(rank) / 30) FROM x)::BIGINT + r, 'failed', 'document text is unavailable' FROM x LEFT JOIN t ON t.doc_id = document_id CROSS JOIN (SELECT unnest([1, 2]) AS r) WHERE status = 'cold' AND t.doc_id IS NULL""")
+def prewarm_ledger(spark, d):
+    """The ledger of a plan for the hundred hottest documents in batches of thirty, lost after the first two batches and run again.
+    Some documents are warm at the start; some have no text, are tried three times and stay failed."""
+    from vecshift.operators.ledger import PrewarmRun
+    from vecshift.operators.serving import TargetStore
+    from vecshift.sources.snapshots import fresh, written
+
+    text = F.when(F.col("doc_id") % 7 != 3, F.col("text"))
+    docs = X.table(spark, d, "documents").select("doc_id", text.alias("text"))
+    traffic = X.traffic(spark, d).groupBy("document_id").agg(F.count(F.lit(1)).alias("occurrences"))
+    none = traffic.select("document_id").limit(0)
+    chosen = written(prewarm.hot_set(traffic, none, 100), "chosen")
+    store = TargetStore(spark, fresh(spark, "store"), encoders.FeatureHashModel())
+    store.encode(docs.where(S.sampled(X.SEED, F.col("doc_id"), 0.3)))
+    path = fresh(spark, "ledger")
+    PrewarmRun(path, chosen, store, docs, "plan", 30).run(2)
+    again = PrewarmRun(path, chosen, store, docs, "plan", 30)
+    again.run()
+    return again.ledger.read()
+
+
 # ------------------------------------------------------------------ cache and serving
 
 
@@ -745,7 +805,7 @@ def search_rounds(spark, d):
     out = []
     for i in (1, 2, 3):
         if i == 3:
-            store.drain(docs, 1 << 30)
+            store.drain(docs)
         r = store.search(top, target, docs, 4).hits
         out.append(r.select(F.lit(i).alias("round"), "query_id", "doc_id", "source_rank", "action", "state", (F.col("score") + 0.0).alias("score"), "position"))
     return out[0].unionByName(out[1]).unionByName(out[2])
