@@ -689,6 +689,78 @@ def registry_audit(spark, d):
     return planning.registry_audit(X.table(spark, d, "part").select(F.col("p_partkey").alias("evidence_id")), F.max("evidence_id"))
 
 
+_FILES = """b AS (SELECT substr(p_brand, 7)::BIGINT AS b, sha256(string_agg(p_partkey || '|' || p_name || chr(10), '' ORDER BY p_partkey)) AS sha FROM part GROUP BY p_brand)"""
+
+
+def _files(spark, d):
+    """A manifest of a file for each brand, and the folder: some files are changed, not there, or not listed."""
+    from vecshift.operators import provenance
+    from vecshift.sources.snapshots import fresh
+
+    p = X.table(spark, d, "part").select(F.substring("p_brand", 7, 9).cast("long").alias("b"), "p_partkey", F.concat_ws("|", "p_partkey", "p_name").alias("line"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "line"))), lambda r: F.concat(r["line"], F.lit("\n")))
+    manifest = p.groupBy("b").agg(F.sha2(F.array_join(lines, ""), 256).alias("sha256"))
+    manifest = manifest.where("b % 7 <> 3").select(F.col("b").cast("string").alias("name"), F.when(F.col("b") % 7 == 4, "?").otherwise(F.col("sha256")).alias("sha256"))
+    path = fresh(spark, "evidence")
+    kept = p.where("b % 7 <> 2").withColumn("line", F.when(F.col("b") % 7 == 1, F.upper("line")).otherwise(F.col("line")))
+    kept.repartition("b").sortWithinPartitions("b", "p_partkey").select("b", "line").write.partitionBy("b").text(path)
+    return manifest, provenance.folder(spark, path, "b=([0-9]+)/part-").where("name <> ''")
+
+
+@query(f"WITH {_FILES} SELECT b::VARCHAR AS subject, CASE b % 7 WHEN 1 THEN 'changed' WHEN 2 THEN 'missing' WHEN 3 THEN 'extra' ELSE 'no digest' END AS problem FROM b WHERE b % 7 IN (1, 2, 3, 4)")
+def registry_files(spark, d):
+    from vecshift.operators import provenance
+
+    return provenance.file_violations(*_files(spark, d))
+
+
+@query(f"WITH {_FILES}, c AS (SELECT p_partkey AS id, substr(p_brand, 7)::BIGINT AS b FROM part) SELECT id, CASE WHEN b % 7 IN (3, 4) THEN 'unstated' WHEN b % 7 = 2 OR id % 10 = 0 THEN 'not retained' WHEN b % 7 = 1 THEN 'changed' ELSE 'ok' END AS status FROM c")
+def external_provenance(spark, d):
+    """The artifact that each part names, against the retained files."""
+    from vecshift.operators import provenance
+
+    manifest, files = _files(spark, d)
+    c = X.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.substring("p_brand", 7, 9).alias("name")).join(F.broadcast(manifest), "name", "left")
+    artifact = F.when(F.col("id") % 10 == 0, F.concat("name", F.lit("/gone"))).otherwise(F.col("name"))
+    sha = F.when(F.col("sha256") != "?", F.col("sha256"))
+    return provenance.artifact_status(c.select("id", artifact.alias("artifact"), sha.alias("sha256")), files).select("id", "status")
+
+
+_CELL_ROWS = "SELECT l_returnflag AS source, l_linestatus AS target, l_shipmode_ AS dataset, l_discount AS gap, l_tax <= 0.03 AS ci, l_quantity > 25 AS compatible, CASE WHEN l_discount <= 0.04 THEN 'safe' ELSE 'EXPAND' END AS prediction, l_quantity <= 25 AND l_discount <= 0.04 AS false_safe FROM (SELECT *, 'set' || (l_partkey % 5) AS l_shipmode_ FROM lineitem)"
+_MEASURED = "count(*) {f} AS cells, count(*) FILTER (gap <= 0.01 {k}) AS point_estimate, count(*) FILTER (ci {k}) AS ci_certified, count(*) FILTER (compatible {k}) AS compatible, count(*) FILTER (upper(prediction) = 'SAFE' {k}) AS safe, count(*) FILTER (false_safe {k}) AS false_safe"
+
+
+def _counted(scope: str) -> str:
+    k = "AND dataset <> 'set1'" if scope == "kept" else ""
+    f = "FILTER (dataset <> 'set1')" if k else ""
+    return f"SELECT coalesce(source || '->' || target, source, '') AS grp, '{scope}' AS scope, {_MEASURED.format(f=f, k=k)} FROM x GROUP BY GROUPING SETS ((), (source, target), (source))"
+
+
+@query(f"""WITH x AS ({_CELL_ROWS}), c AS ({_counted("all")} UNION ALL {_counted("kept")}), u AS (UNPIVOT c ON cells, point_estimate, ci_certified, compatible, safe, false_safe INTO NAME measure VALUE value)
+SELECT grp, measure, scope, value AS stated, value - CASE WHEN grp LIKE 'A%' AND measure = 'safe' THEN 1 ELSE 0 END AS value, CASE WHEN grp LIKE 'A%' AND measure = 'safe' THEN 'differs' ELSE 'match' END AS status
+FROM (SELECT grp, measure, scope, value + CASE WHEN grp LIKE 'A%' AND measure = 'safe' THEN 1 ELSE 0 END AS value FROM u)
+UNION ALL SELECT 'Z', 'cells', 'all', 7, NULL, 'underived'""")
+def count_provenance(spark, d):
+    """Counts that a registry states for its retained cells, over all, by source, and by source and target, derived again from the cells.
+    The statements are counted one by one; some are wrong, and one is of a group without cells."""
+    from vecshift.operators import provenance
+
+    l = X.table(spark, d, "lineitem")  # noqa: E741
+    safe, ok = F.col("l_discount") <= 0.04, F.col("l_quantity") > 25
+    rows = l.select(
+        F.col("l_returnflag").alias("source"), F.col("l_linestatus").alias("target"), F.concat(F.lit("set"), (F.col("l_partkey") % 5).cast("string")).alias("dataset"), F.col("l_discount").alias("gap"),
+        (F.col("l_tax") <= 0.03).alias("ci"), ok.alias("compatible"), F.when(safe, "safe").otherwise("EXPAND").alias("prediction"), (~ok & safe).alias("false_safe"),
+    )
+    held = {"cells": F.lit(True), "point_estimate": F.col("gap") <= 0.01, "ci_certified": F.col("ci"), "compatible": F.col("compatible"), "safe": F.col("prediction") == "safe", "false_safe": F.col("false_safe")}
+    facts = [F.struct(F.lit(m).alias("measure"), F.lit(s).alias("scope"), (h if s == "all" else h & (F.col("dataset") != "set1")).alias("held")) for m, h in held.items() for s in ("all", "kept")]
+    one = rows.withColumn("f", F.explode(F.array(*facts))).withColumn("grp", F.explode(F.array(F.lit(""), F.col("source"), F.concat_ws("->", "source", "target"))))
+    claims = one.groupBy("grp", F.col("f.measure").alias("measure"), F.col("f.scope").alias("scope")).agg(F.count_if(F.col("f.held")).alias("stated"))
+    wrong = F.col("grp").startswith("A") & (F.col("measure") == "safe")
+    claims = claims.withColumn("stated", F.col("stated") + F.when(wrong, 1).otherwise(0))
+    claims = claims.unionByName(spark.range(1).select(F.lit("Z").alias("grp"), F.lit("cells").alias("measure"), F.lit("all").alias("scope"), F.lit(7).cast("long").alias("stated")))
+    return provenance.count_provenance(claims, provenance.derived_counts(rows, [["source"], ["source", "target"]], F.col("dataset") == "set1"))
+
+
 @query("""SELECT p_partkey, sha256('{"dimension":' || p_size || ',"model_id":"' || p_name || '","revision":' || CASE WHEN p_partkey % 3 = 0 THEN 'null' ELSE '"' || p_brand || '"' END || '}') AS fingerprint FROM part""")
 def contract_fingerprint(spark, d):
     p = X.table(spark, d, "part").select("p_partkey", F.col("p_name").alias("model_id"), F.col("p_size").alias("dimension"), F.when(F.col("p_partkey") % 3 != 0, F.col("p_brand")).alias("revision"))
