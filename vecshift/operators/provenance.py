@@ -4,7 +4,9 @@ Each check gives rows of what is wrong (subject, problem), so an empty table mea
 
 from __future__ import annotations
 
+import hashlib
 import re
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,12 +25,20 @@ def folder(spark: SparkSession, path: str, name: str | None = None) -> DataFrame
     """name, bytes, sha256 of every file below a folder. The name is the path below the folder, or what the first group of the pattern
     `name` finds in that. Files are read in parallel, one a row, so a file has 2 GB at most."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    below = F.regexp_replace(F.regexp_replace("path", r"^[a-z0-9]+:/*", "/"), F.lit("^" + _quoted(path)), F.lit(""))
-    return files.select((F.regexp_extract(below, name, 1) if name else below).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    # the scan skips empty files, which Spark's own listing has
+    plain = F.regexp_replace("path", _ROOT, "/").alias("path")
+    listed = spark.createDataFrame([(unquote(f),) for f in files.inputFiles()], "path string").select(plain)
+    held = files.select(plain, F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    both = listed.join(held, "path", "left").fillna({"bytes": 0, "sha256": hashlib.sha256(b"").hexdigest()})
+    below = F.regexp_replace("path", F.lit("^" + _quoted(path)), F.lit(""))
+    return both.select((F.regexp_extract(below, name, 1) if name else below).alias("name"), "bytes", "sha256")
+
+
+_ROOT = r"^[a-z0-9]+:/*"
 
 
 def _quoted(path: str) -> str:
-    return re.escape(re.sub(r"^[a-z0-9]+:/*", "/", path).rstrip("/") + "/")
+    return re.escape(re.sub(_ROOT, "/", path).rstrip("/") + "/")
 
 
 def file_violations(manifest: DataFrame, files: DataFrame) -> DataFrame:
