@@ -172,7 +172,13 @@ def test_scalars(spark):
     assert {r.i for r in d.where(S.sampled(42, F.col("i"), 0.3)).collect()} == want
     assert d.where(S.sampled(42, F.col("i"), 0.0)).count() == 0 and d.where(S.sampled(42, F.col("i"), 1.0)).count() == 500
     red = spark.createDataFrame([("Authorization: Bearer abc.def",), ("postgres://u:pw@h/db",), ("api_key=xyz&b=1",)], "t string").select(S.redact(F.col("t"))).collect()
-    assert [r[0] for r in red] == ["Authorization: Bearer [REDACTED]", "postgres://u:[REDACTED]@h/db", "api_key=[REDACTED]&b=1"]
+    assert [r[0] for r in red] == ["Authorization: Bearer abc.def", "postgres://u:<redacted>@h/db", "api_key=<redacted>"]
+    env = {"DB_DSN": "pg://me:hunter2@h/x", "api_Key": "abcd", "SHORT_KEY": "abc", "PATH": "/usr/bin"}
+    text = "pg://me:hunter2@h/x then hunter2, abcd, abc, /usr/bin" + "x" * 3000
+    hidden = spark.createDataFrame([(text,), (None,)], "t string").select(S.redact(F.col("t"), env))
+    got = [r[0] for r in hidden.collect()]
+    assert got[0].startswith("<redacted> then <redacted>, <redacted>, abc, /usr/binxxx") and len(got[0]) == 2000 and got[1] is None
+    assert "hunter2" not in hidden._jdf.queryExecution().toString()
     u = spark.createDataFrame([([3.0, 4.0],)], "v array<double>").select(S.unit("v"), S.norm("v")).first()
     assert u[0] == pytest.approx([0.6, 0.8]) and u[1] == 5.0
 

@@ -47,7 +47,7 @@ def test_counts(spark):
     rows = spark.createDataFrame([("s", "t", 0.01, True), ("s", "t", 0.02, None), ("s", None, None, True), (None, "t", -1.0, False)], "source string, target string, gap double, ci boolean")
     d = {(r.grp, r.measure, r.scope): r.value for r in P.derived_counts(rows, [["source", "target"], ["target"]], F.col("gap") < 0).collect()}
     assert d["", "cells", "all"] == 4 and d["", "cells", "kept"] == 3 and d["", "point_estimate", "all"] == 2 and d["", "point_estimate", "kept"] == 1
-    assert d["s->t", "cells", "all"] == 2 and d["s->t", "ci_certified", "all"] == 1 and d["s->", "cells", "all"] == 1 and d["t", "cells", "all"] == 3
+    assert d["s->t", "cells", "all"] == 2 and d["s->t", "ci_certified", "all"] == 1 and d["s->(none)", "cells", "all"] == 1 and d["t", "cells", "all"] == 3
     assert {k[1] for k in d} == {"cells", "point_estimate", "ci_certified"}  # no columns for the others
     claims = spark.createDataFrame([(1, "s->t", "cells", "all", 2), (2, "s->t", "cells", "all", 3), (3, "u", "cells", "all", 0)], "id int, grp string, measure string, scope string, stated long")
     out = P.count_provenance(claims, P.derived_counts(rows, [["source", "target"]]))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Mapping
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,12 +40,14 @@ MODELS = {
 }
 #: Names of model families, which any model name that holds them belongs to (fixed values).
 FAMILIES = ["minilm", "qwen3"]
-#: Patterns of secrets in free text and what replaces them (fixed values).
+#: Parts of names of environment variables that hold secrets, patterns of secrets in free text, what replaces them, and how much
+#: of a text is kept (fixed values).
+SECRET_NAMES = ("KEY", "TOKEN", "PASSWORD", "SECRET", "DSN")
 SECRETS = [
-    (r"(?i)\b(bearer)\s+[A-Za-z0-9._~+/=-]+", "$1 [REDACTED]"),
-    (r"(?i)\b(api[_-]?key|token|password|secret)(\s*[=:]\s*)[^\s,;&]+", "$1$2[REDACTED]"),
-    (r"(?i)([a-z][a-z0-9+.-]*://[^\s:/@]+:)[^\s@/]+@", "$1[REDACTED]@"),
+    (r"(?i)(api[_-]?key|token|password|secret)=([^\s,;]+)", "$1=<redacted>"),
+    (r"(?i)(://[^:/\s]+:)[^@/\s]+(@)", "$1<redacted>$2"),
 ]
+REDACTED, REDACTED_CHARS = "<redacted>", 2000
 
 
 def dot(a: str, b: str) -> Column:
@@ -122,10 +128,32 @@ def seconds(c: Column) -> Column:
     return F.when(n != "", n.cast("double") * size)
 
 
-def redact(c: Column) -> Column:
+def environment_secrets(environment: Mapping[str, str]) -> list[str]:
+    """Values of at least four characters whose variable's name says that they are secret, and the passwords in those that are URLs;
+    whole values first, as they are replaced in this order."""
+    out = []
+    for name, value in environment.items():
+        if len(value) >= 4 and any(x in name.upper() for x in SECRET_NAMES):
+            inner = re.search(r"://[^:/\s]+:([^@/\s]+)@", value)
+            out += [value, *([inner.group(1)] if inner else [])]
+    return out
+
+
+def redact(c: Column, environment: Mapping[str, str] | None = None) -> Column:
+    """A text without what looks like a secret, cut to REDACTED_CHARS. Secrets of `environment` (such as os.environ) are replaced too, by a
+    function whose closure holds them, so that no plan, log or UI shows them."""
+    if environment is not None and (held := environment_secrets(environment)):
+
+        @F.pandas_udf("string")
+        def hide(texts: pd.Series) -> pd.Series:
+            for x in held:
+                texts = texts.str.replace(x, REDACTED, regex=False)
+            return texts
+
+        c = hide(c)
     for pattern, put in SECRETS:
         c = F.regexp_replace(c, pattern, put)
-    return c
+    return F.substring(c, 1, REDACTED_CHARS)
 
 
 def fingerprint(*cols: Column) -> Column:

@@ -94,7 +94,7 @@ MEASURES = {
 def derived_counts(rows: DataFrame, groups: list[list[str]], excluded: Column | None = None, eps: float = EPSILON) -> DataFrame:
     """grp, measure, scope, value: counts of the retained rows over all of them and over each set of columns of `groups`, for the measures
     that the rows have columns for; scope `all`, and `kept` without the excluded rows. One pass with grouping sets and
-    partial aggregates, whatever the number of groups; a group's name joins its values by `->`."""
+    partial aggregates, whatever the number of groups; a group is named by its values, joined by `->`, a null being (none)."""
     keys = sorted({c for g in groups for c in g})
     have = {m: e for m, e in MEASURES.items() if all(c in rows.columns for c in _columns(e))}
     x = rows.withColumn("__kept", ~F.coalesce(excluded, F.lit(False)) if excluded is not None else F.lit(True))
@@ -103,7 +103,7 @@ def derived_counts(rows: DataFrame, groups: list[list[str]], excluded: Column |
     sets = [[F.col(c) for c in g] for g in [[], *groups]]
     wide = x.groupingSets(sets, *map(F.col, keys)).agg(F.grouping_id().alias("__set"), *counts) if keys else x.agg(F.lit(0).cast("long").alias("__set"), *counts)
     # grouping_id has a bit for each key that a row's set leaves out, the last key's being the lowest
-    parts = [F.when(F.col("__set").bitwiseAND(1 << (len(keys) - 1 - i)) == 0, F.coalesce(F.col(k).cast("string"), F.lit(""))) for i, k in enumerate(keys)]
+    parts = [F.when(F.col("__set").bitwiseAND(1 << (len(keys) - 1 - i)) == 0, F.coalesce(F.col(k).cast("string"), F.lit("(none)"))) for i, k in enumerate(keys)]
     wide = wide.withColumn("grp", F.concat_ws("->", *parts) if parts else F.lit(""))
     names = [f"{scope}:{m}" for m in have for scope in ("all", "kept")]
     long = wide.select("grp", F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.col(f"`{n}`").alias("value")) for n in names])).alias("c"))

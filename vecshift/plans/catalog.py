@@ -779,10 +779,13 @@ def duration_parse(spark, d):
     return e.select("event_id", S.seconds(F.concat((F.col("event_id") % 50).cast("string"), unit)).alias("seconds"), F.lower("event_type").startswith("p").alias("is_p"))
 
 
-@query("SELECT doc_id, 'password=[REDACTED] x bearer [REDACTED] pg://u:[REDACTED]@h/' || lang AS clean FROM documents")
+@query(r"""SELECT doc_id, left(regexp_replace(regexp_replace('password=p' || doc_id || ' bearer x Api-Key=k' || doc_id || ',pg://u:s3cret@h/' || lang || ' ' || coalesce(text, ''),
+ '(?i)(api[_-]?key|token|password|secret)=([^\s,;]+)', '\1=<redacted>', 'g'), '(?i)(://[^:/\s]+:)[^@/\s]+(@)', '\1<redacted>\2', 'g'), 2000) AS clean FROM documents""")
 def secret_redaction(spark, d):
-    x = X.table(spark, d, "documents")
-    return x.select("doc_id", S.redact(F.concat(F.lit("password=p"), F.col("doc_id").cast("string"), F.lit(" x bearer tok"), F.col("doc_id").cast("string"), F.lit(" pg://u:secret@h/"), F.col("lang"))).alias("clean"))
+    """Documents behind a line of secrets, redacted and cut."""
+    x, i = X.table(spark, d, "documents"), F.col("doc_id").cast("string")
+    text = F.concat(F.lit("password=p"), i, F.lit(" bearer x Api-Key=k"), i, F.lit(",pg://u:s3cret@h/"), F.col("lang"), F.lit(" "), F.coalesce("text", F.lit("")))
+    return x.select("doc_id", S.redact(text).alias("clean"))
 
 
 # ------------------------------------------------------------------ encoders and digests
