@@ -8,6 +8,7 @@ the UTF-8 buffers of whole Arrow batches and never touch single Python strings.
 from __future__ import annotations
 
 import ctypes
+import hashlib
 import os
 import re
 import tempfile
@@ -149,22 +150,6 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_P = np.uint64(0x9E3779B97F4A7C15 | 1)
-_PINV = np.uint64(pow(int(_P), -1, 1 << 64))
-_POW: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POW or len(_POW["p"]) < n:
-        m = max(n, CHUNK_BYTES + 4096)
-        for k, base in (("p", _P), ("q", _PINV)):
-            x = np.full(m, base, np.uint64)
-            x[0] = 1
-            with np.errstate(over="ignore"):
-                _POW[k] = np.multiply.accumulate(x)
-    return _POW["p"], _POW["q"]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit."""
     with np.errstate(over="ignore"):
@@ -210,16 +195,31 @@ def spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return starts, ends, np.searchsorted(starts, off)
 
 
+#: Spans of more bytes than this are hashed one by one.
+LONG_SPAN = 512
+
+
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    """A 64-bit hash of each byte span (A-Z lower-cased), from differences of one running polynomial."""
+    """A 64-bit hash of each byte span (A-Z lower-cased): eight bytes at a time are mixed into the state of all spans that have them.
+    A step isn't linear in what it takes in, so no pattern of letters makes spans alike."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    p, q = _powers(len(data) + 1)
+    own = np.concatenate([_LOWER[data] if lower else data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", own, strides=(1,))  # the eight bytes from each place on
+    size = (ends - starts).astype(np.int64)
     with np.errstate(over="ignore"):
-        run = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(((_LOWER[data] if lower else data).astype(np.uint64) + np.uint64(1)) * p[: len(data)], out=run[1:])
-        h = (run[ends] - run[starts]) * q[starts]
-        return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        h = mix(size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        live, at, left = np.arange(len(starts)), starts, size
+        while len(live):
+            word = eight[at]
+            short = left < 8
+            word[short] &= (np.uint64(1) << (left[short] * 8).astype(np.uint64)) - np.uint64(1)
+            h[live] = mix(h[live] * _MULT[4] ^ word)
+            more = (left > 8) & (size[live] <= LONG_SPAN)
+            live, at, left = live[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > LONG_SPAN).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(own[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return h
 
 
 _MULT = np.array([0x9FB21C651E98DF25, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)

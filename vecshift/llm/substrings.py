@@ -55,15 +55,57 @@ def sentences(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndar
     return np.flatnonzero(gap)
 
 
+_M = np.uint64((1 << 61) - 1)
+#: Base of the polynomial and its inverse.
+_BASE = 0x0F3A5C917D2E6B84
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo 2^61 - 1, of numbers below that."""
+    low = np.uint64((1 << 32) - 1)
+    ah, al, bh, bl = a >> np.uint64(32), a & low, b >> np.uint64(32), b & low
+    mid, bottom = ah * bl + al * bh, al * bl
+    x = (ah * bh << np.uint64(3)) + (mid >> np.uint64(29)) + ((mid & np.uint64((1 << 29) - 1)) << np.uint64(32)) + (bottom >> np.uint64(61)) + (bottom & _M)
+    x = (x >> np.uint64(61)) + (x & _M)
+    return np.where(x >= _M, x - _M, x)
+
+
+def _power(base: int, n: int) -> np.ndarray:
+    """base^0 .. base^(n-1), and more, modulo 2^61 - 1."""
+    x = _POWERS.get(base)
+    if x is None:
+        x = np.ones(1, np.uint64)
+    while len(x) < n:
+        x = np.concatenate([x, _product(x, np.uint64(pow(base, len(x), int(_M))))])
+    _POWERS[base] = x
+    return x
+
+
+def running(h: np.ndarray) -> np.ndarray:
+    """Sums of the first 0, 1, ... words' hashes, each times its power of the base, modulo a prime; so stretches of words are compared
+    by a polynomial that no repeated pattern makes vanish."""
+    x = (h >> np.uint64(61)) + (h & _M)
+    x = _product(np.where(x >= _M, x - _M, x), _power(_BASE, len(h))[: len(h)])
+    half = np.uint64((1 << 31) - 1)
+    top, low = np.cumsum(x >> np.uint64(31)) % _M, np.cumsum(x & half) % _M  # of parts small enough that no sum overflows
+    total = _product(top, np.uint64(1 << 31)) + low
+    return np.concatenate([np.zeros(1, np.uint64), np.where(total >= _M, total - _M, total)])
+
+
+def stretch_hash(run: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """A hash of the words lo .. hi - 1, wherever they stand."""
+    a, b = run[hi], run[lo]
+    inverse = _power(pow(_BASE, -1, int(_M)), len(run))
+    with np.errstate(over="ignore"):
+        return mix(_product(np.where(a >= b, a - b, a + _M - b), inverse[lo]) + (hi - lo).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 def row_spans(data, starts, ends, h, first) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """For each row with words: row, sentence starts (word numbers, with the end), first and last+1 sentence of its spans as
     (begin, end) arrays, and the spans' hashes."""
     cut = sentences(data, starts, ends, h, first)
-    with np.errstate(over="ignore"):
-        place = np.arange(len(h), dtype=np.uint64)
-        power = np.multiply.accumulate(np.full(len(h) + 1, np.uint64(0x9E3779B97F4A7C15), np.uint64)) if len(h) else np.zeros(1, np.uint64)
-        inverse = np.multiply.accumulate(np.full(len(h) + 1, np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64)), np.uint64)) if len(h) else power
-        run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * power[place.astype(np.int64)])])
+    run = running(h)
     at = np.searchsorted(cut, first)
     for i in range(len(first) - 1):
         a, b = at[i], at[i + 1]
@@ -75,8 +117,7 @@ def row_spans(data, starts, ends, h, first) -> Iterator[tuple[int, np.ndarray, n
         ok = end <= m
         begin, end = np.flatnonzero(ok), end[ok]
         lo, hi = edge[begin], edge[end]
-        with np.errstate(over="ignore"):
-            key = mix((run[hi] - run[lo]) * inverse[lo] + (hi - lo).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        key = stretch_hash(run, lo, hi)
         yield i, edge, np.stack([begin, end]), key
 
 
