@@ -1,4 +1,6 @@
 import json
+import random
+import time
 
 import pytest
 from py4j.protocol import Py4JJavaError
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tests.test_operators import python_queue, some_events
 from vecshift.functions.encoders import HashModel
+from vecshift.operators.serving import TargetStore
 from vecshift.sources import readers as R
 from vecshift.streaming import telemetry as T
 
@@ -111,4 +114,59 @@ def test_materialiser_is_idempotent(spark, tmp_path):
     write, store = T.materialiser(spark, HashModel(8), str(tmp_path / "v")), str(tmp_path / "v")
     write(docs, 0)
     write(docs, 0)
-    assert spark.read.parquet(store).count() == 2
+    assert write.store.read().count() == 2 and write.store.versions() == [1] and write.store.path == store
+    write(spark.createDataFrame([(1, "changed"), (3, None)], "doc_id long, text string"), 1)
+    assert {(r.doc_id, r.content_fingerprint is None) for r in write.store.read().collect()} == {(1, False), (2, False)} and write.store.read().count() == 3
+
+
+def test_requests_are_queued_and_drained_by_a_stream(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i}" if i != 4 else None) for i in range(8)], "doc_id long, text string")
+    store = TargetStore(spark, str(tmp_path / "store"), HashModel(8), max_attempts=1)
+    (tmp_path / "in").mkdir()
+    for i, ids in enumerate(([1, 2, 2], [2, 3, 4], [4, 5, 77])):
+        spark.createDataFrame([(x,) for x in ids], "document_id long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("document_id long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = stream.writeStream.foreachBatch(T.queue_drain(store, docs)).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert {r.document_id: r.status for r in store.queue().collect()} == {1: "done", 2: "done", 3: "done", 5: "done", 4: "error", 77: "error"}
+    assert {r.doc_id for r in store.vectors.read().collect()} == {1, 2, 3, 5}
+
+
+def traffic(n=400):
+    """Candidate sets with repeats, and misses in the same or a later minute; times in seconds."""
+    rng = random.Random(5)
+    candidates, misses = [], []
+    for q in range(n):
+        at, fp = rng.randint(0, 3000), rng.choice("ab")
+        for d in rng.sample(range(12), 3):
+            miss = rng.random() < 0.3
+            candidates += [(at, fp, q, d, miss)] * rng.choice([1, 1, 2])
+            if rng.random() < 0.4:
+                misses += [(at + rng.choice([0, 20, 70, 400]), fp, q, d)] * rng.choice([1, 2])
+    return candidates, misses
+
+
+def test_popularity_of_candidate_sets(spark, tmp_path):
+    candidates, misses = traffic()
+    want = {}
+    for at, fp, q, d, miss in set(candidates):
+        x = want.setdefault((at // 60 * 60, fp, d), [0, 0, 10**9, 0])
+        want[at // 60 * 60, fp, d] = [x[0] + 1, x[1] + miss, min(x[2], at), max(x[3], at)]
+    for at, fp, _, d in set(misses):
+        if x := want.get((at // 60 * 60, fp, d)):
+            x[1], x[3] = x[1] + 1, max(x[3], at)
+    c = spark.createDataFrame(candidates, "at long, fp string, query_id long, document_id long, miss boolean")
+    m = spark.createDataFrame(misses, "at long, fp string, query_id long, document_id long")
+    shape = lambda x: T.timed(x.withColumn("ts", F.timestamp_seconds("at")).drop("at"), late="2 hours")
+    found = lambda x: {(r.bucket, r.fp, r.document_id): [r.occurrences, r.misses, int(r.first_seen.timestamp()), int(r.last_seen.timestamp())] for r in x.collect()}
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    assert zone == "UTC" and found(T.candidate_popularity(shape(c), shape(m))) == want
+    # the same as streams, in any order; a candidate far later closes the minutes
+    far = [(10**6, "z", 10**6, 0, False)]
+    for name, rows, last in (("c", c, far), ("m", m, [x[:4] for x in far])):
+        rows.repartition(4).write.parquet(str(tmp_path / name))
+        time.sleep(1.1)  # files are taken by their time
+        spark.createDataFrame(last, rows.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+    read = lambda name, like: shape(spark.readStream.schema(like.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name)))
+    got = run(T.candidate_popularity(read("c", c), read("m", m)), "sets", "append", spark, tmp_path)
+    assert found(got.where("fp <> 'z'")) == want

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vecshift.operators.percentiles import FEW, exact_percentiles
+
 STAGES = ("source_encode_ms", "ann_ms", "target_encode_ms", "lookup_ms", "sync_encode_ms", "score_ms", "topk_ms", "total_ms")
 #: Statuses and failure categories that telemetry accepts (fixed values).
 STATUSES = ("completed", "partial", "failed", "timeout", "timed_out")
@@ -38,11 +40,20 @@ def sanitised(df: DataFrame) -> DataFrame:
     return out
 
 
-def latency_summary(df: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """count, mean, p50/p90/p95/p99 (linear), min, max, std (sample; 0 for one row), qps; exact percentiles."""
-    x = F.col(value)
-    p = F.expr(f"percentile(`{value}`, array(0.5, 0.9, 0.95, 0.99))")
-    out = df.where(x.isNotNull()).groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), p.alias("p"), F.min(x).alias("min"), F.max(x).alias("max"), F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias("std"))
+_POINTS = (0.5, 0.9, 0.95, 0.99)
+
+
+def latency_summary(df: DataFrame, value: str, by: tuple[str, ...] = (), few: int = FEW) -> DataFrame:
+    """count, mean, p50/p90/p95/p99 (linear), min, max, std (sample; 0 for one row), qps; exact percentiles. Where a group has more
+    than `few` rows, they come from narrowing histograms instead of one task that holds the group; the result is the same."""
+    x, rows = F.col(value), df.where(F.col(value).isNotNull())
+    most = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first().n or 0
+    p = F.expr(f"percentile(`{value}`, array({', '.join(map(str, _POINTS))}))") if most <= few else F.lit(None)
+    out = rows.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), p.alias("p"), F.min(x).alias("min"), F.max(x).alias("max"), F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias("std"))
+    if most > few:
+        exact = exact_percentiles(rows, value, _POINTS, by, few=few)
+        same = [out[c].eqNullSafe(exact[c]) for c in by]
+        out = (out.drop("p").join(exact, same) if by else out.drop("p").join(exact)).select(*[out[c] for c in by], *[out[c] for c in ("n", "mean", "min", "max", "std")], exact.p)
     r = lambda c: F.round(c, 6)
     return out.where("n > 0").select(
         *by, "n", r(F.col("mean")).alias("mean"), *[r(F.col("p")[i]).alias(f"p{q}") for i, q in enumerate((50, 90, 95, 99))], r(F.col("min")).alias("min"), r(F.col("max")).alias("max"),
@@ -149,14 +160,17 @@ def trace_totals(trace: DataFrame) -> DataFrame:
 
 
 def trace_coverage(totals: DataFrame) -> DataFrame:
-    """One row: documents, accesses, share of the top 20 and of the top 1 % of documents (one at least)."""
-    n = totals.agg(F.count(F.lit(1)).alias("documents"), F.sum("count").alias("accesses")).first()
-    docs, all_ = n["documents"], n["accesses"] or 0
+    """One row: documents, accesses, share of the top 20 and of the top 1 % of documents (one at least). Documents of equal count weigh
+    the same, so the shares come from how many there are of each count: at most sqrt(2 * accesses) rows."""
+    steps = totals.groupBy("count").agg(F.count(F.lit(1)).alias("n"))
+    t = steps.agg(F.sum("n").alias("documents"), F.sum(F.col("n") * F.col("count")).alias("accesses")).first()
+    docs, all_ = t["documents"] or 0, t["accesses"] or 0
+    before = F.coalesce(F.sum("n").over(Window.orderBy(F.desc("count")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    steps = steps.withColumn("before", before)
+    taken = lambda k: F.greatest(F.lit(0), F.least(F.col("n"), F.lit(k) - F.col("before"))) * F.col("count")
+    share = lambda k: F.round(F.coalesce(F.sum(taken(k)), F.lit(0)) / F.lit(max(1, all_)), 9)
     one = max(1, -(-docs // 100))
-    w = Window.orderBy(F.desc("count"), F.col("document_id").cast("string"))
-    top = totals.orderBy(F.desc("count"), F.col("document_id").cast("string")).limit(max(20, one)).withColumn("rn", F.row_number().over(w))
-    share = lambda k: F.round(F.coalesce(F.sum(F.when(F.col("rn") <= k, F.col("count"))), F.lit(0)) / F.lit(max(1, all_)), 9)
-    return top.agg(F.lit(docs).cast("long").alias("documents"), F.lit(all_).cast("long").alias("accesses"), share(20).alias("top20_share"), share(one).alias("top1pct_share"))
+    return steps.agg(F.lit(docs).cast("long").alias("documents"), F.lit(all_).cast("long").alias("accesses"), share(20).alias("top20_share"), share(one).alias("top1pct_share"))
 
 
 def dedup_fraction(candidates: DataFrame) -> DataFrame:

@@ -138,12 +138,6 @@ def observed_depth(spark, d):
     return quality.observed_depth(quality.gap_curve(X.candidates(spark, d), X.native(spark, d), X.qrels(spark, d)))
 
 
-@query("SELECT decision, suggested, CASE WHEN decision = 'SAFE' THEN suggested ELSE greatest(suggested, 50) END AS initial_k FROM (SELECT unnest(['SAFE', 'EXPAND', 'UNSAFE_OR_UNCERTAIN']) AS decision), (SELECT unnest([10, 100])::BIGINT AS suggested)")
-def initial_k(spark, d):
-    x = spark.sql("SELECT decision, suggested FROM (SELECT explode(array('SAFE', 'EXPAND', 'UNSAFE_OR_UNCERTAIN')) decision) LATERAL VIEW explode(array(10L, 100L)) t AS suggested")
-    return x.withColumn("initial_k", quality.initial_k(F.col("decision"), F.col("suggested"), 50).cast("bigint"))
-
-
 @query(f"""WITH {X.cand_sql()}, nd AS (SELECT query_id, round(coalesce({_NDCG}, 0), 9) AS x FROM nat LEFT JOIN qr USING (query_id, doc_id) JOIN ideal USING (query_id) WHERE rank < 10 GROUP BY query_id),
 v AS (SELECT row_number() OVER (ORDER BY query_id) AS p, x FROM nd), n AS (SELECT count(*) AS n FROM v),
 m AS (SELECT r, avg(x) AS m FROM (SELECT r, ('0x' || substr(sha256('42:' || r || ':' || j), 1, 12))::BIGINT % n + 1 AS p FROM range(200) t(r), range((SELECT n FROM n)) u(j), n) JOIN v USING (p) GROUP BY r)
@@ -379,6 +373,15 @@ def shadow_latency(spark, d):
     return telemetry.shadow_latency(X.table(spark, d, "events").select(*[c.alias(f"{k}_latency_ms") for k, c in cols.items()]))
 
 
+@query("""SELECT l_returnflag, l_linestatus, count(*) AS n, round(quantile_cont(l_extendedprice, 0.5), 6) AS p50, round(quantile_cont(l_extendedprice, 0.9), 6) AS p90, round(quantile_cont(l_extendedprice, 0.95), 6) AS p95, round(quantile_cont(l_extendedprice, 0.99), 6) AS p99 FROM lineitem GROUP BY ALL""")
+def large_group_percentiles(spark, d):
+    """Exact percentiles of a few groups that grow with the table, by narrowing histograms."""
+    from vecshift.operators.percentiles import exact_percentiles
+
+    x = exact_percentiles(X.table(spark, d, "lineitem"), "l_extendedprice", (0.5, 0.9, 0.95, 0.99), ("l_returnflag", "l_linestatus"), few=10_000)
+    return x.select("l_returnflag", "l_linestatus", "n", *[F.round(F.col("p")[i], 6).alias(f"p{q}") for i, q in enumerate((50, 90, 95, 99))])
+
+
 # ------------------------------------------------------------------ prewarm
 
 
@@ -611,6 +614,12 @@ _ADVICE = f"""SELECT *, CASE WHEN preflight = 'FAIL' THEN 'BLOCKED' WHEN probes
  CASE WHEN decision IS NULL OR probes = 0 THEN 'INSUFFICIENT' WHEN decision <> 'SAFE' THEN CASE WHEN probes < 50 THEN 'LIMITED' ELSE 'MODERATE' END WHEN probes >= 100 AND verified AND (ann_status = 'PASS' OR exact_registry) THEN 'STRONG' WHEN probes >= 50 THEN 'MODERATE' ELSE 'LIMITED' END AS confidence FROM {_KINDS}"""
 
 
+@query(f"SELECT plan_id, decision, coalesce(recommended_k, 20) AS suggested, CASE WHEN decision = 'SAFE' THEN coalesce(recommended_k, 20) ELSE greatest(coalesce(recommended_k, 20), 50) END AS initial_k FROM {_KINDS}")
+def initial_k(spark, d):
+    x = _kinds(spark, d).select("plan_id", "decision", F.coalesce("recommended_k", F.lit(20)).cast("long").alias("suggested"))
+    return x.withColumn("initial_k", quality.initial_k(F.col("decision"), F.col("suggested"), 50).cast("bigint"))
+
+
 @query(f"SELECT plan_id, recommendation, confidence FROM ({_ADVICE})")
 def advisory_plan(spark, d):
     return planning.advisory(_kinds(spark, d)).select("plan_id", "recommendation", "confidence")

@@ -28,6 +28,24 @@ def popularity(events: DataFrame, ts: str = "ts") -> DataFrame:
     return x.select(F.unix_timestamp("w.start").alias("bucket"), "fp", "document_id", "occurrences", "misses", "first_seen", "last_seen")
 
 
+def candidate_popularity(candidates: DataFrame, misses: DataFrame | None = None, ts: str = "ts") -> DataFrame:
+    """Minute buckets of (fp, document_id) from candidate sets, for streams and tables alike: occurrences, misses, first_seen, last_seen.
+
+    candidates (ts, fp, query_id, document_id, miss): a document counts once in one query's set, however often it is named there; its
+    miss is the same in all of them. misses (ts, fp, query_id, document_id): lookups that missed later. They count in the minute in
+    which they arrive, and only where that minute has seen the document as a candidate; in any other minute they match nothing.
+    Streams need a watermark (`timed`); repeats are known for as long as that lets events be late, and later ones may be
+    dropped, as Spark does. The result of a stream can be appended: a bucket comes out once its minute is past the watermark."""
+    key = ["fp", "query_id", "document_id"]
+    once = lambda x: x.dropDuplicatesWithinWatermark(key) if x.isStreaming else x.dropDuplicates(key)
+    x = once(candidates).select(ts, "fp", "document_id", F.lit(1).alias("seen"), F.col("miss").cast("int").alias("missed"))
+    if misses is not None:
+        x = x.unionByName(once(misses).select(ts, "fp", "document_id", F.lit(0).alias("seen"), F.lit(1).alias("missed")))
+    x = x.groupBy(F.window(ts, "60 seconds").alias("w"), "fp", "document_id")
+    x = x.agg(F.sum("seen").alias("occurrences"), F.sum("missed").alias("misses"), F.min(F.when(F.col("seen") == 1, F.col(ts))).alias("first_seen"), F.max(ts).alias("last_seen"))
+    return x.where("occurrences > 0").select(F.unix_timestamp("w.start").alias("bucket"), "fp", "document_id", "occurrences", "misses", "first_seen", "last_seen")
+
+
 def enqueue_once(requests: DataFrame) -> DataFrame:
     """The first request of each document; later ones are ignored in whatever state it is."""
     return requests.dropDuplicates(["document_id"])
@@ -74,18 +92,29 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def materialiser(spark, model, store_path: str):
-    """A foreachBatch sink that encodes what the store lacks and appends it; a replayed batch finds nothing to do."""
-    from vecshift.functions.encoders import encode_missing
+    """A foreachBatch sink that encodes what the store lacks and adds it as one version; a replayed batch finds nothing to do, and a
+    batch that is lost half-way leaves the store as it was. Documents that can't be encoded are left out."""
+    from vecshift.functions.encoders import attempts
+    from vecshift.operators.serving import VECTORS
+    from vecshift.sources.snapshots import Snapshots, written
+
+    store = Snapshots(spark, store_path, VECTORS)
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        good = written(attempts(batch, store.read(), model).where("error IS NULL"), "batch")
+        if not good.isEmpty():
+            store.append(good, {"epoch": epoch})
+
+    write.store = store
+    return write
+
 
-    schema = "doc_id long, v array<double>, content_fingerprint string, model_fingerprint string"
+def queue_drain(store, documents: DataFrame):
+    """A foreachBatch sink over requests (document_id): they are put on the store's work queue, and what waits there is encoded. The
+    queue ignores what it knows, so a replayed batch adds nothing."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        try:
-            have = batch.sparkSession.read.schema(schema).parquet(store_path)
-        except Exception as e:  # the store does not exist before the first batch
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            have = batch.sparkSession.createDataFrame([], schema)
-        encode_missing(batch.dropDuplicates(["doc_id"]), have, model).write.mode("append").parquet(store_path)
+        store.enqueue(batch.select("document_id"))
+        store.drain(documents)
 
     return write
