@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from vecshift.operators import retrieval
 from vecshift.sources.index import VectorIndex
+from vecshift.sources.index_source import IndexSource
 from vecshift.sources.snapshots import Conflict, Snapshots
 
 
@@ -122,3 +123,26 @@ def test_snapshots_of_two_writers(spark, tmp_path):
     assert b.read().count() == 1 and b.versions() == [1, 2, 3, 4]
     with pytest.raises(ValueError):
         b.read(8)
+
+
+def test_as_a_data_source(spark, corpus, queries, tmp_path):
+    path = str(tmp_path / "index")
+    VectorIndex.build(corpus.where("doc_id < 200"), path, cells=6).append(corpus.where("doc_id >= 200"))
+    spark.dataSource.register(IndexSource)
+    old = spark.conf.get("spark.sql.python.filterPushdown.enabled")
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        x = spark.read.format("vecshift_index").load(path)
+        row = lambda r: (r.doc_id, r.cell, tuple(r.v))
+        stored = VectorIndex.load(spark, path).rows()
+        assert sorted(map(row, x.collect())) == sorted(map(row, stored.collect())) and x.rdd.getNumPartitions() == 6
+        for where, cells in (("cell = 2", 1), ("cell IN (1, 4) AND doc_id > 150", 2), ("cell = 77", 1), ("doc_id IN (3, 210, 999)", 6), ("doc_id BETWEEN 20 AND 22 AND v[0] > 0", 6)):
+            found = spark.read.format("vecshift_index").load(path).where(where)
+            assert sorted(map(row, found.collect())) == sorted(map(row, stored.where(where).collect())), where
+            assert found.rdd.getNumPartitions() == cells
+        assert spark.read.format("vecshift_index").option("version", 1).load(path).count() == 200
+        assert rows(retrieval.topk(x, queries, 5)) == rows(retrieval.topk(stored, queries, 5))
+        with pytest.raises(Exception, match="no version 9"):
+            spark.read.format("vecshift_index").option("version", 9).load(path).count()
+    finally:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", old)
