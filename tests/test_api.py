@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -37,6 +39,15 @@ def test_session(spark, world):
     assert a.grid == [10, 20, 50, 100] and row.remaining == 0 and row.recommendation in ("PROCEED_WITH_CAUTION", "EXPAND_PROBE", "DEFER") and row.confidence == ("LIMITED" if row.probes else "INSUFFICIENT")
 
 
+def test_probes_are_drawn_by_hash(spark, world, tmp_path):
+    docs, texts, index, queries, _ = world
+    s = api.MigrationSession(docs, index, HashModel(16), str(tmp_path / "store"))
+    a, plan = api.migrate(s, queries, texts, limit=4, seed=7)
+    drawn = sorted(hashlib.sha256(f"7:{i}".encode()).hexdigest() for i in (0, 20, 40, 60, 80, 100))[:4]
+    assert {hashlib.sha256(f"7:{r.query_id}".encode()).hexdigest() for r in a.per_query.collect()} == set(drawn)
+    assert plan.first().probes == 4
+
+
 def test_changed_documents_are_not_served_from_old_vectors(spark, world, tmp_path):
     docs, texts, index, queries, _ = world
     s = api.MigrationSession(docs, index, HashModel(16), str(tmp_path / "store"))

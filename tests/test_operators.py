@@ -321,3 +321,16 @@ def test_planning(spark):
         h.update(f'{{"i":{i},"t":"{t}"}}\n'.encode())
     assert planning.rolling_digest(d, "i", "t").first().digest == h.hexdigest()
     assert planning.dataset_digest(d, "i", "t").first() == planning.dataset_digest(d.repartition(2), "i", "t").first()
+
+
+def test_a_frozen_rule_is_verified(spark, tmp_path):
+    from vecshift.operators import probe
+
+    spec, digest = tmp_path / "rule.md", tmp_path / "rule.sha256"
+    spec.write_bytes(b"# rule\n")
+    rows = spark.createDataFrame([[0.01] * len(probe.REQUIRED)], ", ".join(f"{c} double" for c in probe.REQUIRED))
+    digest.write_text(hashlib.sha256(b"# rule\n").hexdigest().upper() + "  rule.md\n")
+    assert probe.guarded_decision(rows, (str(spec), str(digest))).count() == 1
+    spec.write_bytes(b"# another rule\n")
+    with pytest.raises(ValueError, match="not the stated one"):
+        probe.guarded_decision(rows, (str(spec), str(digest)))

@@ -167,8 +167,12 @@ class MigrationSession:
         return run.status()
 
 
-def migrate(session: MigrationSession, source_queries: DataFrame, texts: DataFrame, **plan_options) -> tuple[Analysis, DataFrame]:
-    """Probe with the session's model over its whole corpus, then the plan."""
+def migrate(session: MigrationSession, source_queries: DataFrame, texts: DataFrame, limit: int | None = None, seed: int = 42, **plan_options) -> tuple[Analysis, DataFrame]:
+    """Probe with the session's model over its whole corpus, then the plan. limit: probe so many queries with distinct texts, drawn by
+    hash with the seed; all queries without it."""
+    if limit is not None:
+        drawn = written(probe.probe_order(texts.withColumn("position", F.col("query_id")), seed, limit).select("query_id", "text"), "probes")
+        source_queries, texts = source_queries.join(drawn.select("query_id"), "query_id", "left_semi"), drawn
     target = session.export_target()
     a = analyze(session.index, source_queries, target, encode(texts, session.model, "query_id"))
     return a, plan(a, session.documents, session.warm(), session.model.dimension, **plan_options)

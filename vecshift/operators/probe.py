@@ -4,7 +4,7 @@ All depths come from one window pass over the exploded candidate table; the corp
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .quality import GRID, prefixes
@@ -89,8 +89,21 @@ def decision():
     return F.when(safe, "SAFE").when(unsafe, "UNSAFE_OR_UNCERTAIN").otherwise("EXPAND")
 
 
-def guarded_decision(rows: DataFrame) -> DataFrame:
-    """rows with `decision`; missing, leaking or non-finite features are errors."""
+def verify_frozen(spark: SparkSession, spec: str, digest: str) -> None:
+    """An error if the text that a decision's rule is frozen in (a file) doesn't have the SHA-256 that another file states."""
+    stated = F.trim(F.regexp_replace("value", r"\s+", " "))
+    want = spark.read.text(digest, wholetext=True).select(F.lower(F.element_at(F.split(stated, " "), 1)).alias("d"))
+    have = spark.read.format("binaryFile").load(spec).select(F.sha2("content", 256).alias("d"))
+    found, expected = have.first(), want.first()
+    if found is None or expected is None or found.d != expected.d:
+        raise ValueError(f"the frozen rule is not the stated one: {found and found.d} is not {expected and expected.d}")
+
+
+def guarded_decision(rows: DataFrame, frozen: tuple[str, str] | None = None) -> DataFrame:
+    """rows with `decision`; missing, leaking or non-finite features are errors. frozen: the files of the rule's text and of its digest,
+    which must agree before anything is decided."""
+    if frozen is not None:
+        verify_frozen(rows.sparkSession, *frozen)
     missing = [c for c in REQUIRED if c not in rows.columns]
     leaking = [c for c in rows.columns if any(t in c.lower() for t in FORBIDDEN)]
     if missing or leaking:

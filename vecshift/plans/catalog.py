@@ -847,6 +847,17 @@ def index_search(spark, d):
     return _label_index(spark, d).search(X.queries(spark, d), 10)
 
 
+@query(f"""WITH {_CELLS}, w AS (SELECT query_id, cell FROM q, c QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(v, cv), 9) DESC, cell) <= 3),
+g AS (SELECT query_id, doc_id FROM q JOIN w USING (query_id) JOIN n USING (cell) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(q.v, n.v), 9) DESC, doc_id) <= 10),
+x AS (SELECT query_id, doc_id FROM q, d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(q.v, d.v), 9) DESC, doc_id) <= 10),
+o AS (SELECT x.query_id, count(g.doc_id) / count(*) AS overlap FROM x LEFT JOIN g USING (query_id, doc_id) GROUP BY x.query_id),
+f AS (SELECT round(avg(overlap), 9) AS fidelity, count(*) AS queries FROM o) SELECT *, CASE WHEN queries = 0 THEN 'UNKNOWN' WHEN fidelity >= 0.95 THEN 'PASS' ELSE 'WARNING' END AS status FROM f""")
+def index_recall_audit(spark, d):
+    """How much of the exact ten nearest a stored index finds in the three cells nearest each query."""
+    found = _label_index(spark, d).search(X.queries(spark, d), 10)
+    return retrieval.fidelity(found, X.native(spark, d, 10), 10)
+
+
 # ------------------------------------------------------------------ serving
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from vecshift.functions.scalar import epoch, sampled
 from vecshift.operators import retrieval
 from vecshift.sources.readers import vectors
+from vecshift.sources.snapshots import written
 
 SEED, RATE, DEPTH = 42, 0.5, 500
 
@@ -34,14 +35,14 @@ def cut(df: DataFrame, s: int) -> DataFrame:
 
 
 def candidates(spark, d, s: int = 16, k: int = DEPTH) -> DataFrame:
-    """query_id, doc_id, source_rank, target_score."""
+    """query_id, doc_id, source_rank, target_score; written once, as most queries read it in several branches."""
     c, q = corpus(spark, d), queries(spark, d)
     top = retrieval.topk(cut(c, s), cut(q, s), k).select("query_id", "doc_id", F.col("rank").alias("source_rank"))
-    return retrieval.pair_scores(top, q, c)
+    return written(retrieval.pair_scores(top, q, c), "candidates")
 
 
 def native(spark, d, k: int = DEPTH) -> DataFrame:
-    return retrieval.topk(corpus(spark, d), queries(spark, d), k)
+    return written(retrieval.topk(corpus(spark, d), queries(spark, d), k), "native")
 
 
 def qrels(spark, d) -> DataFrame:
