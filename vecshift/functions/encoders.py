@@ -99,8 +99,8 @@ def encode(docs: DataFrame, model: EmbeddingModel, key: str = "doc_id", text: st
 
 
 def encode_rows(docs: DataFrame, model: EmbeddingModel, key: str = "doc_id", text: str = "text", batch: int = 512) -> DataFrame:
-    """All columns of docs but the text, with v and error. What can't be encoded is a row with an error and no vector: a text that is null
-    or blank, a document that the model fails on by itself, a vector that isn't finite or has another dimension. Errors name the
+    """All columns of docs but the text, with v and error. What can't be encoded is a row with an error and no vector: a text that is null,
+    a document that the model fails on by itself, a vector that isn't finite or has another dimension. Errors name the
     kind of fault, never the text."""
     from vecshift.operators.retrieval import ship
 
@@ -124,7 +124,7 @@ def encode_rows(docs: DataFrame, model: EmbeddingModel, key: str = "doc_id", tex
             for lo in range(0, len(b), batch):
                 part = b.iloc[lo : lo + batch]
                 given = part[text].tolist()
-                some = [i for i, t in enumerate(given) if isinstance(t, str) and t.strip()]
+                some = [i for i, t in enumerate(given) if isinstance(t, str)]
                 got: list[tuple] = [(None, "document text is unavailable")] * len(given)
                 for i, x in zip(some, tried([given[i] for i in some]) if some else [], strict=True):
                     got[i] = x

@@ -464,7 +464,7 @@ def prewarm_plan_violations(spark, d):
 
 @query(f"""WITH {X.TRAFFIC}, h AS (SELECT *, row_number() OVER (ORDER BY occurrences DESC, document_id::VARCHAR) AS rank FROM occ QUALIFY rank <= 100),
 w AS (SELECT doc_id FROM documents WHERE {X.HASHED.format(c='doc_id', t=int(0.3 * (1 << 64)))} AND doc_id % 7 <> 3),
-t AS (SELECT doc_id FROM documents WHERE doc_id % 7 <> 3 AND length(trim(text)) > 0),
+t AS (SELECT doc_id FROM documents WHERE doc_id % 7 <> 3 AND text IS NOT NULL),
 x AS (SELECT document_id, rank, CASE WHEN w.doc_id IS NOT NULL THEN 'warm' ELSE 'cold' END AS status FROM h LEFT JOIN w ON w.doc_id = document_id)
 SELECT document_id, 0::BIGINT AS batch, status, NULL AS error FROM x UNION ALL
 SELECT document_id, ceil(rank / 30)::BIGINT, CASE WHEN t.doc_id IS NULL THEN 'failed' ELSE 'encoded' END, CASE WHEN t.doc_id IS NULL THEN 'document text is unavailable' END FROM x LEFT JOIN t ON t.doc_id = document_id WHERE status = 'cold' UNION ALL
@@ -869,7 +869,7 @@ a{n} AS (SELECT {n} AS round, query_id, doc_id, source_rank, CASE WHEN hit THEN
 
 
 _ROUNDS = f"""WITH {X.EMB}, cand AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(q.v, d.v), 9) DESC, doc_id) - 1 AS source_rank FROM q CROSS JOIN d QUALIFY source_rank < 20),
-txt AS (SELECT doc_id, text FROM documents WHERE length(trim(text)) > 0),
+txt AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL),
 tok AS (SELECT doc_id, t, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM txt WHERE doc_id IN (SELECT doc_id FROM d)) GROUP BY ALL),
 w AS (SELECT doc_id, ('0x' || substr(sha256(t), 1, 8))::BIGINT % 16 AS slot, sum(CASE WHEN substr(sha256(t), 9, 1) IN ('0', '1', '2', '3', '4', '5', '6', '7') THEN n ELSE -n END)::DOUBLE AS w FROM tok GROUP BY ALL),
 u AS (SELECT doc_id, slot, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM w WHERE w <> 0),
