@@ -110,11 +110,12 @@ def fetch(store: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     return strict(x, {"missing document": F.coalesce("__there", F.lit(False))}).drop("__there")
 
 
-def jdbc_vectors(spark: SparkSession, url: str, table: str, key: str, vector: str, partitions: int = 16, **options) -> DataFrame:
-    """doc_id, v from a relational store with a vector type, in parallel ranges of the key; null ids and vectors are left out."""
-    q = f"(SELECT {key} AS doc_id, CAST({vector} AS text) AS v FROM {table} WHERE {key} IS NOT NULL AND {vector} IS NOT NULL) t"
-    r = spark.read.format("jdbc").options(url=url, dbtable=q, numPartitions=partitions, **options).load()
-    return r.select(F.col("doc_id").cast("string").alias("doc_id"), F.from_json("v", "array<double>").alias("v"))
+def jdbc_vectors(spark: SparkSession, url: str, table: str, key: str, vector: str, page: int = 1_000_000, **options) -> DataFrame:
+    """doc_id, v from a relational store with a vector type, a page of the key a task; null ids and vectors are left out."""
+    from vecshift.sources.jdbc import JdbcStore
+
+    r = JdbcStore(spark, url, table, key, vector, **options).rows([f"CAST({vector} AS text) AS v"], page)
+    return r.where("v IS NOT NULL").select(F.col("doc_id").cast("string").alias("doc_id"), F.from_json("v", "array<double>").alias("v"))
 
 
 def write_report(df: DataFrame, path: str, kind: str = "json") -> None:
