@@ -213,7 +213,33 @@ NAMED = [
     ("<article><p>x</p></article><div id='comments' class='comments-area'><p>" + "much said, " * 50 + "</p></div>", "x"),
     ("<article><p>The text is long enough.</p><div class='share-buttons'>tweet</div><ul><li class=ad>buy<li>y</ul></article>", "The text is long enough.\ny"),
     ("<p hidden>no</p>", ""),
+    # nothing but what is left out
+    ("<nav>Menu one</nav>", ""),
+    ("<footer>copyright</footer>", ""),
+    ("<header><p>Site</p></header><aside><p>more, and more</p></aside>", ""),
+    ("<form><label>Name</label><input name=n><button>Send</button></form>", ""),
+    ("<form><fieldset><legend>You</legend><p>Name: <input name=n></p></fieldset></form>", ""),
+    ("<div role=navigation><p>Here, there.</p></div>", ""),
+    ("<div id='comments'><p>nice, very nice</p></div>", ""),
+    # content that looks like it
+    ("<article><p>The formula <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds.</p></article>", "The formula x=1 holds."),
+    ("<article><p>A <object data=x><b>kind</b> of</object> film.</p></article>", "A kind of film."),
+    ("<article><p>x, y</p><p class='related-work'>Others did so.</p><ul><li class='social-science'>Max</ul></article>", "x, y\nOthers did so.\nMax"),
+    ("<article><p>x, y</p><section id='code-comments'><h2>Comments in code</h2><p>Write few.</p></section></article>", "x, y\nComments in code\nWrite few."),
+    ("<article><p>See</p><pre><span class='comment'># no</span> a = 1</pre></article>", "See\n# no a = 1"),
+    ("<article><div class='post-header'><h1>T</h1></div><p>x</p></article>", "T\nx"),
+    ("<article><p>The text, in whole.</p><div class='related-stuff'><a href=a>One</a> <a href=b>Two</a></div><div class='inline-ad'>Buy.</div></article>", "The text, in whole."),
+    ("<h1>T</h1><div class='widget'><p>The only text, in whole.</p></div>", "T\nThe only text, in whole."),
 ]
+TALKED = ["id='comment-list'", "id='comments-section'", "class='comment-body'", "class='comments-open'", "id='comments' class='comments-area'", "class='comments-open comment-thread'"]
+
+
+@pytest.mark.parametrize("name", TALKED)
+@pytest.mark.parametrize("inner", ["<p>%s</p>", "<ol class='comment-list'><li><article class='comment-body'><p>%s</p></article></li></ol>", "<article><p>%s</p></article>", "%s"])
+def test_long_comments_go_beside_a_short_article(name, inner):
+    talk = f"<div {name}>" + inner % ("much said, by many, " * 60) + "</div>"
+    assert extract(f"<body><article><p>The text.</p></article>{talk}</body>") == "The text."
+    assert extract(f"<body><div class=post><h1>T</h1><p>The text.</p>{talk}</div></body>") == "T\nThe text."
 
 
 @pytest.mark.parametrize("page,want", NAMED)
