@@ -68,11 +68,11 @@ def test_levels_come_back_from_the_filter():
     rng = np.random.default_rng(8)
     key = rng.integers(0, 2**63, 40_000).astype(np.uint64)
     q = np.minimum(rng.geometric(0.5, 20_000), 30)
-    s = lm.Segment(key[:20_000], q)
+    s = lm.Segment.of(key[:20_000], q)
     got = s.levels(key)
     assert (got[:20_000] >= q).all() and (got[:20_000] > q).mean() < 0.03 and (got[20_000:] > 0).mean() < 0.03
-    assert (lm.Segment(key[:20_000], q, 60).levels(key) == np.append(q, np.zeros(20_000, int))).all()
-    assert (lm.Segment(key[:0], q[:0]).levels(key) == 0).all()
+    assert (lm.Segment.of(key[:20_000], q, 60).levels(key) == np.append(q, np.zeros(20_000, int))).all()
+    assert (lm.Segment.of(key[:0], q[:0]).levels(key) == 0).all()
     c = np.arange(1, 5000)
     assert (lm.low(lm.level(c)) <= c).all() and (lm.low(lm.level(c) + 1) > c).all()
 
@@ -134,3 +134,17 @@ def test_every_pair_counts(spark, monkeypatch):
     assert copy[1] > shuffled[1] + 10 and copy[1] > copy[0] + 10
     monkeypatch.setattr(lm, "CHUNK", 2000)
     assert scores() == want
+
+
+def test_score_depends_neither_on_partitions_nor_on_the_way(spark, rows, monkeypatch):
+    """The same rows in 1, 3 and 16 partitions, with the filter broadcast and probed where it lies."""
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def scores(parts):
+        return sorted(((r.doc_id is None, r.doc_id or 0, r.n_tokens), r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in lm.score_texts(df.repartition(parts)).collect())
+
+    monkeypatch.setattr(lm, "SEGMENT", 20_000)
+    want = scores(1)
+    assert scores(3) == want and scores(16) == want
+    monkeypatch.setattr(lm, "SHIPPED", 0)
+    assert scores(1) == want and scores(16) == want

@@ -5,11 +5,13 @@ bucket, its distinct words and pairs with their counts in the training part, as
 number of input partitions, so each is merged in bounded memory.
 
 Filter: a pair of count level q (two levels for each doubling) is held as q members (pair, 1) .. (pair, q); its level is read
-back by repeated membership probes, (pair, 1), (pair, 2), ... up to the first that is not held. The filter grows with the
-corpus, so it is not broadcast whole: it consists of one segment for each bucket, of BITS for each member, built where the
-bucket's counts are merged, and the distinct pairs of the chunks come to the segment. All pairs are held, however rare and
-at any size of the input; nothing that grows is broadcast. A probe is false with a probability of about a hundredth; so an unseen pair
-may count as seen once, and a level may come out one higher. Levels are never too low.
+back by repeated membership probes, (pair, 1), (pair, 2), ... up to the first that is not held. The filter consists of segments by the
+pair's leading bits, of BITS for each member; their number follows the bytes of text alone, so scores don't depend on how rows are dealt.
+A corpus of T bytes in R rows has at most (T + 3 R) / 2 pairs and one and a half members for each; while a filter of
+so many members is below SHIPPED bytes, its segments are written, gathered and broadcast to the workers, which probe them
+chunk by chunk. Beyond that nothing is broadcast: a bucket's segments are probed where they were built, for the distinct pairs that the
+chunks sent there. Both ways give equal scores, and all pairs are held, however rare. A probe is false with a probability of about
+a hundredth; so an unseen pair may count as seen once, and a level may come out one higher. Levels are never too low.
 
 Probability of word w after u: (1 - l) * base(w) + l * count(u, w) / count(u), with the smallest count of the pair's level, so
 probabilities sum to no more than one but for false probes. l depends on the level of count(u); it comes from one
@@ -38,6 +40,8 @@ from .common import buffers, crc_mod, discard, hashes, materialize, mix, pieces,
 BITS, PROBES, LINE, LEVELS = 12, 7, 512, 96
 #: Bytes of text that are looked up at a time (one document at least).
 CHUNK = 1 << 20
+#: Bytes of text for each segment of the filter, and the most bytes of a filter that is broadcast.
+SEGMENT, SHIPPED = 1 << 19, 64 << 20
 TRAIN, SCORE, HELD = 1, 2, 4
 END, BEGIN = np.uint64(0x0E4D0E4D0E4D0E4D), np.uint64(0xBE61BE61BE61BE61)
 
@@ -91,14 +95,20 @@ def _read(v: bytes) -> np.ndarray:
 
 
 class Segment:
-    """One bucket's part of the filter: level q of a key as members 1 .. q, each within one line of bits."""
+    """A part of the filter: level q of a key as members 1 .. q, each within one line of bits."""
 
-    def __init__(self, key: np.ndarray, q: np.ndarray, bits: int = BITS):
-        self.lines = np.uint64(-(-max(1, bits * int(q.sum())) // LINE))
-        self.bits = np.zeros(int(self.lines) * LINE, bool)
+    def __init__(self, bits: np.ndarray):
+        self.bits, self.lines = bits, np.uint64(8 * len(bits) // LINE)
+
+    @classmethod
+    def of(cls, key: np.ndarray, q: np.ndarray, bits: int = BITS) -> Segment:
+        lines = -(-max(1, bits * int(q.sum())) // LINE)
+        out, full = cls(np.empty(lines * LINE // 8, np.uint8)), np.zeros(lines * LINE, bool)
         for j in range(1, int(q.max(initial=0)) + 1):
-            for at in self._places(key[q >= j], j):
-                self.bits[at] = True
+            for at in out._places(key[q >= j], j):
+                full[at] = True
+        out.bits = np.packbits(full, bitorder="little")
+        return out
 
     def _places(self, key: np.ndarray, j: int) -> Iterator[np.ndarray]:
         with np.errstate(over="ignore"):
@@ -114,13 +124,22 @@ class Segment:
         while len(left) and j < LEVELS:
             held = np.ones(len(left), bool)
             for at in self._places(key[left], j):
-                held &= self.bits[at]
+                held &= (self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).view(bool)
             left = left[held]
             out[left] = j
             j += 1
         return out
 
 
+def by_segment(h: np.ndarray, shift: int) -> Iterator[tuple[int, slice]]:
+    """The segments of ascending keys."""
+    number = h >> np.uint64(shift)
+    cut = [0, *(np.flatnonzero(number[1:] != number[:-1]) + 1).tolist(), len(h)]
+    for i, j in zip(cut, cut[1:], strict=False):
+        if i < j:
+            yield int(number[i]), slice(i, j)
+
+
 def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of (doc_id, role, text) as chunks: number, ids, roles, bytes and offsets of the texts."""
     from pyspark import TaskContext
@@ -167,20 +186,34 @@ def chunk_blocks(buckets: int):
     return run
 
 
-def _answer(t: pa.Table, bits: int) -> pa.Table:
-    """One bucket's answer to each chunk: exact counts of its words, levels of its pairs from the bucket's segment of the
-    filter. The first row carries the bucket's sums."""
+def _answer(t: pa.Table, bits: int, shift: int, ship: bool) -> pa.Table:
+    """One bucket's answer to each chunk: exact counts of its words, levels of its pairs from the bucket's segments of the
+    filter; the first row carries the bucket's sums. Where the filter is shipped, the segments themselves (chunk -1)."""
     kind = t["kind"][0].as_py()
     keys = [np.cumsum(_read(v.as_py()), dtype=np.uint64) for v in t["h"]]
     h, at = np.unique(np.concatenate(keys), return_inverse=True)
-    c = np.bincount(at, np.concatenate([_read(v.as_py()) for v in t["c"]]), len(h)).astype(np.int64)
-    known = np.flatnonzero(c)
-    value = Segment(h[known], np.minimum(level(c[known]), LEVELS - 1), bits).levels(h) if kind else c
-    cut = np.cumsum([0, *map(len, keys)])
-    told = [_code(value[at[i:j]]) for i, j in zip(cut[:-1], cut[1:], strict=True)]
+    value = c = np.bincount(at, np.concatenate([_read(v.as_py()) for v in t["c"]]), len(h)).astype(np.int64)
+    bucket, chunk = t["bucket"].to_pylist(), t["chunk"].to_pylist()
+    if kind:
+        value, made = np.zeros(len(h), np.int64), []
+        for number, part in by_segment(h, shift):
+            own, q = h[part], np.minimum(level(c[part]), LEVELS - 1)
+            seen = c[part] > 0
+            segment = Segment.of(own[seen], q[seen], bits)
+            if ship:
+                made.append((number, segment.bits.tobytes()))
+            else:
+                value[part] = segment.levels(own)
+        if ship:
+            bucket, told = (list(x) for x in zip(*made, strict=True))
+            chunk = [-1] * len(made)
+    if not (kind and ship):
+        cut = np.cumsum([0, *map(len, keys)])
+        told = [_code(value[at[i:j]]) for i, j in zip(cut[:-1], cut[1:], strict=True)]
     rest = [0] * (len(told) - 1)
     sums = [int(c.sum()), int((c > 0).sum()), 0 if kind else int(c[h == END].sum())]
-    return pa.table({"kind": t["kind"], "bucket": t["bucket"], "chunk": t["chunk"], "told": pa.array(told, pa.binary()), **{n: pa.array([x, *rest], pa.int64()) for n, x in zip(("total", "size", "ends"), sums, strict=True)}})
+    cols = {"kind": pa.array([kind] * len(told), pa.int32()), "bucket": pa.array(bucket, pa.int32()), "chunk": pa.array(chunk, pa.int64()), "told": pa.array(told, pa.binary())}
+    return pa.table(cols | {n: pa.array([x, *rest], pa.int64()) for n, x in zip(("total", "size", "ends"), sums, strict=True)})
 
 
 _LOW = low(np.arange(LEVELS))
@@ -212,8 +245,13 @@ def score_texts(docs: DataFrame, train_on=None, key: str = "doc_id", text: str =
         rows_in = rows_in.unionByName(train_on.select(F.lit(None).cast(kind).alias("doc_id"), F.lit(TRAIN).alias("role"), F.col(text).alias("text")))
     buckets = 2 << math.ceil(math.log2(max(1, rows_in.rdd.getNumPartitions())))  # an input partition's n-grams each, at any size
     parts = materialize(rows_in.mapInArrow(chunks, f"chunk long, ids array<{kind}>, role binary, data binary, off binary"), "lm_chunks")
+    held = parts.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(n) for n, x in (("size", F.length("data")), ("rows", F.size("ids")))]).first()
+    segments = 2 << math.ceil(math.log2(max(1, held["size"] / SEGMENT)))
+    buckets, shift = min(buckets, segments), 64 - (segments.bit_length() - 1)
+    ship = bits / 8 * 1.5 * (held["size"] + 3 * held["rows"]) / 2 + segments * LINE / 8 <= SHIPPED
     blocks = parts.select("chunk", "role", "data", "off").mapInArrow(chunk_blocks(buckets), "kind int, bucket int, chunk long, h binary, c binary")
-    answers = materialize(blocks.groupBy("kind", "bucket").applyInArrow(lambda t: _answer(t, bits), "kind int, bucket int, chunk long, told binary, total long, size long, ends long"), "lm_answers")
+    answers = materialize(blocks.groupBy("kind", "bucket").applyInArrow(lambda t: _answer(t, bits, shift, ship), "kind int, bucket int, chunk long, told binary, total long, size long, ends long"), "lm_answers")
+    whole = spark.sparkContext.broadcast({r.bucket: bytes(r.told) for r in answers.where("chunk = -1").select("bucket", "told").toLocalIterator()}) if ship else None  # SHIPPED bytes at most
     s = answers.where("kind = 0").agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("total", "size", "ends")]).first()
     total, ends, norm = s.total, s.ends, s.total + 0.1 * (s["size"] + 1)
     base = lambda c: (c + 0.1) / norm
@@ -226,6 +264,9 @@ def score_texts(docs: DataFrame, train_on=None, key: str = "doc_id", text: str =
         told = told.sort_by("bucket")
         for k, v in zip(told["kind"].to_pylist(), told["told"], strict=True):
             got[k].append(_read(v.as_py()))
+        if whole is not None:
+            pairs = np.unique(both)
+            got[1] = [Segment(np.frombuffer(whole.value[k], np.uint8)).levels(pairs[part]) for k, part in by_segment(pairs, shift)]
         c, q = (np.concatenate(v)[np.unique(x, return_inverse=True)[1]].astype(np.int64) for v, x in zip(got, (tok, both), strict=True))
         n, up = _terms(c, q, edge, ends)
         learn = np.repeat(np.frombuffer(role.as_py(), np.uint8) & TRAIN > 0, np.diff(edge))
@@ -235,7 +276,7 @@ def score_texts(docs: DataFrame, train_on=None, key: str = "doc_id", text: str =
         cols = [pa.array([x], pa.binary()) for x in (role.as_py(), edge.tobytes(), _code(c), q.astype(np.uint8).tobytes())]
         return pa.table([mine["ids"].combine_chunks(), *cols, *[pa.array([x.tolist()]) for x in sums]], ["ids", "role", "edge", "c", "q", "win", "n"])
 
-    both = parts.groupBy("chunk").cogroup(answers.select("kind", "bucket", "chunk", "told").groupBy("chunk"))
+    both = parts.groupBy("chunk").cogroup(answers.where("chunk >= 0").select("kind", "bucket", "chunk", "told").groupBy("chunk"))
     found = materialize(both.applyInArrow(look_up, f"ids array<{kind}>, role binary, edge binary, c binary, q binary, win array<double>, n array<double>"), "lm_counts")
     discard(parts)
     discard(answers)
