@@ -222,11 +222,12 @@ def similarity_classes(docs: DataFrame, n: int = 3, percent: int = 90, key: str
     grouped = materialize(grouped.select("cid", "rep", "n", "toks", F.coalesce("root", "gid").alias("gid"), F.coalesce("root", "cid").alias("qid")), "grouped", WIDE * total)
     discard(reps)
 
-    # one exchange serves the matrix and the queries that meet it
-    tokens = grouped.select("cid", "n", "gid", "qid", F.posexplode("toks").alias("pos", "tok")).repartition("tok")
-    rest = F.max(F.col("n") - F.col("pos"))
-    matrix = tokens.groupBy("tok", "gid").agg(rest.alias("rest"), F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.min("cid").alias("c_min"), F.max("cid").alias("c_max"))
-    asking = tokens.groupBy("tok", "qid").agg(rest.alias("q_rest"), F.min("n").alias("q_min"), F.max("n").alias("q_max"))
+    # one exchange serves the matrix and the queries that meet it, as both need the same columns of it; qid is the class where none is linked
+    tokens = grouped.select("n", "gid", "qid", F.posexplode("toks").alias("pos", "tok"))
+    tokens = tokens.where("n IS NOT NULL AND gid IS NOT NULL AND qid IS NOT NULL AND tok IS NOT NULL").repartition("tok")
+    found = tokens.groupBy("tok", "gid", "qid").agg(F.max(F.col("n") - F.col("pos")).alias("rest"), F.min("n").alias("n_min"), F.max("n").alias("n_max"))
+    matrix = found.groupBy("tok", "gid").agg(F.max("rest").alias("rest"), F.min("n_min").alias("n_min"), F.max("n_max").alias("n_max"), F.min("qid").alias("c_min"), F.max("qid").alias("c_max"))
+    asking = found.groupBy("tok", "qid").agg(F.max("rest").alias("q_rest"), F.min("n_min").alias("q_min"), F.max("n_max").alias("q_max"))
     least = lambda q: F.greatest("n_min", F.expr(f"({percent} * {q} + 99) div 100"))
     met = asking.join(matrix, "tok").where("qid <> gid AND (c_min <> c_max OR c_min <> qid) AND n_min <= q_max").where(F.col("n_max") >= least("q_min"))
     bound = met.groupBy("qid", "gid").agg(F.count(F.lit(1)).alias("same"), *[F.min(c).alias(c) for c in ("q_min", "n_min")], *[F.max(c).alias(c) for c in ("q_max", "q_rest", "rest")])
