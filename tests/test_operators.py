@@ -334,3 +334,23 @@ def test_a_frozen_rule_is_verified(spark, tmp_path):
     spec.write_bytes(b"# another rule\n")
     with pytest.raises(ValueError, match="not the stated one"):
         probe.guarded_decision(rows, (str(spec), str(digest)))
+
+
+def test_judgements_by_label_make_no_pairs(spark):
+    """Labels give what their pairs give, without a pair of them being made."""
+    q = spark.createDataFrame([(0, 1), (3, 2), (4, None), (5, 3)], "query_id long, label int")
+    d = spark.createDataFrame([(i, (None, 1, 1, 2, 7)[i % 5]) for i in range(40)], "doc_id long, label int")
+    pairs = q.join(d, "label").select("query_id", "doc_id", F.lit(1).alias("relevance"))
+    labels = quality.LabelQrels(q, d)
+    ranking = spark.createDataFrame([(i, (i * 7 + j * 3) % 44, j) for i in (0, 3, 4, 5) for j in range(20)], "query_id long, doc_id long, rank int")
+    exact = lambda df: [tuple(round(x, 12) for x in r) for r in sorted(map(tuple, df.collect()))]
+    for k in (3, 10, 20):
+        assert exact(quality.ndcg(ranking, labels, k)) == exact(quality.ndcg(ranking, pairs, k))
+        assert exact(quality.recall(ranking, labels, k)) == exact(quality.recall(ranking, pairs, k))
+    cand = ranking.withColumnRenamed("rank", "source_rank").withColumn("target_score", F.col("doc_id") % 9 / 9)
+    assert exact(quality.gap_curve(cand, ranking, labels, (5, 20))) == exact(quality.gap_curve(cand, ranking, pairs, (5, 20)))
+    from vecshift.plans import fixtures
+
+    d, q = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("label")), spark.range(3000).select(F.col("id").alias("query_id"), F.lit(1).alias("label"))
+    many = quality.ndcg(spark.range(3000).select(F.col("id").alias("query_id"), F.col("id").alias("doc_id"), F.lit(0).alias("rank")), quality.LabelQrels(q, d))
+    assert many.count() == 3000 and isinstance(fixtures.qrels(spark, "/root/testdata/sf0.001"), quality.LabelQrels)  # 90 million pairs

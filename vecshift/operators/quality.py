@@ -19,28 +19,86 @@ def _gain(rel: Column, pos: Column) -> Column:
     return (F.pow(F.lit(2.0), rel) - 1) / F.log2(pos + 1)
 
 
-def ndcg(ranking: DataFrame, qrels: DataFrame, k: int = 10, by: tuple[str, ...] = ()) -> DataFrame:
+class PairQrels:
+    """Judgements as rows (query_id, doc_id, relevance)."""
+
+    def __init__(self, pairs: DataFrame):
+        self.pairs = pairs
+
+    def queries(self) -> DataFrame:
+        return self.pairs.select("query_id").distinct()
+
+    def within(self, queries: DataFrame) -> PairQrels:
+        """Those of these queries (query_id)."""
+        return PairQrels(self.pairs.join(queries, "query_id", "left_semi"))
+
+    def judge(self, ranked: DataFrame) -> DataFrame:
+        """ranked (query_id, doc_id, ...) with relevance, null where a pair isn't judged."""
+        return ranked.join(self.pairs.select("query_id", "doc_id", "relevance"), ["query_id", "doc_id"], "left")
+
+    def ideal(self, k: int) -> DataFrame:
+        """query_id, ideal: the greatest gain of k documents."""
+        w = Window.partitionBy("query_id").orderBy(F.desc("relevance"), "doc_id")
+        best = self.pairs.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= k)
+        return best.groupBy("query_id").agg(F.sum(_gain(F.col("relevance"), F.col("pos"))).alias("ideal"))
+
+    def relevant(self) -> DataFrame:
+        """query_id, all: how many documents are relevant, for queries that have some."""
+        return self.pairs.where("relevance > 0").groupBy("query_id").agg(F.count(F.lit(1)).alias("all"))
+
+
+class LabelQrels(PairQrels):
+    """The judgements that a document with a query's label has relevance 1, from queries (query_id, label) and documents (doc_id, label).
+    The pairs, whose number grows with the square of a label's rows, are not made: only ranked ones are judged, the others counted."""
+
+    def __init__(self, queries: DataFrame, documents: DataFrame):
+        self.q, self.d = queries.select("query_id", "label").where("label IS NOT NULL"), documents.select("doc_id", "label").where("label IS NOT NULL")
+
+    def _labels(self) -> DataFrame:
+        return self.d.groupBy("label").agg(F.count(F.lit(1)).alias("all"))
+
+    def queries(self) -> DataFrame:
+        return self.q.join(self._labels(), "label").select("query_id").distinct()
+
+    def within(self, queries: DataFrame) -> LabelQrels:
+        return LabelQrels(self.q.join(queries, "query_id", "left_semi"), self.d)
+
+    def judge(self, ranked: DataFrame) -> DataFrame:
+        x = ranked.join(self.q.withColumnRenamed("label", "__label"), "query_id", "left")
+        d = self.d.select("doc_id", F.col("label").alias("__label"), F.lit(1).alias("relevance"))
+        return x.join(d, ["doc_id", "__label"], "left").drop("__label")
+
+    def ideal(self, k: int) -> DataFrame:
+        gain = F.aggregate(F.sequence(F.lit(1), F.least(F.lit(k), F.col("all")).cast("int")), F.lit(0.0), lambda z, pos: z + _gain(F.lit(1), pos))
+        return self.q.join(self._labels().select("label", gain.alias("ideal")), "label").select("query_id", "ideal")
+
+    def relevant(self) -> DataFrame:
+        return self.q.join(self._labels(), "label").select("query_id", "all")
+
+
+def _judgements(qrels: DataFrame | PairQrels) -> PairQrels:
+    return qrels if isinstance(qrels, PairQrels) else PairQrels(qrels)
+
+
+def ndcg(ranking: DataFrame, qrels: DataFrame | PairQrels, k: int = 10, by: tuple[str, ...] = ()) -> DataFrame:
     """query_id, ndcg. ranking (query_id, doc_id, rank); repeats count at their first place and are taken out before
-    the cut at k. Queries without relevant documents score 0. by: further keys of ranking (such as K)."""
-    keys = [*by, "query_id"]
+    the cut at k. Queries without relevant documents score 0. by: further keys of ranking (such as K). qrels: rows, or LabelQrels."""
+    keys, qrels = [*by, "query_id"], _judgements(qrels)
     once = ranking.groupBy(*keys, "doc_id").agg(F.min("rank").alias("rank"))
     w = Window.partitionBy(*keys).orderBy("rank")
     top = once.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= k)
-    got = top.join(qrels.select("query_id", "doc_id", "relevance"), ["query_id", "doc_id"], "left")
-    got = got.groupBy(*keys).agg(F.sum(_gain(F.coalesce("relevance", F.lit(0)), F.col("pos"))).alias("dcg"))
-    best = qrels.withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("relevance"), "doc_id"))).where(F.col("pos") <= k)
-    best = best.groupBy("query_id").agg(F.sum(_gain(F.col("relevance"), F.col("pos"))).alias("ideal"))
+    got = qrels.judge(top).groupBy(*keys).agg(F.sum(_gain(F.coalesce("relevance", F.lit(0)), F.col("pos"))).alias("dcg"))
     score = F.when(F.col("ideal") > 0, F.col("dcg") / F.col("ideal")).otherwise(0.0)
-    return got.join(best, "query_id", "left").select(*keys, score.alias("ndcg"))
+    return got.join(qrels.ideal(k), "query_id", "left").select(*keys, score.alias("ndcg"))
 
 
-def recall(ranking: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
+def recall(ranking: DataFrame, qrels: DataFrame | PairQrels, k: int) -> DataFrame:
     """query_id, recall: the cut at k comes before repeats are taken out."""
+    qrels = _judgements(qrels)
     w = Window.partitionBy("query_id").orderBy("rank")
-    top = ranking.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= k).select("query_id", "doc_id", F.lit(1).alias("hit")).distinct()
-    pos = qrels.where("relevance > 0").select("query_id", "doc_id")
-    got = pos.join(top, ["query_id", "doc_id"], "left").groupBy("query_id").agg(F.count("hit").alias("hits"), F.count(F.lit(1)).alias("all"))
-    return ranking.select("query_id").distinct().join(got, "query_id", "left").select("query_id", F.coalesce(F.col("hits") / F.col("all"), F.lit(0.0)).alias("recall"))
+    top = ranking.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= k).select("query_id", "doc_id").distinct()
+    hits = qrels.judge(top).groupBy("query_id").agg(F.count_if(F.col("relevance") > 0).alias("hits"))
+    return hits.join(qrels.relevant(), "query_id", "left").select("query_id", F.coalesce(F.col("hits") / F.col("all"), F.lit(0.0)).alias("recall"))
 
 
 def prefixes(candidates: DataFrame, grid=GRID) -> DataFrame:
@@ -62,13 +120,14 @@ def containment(candidates: DataFrame, native: DataFrame, grid=GRID, quality_k:
     return x.groupBy("k", "query_id").agg((F.sum(hit) / F.count(F.lit(1))).alias("containment"))
 
 
-def gap_curve(candidates: DataFrame, native: DataFrame, qrels: DataFrame, grid=GRID, quality_k: int = 10) -> DataFrame:
+def gap_curve(candidates: DataFrame, native: DataFrame, qrels: DataFrame | PairQrels, grid=GRID, quality_k: int = 10) -> DataFrame:
     """k, native_target_quality, restricted_target_quality, candidate_gap, containment, queries; over the queries that all
     inputs have. Every candidate must have a target score."""
+    qrels = _judgements(qrels)
     safe = candidates.withColumn("target_score", F.coalesce("target_score", F.raise_error(F.lit("candidate without target score"))))
-    common = safe.select("query_id").distinct().join(native.select("query_id").distinct(), "query_id").join(qrels.select("query_id").distinct(), "query_id")
+    common = safe.select("query_id").distinct().join(native.select("query_id").distinct(), "query_id").join(qrels.queries(), "query_id")
     keep = lambda df: df.join(common, "query_id", "left_semi")
-    safe, native, qrels = keep(safe), keep(native), keep(qrels)
+    safe, native, qrels = keep(safe), keep(native), qrels.within(common)
     restricted = ndcg(prefixes(safe, grid).select("k", "query_id", "doc_id", F.col("position").alias("rank")), qrels, quality_k, ("k",))
     full = ndcg(native, qrels, quality_k).withColumnRenamed("ndcg", "native")
     held = containment(safe, native, grid, quality_k)

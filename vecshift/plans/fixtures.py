@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecshift.functions.scalar import epoch, sampled
-from vecshift.operators import retrieval
+from vecshift.operators import quality, retrieval
 from vecshift.sources.readers import vectors
 from vecshift.sources.snapshots import written
 
@@ -45,11 +45,10 @@ def native(spark, d, k: int = DEPTH) -> DataFrame:
     return written(retrieval.topk(corpus(spark, d), queries(spark, d), k), "native")
 
 
-def qrels(spark, d) -> DataFrame:
+def qrels(spark, d) -> quality.LabelQrels:
     """Graded relevance: an equal label."""
-    e = table(spark, d, "embeddings").select("vec_id", "label")
-    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label")
-    return q.join(e.withColumnRenamed("vec_id", "doc_id"), "label").select("query_id", "doc_id", F.lit(1).alias("relevance"))
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "label")
+    return quality.LabelQrels(e.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id"), e)
 
 
 def traffic(spark, d) -> DataFrame:
