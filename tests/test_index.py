@@ -146,3 +146,29 @@ def test_as_a_data_source(spark, corpus, queries, tmp_path):
             spark.read.format("vecshift_index").option("version", 9).load(path).count()
     finally:
         spark.conf.set("spark.sql.python.filterPushdown.enabled", old)
+
+
+def test_best_of_a_block_in_bounded_memory(monkeypatch):
+    """What a task holds follows the results, not the scores; equal scores at the k-th place go to the smaller id."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    x, q = np.round(rng.normal(size=(6000, 8)), 1), np.round(rng.normal(size=(300, 8)), 1)
+    doc = rng.permutation(6000)
+    monkeypatch.setattr(retrieval, "CELLS", 1 << 16)
+    best = retrieval._Best(300, 200)
+    tracemalloc.start()
+    most = 0
+    for lo in range(0, 6000, 1500):
+        best.add(x[lo : lo + 1500], doc[lo : lo + 1500], q, "dot")
+        most = max(most, best.size)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most <= best.most and peak < 12 << 20  # the scores of one batch take 3.6 MB, with ids and order a multiple of it
+    got = [(int(i), int(d), s) for b in best.batches(np.arange(300)) for i, d, s in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    s = retrieval.scores(x, q, "dot")
+    want = [(i, int(doc[j]), s[j, i]) for i in range(300) for j in np.lexsort((doc, -s[:, i]))[:200]]
+    assert got == want
+    some = retrieval._Best(300, 3)
+    some.add(x[:50], doc[:50], q[[7, 9]], "dot", np.array([7, 9]))
+    assert sorted({int(i) for b in some.batches(np.arange(300)) for i in b.column(0).to_pylist()}) == [7, 9]

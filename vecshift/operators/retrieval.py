@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from vecshift.functions.scalar import METRICS, vector_ok
 
 #: Bytes of query vectors that one pass over the corpus carries; more queries mean more passes.
-QUERY_BYTES = 32 << 20
-#: Scores that a task holds at a time.
-CELLS = 4 << 20
+QUERY_BYTES = 8 << 20
+#: The most results (queries times k) that a task keeps, and half as many as it holds besides; scores go by half that number as well.
+CELLS = 1 << 20
+#: Rows of a batch that a task returns.
+OUT_ROWS = 1 << 16
 DIGITS = 9
 
 
@@ -34,24 +36,88 @@ def _matrix(col: pa.Array) -> np.ndarray:
     return flat.reshape(len(col), -1) if len(col) else flat.reshape(0, 0)
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
 def scores(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
     """(vectors, queries), higher is better, rounded so that ties are ties on every engine."""
     if metric == "cosine":
-        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-        q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+        x, q = _unit(x), _unit(q)
     if metric in ("cosine", "dot"):
-        return np.round(x @ q.T, DIGITS)
-    d = np.stack([np.square(x - v).sum(1) for v in q], axis=1) if len(q) else np.zeros((len(x), 0))  # no cancellation near 0
+        s = x @ q.T
+        return np.round(s, DIGITS, out=s)
+    if not len(x) or not len(q):
+        return np.zeros((len(x), len(q)))
+    if len(x) < len(q):  # no cancellation near 0
+        d = np.stack([np.square(q - v).sum(1) for v in x])
+    else:
+        d = np.stack([np.square(x - v).sum(1) for v in q], axis=1)
     return np.round(-d if metric == "squared_l2" else -np.sqrt(d), DIGITS)
 
 
+def _block_size(dim: int, k: int) -> int:
+    """Queries of a block: their vectors take QUERY_BYTES at most, their results CELLS, and their numbers 16 bits."""
+    return max(1, min(QUERY_BYTES // (8 * max(dim, 1)), CELLS // k, 1 << 16))
+
+
+class _Best:
+    """The best k results of each of a block of queries, out of scores that come a few vectors at a time. A score is looked at again only
+    if it reaches the query's k-th so far, so memory follows the results (CELLS at most) and not the scores; ties go to the smaller id."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.floor = k, np.full(n, -np.inf)
+        self.held = [(np.zeros(0, np.uint16), np.zeros(0, np.int64), np.zeros(0))]
+        self.size, self.most = 0, n * k + max(CELLS // 2, n)
+
+    def add(self, x: np.ndarray, doc: np.ndarray, q: np.ndarray, metric: str, asks: np.ndarray | None = None, qid: np.ndarray | None = None) -> None:
+        """Vectors x with ids doc against queries q, which are those at `asks` of the block (all of them without). qid: ids that the
+        queries don't take for a result."""
+        step = max(1, CELLS // (2 * max(1, len(q))))
+        for lo in range(0, len(x), step):
+            s, d = scores(x[lo : lo + step], q, metric), doc[lo : lo + step]
+            if qid is not None:
+                s[d[:, None] == qid[None, :]] = -np.inf
+            row, col = np.nonzero(s >= (self.floor if asks is None else self.floor[asks]))
+            v = s[row, col]
+            if not (fine := np.isfinite(v)).all():
+                row, col, v = row[fine], col[fine], v[fine]
+            self.held.append(((col if asks is None else asks[col]).astype(np.uint16), d[row], v))
+            self.size += len(v)
+            if self.size > self.most:
+                self.cut()
+
+    def cut(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number of the query in the block, id and score of what is kept, by query and place."""
+        q, d, s = (np.concatenate(c) for c in zip(*self.held, strict=True))
+        self.held.clear()
+        order = np.lexsort((d, -s, q))
+        q = q[order]
+        count = np.bincount(q, minlength=len(self.floor))
+        start = np.cumsum(count) - count
+        keep = np.arange(len(q)) - start[q] < self.k
+        order = order[keep]
+        q, d, s = q[keep], d[order], s[order]
+        full = np.flatnonzero(count >= self.k)
+        end = np.cumsum(np.minimum(count, self.k)) - 1
+        self.floor[full] = s[end[full]]
+        self.held, self.size = [(q, d, s)], len(q)
+        return q, d, s
+
+    def batches(self, qid: np.ndarray) -> Iterator[pa.RecordBatch]:
+        q, d, s = self.cut()
+        for lo in range(0, len(q), OUT_ROWS):
+            at = slice(lo, lo + OUT_ROWS)
+            yield pa.RecordBatch.from_arrays([pa.array(qid[q[at]]), pa.array(d[at]), pa.array(s[at])], ["query_id", "doc_id", "score"])
+
+
 def topk(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", drop_self: bool = False) -> DataFrame:
     """query_id, doc_id, score, rank (0-based); ties go to the smaller doc_id.
 
     corpus (doc_id, v) and queries (query_id, v) with double vectors of one dimension; zero vectors are dropped for
     cosine, null or non-finite ones always. The corpus is never shuffled: each partition multiplies its vectors with a
-    block of queries (QUERY_BYTES and CELLS // k at most) in steps of CELLS scores, keeps its own top k, and only those rows
-    meet in the final ranking.
+    block of queries (QUERY_BYTES and CELLS // k at most) in steps of CELLS // 2 scores, keeps its own top k, and only those rows
+    meet in the final ranking. A task's memory is bounded by these figures, whatever the rows, the queries and k's share of them.
     """
     if isinstance(k, bool) or not isinstance(k, int) or k < 1:
         raise ValueError("k must be a positive integer")
@@ -63,26 +129,18 @@ def topk(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine",
     fine = lambda c: vector_ok("v", dim) & (F.expr("exists(v, x -> abs(x) > 1e-12)") if metric == "cosine" else F.lit(True))
     corpus = corpus.where(fine("v")).select(F.col("doc_id").cast("long").alias("doc_id"), "v")
     out = None
-    for ids, block in _query_blocks(queries.where(fine("v")), max(1, min(QUERY_BYTES // (8 * max(dim, 1)), CELLS // k))):
-        held = spark.sparkContext.broadcast((ids, block))
+    for ids, block in _query_blocks(queries.where(fine("v")), _block_size(dim, k)):
+        held = spark.sparkContext.broadcast((ids, _unit(block) if metric == "cosine" else block))
 
         def part(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             qid, q = held.value
-            step = max(1, CELLS // len(qid))
-            best_s, best_d = np.zeros((0, len(qid))), np.zeros((0, len(qid)), np.int64)
+            best = _Best(len(qid), k)
             for b in batches:
                 doc, x = b.column(0).to_numpy(), _matrix(b.column(1))
-                for lo in range(0, len(doc), step):
-                    s = scores(x[lo : lo + step], q, metric)
-                    d = np.repeat(doc[lo : lo + step, None], len(qid), 1)
-                    if drop_self:
-                        s = np.where(d == qid[None, :], -np.inf, s)
-                    s, d = np.concatenate([best_s, s]), np.concatenate([best_d, d])
-                    order = np.lexsort((d, -s), axis=0)[:k]
-                    best_s, best_d = np.take_along_axis(s, order, 0), np.take_along_axis(d, order, 0)
-            if len(best_s):
-                keep = np.isfinite(best_s.T.ravel())
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, len(best_s))[keep]), pa.array(best_d.T.ravel()[keep]), pa.array(best_s.T.ravel()[keep])], ["query_id", "doc_id", "score"])
+                if metric == "cosine":
+                    x = _unit(x)
+                best.add(x, doc, q, "dot" if metric == "cosine" else metric, qid=qid if drop_self else None)
+            yield from best.batches(qid)
 
         rows = corpus.mapInArrow(part, "query_id long, doc_id long, score double")
         out = rows if out is None else out.unionByName(rows)
@@ -201,29 +259,24 @@ def ivf_search(corpus: DataFrame, queries: DataFrame, k: int, cells: int, probes
         corpus = corpus.join(F.broadcast(wanted), "cell", "left_semi")
     rows = corpus.select(F.col("doc_id").cast("long").alias("doc_id"), "v", F.col("cell").cast("int").alias("cell") if stored else F.lit(None).cast("int").alias("cell"))
     grouped = q.groupBy("query_id").agg(F.first("v").alias("v"), F.collect_list("cell").alias("near"))
-    for ids, block, near in _probing_blocks(grouped, max(1, min(QUERY_BYTES // (8 * dim), CELLS // k))):
-        held = spark.sparkContext.broadcast((ids, block, near, c))
+    for ids, block, near in _probing_blocks(grouped, _block_size(dim, k)):
+        held = spark.sparkContext.broadcast((ids, _unit(block) if metric == "cosine" else block, near, c))
 
         def part(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             qid, q, near, c = held.value
-            best_s, best_d = np.full((k, len(qid)), -np.inf), np.full((k, len(qid)), np.iinfo(np.int64).max)
+            best = _Best(len(qid), k)
             for b in batches:
                 x = _matrix(b.column(1))
                 own = b.column(2).to_numpy(zero_copy_only=False) if stored else scores(x, c, "cosine").argmax(1)
                 doc = b.column(0).to_numpy()
+                if metric == "cosine":
+                    x = _unit(x)
                 for cell in np.unique(own):
                     asks = np.flatnonzero(near[:, int(cell)]) if cell < near.shape[1] else np.zeros(0, np.int64)
-                    mine = np.flatnonzero(own == cell)
-                    step = max(1, CELLS // max(1, len(asks)))
-                    for lo in range(0, len(mine) if len(asks) else 0, step):
-                        at = mine[lo : lo + step]
-                        s = np.concatenate([best_s[:, asks], scores(x[at], q[asks], metric)])
-                        d = np.concatenate([best_d[:, asks], np.repeat(doc[at, None], len(asks), 1)])
-                        order = np.lexsort((d, -s), axis=0)[:k]
-                        best_s[:, asks], best_d[:, asks] = np.take_along_axis(s, order, 0), np.take_along_axis(d, order, 0)
-            keep = np.isfinite(best_s.T.ravel())
-            if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, k)[keep]), pa.array(best_d.T.ravel()[keep]), pa.array(best_s.T.ravel()[keep])], ["query_id", "doc_id", "score"])
+                    if len(asks):
+                        mine = np.flatnonzero(own == cell)
+                        best.add(x[mine], doc[mine], q[asks], "dot" if metric == "cosine" else metric, asks)
+            yield from best.batches(qid)
 
         found = rows.mapInArrow(part, "query_id long, doc_id long, score double")
         out = found if out is None else out.unionByName(found)
