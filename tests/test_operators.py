@@ -1,6 +1,7 @@
 """Worked examples, edge cases and invariants of single operators."""
 
 import hashlib
+import json
 import math
 import random
 import uuid
@@ -354,3 +355,24 @@ def test_judgements_by_label_make_no_pairs(spark):
     d, q = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("label")), spark.range(3000).select(F.col("id").alias("query_id"), F.lit(1).alias("label"))
     many = quality.ndcg(spark.range(3000).select(F.col("id").alias("query_id"), F.col("id").alias("doc_id"), F.lit(0).alias("rank")), quality.LabelQrels(q, d))
     assert many.count() == 3000 and isinstance(fixtures.qrels(spark, "/root/testdata/sf0.001"), quality.LabelQrels)  # 90 million pairs
+
+
+def test_rolling_digest_by_ranges(spark, monkeypatch):
+    """The ordered digest is that of one pass, though no task reads more than its range of the rows."""
+    text = lambda i: None if i % 9 == 0 else "é\n" * (i % 13)
+    rows = [(i * 31 % 400, text(i * 31 % 400)) for i in range(400)]
+    d = spark.createDataFrame(rows, "i long, t string").repartition(5)
+    h = hashlib.sha256()
+    for i in range(400):
+        h.update((json.dumps({"i": i, "t": text(i)}, ensure_ascii=False, separators=(",", ":")) + "\n").encode())
+    sizes, whole = [], planning._hash_on
+
+    def spy(part, state):
+        sizes.append(part.count())
+        return whole(part, state)
+
+    monkeypatch.setattr(planning, "_hash_on", spy)
+    monkeypatch.setattr(planning, "PART_BYTES", 4000)
+    assert planning.rolling_digest(d, "i", "t").first() == (h.hexdigest(), 400)
+    assert len(sizes) > 2 and max(sizes) < 250 and sum(sizes) == 400
+    assert planning.rolling_digest(d.limit(0), "i", "t").first() == (hashlib.sha256().hexdigest(), 0)

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from vecshift.functions.scalar import canonical_model, model_family
 
 FRACTIONS = (0.01, 0.05, 0.10, 0.25, 0.50, 1.0)
+#: Bytes of lines that one task hashes in an ordered digest.
+PART_BYTES = 128 << 20
 #: Bytes of a vector component by type name (fixed values).
 WIDTHS = {"float16": 2, "bfloat16": 2, "bf16": 2, "float32": 4, "float64": 8, "int8": 1, "uint8": 1}
 
@@ -178,32 +180,72 @@ def registry_audit(evidence: DataFrame, expected: int | Column) -> DataFrame:
 def dataset_digest(rows: DataFrame, key: str, *cols: str) -> DataFrame:
     """Order-free digest of a dataset: SHA-256 over the sorted row hashes of each bucket of six hexadecimal digits, then over
     the buckets of three digits, then over these; so no row holds more than 4096 digests but for equal leading digits.
-    (An order-sensitive rolling digest has to see all rows in one place; see `rolling_digest`.)"""
+    (An order-sensitive rolling digest has to see all rows one after the other; see `rolling_digest`.)"""
     h = rows.select(F.sha2(F.concat_ws("\u001f", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in (key, *cols)]), 256).alias("h"))
     leaf = h.groupBy(F.substring("h", 1, 6).alias("l")).agg(F.sha2(F.concat_ws("", F.array_sort(F.collect_list("h"))), 256).alias("d"), F.count(F.lit(1)).alias("n"))
     part = leaf.groupBy(F.substring("l", 1, 3).alias("b")).agg(F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("l", "d"))), lambda r: r["d"])), 256).alias("d"), F.sum("n").alias("n"))
     return part.agg(F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda r: r["d"])), 256).alias("digest"), F.sum("n").alias("rows"))
 
 
-def rolling_digest(rows: DataFrame, order: str, *cols: str) -> DataFrame:
-    """Order-sensitive digest: SHA-256 fed with the canonical rows in order. By definition one ordered pass; partitions stream
-    through one task, row by row, in constant memory."""
-    import hashlib
+class _Sha256:
+    """SHA-256 whose state can be handed on to another process, which hashlib's can't: the same OpenSSL's functions, called directly."""
 
-    from vecshift.operators.retrieval import ship
+    SIZE = 112  # of SHA256_CTX
+
+    def __init__(self, state: bytes | None = None):
+        import _hashlib
+        import ctypes
+
+        self.lib, self.size = ctypes.CDLL(_hashlib.__file__), ctypes.c_size_t
+        self.state = ctypes.create_string_buffer(state or bytes(self.SIZE), self.SIZE)
+        self.out = ctypes.create_string_buffer(32)
+        if state is None:
+            self.lib.SHA256_Init(self.state)
+
+    def update(self, data: bytes) -> None:
+        self.lib.SHA256_Update(self.state, data, self.size(len(data)))
+
+    def hexdigest(self) -> str:
+        end = _Sha256(self.state.raw)
+        self.lib.SHA256_Final(self.out, end.state)
+        return self.out.raw.hex()
 
-    ship(rows.sparkSession)
-    line = F.to_json(F.struct(*[F.col(c) for c in sorted({order, *cols})]), {"ignoreNullFields": "false"})
-    one = rows.select(order, line.alias("line")).orderBy(order).select("line").coalesce(1)
+
+def _hash_on(part: DataFrame, state: bytes) -> tuple[bytes, int]:
+    """The state after the lines of part, in their order, and their number; part lies in one partition."""
 
     def run(batches):
-        import pandas as pd
+        import pyarrow as pa
 
-        h, n = hashlib.sha256(), 0
+        h, n = _Sha256(state), 0
         for b in batches:
-            for x in b["line"]:
-                h.update(x.encode() + b"\n")
-                n += 1
-        yield pd.DataFrame({"digest": [h.hexdigest()], "rows": [n]})
+            for lo in range(0, b.num_rows, 64):
+                lines = b.column(0).slice(lo, 64).to_pylist()
+                h.update("".join(x + "\n" for x in lines).encode())
+                n += len(lines)
+        yield pa.RecordBatch.from_pydict({"state": pa.array([h.state.raw], pa.binary()), "n": pa.array([n], pa.int64())})
+
+    rows = part.mapInArrow(run, "state binary, n long").collect()  # one row
+    return (bytes(rows[0].state), rows[0].n) if rows else (state, 0)
 
-    return one.mapInPandas(run, "digest string, rows long")
+
+def rolling_digest(rows: DataFrame, order: str, *cols: str) -> DataFrame:
+    """Order-sensitive digest: SHA-256 fed with the canonical rows in order. The rows are dealt by ranges of the order, of about PART_BYTES
+    each; as every byte's turn comes after those before it, the ranges are hashed one after the other, each by a task that gets
+    the state (112 bytes) of the one before. So no task reads more than its range, whatever the rows."""
+    from vecshift.operators.retrieval import ship
+    from vecshift.sources.snapshots import written
+
+    spark = rows.sparkSession
+    ship(spark)
+    line = F.to_json(F.struct(*[F.col(c) for c in sorted({order, *cols})]), {"ignoreNullFields": "false"})
+    lines = rows.select(F.col(order).alias("at"), line.alias("line"))
+    size = lines.agg(F.sum(F.octet_length("line") + 1).alias("n")).first().n or 0
+    dealt = lines.repartitionByRange(max(1, -(-size // PART_BYTES)), "at").withColumn("part", F.spark_partition_id())
+    dealt = written(dealt, "lines", "part")
+    h, n = _Sha256(), 0
+    state = h.state.raw
+    for r in dealt.select("part").distinct().orderBy("part").collect():  # a number for each range
+        state, k = _hash_on(dealt.where(F.col("part") == r.part).coalesce(1).sortWithinPartitions("at").select("line"), state)
+        n += k
+    return spark.createDataFrame([(_Sha256(state).hexdigest(), n)], "digest string, rows long")

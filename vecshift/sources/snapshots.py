@@ -37,10 +37,10 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: computed once, and not again if executors are lost."""
+def written(df: DataFrame, name: str, partition: str | None = None) -> DataFrame:
+    """df as a table in the shared folder: computed once, and not again if executors are lost. partition: a column it is stored by."""
     path = fresh(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(partition) if partition else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
