@@ -53,3 +53,34 @@ def test_query(spark, library):
     for r in out:
         ids = np.array(library.encode(texts[r.doc_id]), "<u4")
         assert (r.n_ids, r.ids_crc32, r.decodes) == (len(ids), zlib.crc32(ids.tobytes()), True)
+
+
+def test_pairs_equal_whole_merges(monkeypatch):
+    """The walk along two pieces' merges says what merging their whole text says, and so does the table, however few places it has."""
+    monkeypatch.setattr(P, "PAIR_BITS", 4)
+    m, rng = P.Pieces(P.default_model()), random.Random(2)
+    short, live, pairs = [p for p in m.live if len(p) < 5], set(m.live), []
+    while len(pairs) < 6000:  # the text of two pieces, cut anywhere
+        both = rng.choice(short) + rng.choice(short)
+        at = rng.randrange(1, len(both))
+        if both[:at] in live and both[at:] in live:
+            pairs.append((m.id[both[:at]], m.id[both[at:]]))
+    want = [m.merged(m.text[a] + m.text[b]) == [m.text[a], m.text[b]] for a, b in pairs]
+    assert 0.1 < np.mean(want) < 0.97
+    key = np.array([a * m.n + b for a, b in pairs])
+    assert [m.beside(a, b) for a, b in pairs] == want
+    assert m.neighbours(key).tolist() == want and m.neighbours(key[::-1]).tolist() == want[::-1]
+
+
+def test_words_in_use_are_not_learned_again(library, monkeypatch):
+    """A full cache gives up words that were not used of late, not all of them."""
+    monkeypatch.setattr(P, "CACHE_BYTES", 60_000)
+    m, learned = P.Pieces(P.default_model()), []
+    learn = P.Pieces.learn
+    monkeypatch.setattr(P.Pieces, "learn", lambda self, words: (learned.extend(words), learn(self, words)))
+    for i in range(60):
+        texts = ["a hot word stays", " ".join(f"cold{i}x{j}" for j in range(20))]
+        for t, ids in zip(texts, m.encode(texts), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == library.encode(t)
+        assert len(m.cache) + len(m.older) < 60_000 // P.ENTRY + 30
+    assert learned.count(f"{P.SPACE}hot") == 1 and len(learned) == 4 + 60 * 20

@@ -8,7 +8,7 @@ What an edge may follow is what makes the path the BPE one: a sequence of pieces
 if and only if each piece, and each two neighbours, encode to themselves (merges inside a piece never see beyond it
 until some merge crosses a border, and that merge would cross it in the two pieces alone as well). So an edge extends
 the path that ends at its start only if the two pieces are such neighbours; at each end exactly one edge is left. The
-answers for pairs of pieces are kept. Characters outside the vocabulary become byte pieces.
+answers for pairs of pieces are kept, those that come by most lately. Characters outside the vocabulary become byte pieces.
 
 Edge cases: null and empty texts have no ids; words of any length and repeated rows are fine; the text's own lower
 one-eighth block (U+2581) stands for a space, as in the model's own escaping, and decodes to one. NUL is a character like any other. An empty table gives
@@ -28,10 +28,12 @@ from pyspark.sql import functions as F
 from .common import ready
 
 SPACE = "▁"
-#: Bytes of words and ids that a worker keeps, with what Python adds to each; and pairs of pieces.
-CACHE_BYTES, CACHE_PAIRS, ENTRY = 160 << 20, 500_000, 200
+#: Bytes of words and ids that a worker keeps, with what Python adds to each; and places for pairs of pieces, as a power of two.
+CACHE_BYTES, PAIR_BITS, ENTRY = 160 << 20, 22, 200
 #: Characters of distinct words that one suffix array indexes at most (one word at least), and rows taken at a time.
 INDEX_CHARS, ROWS = 150_000, 400
+#: Characters that one 64-bit number holds for comparison, and the bits of each.
+PACK, BITS = 3, 21
 _PARTS = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 _HELD: dict = {}
 
@@ -70,12 +72,16 @@ class Pieces:
             self.text[self.id[p]] = p
         self.length = np.array([len(t) for t in self.text], np.int32)
         lens = np.array([len(p) for p in self.live], np.int64)
-        chars = np.zeros((len(self.live), self.longest), np.int32)
+        low = np.zeros((len(self.live), -(-self.longest // PACK) * PACK), np.int64)
         flat = np.frombuffer("".join(self.live).encode("utf-32-le"), np.uint32)
-        chars[np.repeat(np.arange(len(lens)), lens), np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens)] = flat
-        self.table = lens, chars, np.array([self.id[p] for p in self.live], np.int64)
-        self.pairs = np.full(1, -1, np.int64), np.zeros(1, bool)
+        low[np.repeat(np.arange(len(lens)), lens), np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens)] = flat.astype(np.int64) + 1
+        high = np.where(low == 0, (1 << BITS) - 1, low)  # any characters after the piece
+        packed = lambda x: sum(x[:, i::PACK] << BITS * (PACK - 1 - i) for i in range(PACK))
+        self.table = lens, packed(low), packed(high), np.array([self.id[p] for p in self.live], np.int64)
+        self.pairs = np.full(1 << PAIR_BITS, -1, np.int32 if 2 * self.n**2 < 1 << 31 else np.int64)
+        self.traces: dict[int, tuple] = {}
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.cached = 0
 
     def merged(self, text: str) -> list[str]:
@@ -92,39 +98,68 @@ class Pieces:
             x[at : at + 2] = [x[at] + x[at + 1]]
         return x
 
+    def trace(self, piece: int) -> tuple[list, list, list]:
+        """The scores of a piece's merges in their order (and one below all others), its first and its last part after each number of them."""
+        out = self.traces.get(piece)
+        if out is None:
+            x, score = list(self.text[piece]), self.score
+            out = self.traces[piece] = [], [x[0]], [x[-1]]
+            while len(x) > 1:
+                s, i = max(((score.get(x[i] + x[i + 1], -np.inf), -i) for i in range(len(x) - 1)))
+                x[-i : 2 - i] = [x[-i] + x[1 - i]]
+                for had, new in zip(out, (s, x[0], x[-1]), strict=True):
+                    had.append(new)
+            out[0].append(-np.inf)
+        return out
+
+    def beside(self, a: int, b: int) -> bool:
+        """Whether the text of two live pieces encodes to these two. Until a merge crosses the border each makes its own merges; the better
+        one comes first, the left one of equals."""
+        score, (left, _, ends), (right, begins, _) = self.score, self.trace(a), self.trace(b)
+        i = j = 0
+        while True:
+            across = score.get(ends[i] + begins[j], -np.inf)
+            end, begin = ends[i], begins[j]
+            while ends[i] is end and begins[j] is begin:
+                x, y = left[i], right[j]
+                if across > x and across >= y:
+                    return False
+                if x >= y:
+                    if i + 1 == len(left):
+                        return True
+                    i += 1
+                else:
+                    j += 1
+
     def neighbours(self, key: np.ndarray) -> np.ndarray:
         """Whether a * n + b is a pair of pieces that stand side by side in the encoding of their text."""
-        known, value = self.pairs
-        at = np.searchsorted(known, key)
-        at[at == len(known)] = 0
-        new = np.unique(key[known[at] != key])
-        if len(new):
-            if len(known) + len(new) > CACHE_PAIRS:
-                known, value = known[:1], value[:1]
-                new = np.unique(key[key != known[0]])
-            text = self.text
-            ok = [self.merged(text[a] + text[b]) == [text[a], text[b]] for a, b in zip(*(x.tolist() for x in np.divmod(new, self.n)), strict=True)]
-            where = np.searchsorted(known, new)
-            self.pairs = known, value = np.insert(known, where, new), np.insert(value, where, ok)
-            at = np.searchsorted(known, key)
-        return value[at]
-
-    def ranges(self, codes: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Piece ids with their ranges of the suffix array, by binary search one character at a time."""
-        lens, chars, ids = self.table
-        lo, hi = np.zeros(len(ids), np.int64), np.full(len(ids), len(order))
+        slot = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+        held = self.pairs[slot]  # each pair has one place, where the last one that was asked for stays
+        value = (held & 1).astype(bool)
+        miss = np.flatnonzero(held >> 1 != key)
+        if len(miss):
+            new, at = np.unique(key[miss], return_inverse=True)
+            beside = self.beside
+            value[miss] = np.array([beside(a, b) for a, b in zip(*(x.tolist() for x in np.divmod(new, self.n)), strict=True)])[at]
+            self.pairs[slot[miss]] = 2 * key[miss] + value[miss]
+        return value
+
+    def ranges(self, packed: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Piece ids with their ranges of the suffix array, by binary search a few characters (PACK) at a time."""
+        lens, low, high, ids = self.table
+        first = packed[order]
+        lo, hi = np.searchsorted(first, low[:, 0], "left"), np.searchsorted(first, high[:, 0], "right")
         some = np.arange(len(ids))
-        for d in range(self.longest):
-            some = some[(lens[some] > d) & (lo[some] < hi[some])]
+        for g in range(1, low.shape[1]):
+            some = some[(lens[some] > PACK * g) & (lo[some] < hi[some])]
             if not len(some):
                 break
-            want = chars[some, d]
             edges = []
-            for right in (False, True):
+            for right, want in ((False, low[some, g]), (True, high[some, g])):
                 a, b = lo[some].copy(), hi[some].copy()
                 while (open_ := a < b).any():
                     mid = (a + b) >> 1
-                    c = codes[np.minimum(order[np.minimum(mid, len(order) - 1)] + d, len(codes) - 1)]
+                    c = packed[np.minimum(order[np.minimum(mid, len(order) - 1)] + PACK * g, len(packed) - 1)]
                     go = open_ & ((c <= want) if right else (c < want))
                     a = np.where(go, mid + 1, a)
                     b = np.where(open_ & ~go, mid, b)
@@ -141,8 +176,11 @@ class Pieces:
         begin = np.cumsum(size + 1) - size - 1
         codes[begin + size] = -1
         # suffix array over the first characters: ranks of doubled prefixes
-        rank = np.unique(codes, return_inverse=True)[1].astype(np.int64)
-        k = 1
+        wide = np.zeros(len(codes) + PACK - 1, np.int64)
+        wide[: len(codes)] = codes + 1
+        packed = sum(wide[i : i + len(codes)] << BITS * (PACK - 1 - i) for i in range(PACK))
+        rank = np.unique(packed, return_inverse=True)[1].astype(np.int64)
+        k = PACK
         while k < self.longest:
             nxt = np.zeros_like(rank)
             nxt[:-k] = rank[k:] + 1
@@ -150,7 +188,7 @@ class Pieces:
             k *= 2
         order = np.argsort(rank, kind="stable").astype(np.int32)
         del rank
-        ids, lo, hi = self.ranges(codes, order)
+        ids, lo, hi = self.ranges(packed, order)
         n = hi - lo
         start = order[np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)]
         piece = np.repeat(ids.astype(np.int32), n)
@@ -160,7 +198,7 @@ class Pieces:
         single[start[end - start == 1]] = True
         lone = np.flatnonzero(~single[:-1] & (codes >= 0))
         start, end, piece = np.concatenate([start, lone.astype(np.int32)]), np.concatenate([end, lone.astype(np.int32) + 1]), np.concatenate([piece, np.full(len(lone), -2, np.int32)])
-        word = np.searchsorted(begin, start, "right") - 1
+        word = np.repeat(np.arange(len(words)), size + 1)[start]
         place = end - begin[word]
         place = np.argsort(place.astype(np.uint16) if size.max() < 65_000 else place, kind="stable")  # a radix sort where it fits
         start, end, piece, word = start[place], end[place], piece[place], word[place]
@@ -210,12 +248,17 @@ class Pieces:
         """Ids of each text as little-endian uint32 bytes."""
         parts = [_PARTS.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         used = set().union(*parts) if parts else set()
+        size = lambda some: sum(map(len, some)) * 5 + ENTRY * len(some)
         missing = used - self.cache.keys()
-        if self.cached + sum(5 * len(w) + ENTRY for w in missing) > CACHE_BYTES:
-            self.cache.clear()
-            self.cached = 0
-            missing = used
-        self.cached += sum(5 * len(w) + ENTRY for w in missing)
+        if self.cached + (more := size(missing)) > CACHE_BYTES // 2:  # the words so far become the older half, out of which those in use come back
+            self.older, self.cache, self.cached = self.cache, {}, 0
+            missing, more = used, size(used)
+            if more > CACHE_BYTES // 2:
+                self.older = {k: self.older[k] for k in used & self.older.keys()}
+        self.cached += more
+        back = missing & self.older.keys()
+        self.cache.update(zip(back, map(self.older.__getitem__, back), strict=True))
+        missing = missing - back
         group, n = [], 0
         for w in sorted(missing):
             if n + len(w) > INDEX_CHARS and group:
