@@ -172,3 +172,19 @@ def test_best_of_a_block_in_bounded_memory(monkeypatch):
     some = retrieval._Best(300, 3)
     some.add(x[:50], doc[:50], q[[7, 9]], "dot", np.array([7, 9]))
     assert sorted({int(i) for b in some.batches(np.arange(300)) for i in b.column(0).to_pylist()}) == [7, 9]
+
+
+def test_only_results_and_ties_are_sorted(monkeypatch):
+    """A cut finds each query's k-th score without sorting what is held; queries with few scores and with very many stand side by side."""
+    monkeypatch.setattr(retrieval, "CELLS", 1 << 12)
+    rng, sorted_, lexsort = np.random.default_rng(6), [], np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda keys: (sorted_.append(len(keys[0])), lexsort(keys))[1])
+    x, q, doc = rng.normal(size=(4000, 4)), rng.normal(size=(40, 4)), rng.permutation(4000)
+    best = retrieval._Best(40, 10)
+    for lo in range(0, 4000, 500):
+        best.add(x[lo : lo + 500], doc[lo : lo + 500], q[:1], "dot", np.array([0]))
+    best.add(x[:5], doc[:5], q[1:], "dot", np.arange(1, 40))
+    got = [(int(i), int(d)) for b in best.batches(np.arange(40)) for i, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+    s = retrieval.scores(x, q, "dot")
+    assert got == [(i, int(doc[j])) for i in range(40) for j in lexsort((doc[: 5 if i else 4000], -s[: 5 if i else 4000, i]))[:10]]
+    assert max(sorted_) == len(got) == 10 + 39 * 5

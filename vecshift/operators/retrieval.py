@@ -88,26 +88,39 @@ class _Best:
                 self.cut()
 
     def cut(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Number of the query in the block, id and score of what is kept, by query and place."""
+        """Number of the query in the block, id and score of what is kept, by query. Nothing but ties at a query's k-th is sorted."""
         q, d, s = (np.concatenate(c) for c in zip(*self.held, strict=True))
         self.held.clear()
-        order = np.lexsort((d, -s, q))
-        q = q[order]
-        count = np.bincount(q, minlength=len(self.floor))
+        order = np.argsort(q, kind="stable")  # a radix sort
+        q, d, s = q[order], d[order], s[order]
+        n, k = len(self.floor), self.k
+        count = np.bincount(q, minlength=n)
         start = np.cumsum(count) - count
-        keep = np.arange(len(q)) - start[q] < self.k
-        order = order[keep]
-        q, d, s = q[keep], d[order], s[order]
-        full = np.flatnonzero(count >= self.k)
-        end = np.cumsum(np.minimum(count, self.k)) - 1
-        self.floor[full] = s[end[full]]
+        full = np.flatnonzero(count >= k)
+        full = full[np.argsort(count[full], kind="stable")]
+        while len(full):  # as many queries as a matrix of CELLS scores holds, one at least
+            fit = np.searchsorted(count[full] * np.arange(1, len(full) + 1), CELLS, "right")
+            some, full = np.split(full, [max(1, fit)])
+            place = np.arange(count[some[-1]])
+            m = s[np.minimum(start[some][:, None] + place, len(s) - 1)]
+            m[place >= count[some][:, None]] = -np.inf
+            m.partition(len(place) - k, axis=1)
+            self.floor[some] = m[:, len(place) - k]
+        floor = self.floor[q]
+        keep, tie = s > floor, np.flatnonzero(s == floor)
+        tie = tie[np.lexsort((d[tie], q[tie]))]
+        count = np.bincount(q[tie], minlength=n)
+        turn = np.arange(len(tie)) - (np.cumsum(count) - count)[q[tie]]
+        keep[tie[turn < (k - np.bincount(q[keep], minlength=n))[q[tie]]]] = True
+        q, d, s = q[keep], d[keep], s[keep]
         self.held, self.size = [(q, d, s)], len(q)
         return q, d, s
 
     def batches(self, qid: np.ndarray) -> Iterator[pa.RecordBatch]:
         q, d, s = self.cut()
+        order = np.lexsort((d, -s, q))  # by query and place
         for lo in range(0, len(q), OUT_ROWS):
-            at = slice(lo, lo + OUT_ROWS)
+            at = order[lo : lo + OUT_ROWS]
             yield pa.RecordBatch.from_arrays([pa.array(qid[q[at]]), pa.array(d[at]), pa.array(s[at])], ["query_id", "doc_id", "score"])
 
 
